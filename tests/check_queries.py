@@ -34,7 +34,8 @@ def canonical(pdf: pd.DataFrame) -> list[tuple]:
         if v is None or (isinstance(v, float) and v != v) or v is pd.NA or v is pd.NaT:
             return "~"
         if isinstance(v, float) or type(v).__name__ in ("float64", "float32"):
-            return f"{float(v) + 0.0:.6f}"
+            f = float(v) + 0.0
+            return str(int(f)) if f == f // 1 and abs(f) < 1e15 else repr(f)
         if type(v).__name__ in ("bool", "bool_"):
             return str(bool(v))
         return str(v)
@@ -56,10 +57,12 @@ def compare(spark, con, sf_dir: str, name: str) -> tuple[bool, str]:
     if a == b:
         return len(a) > 0, f"{len(a)} rows {dt:.1f}s"
     sa, sb = set(a), set(b)
-    return False, (
-        f"{len(a)} vs {len(b)} rows; columns {sorted(got.columns)}\n  only ours {sorted(sa - sb)[:3]}"
-        f"\n  only sql  {sorted(sb - sa)[:3]}"
-    )
+    cols = sorted(got.columns)
+    ours, theirs = sorted(sa - sb), sorted(sb - sa)
+    lines = [f"{len(a)} vs {len(b)} rows, {len(ours)} / {len(theirs)} differ"]
+    for x, y in list(zip(ours, theirs))[:4]:
+        lines.append("  " + str([(c, p, q) for c, p, q in zip(cols, x, y) if p != q][:12]))
+    return False, "\n".join(lines)
 
 
 if __name__ == "__main__":

@@ -8,7 +8,9 @@ table with at most one row per block:
 * :class:`Neighbours` gives ``lag`` / ``lead`` / short rolling sums across block borders;
 * :func:`with_runs` (gaps and islands) and :func:`running_total` carry a prefix value.
 
-The results equal the plain ``Window.partitionBy(sequence)`` versions for every block size.
+The carry costs a second reference to the input, so a caller that has measured its longest
+sequence (:func:`block_size_for`) may pass ``block=None``: the operators then use one plain
+window per sequence. The results equal the plain ``Window.partitionBy(sequence)`` versions for every block size.
 The carry table is read from the same exchange as the rows (the rows are selected first, so
 that both branches ask for identical columns and the exchange is reused).
 """
@@ -28,12 +30,30 @@ BLOCK = 65_536
 BLK = "_blk"
 
 
+#: Longest sequence, in rows, that one task may sort and stream through a window.
+MAX_SEQUENCE_ROWS = 5_000_000
+
+
+def block_size_for(
+    df: DataFrame, keys: Sequence[str], *, max_rows: int = MAX_SEQUENCE_ROWS, block: int = BLOCK
+) -> int | None:
+    """Measure: ``None`` when no sequence exceeds ``max_rows``, else a block size.
+
+    Counts are combined map-side and read the key columns only. A bound measured on a base
+    table also holds for what is filtered or renamed out of it.
+    """
+    long = df.groupBy(*keys).count().filter(F.col("count") > max_rows)
+    return None if long.limit(1).isEmpty() else block
+
+
 def block_of(order: str | Column, block: int) -> Column:
     col = F.col(order) if isinstance(order, str) else order
     return F.floor(col / F.lit(float(block))).cast("long")
 
 
-def in_blocks(df: DataFrame, keys: Sequence[str], order: str, block: int = BLOCK) -> DataFrame:
+def in_blocks(
+    df: DataFrame, keys: Sequence[str], order: str, block: int | None = BLOCK
+) -> DataFrame:
     """Partition by (sequence, block): the one exchange the ordered operators need.
 
     Rows without a key or an order value belong to no sequence and are left out.
@@ -41,6 +61,8 @@ def in_blocks(df: DataFrame, keys: Sequence[str], order: str, block: int = BLOCK
     present = F.lit(True)
     for name in (*keys, order):
         present = present & F.col(name).isNotNull()
+    if block is None:
+        return df.filter(present).withColumn(BLK, F.lit(0).cast("long"))
     blocked = df.filter(present).withColumn(BLK, F.coalesce(block_of(order, block), F.lit(0)))
     return blocked.repartition(*keys, BLK)
 
@@ -65,10 +87,14 @@ class Neighbours:
         *,
         back: int = 0,
         ahead: int = 0,
-        block: int = BLOCK,
+        block: int | None = BLOCK,
     ):
         self.keys, self.order, self.back, self.ahead = list(keys), order, back, ahead
         self.w = block_window(keys, order)
+        self.whole = block is None
+        if self.whole:
+            self.df = in_blocks(df, keys, order, None)
+            return
         whole = Window.partitionBy(*keys, BLK)
         base = in_blocks(df, keys, order, block)
         numbered = base.withColumn("_rn", F.row_number().over(self.w))
@@ -115,11 +141,15 @@ class Neighbours:
         return carry.filter(some)
 
     def lag(self, name: str, k: int = 1) -> Column:
+        if self.whole:
+            return F.lag(name, k).over(self.w)
         at = F.size("_before") - (F.lit(k + 1) - F.col("_rn"))
         crossed = F.get(F.col("_before"), at)[name]
         return F.when(F.col("_rn") > k, F.lag(name, k).over(self.w)).otherwise(crossed)
 
     def lead(self, name: str, k: int = 1) -> Column:
+        if self.whole:
+            return F.lead(name, k).over(self.w)
         left = F.col("_cnt") - F.col("_rn")
         crossed = F.get(F.col("_after"), (F.lit(k - 1) - left).cast("int"))[name]
         return F.when(left >= k, F.lead(name, k).over(self.w)).otherwise(crossed)
@@ -128,6 +158,8 @@ class Neighbours:
         """Sum and row count over the current row and the ``rows - 1`` rows after it."""
         frame = self.w.rowsBetween(0, rows - 1)
         n_in = F.count(F.lit(1)).over(frame)
+        if self.whole:
+            return F.sum(F.col(name).cast("long")).over(frame), n_in
         extra = F.slice(F.coalesce(F.col("_after"), F.array()), 1, (F.lit(rows) - n_in).cast("int"))
         total = F.aggregate(
             extra, F.lit(0).cast("long"), lambda acc, r: acc + r[name].cast("long")
@@ -137,6 +169,8 @@ class Neighbours:
     def any_behind(self, name: str, rows: int) -> Column:
         """Whether a boolean column holds in one of the previous ``rows`` rows."""
         here = F.coalesce(F.max(F.col(name)).over(self.w.rowsBetween(-rows, -1)), F.lit(False))
+        if self.whole:
+            return here
         before = F.coalesce(F.col("_before"), F.array())
         want = F.greatest(F.lit(rows) - (F.col("_rn") - 1), F.lit(0))
         start = F.greatest(F.size(before) - want + 1, F.lit(1)).cast("int")
@@ -148,10 +182,13 @@ class Neighbours:
 
 
 def running_total(
-    df: DataFrame, keys: Sequence[str], order: str, value: Column, name: str, *, block: int = BLOCK
+    df: DataFrame, keys: Sequence[str], order: str, value: Column, name: str, *, block: int | None = BLOCK
 ) -> DataFrame:
     """Inclusive running sum of ``value`` along each sequence."""
     blocked = in_blocks(df.withColumn("_v", value), keys, order, block)
+    if block is None:
+        w = block_window(keys, order).rowsBetween(Window.unboundedPreceding, 0)
+        return blocked.withColumn(name, F.sum("_v").over(w)).drop("_v", BLK)
     earlier = Window.partitionBy(*keys).orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
     carry = (
         blocked.groupBy(*keys, BLK)
@@ -169,7 +206,7 @@ def running_total(
 
 
 def row_index(
-    df: DataFrame, keys: Sequence[str], order: str, name: str = "row_idx", *, block: int = BLOCK
+    df: DataFrame, keys: Sequence[str], order: str, name: str = "row_idx", *, block: int | None = BLOCK
 ) -> DataFrame:
     """0-based position along each sequence."""
     out = running_total(df, keys, order, F.lit(1).cast("long"), name, block=block)
@@ -177,10 +214,13 @@ def row_index(
 
 
 def carry_forward(
-    df: DataFrame, keys: Sequence[str], order: str, value: Column, name: str, *, block: int = BLOCK
+    df: DataFrame, keys: Sequence[str], order: str, value: Column, name: str, *, block: int | None = BLOCK
 ) -> DataFrame:
     """Latest non-null ``value`` at or before each row; values must not decrease in order."""
     blocked = in_blocks(df.withColumn("_v", value), keys, order, block)
+    if block is None:
+        w = block_window(keys, order).rowsBetween(Window.unboundedPreceding, 0)
+        return blocked.withColumn(name, F.max("_v").over(w)).drop("_v", BLK)
     earlier = Window.partitionBy(*keys).orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
     carry = (
         blocked.groupBy(*keys, BLK)
@@ -197,8 +237,40 @@ def carry_forward(
     )
 
 
+def carry_backward(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    value: Column,
+    name: str,
+    *,
+    tie: Sequence[str] = (),
+    block: int | None = BLOCK,
+) -> DataFrame:
+    """Smallest non-null ``value`` at or after each row (``tie`` orders equal positions)."""
+    blocked = in_blocks(df.withColumn("_v", value), keys, order, block)
+    # A growing frame from the far end: a "following" frame would rescan for every row.
+    down = [F.col(c).desc() for c in (order, *tie)]
+    w = Window.partitionBy(*keys, BLK).orderBy(*down).rowsBetween(Window.unboundedPreceding, 0)
+    if block is None:
+        return blocked.withColumn(name, F.min("_v").over(w)).drop("_v", BLK)
+    later = Window.partitionBy(*keys).orderBy(BLK).rowsBetween(1, Window.unboundedFollowing)
+    carry = (
+        blocked.groupBy(*keys, BLK)
+        .agg(F.min("_v").alias("_s"))
+        .select(*keys, BLK, F.min("_s").over(later).alias("_carry"))
+        .filter(F.col("_carry").isNotNull())
+    )
+    return (
+        blocked.withColumn("_in", F.min("_v").over(w))
+        .join(carry, [*keys, BLK], "left")
+        .withColumn(name, F.coalesce("_in", "_carry"))
+        .drop("_v", "_in", "_carry", BLK)
+    )
+
+
 def with_runs(
-    df: DataFrame, keys: Sequence[str], order: str, *, max_step: int | Column = 1, block: int = BLOCK
+    df: DataFrame, keys: Sequence[str], order: str, *, max_step: int | Column = 1, block: int | None = BLOCK
 ) -> DataFrame:
     """Gaps and islands: add ``run_start``, the order value at which the row's run begins.
 
@@ -212,6 +284,12 @@ def with_runs(
     marked = blocked.withColumn(
         "_open", F.when(F.col(order) - F.lag(order).over(w) > step, F.col(order))
     )
+    if block is None:
+        first = F.lag(order).over(w).isNull()
+        opened = F.when(first | F.col("_open").isNotNull(), F.col(order))
+        begun = w.rowsBetween(Window.unboundedPreceding, 0)
+        out = marked.withColumn("_open", opened)
+        return out.withColumn("run_start", F.max("_open").over(begun)).drop("_open", BLK)
     by_block = Window.partitionBy(*keys).orderBy(BLK)
     earlier = by_block.rowsBetween(Window.unboundedPreceding, -1)
     limit = F.max(step).alias("_step") if isinstance(max_step, Column) else step.alias("_step")
@@ -239,7 +317,7 @@ def runs(
     *,
     max_step: int | Column = 1,
     aggs: Sequence[Column] = (),
-    block: int = BLOCK,
+    block: int | None = BLOCK,
 ) -> DataFrame:
     """One row per run: ``run_start``, ``run_end``, ``n_rows`` and ``aggs``."""
     return (

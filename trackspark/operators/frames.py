@@ -90,7 +90,7 @@ def detection_frames(
     normalised: bool = True,
     frame_spine: DataFrame | None = None,
     wide: bool | None = None,
-    block: int = BLOCK,
+    block: int | None = BLOCK,
 ) -> DataFrame:
     """Detector metrics, one row per (video, frame) with a detection.
 
@@ -204,7 +204,7 @@ def _fill_spine(frames: DataFrame, spine: DataFrame | None) -> DataFrame:
     return out.withColumns(fills)
 
 
-def count_change(frames: DataFrame, *, block: int = BLOCK) -> DataFrame:
+def count_change(frames: DataFrame, *, block: int | None = BLOCK) -> DataFrame:
     """Flag frames whose object count differs from the previous present frame."""
     nb = Neighbours(frames, ["video_id"], "frame_idx", back=1, block=block)
     prev = nb.lag("num_objects")
@@ -214,22 +214,18 @@ def count_change(frames: DataFrame, *, block: int = BLOCK) -> DataFrame:
 
 
 def pairwise_features(spatial: DataFrame, *, entity: str = "bird_id", wide: bool | None = None) -> DataFrame:
-    """Distance of every object to the others in its frame and the nearest one's id.
+    """Add the distance of every object to the others in its frame and the nearest one's id.
 
-    ``spatial`` needs video_id, frame_idx, the entity, centroid_x and centroid_y. Objects
-    without a centroid, or alone in their frame, get NULLs. Ties go to the lowest id.
+    ``spatial`` needs video_id, frame_idx, the entity, centroid_x and centroid_y; its other
+    columns travel along, so no join is needed. Objects without a centroid, or alone in their
+    frame, get NULLs. Ties go to the lowest id.
     """
     keys = list(FRAME)
-    valid = F.col("centroid_x").isNotNull() & F.col("centroid_y").isNotNull()
-    centres = spatial.filter(valid).select(
-        *keys,
-        F.col(entity).alias("id"),
-        F.col("centroid_x").alias("cx"),
-        F.col("centroid_y").alias("cy"),
-    )
     if wide is None:
-        wide = tiles.has_wide_groups(centres, keys)
-    packed = tiles.pack(centres, keys, ["id", "cx", "cy"], wide=wide)
+        wide = tiles.has_wide_groups(spatial, keys)
+    rest = [c for c in spatial.columns if c not in (*keys, entity, "centroid_x", "centroid_y")]
+    member = [entity, "centroid_x", "centroid_y"] + ([] if wide else rest)
+    packed = tiles.pack(spatial, keys, member, wide=wide)
     items = F.col("items")
     whole = F.col("_pa") == F.col("_pb")
     start = F.struct(
@@ -238,37 +234,46 @@ def pairwise_features(spatial: DataFrame, *, entity: str = "bird_id", wide: bool
         F.lit(0).cast("long").alias("n"),
     )
 
+    def known(a: Column) -> Column:
+        return a["centroid_x"].isNotNull() & a["centroid_y"].isNotNull()
+
     def measure(a: Column) -> Column:
-        others = F.filter(items, lambda b: (b != a) & (whole | (a["_part"] != b["_part"])))
+        others = F.filter(
+            items,
+            lambda b: known(a)
+            & known(b)
+            & (b[entity] != a[entity])
+            & (whole | (a["_part"] != b["_part"])),
+        )
 
         def step(acc: Column, b: Column) -> Column:
-            d = bx.distance(a["cx"], a["cy"], b["cx"], b["cy"])
-            here = F.struct(d.alias("d"), b["id"].alias("id"))
+            d = bx.distance(a["centroid_x"], a["centroid_y"], b["centroid_x"], b["centroid_y"])
+            here = F.struct(d.alias("d"), b[entity].alias("id"))
             return F.struct(
                 F.least(acc["best"], here).alias("best"),
                 (acc["total"] + d).alias("total"),
                 (acc["n"] + 1).alias("n"),
             )
 
-        return F.struct(a["id"].alias("id"), F.aggregate(others, start, step).alias("m"))
+        own = [a[c].alias(c) for c in member]
+        return F.struct(*own, F.aggregate(others, start, step).alias("_m"))
 
     rows = packed.select(*keys, F.inline(F.transform(items, measure)))
+    m = F.col("_m")
     if wide:
-        rows = rows.groupBy(*keys, "id").agg(
+        rows = rows.groupBy(*keys, entity).agg(
             F.struct(
-                F.min(F.col("m.best")).alias("best"),
-                F.sum(F.col("m.total")).alias("total"),
-                F.sum(F.col("m.n")).alias("n"),
-            ).alias("m")
+                F.min(m["best"]).alias("best"), F.sum(m["total"]).alias("total"), F.sum(m["n"]).alias("n")
+            ).alias("_m")
         )
-    measured = rows.select(
-        *keys,
-        F.col("id").alias(entity),
-        F.col("m.best.d").alias("min_dist_to_other"),
-        F.when(F.col("m.n") > 0, F.col("m.total") / F.col("m.n")).alias("mean_dist_to_other"),
-        F.col("m.best.id").alias("nearest_neighbor_id"),
-    )
-    return spatial.select(*keys, entity).join(measured, [*keys, entity], "left")
+        rows = spatial.join(rows, [*keys, entity], "left")
+    return rows.withColumns(
+        {
+            "min_dist_to_other": m["best"]["d"],
+            "mean_dist_to_other": F.when(m["n"] > 0, m["total"] / m["n"]),
+            "nearest_neighbor_id": m["best"]["id"],
+        }
+    ).drop("_m")
 
 
 def _type_of(df: DataFrame, name: str) -> str:

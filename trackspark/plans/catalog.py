@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["scan_queries"]
+_MODULES = ["scan_queries", "dataset_queries"]
 
 QUERIES: dict = {}
 for _name in _MODULES:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trackspark.operators import events, frames
 from trackspark.plans import oracle as O
 from trackspark.plans import views
+from trackspark.session import cut_lineage
 
 SEP = 0.10  # separation distance that suits the 640-pixel canvas
 IOU = 0.07
@@ -27,35 +28,48 @@ FRAME_DOUBLES = [
 ]
 
 
+AREAS = [c for c in FRAME_DOUBLES if "area" in c]
+UNITS = [c for c in FRAME_DOUBLES if "area" not in c]
+
+
 def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c), digits) for c in cols})
 
 
-def frame_metrics(spark: SparkSession, sf: str, **kw) -> DataFrame:
+def frame_metrics(spark: SparkSession, sf: str, shape: dict | None = None) -> DataFrame:
+    shape = shape or views.shape(spark, sf)
     return frames.detection_frames(
-        views.detections(spark, sf), iou_threshold=IOU, min_separation=SEP, **kw
+        views.detections(spark, sf), iou_threshold=IOU, min_separation=SEP, **shape
     )
 
 
 def q_frame_metrics(spark, sf):
-    out = rounded(frame_metrics(spark, sf), *FRAME_DOUBLES)
+    out = rounded(rounded(frame_metrics(spark, sf), *UNITS, digits=9), *AREAS, digits=4)
     return out.withColumn("objects_present", F.concat_ws(",", "objects_present"))
 
 
 SQL_FRAMES = O.frames_cte(IOU, 0.15, SEP)
 
 SQL_FRAME_METRICS = O.r6(
+    O.r6(
     O._cte(*SQL_FRAMES)
-    + "SELECT video_id, frame_idx, num_objects, objects_present, is_high_occlusion, is_object_count_change, "
+    + "SELECT video_id, frame_idx, num_objects, num_overlapping_pairs, objects_present, is_high_occlusion, is_object_count_change, "
     + ", ".join(FRAME_DOUBLES)
     + " FROM fm",
-    *FRAME_DOUBLES,
+    *UNITS,
+    digits=9,
+    ),
+    *AREAS,
+    digits=4,
 )
 
 
 def q_separation_windows(spark, sf):
     """Flagship: detections -> crowding metrics -> sustained separation windows."""
-    return events.separation_windows(frame_metrics(spark, sf), min_frames=6, gap_frames=5)
+    shape = views.shape(spark, sf)
+    return events.separation_windows(
+        frame_metrics(spark, sf, shape), min_frames=6, gap_frames=5, block=shape["block"]
+    )
 
 
 SQL_SEPARATION = (
@@ -70,7 +84,11 @@ SQL_SEPARATION = (
 
 
 def q_occlusion_periods(spark, sf):
-    return events.occlusion_periods(frame_metrics(spark, sf), window_frames=10, threshold=0.9)
+    shape = views.shape(spark, sf)
+    metrics = cut_lineage(
+        frame_metrics(spark, sf, shape).select("video_id", "frame_idx", "is_high_occlusion"), "frames"
+    )
+    return events.occlusion_periods(metrics, window_frames=10, threshold=0.9, block=shape["block"])
 
 
 # Next-pointer form of the scan: from each resume row, the first hot row opens a period that
@@ -115,7 +133,8 @@ def _fps(spark, sf):
 
 
 def q_id_transitions(spark, sf):
-    out = events.id_transitions(views.tracks(spark, sf), _fps(spark, sf))
+    block = views.shape(spark, sf)["block"]
+    out = events.id_transitions(views.tracks(spark, sf), _fps(spark, sf), block=block)
     arrays = ["ids_before", "ids_after", "lost", "gained"]
     return out.withColumns({c: F.concat_ws(",", c) for c in arrays})
 
@@ -142,7 +161,12 @@ SQL_TRANSITIONS = (
 
 def q_low_score(spark, sf):
     return events.low_score_periods(
-        views.tracks(spark, sf), _fps(spark, sf), threshold=0.8, min_seconds=0.4, merge_gap_seconds=0.2
+        views.tracks(spark, sf),
+        _fps(spark, sf),
+        threshold=0.8,
+        min_seconds=0.4,
+        merge_gap_seconds=0.2,
+        block=views.shape(spark, sf)["block"],
     )
 
 
@@ -163,7 +187,8 @@ SQL_LOW_SCORE = (
 
 
 def q_occlusion_switches(spark, sf):
-    return events.occlusion_aware_switches(frame_metrics(spark, sf))
+    shape = views.shape(spark, sf)
+    return events.occlusion_aware_switches(frame_metrics(spark, sf, shape), block=shape["block"])
 
 
 SQL_OCC_SWITCH = (
@@ -194,7 +219,8 @@ SQL_OCC_SWITCH = (
 
 
 def q_score_segments(spark, sf):
-    out = events.score_segments(views.tracks(spark, sf)).withColumnRenamed("tracking_id", "id")
+    block = views.shape(spark, sf)["block"]
+    out = events.score_segments(views.tracks(spark, sf), block=block).withColumnRenamed("tracking_id", "id")
     return rounded(out, "mean_score")
 
 

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackspark.operators import blocks, tiles
+
 FPS = 25.0
 WIDTH, HEIGHT = 640, 480
 
@@ -65,6 +67,21 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def shape(spark: SparkSession, sf_dir: str) -> dict:
+    """Measured on the base table: block size for the sequences, and whether frames are wide.
+
+    Repair, filters and windows only remove or rename rows, so the bounds hold downstream.
+    """
+    key = F.col("l_orderkey")
+    rows = table(spark, sf_dir, "lineitem").select(
+        video_of(key).alias("video_id"), frame_of(key).alias("frame_idx")
+    )
+    return {
+        "block": blocks.block_size_for(rows, ["video_id"]),
+        "wide": tiles.has_wide_groups(rows, ["video_id", "frame_idx"]),
+    }
+
+
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detections as raw tracking rows (tracking_id, bbox)."""
     return detections(spark, sf_dir).select(
