@@ -14,9 +14,8 @@ from trackspark.operators.blocks import BLOCK, Neighbours
 FRAME = ("video_id", "frame_idx")
 
 
-def _pair_summary(measure, iou_threshold: float, near: float) -> Column:
-    """Foldable pair statistics of one packed row: ``measure`` gives a struct (iou, dist)."""
-    pairs = tiles.pair_array(measure)
+def _pair_summary(pairs: Column, iou_threshold: float, near: float) -> Column:
+    """Foldable statistics of the pairs of one packed row (array of structs iou, dist)."""
     zero = F.lit(0.0)
     start = F.struct(
         F.lit(0).cast("long").alias("n"),
@@ -118,7 +117,7 @@ def detection_frames(
         )
 
     packed = tiles.pack(d, FRAME, ["track_id", "box", "cx", "cy", "confidence"], wide=wide)
-    summary = _pair_summary(measure, iou_threshold, cluster_distance)
+    summary = _pair_summary(tiles.pair_array(measure), iou_threshold, cluster_distance)
     per_object = [
         F.count(F.lit(1)).alias("num_objects"),
         F.avg(bx.area(F.col("box"))).alias("mean_bbox_area"),
