@@ -242,3 +242,151 @@ QUERIES = {
     "occlusion_aware_switches": (q_occlusion_switches, SQL_OCC_SWITCH),
     "score_segments": (q_score_segments, SQL_SEGMENTS),
 }
+
+
+# --- issues, template, streaming twins --------------------------------------------------
+
+
+def q_stability_triggers(spark, sf):
+    from trackspark.streaming.stability import stability_triggers
+
+    m = frame_metrics(spark, sf).select(
+        "video_id",
+        F.floor(F.col("frame_idx") / 200).cast("int").alias("chunk_idx"),
+        "frame_idx",
+        F.col("max_pairwise_bbox_iou").alias("max_iou"),
+        "num_objects",
+    )
+    return rounded(stability_triggers(m, limit=0.2, window=5, cooldown=20), "max_iou")
+
+
+# Walk over the eligible rows with the two counters as state.
+SQL_STABILITY = (
+    "WITH RECURSIVE "
+    + O._cte(
+        *SQL_FRAMES,
+        (
+            "r",
+            """SELECT video_id, frame_idx // 200 AS chunk_idx, frame_idx, max_pairwise_bbox_iou AS m,
+          row_number() OVER (PARTITION BY video_id, frame_idx // 200 ORDER BY frame_idx) AS i,
+          avg(max_pairwise_bbox_iou) OVER (PARTITION BY video_id, frame_idx // 200 ORDER BY frame_idx ROWS 4 PRECEDING) AS a
+          FROM fm WHERE num_objects >= 2""",
+        ),
+        (
+            "ok",
+            "SELECT *, (m < 0.2 AND a < 0.2) AS calm FROM r",
+        ),
+        (
+            "hit",
+            """SELECT video_id, chunk_idx, min(i) AS i FROM ok WHERE calm AND i >= 5 GROUP BY ALL
+          UNION ALL SELECT h.video_id, h.chunk_idx, (SELECT min(o.i) FROM ok o WHERE o.video_id = h.video_id
+            AND o.chunk_idx = h.chunk_idx AND o.calm AND o.i >= h.i + 20) FROM hit h WHERE h.i IS NOT NULL""",
+        ),
+    ).removeprefix("WITH ")
+    + """SELECT ok.video_id, CAST(ok.chunk_idx AS INTEGER) AS chunk_idx, ok.frame_idx, round(m, 6) AS max_iou
+    FROM hit JOIN ok ON ok.video_id = hit.video_id AND ok.chunk_idx = hit.chunk_idx AND ok.i = hit.i"""
+)
+
+
+def q_action_template(spark, sf):
+    from trackspark.operators import repair
+
+    shape = views.shape(spark, sf)
+    t, fps = views.tracks(spark, sf), _fps(spark, sf)
+    empty = "video_id string, ids array<int>, start int, end int, start_time double, end_time double"
+    issues = events.tracking_issues(
+        spark.createDataFrame([], empty),
+        events.id_transitions(t, fps, block=shape["block"]),
+        events.low_score_periods(t, fps, min_seconds=0.4, merge_gap_seconds=0.2, block=shape["block"]),
+    )
+    birds = views.label_sheet(spark, sf).select(
+        F.concat(F.substring("sheet", 1, 4), F.lit("D"), "age").alias("video_id"),
+        F.col("bird_id").cast("string").alias("protocol_id"),
+        F.col("bird_description").alias("description"),
+    ).distinct()
+    out = repair.action_template(issues, t, birds, fps)
+    return out.select("video_id", "type", "frame", "from", "to", "id", "protocol_id", "_time").withColumns(
+        {c: F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("frame", "from", "to", "id", "protocol_id", "_time")}
+    )
+
+
+_CLOCK = "printf('%02d:%05.2f', CAST(floor({f} / 25.0::DOUBLE / 60) AS INTEGER), {f} / 25.0::DOUBLE - 60 * floor({f} / 25.0::DOUBLE / 60))"
+_T = SQL_TRANSITIONS.index("SELECT video_id, frame_idx, round(frame_idx / 25.0::DOUBLE, 2) AS time")
+SQL_TEMPLATE = (
+    SQL_TRANSITIONS[:_T]
+    + ", low AS (SELECT video_id, track_id, frame_idx FROM det WHERE tracker_score < 0.8), runs AS ("
+    + O.islands("low", "video_id, track_id", "frame_idx", "5")
+    + """), tr AS (SELECT video_id, frame_idx, unnest(list_filter(ids, lambda x: NOT list_contains(bef, x))) AS g
+      FROM p WHERE bef IS NOT NULL AND bef <> ids)
+    SELECT video_id, 'trim' AS type, '-' AS frame, CAST(run_start AS VARCHAR) AS "from", CAST(run_end AS VARCHAR) AS "to",
+      CAST(track_id AS VARCHAR) AS id, '-' AS protocol_id, """
+    + _CLOCK.format(f="run_start")
+    + " || '-' || "
+    + _CLOCK.format(f="run_end")
+    + """ AS _time FROM runs WHERE run_end - run_start + 1 >= 10
+    UNION ALL SELECT video_id, 'id_switch', CAST(frame_idx AS VARCHAR), '-', CAST(g AS VARCHAR), '-', '-', """
+    + _CLOCK.format(f="frame_idx")
+    + f""" FROM tr
+    UNION ALL SELECT DISTINCT {O.video('o_orderkey')}, 'id_match', '-', '-', '-', '-', CAST(1 + o_custkey % 7 AS VARCHAR), '-' FROM orders"""
+)
+
+
+def q_upsert_latest(spark, sf):
+    """Keep-last upsert of two halves of the detections that overlap in their keys."""
+    from trackspark.sources.writers import upsert
+
+    d = views.detections(spark, sf).select("video_id", "frame_idx", "track_id", "confidence")
+    old = d.withColumn("version", F.lit(0))
+    new = d.select("video_id", "frame_idx", (F.col("track_id") % 7 + 1).alias("track_id"), "confidence", F.lit(1).alias("version"))
+    return upsert(old, new, ["video_id", "frame_idx", "track_id"], "version")
+
+
+SQL_UPSERT = (
+    O._cte(
+        O.DET,
+        (
+            "u",
+            """SELECT video_id, frame_idx, track_id, confidence, 0 AS version FROM det
+          UNION ALL SELECT video_id, frame_idx, track_id % 7 + 1, confidence, 1 FROM det""",
+        ),
+    )
+    + "SELECT video_id, frame_idx, track_id, arg_max(confidence, version) AS confidence, max(version) AS version FROM u GROUP BY ALL"
+)
+
+
+def q_unique_keys(spark, sf):
+    from trackspark.operators.joins import duplicate_keys
+
+    li = views.table(spark, sf, "lineitem")
+    return duplicate_keys(li, ["l_orderkey", "l_linenumber"])
+
+
+SQL_DUPLICATES = "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1"
+
+
+def q_key_difference(spark, sf):
+    from trackspark.operators.joins import key_difference
+
+    d = views.detections(spark, sf).select("video_id", "frame_idx")
+    o = views.table(spark, sf, "orders")
+    f = o.select(views.video_of(F.col("o_custkey")).alias("video_id"), views.frame_of(F.col("o_orderkey")).alias("frame_idx"))
+    return key_difference(d, f, ["video_id", "frame_idx"])
+
+
+SQL_KEY_DIFFERENCE = (
+    O._cte(
+        O.DET,
+        ("a", "SELECT DISTINCT video_id, frame_idx FROM det"),
+        ("b", f"SELECT DISTINCT {O.video('o_custkey')} AS video_id, CAST(o_orderkey // 30 AS INTEGER) AS frame_idx FROM orders"),
+    )
+    + """SELECT *, 'left' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b)
+    UNION ALL SELECT *, 'right' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)"""
+)
+
+QUERIES |= {
+    "stability_triggers": (q_stability_triggers, SQL_STABILITY),
+    "action_template": (q_action_template, SQL_TEMPLATE),
+    "upsert_latest": (q_upsert_latest, SQL_UPSERT),
+    "duplicate_keys": (q_unique_keys, SQL_DUPLICATES),
+    "key_difference": (q_key_difference, SQL_KEY_DIFFERENCE),
+}
