@@ -67,11 +67,20 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_SHAPES: dict[str, dict] = {}
+
+
 def shape(spark: SparkSession, sf_dir: str) -> dict:
-    """Measured on the base table: block size for the sequences, and whether frames are wide.
+    """Measured once per table: block size for the sequences, and whether frames are wide.
 
     Repair, filters and windows only remove or rename rows, so the bounds hold downstream.
     """
+    if sf_dir not in _SHAPES:
+        _SHAPES[sf_dir] = _measure(spark, sf_dir)
+    return _SHAPES[sf_dir]
+
+
+def _measure(spark: SparkSession, sf_dir: str) -> dict:
     key = F.col("l_orderkey")
     rows = table(spark, sf_dir, "lineitem").select(
         video_of(key).alias("video_id"), frame_of(key).alias("frame_idx")
