@@ -75,7 +75,8 @@ def choose_chunks(*sources: DataFrame) -> DataFrame:
 def _records(flag: Column, value: Column) -> Column:
     """Keep a candidate only if no earlier frame of its boundary is at least as good.
 
-    Limits on chunk length always favour earlier frames, so the others can never be chosen.
+    The limit towards the previous boundary favours earlier frames, so the others can never
+    be chosen.
     """
     w = Window.partitionBy("video_id", "chunk_idx").orderBy("frame_idx")
     best = F.max(F.when(flag, value)).over(w.rowsBetween(Window.unboundedPreceding, -1))
@@ -108,8 +109,16 @@ def adaptive_chunks(
         (F.col("fps") * F.lit(float(chunk_seconds))).cast("int").alias("c"),
         (F.col("fps") * F.lit(float(search_seconds))).cast("int").alias("radius"),
         (F.col("fps") * F.lit(float(max_seconds))).cast("int").alias("longest"),
-        (F.col("fps") * 0).alias("_unused"),
-    ).drop("_unused")
+)
+    w = Window.partitionBy("video_id").orderBy("chunk_idx")
+    whole = Window.partitionBy("video_id")
+    nominal = nominal.withColumns(
+        {
+            "video_end": F.max("end").over(whole),
+            "is_last": F.lead("start").over(w).isNull(),
+            "next_start": F.coalesce(F.lead("start").over(w), F.max("end").over(whole)),
+        }
+    ).drop("end", "total")
     # The search interval in frames, keyed by nominal chunk length: an equi-join on the bucket
     # of the frame instead of a range join.
     bounds = nominal.filter(F.col("chunk_idx") > 0)
@@ -133,11 +142,14 @@ def adaptive_chunks(
         .drop("_c")
     )
     lo = F.greatest(F.lit(0), F.col("start") - F.col("radius"))
-    hi = F.least("total", F.col("start") + F.col("radius"))
+    hi = F.least("video_end", F.col("start") + F.col("radius"))
+    # The limit towards the nominal next boundary is known now; the one towards the previous
+    # boundary is not, but it can only favour earlier frames.
+    reaches_next = F.col("next_start") - F.col("frame_idx") <= F.col("longest")
     dist = F.when(F.col("min_centroid_distance") < F.lit(bx.INF), F.col("min_centroid_distance"))
     near = (
-        f.join(keyed.drop("end", "c", "longest"), ["video_id", "_bucket"])
-        .filter(F.col("frame_idx").between(lo, hi))
+        f.join(keyed.drop("c"), ["video_id", "_bucket"])
+        .filter(F.col("frame_idx").between(lo, hi) & reaches_next)
         .withColumn("fb", F.struct((-F.col("max_pairwise_bbox_iou")).alias("o"), F.coalesce(dist, F.lit(0.0)).alias("d")))
         .withColumn("is_fb", F.col("num_objects") >= 2)
     )
@@ -160,15 +172,11 @@ def adaptive_chunks(
             )
         ).alias("fb"),
     )
-    w = Window.partitionBy("video_id").orderBy("chunk_idx")
     ready = (
-        nominal.withColumn("next_start", F.coalesce(F.lead("start").over(w), F.max("end").over(
-            Window.partitionBy("video_id"))))
-        .withColumn("is_last", F.lead("start").over(w).isNull())
-        .withColumn("video_end", F.max("end").over(Window.partitionBy("video_id")))
+        nominal
         .join(lists, ["video_id", "chunk_idx"], "left")
         .select(
-            "video_id", "chunk_idx", "start", "next_start", "longest", "c", "is_last", "video_end",
+            "video_id", "chunk_idx", "start", "longest", "c", "is_last", "video_end",
             F.transform("sep", lambda s: s["frame_idx"]).alias("sep"),
             F.transform("fb", lambda s: s["frame_idx"]).alias("fb"),
         )
@@ -177,7 +185,7 @@ def adaptive_chunks(
     def step(row: dict, prev: dict | None):
         start = int(row["start"])
         if prev is not None:
-            allowed = lambda f: (f - prev["at"]) <= row["longest"] and (row["next_start"] - f) <= row["longest"]
+            allowed = lambda f: (f - prev["at"]) <= row["longest"]
             pick = lambda xs: next((int(f) for f in (xs if xs is not None else ()) if allowed(f)), None)
             best = pick(row["sep"])
             if best is None or best == start:
