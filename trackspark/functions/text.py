@@ -52,7 +52,7 @@ def age_of(name: str | Column) -> Column:
 def safe_name(name: str | Column) -> Column:
     """A stem made safe as a directory name; never empty."""
     s = F.regexp_replace(_c(name), r"[^\w\-]", "_")
-    s = F.trim(F.lit("_"), F.regexp_replace(s, "_+", "_"))
+    s = F.trim(F.regexp_replace(s, "_+", "_"), F.lit("_"))
     return F.when(s == "", F.lit("video")).otherwise(s)
 
 
