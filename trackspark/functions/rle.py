@@ -285,6 +285,11 @@ def mask_geometry(counts: pd.Series, height: pd.Series) -> pd.DataFrame:
     return frame.astype({c: "float64" for c in _FIELDS})
 
 
+@F.pandas_udf(T.LongType())
+def mask_area(counts: pd.Series) -> pd.Series:
+    return counts.map(lambda c: int(decode_runs(c)[1::2].sum()))
+
+
 @F.pandas_udf(INTS)
 def mask_box(counts: pd.Series, height: pd.Series) -> pd.Series:
     """[x1, y1, x2, y2] with inclusive maxima; zeros for an empty mask."""

@@ -50,3 +50,9 @@ SUMMARY: dict[str, Callable[[Column], Column]] = {
     "q10": quantile(0.1),
     "q90": quantile(0.9),
 }
+
+
+def logistic(c: str | Column) -> Column:
+    """Raw score logits to probabilities."""
+    col = F.col(c) if isinstance(c, str) else c
+    return 1 / (1 + F.exp(-col))

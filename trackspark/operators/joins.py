@@ -74,3 +74,21 @@ def key_difference(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Da
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Key values that occur more than once, with their count."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+
+
+def entity_differences(
+    tracks: DataFrame, expected: DataFrame, *, entity: str = "bird_id"
+) -> DataFrame:
+    """Per video whose ids differ from the expected ones: what is missing and what is extra.
+
+    ``expected``: video_id and the entity. Distinct ids are taken map-side.
+    """
+    keys = ["video_id", entity]
+    have, want = tracks.select(*keys).distinct(), expected.select(*keys).distinct()
+    a = have.groupBy("video_id").agg(F.sort_array(F.collect_set(entity)).alias("_have"))
+    b = want.groupBy("video_id").agg(F.sort_array(F.collect_set(entity)).alias("_want"))
+    both = a.join(b, "video_id", "full")
+    none = F.array().cast(have.select(F.array(entity)).schema[0].dataType)
+    h, w = F.coalesce("_have", none), F.coalesce("_want", none)
+    out = both.select("video_id", F.array_except(w, h).alias("missing"), F.array_except(h, w).alias("extra"))
+    return out.filter((F.size("missing") > 0) | (F.size("extra") > 0))

@@ -39,6 +39,11 @@ def mask_boxes(masks: DataFrame) -> DataFrame:
     return masks.withColumn("mask_box", rle.mask_box("counts", height()))
 
 
+def drop_empty(masks: DataFrame) -> DataFrame:
+    """Rows whose mask has at least one pixel."""
+    return masks.filter(rle.mask_area("counts") > 0)
+
+
 def _packed(masks: DataFrame, entity: str, extra: list[str], wide: bool) -> DataFrame:
     rows = masks.select(*FRAME, F.col(entity).cast("long").alias("id"), "counts", *extra)
     packed = tiles.pack(rows, FRAME, ["id", *extra, "counts"], wide=wide)

@@ -16,6 +16,7 @@ from trackspark.functions import boxes as bx
 from trackspark.functions.assign import best_pairs
 from trackspark.functions.text import cage_of
 from trackspark.operators.blocks import ordered_fold
+from trackspark.session import cut_lineage
 
 SEQ = ["variant", "video_id"]
 FRAME = ["variant", "video_id", "frame_idx"]
@@ -166,7 +167,8 @@ def hota_terms(truth: DataFrame, predictions: DataFrame, variants: DataFrame) ->
     grid, pred = _truth_grid(truth, variants), scored_predictions(truth, predictions)
     g_count = grid.groupBy(*SEQ, F.col("id").alias("gt_id")).agg(F.count(F.lit(1)).alias("gc"))
     p_count = pred.groupBy(*SEQ, F.col("id").alias("pred_id")).agg(F.count(F.lit(1)).alias("pc"))
-    pairs = box_pairs(truth, predictions)
+    # Used twice below, and the join is the expensive part.
+    pairs = cut_lineage(box_pairs(truth, predictions), "pairs")
     of_gt, of_pred = Window.partitionBy(*FRAME, "gt_id"), Window.partitionBy(*FRAME, "pred_id")
     share = F.col("iou") / (F.sum("iou").over(of_gt) + F.sum("iou").over(of_pred) - F.col("iou"))
     potential = pairs.withColumn("_s", share).groupBy(*SEQ, "gt_id", "pred_id").agg(F.sum("_s").alias("_pot"))
@@ -293,6 +295,11 @@ def variant_spread(scores: DataFrame, *, reference: str, metrics: tuple[str, ...
     return out.drop(*[f"_ref_{m}" for m in metrics])
 
 
+def video_by_variant(scores: DataFrame, metric: str, variants: list[str]) -> DataFrame:
+    """One row per video, the metric of every variant as a column."""
+    return scores.groupBy("video_id").pivot("variant", variants).agg(F.first(metric))
+
+
 def mot_rows(tracks: DataFrame, *, entity: str = "tracking_id", score: str = "tracker_score") -> DataFrame:
     """Tracks or detections as text rows ``frame,id,x,y,w,h,conf,-1,-1,-1`` (untracked dropped)."""
     b = bx.box_from_array("bbox") if "bbox" in tracks.columns else bx.box()

@@ -291,9 +291,13 @@ WIN = [
         """SELECT video_id, bird_id, "window", count(*) AS n_frames, any_value(spacing) AS spacing, count(*) / (any_value(spacing) * 25.0::DOUBLE) AS coverage
       FROM wtr CROSS JOIN sp GROUP BY ALL""",
     ),
-    ("keep", "SELECT video_id, bird_id, \"window\" FROM cov WHERE coverage BETWEEN 0.3 AND 1.02"),
+    ("keep", "SELECT video_id, bird_id, \"window\" FROM cov WHERE spacing IS NULL OR coverage BETWEEN 0.3 AND 1.02"),
     ("ktr", "SELECT wtr.* FROM wtr SEMI JOIN keep USING (video_id, bird_id, \"window\")"),
-    ("klab", "SELECT wlab.* FROM wlab SEMI JOIN keep USING (video_id, bird_id, \"window\")"),
+    (
+        "klab",  # without any spacing nothing is filtered
+        """SELECT wlab.* FROM wlab CROSS JOIN sp LEFT JOIN keep USING (video_id, bird_id, "window")
+      WHERE keep.video_id IS NOT NULL OR sp.spacing IS NULL""",
+    ),
 ]
 
 

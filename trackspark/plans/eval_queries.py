@@ -14,7 +14,8 @@ from trackspark.session import cut_lineage
 
 def truth(spark, sf):
     d = views.detections(spark, sf)
-    return d.select("video_id", "frame_idx", F.col("track_id").cast("long").alias("id"), bx.box().alias("box"))
+    out = d.select("video_id", "frame_idx", F.col("track_id").cast("long").alias("id"), bx.box().alias("box"))
+    return cut_lineage(out, "truth")  # truth and predictions are stored tables
 
 
 def predictions(spark, sf):
@@ -33,7 +34,7 @@ def predictions(spark, sf):
         (n + 10).alias("id"),
         bx.box(F.col("x1") + dx, "y1", F.col("x2") + dx, "y2").alias("box"),
     )
-    return rotated.unionByName(shifted)
+    return cut_lineage(rotated.unionByName(shifted), "predictions")
 
 
 PRED = [
@@ -109,8 +110,40 @@ def q_variant_spread(spark, sf):
     return rounded(out, *[c for c in out.columns if c != "variant"])
 
 
+def q_expected_outputs(spark, sf):
+    """A variant without predictions still gets its rows, with zero counts."""
+    p = predictions(spark, sf)
+    v = p.select("variant").distinct().unionByName(spark.createDataFrame([("absent",)], "variant string"))
+    return moteval.expected_outputs(p, v, views.videos(spark, sf))
+
+
+SQL_EXPECTED = (
+    O._cte(
+        O.DET,
+        *PRED,
+        ("v", f"SELECT DISTINCT {O.video('o_orderkey')} AS video_id FROM orders"),
+        ("g", "SELECT variant, video_id FROM v CROSS JOIN (SELECT unnest(['rotated', 'shifted', 'absent']) AS variant)"),
+    )
+    + "SELECT g.variant, g.video_id, count(pred.id) AS n_rows FROM g LEFT JOIN pred USING (variant, video_id) GROUP BY ALL"
+)
+
+
+def q_box_counts_by_variant(spark, sf):
+    pairs = moteval.box_pairs(truth(spark, sf), predictions(spark, sf), min_iou=0.5)
+    n = pairs.groupBy("variant", "video_id").agg(F.count("*").alias("n"))
+    return moteval.video_by_variant(n, "n", ["rotated", "shifted"])
+
+
+SQL_BY_VARIANT = (
+    O._cte(O.DET, *PRED)
+    + """SELECT video_id, count(*) FILTER (WHERE variant = 'rotated') AS rotated,
+    count(*) FILTER (WHERE variant = 'shifted') AS shifted FROM bp WHERE iou >= 0.5 GROUP BY ALL"""
+)
+
 QUERIES = {
     "mot_box_pairs": (q_box_pairs, SQL_BOX_PAIRS),
+    "mot_expected_outputs": (q_expected_outputs, SQL_EXPECTED),
+    "mot_video_by_variant": (q_box_counts_by_variant, SQL_BY_VARIANT),
     "mot_rows": (q_mot_rows, SQL_MOT_ROWS),
     "mot_scores_video": (_mot("video"), None),
     "mot_scores_cage": (_mot("cage"), None),

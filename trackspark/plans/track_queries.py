@@ -350,6 +350,65 @@ SQL_CARRY = (
     WHERE r <= 10 AND num_objects >= 4 GROUP BY ALL"""
 )
 
+def q_schedule_summary(spark, sf):
+    return rounded(chunks.schedule_summary(q_keyframes(spark, sf)), "percent")
+
+
+SQL_SCHEDULE_SUMMARY = O.r6(
+    f"""WITH k AS ({SQL_KEYFRAMES}), n AS (SELECT video_id, source, count(*) AS n FROM k GROUP BY ALL)
+    SELECT *, n * 100.0::DOUBLE / sum(n) OVER (PARTITION BY video_id) AS percent FROM n""",
+    "percent",
+)
+
+
+def q_schedule_gaps(spark, sf):
+    """Scheduled keyframes against the frames that hold at least five objects."""
+    k = cut_lineage(q_keyframes(spark, sf), "schedule")
+    drawn = views.detections(spark, sf).groupBy("video_id", "frame_idx").count().filter("count >= 5")
+    return chunks.schedule_gaps(k, drawn)
+
+
+SQL_SCHEDULE_GAPS = f"""WITH k AS (SELECT video_id, frame_idx FROM ({SQL_KEYFRAMES})),
+    {O.DET[0]}2 AS ({O.DET[1]}), d AS (SELECT video_id, frame_idx FROM det2 GROUP BY ALL HAVING count(*) >= 5),
+    u AS (SELECT video_id, 'missing' AS s FROM (SELECT * FROM k EXCEPT SELECT * FROM d)
+      UNION ALL SELECT video_id, 'extra' FROM (SELECT * FROM d EXCEPT SELECT * FROM k))
+    SELECT video_id, count(*) FILTER (WHERE s = 'missing') AS missing, count(*) FILTER (WHERE s = 'extra') AS extra FROM u GROUP BY ALL"""
+
+
+def q_chunk_boundaries(spark, sf):
+    c = chunks.clip_chunks(chunks.fixed_chunks(views.videos(spark, sf), chunk_seconds=3.9), views.videos(spark, sf))
+    return chunks.boundaries(c).select("video_id", "chunk_idx", "boundary_frame", "prev_chunk_end", "model_type")
+
+
+SQL_BOUNDARIES = (
+    O._cte(VID, (FIXED[0], FIXED[1].format(sec=3.9)))
+    + """SELECT video_id, chunk_idx, start AS boundary_frame, start - 1 AS prev_chunk_end, model_type FROM fixed WHERE chunk_idx > 0"""
+)
+
+
+def q_entity_differences(spark, sf):
+    """Tracked ids against the ids the orders name, per video."""
+    from trackspark.operators.joins import entity_differences
+
+    d = views.detections(spark, sf).select("video_id", (F.col("track_id") + F.when(F.col("tracker_score") < 0.7, 5).otherwise(0)).alias("bird_id"))
+    o = views.label_sheet(spark, sf).select(
+        F.concat(F.substring("sheet", 1, 4), F.lit("D"), "age").alias("video_id"), "bird_id"
+    )
+    out = entity_differences(d, o)
+    return out.withColumns({c: F.array_join(c, ",") for c in ("missing", "extra")})
+
+
+SQL_ENTITIES = (
+    O._cte(
+        O.DET,
+        ("h", "SELECT DISTINCT video_id, track_id + CASE WHEN tracker_score < 0.7 THEN 5 ELSE 0 END AS b FROM det"),
+        ("w", f"SELECT DISTINCT {O.video('o_orderkey')} AS video_id, CAST(1 + o_custkey % 7 AS INTEGER) AS b FROM orders"),
+        ("m", "SELECT video_id, string_agg(CAST(b AS VARCHAR), ',' ORDER BY b) AS missing FROM (SELECT * FROM w EXCEPT SELECT * FROM h) GROUP BY ALL"),
+        ("x", "SELECT video_id, string_agg(CAST(b AS VARCHAR), ',' ORDER BY b) AS extra FROM (SELECT * FROM h EXCEPT SELECT * FROM w) GROUP BY ALL"),
+    )
+    + "SELECT video_id, coalesce(missing, '') AS missing, coalesce(extra, '') AS extra FROM m FULL JOIN x USING (video_id)"
+)
+
 QUERIES = {
     "id_metrics": (q_id_metrics, SQL_ID_METRICS),
     "run_metrics": (q_run_metrics, SQL_RUN_METRICS),
@@ -358,6 +417,10 @@ QUERIES = {
     "fixed_chunks": (q_fixed_chunks, SQL_FIXED),
     "adaptive_chunks": (q_adaptive_chunks, SQL_ADAPTIVE),
     "keyframe_schedule": (q_keyframes, SQL_KEYFRAMES),
+    "schedule_summary": (q_schedule_summary, SQL_SCHEDULE_SUMMARY),
+    "schedule_gaps": (q_schedule_gaps, SQL_SCHEDULE_GAPS),
+    "chunk_boundaries": (q_chunk_boundaries, SQL_BOUNDARIES),
+    "entity_differences": (q_entity_differences, SQL_ENTITIES),
     "grounding_min_occlusion": _grounding_query("min_occlusion", "max_iou"),
     "grounding_best_scores": _grounding_query("best_scores", "mean_score DESC"),
     "grounding_combined": _grounding_query("combined", "max_iou >= 0.10, mean_score DESC"),

@@ -46,13 +46,18 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_OWN_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder the cluster names; a folder of our own only where none is set."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return shared
+    if shared is not None:
+        return shared
+    app = spark.sparkContext.applicationId
+    if app not in _OWN_FOLDERS:
+        _OWN_FOLDERS[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _OWN_FOLDERS[app]
 
 
 def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
