@@ -50,6 +50,34 @@ def test_geometry_against_pixels():
         assert solid > 0 and np.isclose(circ, 4 * np.pi * area / per**2)
 
 
+def hull_by_turns(points):
+    """Monotone chain over all pixels, then the shoelace formula."""
+    pts = sorted(points)
+
+    def half(seq):
+        out = []
+        for p in seq:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
+                out.pop()
+            out.append(p)
+        return out[:-1]
+
+    ring = np.array(half(pts) + half(pts[::-1]), float)
+    a, b = ring.T
+    return abs((a * np.roll(b, -1) - np.roll(a, -1) * b).sum()) / 2
+
+
+def test_hull_area():
+    rng = np.random.default_rng(6)
+    for _ in range(80):
+        b = blob(rng, share=rng.uniform(0.01, 0.6))
+        if b.sum() < 3:
+            continue
+        xs, ys = np.nonzero(b.T)
+        got = rle.hull_area(*rle.segments(np.array(runs_of(b)), b.shape[0]))
+        assert np.isclose(got, hull_by_turns(list(zip(xs.tolist(), ys.tolist()))))
+
+
 def test_empty_and_single_pixel():
     assert rle.geometry(np.array([H * W]), H)[:2] == (0.0, None)
     one = np.zeros((H, W), bool)

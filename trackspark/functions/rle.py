@@ -77,28 +77,27 @@ def _moments(x, y0, y1):
     return area, cx + x[0], cy + base, (n * dx**2).sum() / area, syy / area, (dx * mid * n).sum() / area
 
 
-def hull_area(x, y0, y1) -> float:
-    """Area of the convex hull of the pixel centres."""
-    cols, at = np.unique(x, return_index=True)
-    lo = np.minimum.reduceat(y0, at)
-    hi = np.maximum.reduceat(y1 - 1, at)
+def _convex(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower hull of points sorted by x: points on or above the line through their neighbours
+    are no corners; drop all of them at once until none is left."""
+    while len(x) > 2:
+        turn = (x[1:-1] - x[:-2]) * (y[2:] - y[:-2]) - (y[1:-1] - y[:-2]) * (x[2:] - x[:-2])
+        keep = np.concatenate(([True], turn > 0, [True]))
+        if keep.all():
+            break
+        x, y = x[keep], y[keep]
+    return x, y
 
-    def chain(points):
-        out = []
-        for p in points:
-            while len(out) > 1 and (
-                (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1])
-                - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0])
-            ) <= 0:
-                out.pop()
-            out.append(p)
-        return out
 
-    lower = chain(list(zip(cols.tolist(), lo.tolist())))
-    upper = chain([(c, -h) for c, h in zip(cols.tolist(), hi.tolist())])
-    ring = lower + [(c, -h) for c, h in reversed(upper)]
-    px, py = np.array(ring, dtype=float).T
-    return abs(float((px * np.roll(py, -1) - np.roll(px, -1) * py).sum())) / 2
+def hull_area(x, y0, y1) -> float:
+    """Area of the convex hull of the pixel centres."""
+    at = np.flatnonzero(np.concatenate(([True], np.diff(x) > 0)))
+    cols = x[at].astype(float)
+    lx, ly = _convex(cols, np.minimum.reduceat(y0, at).astype(float))
+    ux, uy = _convex(cols, -np.maximum.reduceat(y1 - 1, at).astype(float))
+    below = ((ly[1:] + ly[:-1]) * np.diff(lx)).sum() / 2
+    above = ((uy[1:] + uy[:-1]) * np.diff(ux)).sum() / 2
+    return float(-above - below)
 
 
 def _bitmap(x, y0, y1) -> np.ndarray:
