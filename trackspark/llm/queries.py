@@ -6,7 +6,7 @@ brute force, an exact round trip or held-out labels in the tests.
 
 from __future__ import annotations
 
-from trackspark.llm import attribution, differencing, html_paths, ogg, packing, secrets, toxicity
+from trackspark.llm import attribution, cgk, differencing, html_paths, ogg, packing, prefix_free, secrets, token_groups, toxicity
 from trackspark.llm.common import table
 
 
@@ -38,6 +38,72 @@ def op7(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8(spark, sf_dir):
+    return cgk.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9(spark, sf_dir):
+    return prefix_free.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+OP9_SQL = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), w AS (
+  SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS p FROM d)
+), first AS (
+  SELECT s, min(doc_id) AS f FROM w GROUP BY s
+), c AS (
+  SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS q
+  FROM w JOIN first USING (s) WHERE f < doc_id
+), r AS (
+  SELECT doc_id, p, sum(CASE WHEN q IS NULL OR p > q + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM c
+), spans AS (
+  SELECT doc_id, k, min(p) AS a, max(p) + 50 AS b FROM r GROUP BY doc_id, k
+), cuts AS (
+  SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS z FROM spans
+  UNION ALL
+  SELECT d.doc_id, d.n, d.n, coalesce(max(s.b), 0) FROM d LEFT JOIN spans s USING (doc_id) GROUP BY d.doc_id, d.n
+), kept AS (
+  SELECT doc_id, string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a, z) AS hx FROM cuts JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT d.doc_id, d.n::BIGINT AS n_bytes, coalesce(x.removed, 0)::BIGINT AS n_removed, coalesce(x.spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(kept.hx)) AS kept_sha256
+FROM d JOIN kept USING (doc_id)
+LEFT JOIN (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM spans GROUP BY doc_id) x USING (doc_id)
+"""
+
+
+def op10(spark, sf_dir):
+    return token_groups.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END AS sh
+  FROM w
+), t AS (
+  SELECT doc_id, unnest(sh) AS x FROM s
+), links AS (
+  SELECT p.a, p.b FROM (
+    SELECT t.doc_id AS a, u.doc_id AS b, count(*) AS c FROM t JOIN t u ON t.x = u.x AND t.doc_id < u.doc_id GROUP BY 1, 2
+  ) p JOIN s sa ON sa.doc_id = p.a JOIN s sb ON sb.doc_id = p.b
+  WHERE 100 * p.c >= 90 * (len(sa.sh) + len(sb.sh) - p.c)
+), both_ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT doc_id AS node, doc_id AS root FROM s
+  UNION
+  SELECT e.b, r.root FROM reach r JOIN both_ways e ON e.a = r.node
+)
+SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, (SELECT min(root) FROM reach r WHERE r.node = s.doc_id) AS component_id FROM s
+"""
+
+
 QUERIES = {
     "op1_tag_path_text": (op1, None),
     "op2_ogg_media": (op2, None),
@@ -46,4 +112,7 @@ QUERIES = {
     "op5_differencing_shards": (op5, None),
     "op6_token_efficiency_secrets": (op6, None),
     "op7_cost_balanced_packing": (op7, None),
+    "op8_cgk_decontamination": (op8, None),
+    "op9_prefix_free_dedup": (op9, OP9_SQL),
+    "op10_token_group_join": (op10, OP10_SQL),
 }

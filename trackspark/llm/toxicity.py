@@ -99,6 +99,25 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
 
 
+class Scorer:
+    """Scores texts with a bounded cache of word values."""
+
+    def __init__(self, model: Model):
+        self.model, self.values = model, {}
+
+    def __call__(self, text: str) -> float:
+        words = words_of(text)
+        try:
+            found = [self.values[w] for w in words]
+        except KeyError:
+            if len(self.values) > MAX_CACHED:
+                self.values.clear()
+            new = [w for w in words if w not in self.values]
+            self.values.update(zip(new, self.model.words(new), strict=True))
+            found = [self.values[w] for w in words]
+        return self.model.score(np.array(found))
+
+
 def _ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Positions of the rows' entries, row after row."""
     ends = np.cumsum(counts)
@@ -197,20 +216,22 @@ def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     model = train(training_sample(docs, labels))
 
     def run(batches):
-        values: dict[str, float] = {}
+        scorer = Scorer(model)
         for b in batches:
-            scores = []
-            for text in b["text"]:
-                words = words_of(text)
-                try:
-                    found = np.array([values[w] for w in words])
-                except KeyError:
-                    if len(values) > MAX_CACHED:
-                        values.clear()
-                    new = list(set(words).difference(values))
-                    values.update(zip(new, model.words(new), strict=True))
-                    found = np.array([values[w] for w in words])
-                scores.append(model.score(found))
+            scores = list(map(scorer, b["text"]))
             yield {"doc_id": b["doc_id"], "held_out": b["held_out"], "score": scores, "predicted": [int(s >= threshold) for s in scores]}
 
     return map_rows(docs.withColumn("held_out", held_out(F.col("doc_id"))), run, _SCHEMA, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def without_toxic(df: DataFrame, labels: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows, with their columns, that score below the threshold; rows with a null text stay."""
+    model = train(training_sample(df, labels))
+    at = df.columns.index(text_col)
+
+    def run(batches):
+        scorer = Scorer(model)
+        for b in batches:
+            yield b.filter(pa.array([t is None or scorer(t) < threshold for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
