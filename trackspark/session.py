@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,6 +18,8 @@ DEFAULTS = {
     # Mask geometry costs far more CPU than bytes: do not merge small inputs into one task.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Shuffle files go when their query ends, not when the driver happens to collect its garbage.
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
 }
 
 
@@ -29,7 +33,6 @@ def get_session(
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "16g")
     )
     for key, value in {**DEFAULTS, **conf}.items():
         builder = builder.config(key, value)
@@ -50,13 +53,20 @@ _OWN_FOLDERS: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a folder of our own only where none is set."""
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``.
+
+    A local session without one gets a temporary folder of its own, which goes when Python ends. On
+    a cluster every executor would write to its own disk, so there the setting must be present.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is not None:
         return shared
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_FOLDERS:
         _OWN_FOLDERS[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        atexit.register(shutil.rmtree, _OWN_FOLDERS[app], ignore_errors=True)
     return _OWN_FOLDERS[app]
 
 
