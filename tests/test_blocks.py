@@ -25,7 +25,7 @@ def same(a, b):
     assert a.exceptAll(b).count() == 0
 
 
-@pytest.mark.parametrize("block", [7, 64, 10**6, None])
+@pytest.mark.parametrize("block", [7, 64, 10**6])
 def test_neighbours(rows, block):
     nb = B.Neighbours(rows, ["v"], "f", back=5, ahead=24, block=block)
     total, n = nb.sum_ahead("g", 25)
@@ -55,7 +55,7 @@ def test_neighbours(rows, block):
     same(one.with_columns({"p1": one.lag("f")}), want.select("v", "f", "g", "p1"))
 
 
-@pytest.mark.parametrize("block", [7, 100, None])
+@pytest.mark.parametrize("block", [7, 100])
 def test_runs_and_prefixes(rows, block):
     brk = F.coalesce((F.col("f") - F.lag("f").over(W) > 2).cast("int"), F.lit(1))
     want = (
@@ -76,6 +76,27 @@ def test_runs_and_prefixes(rows, block):
     same(B.carry_backward(rows, ["v"], "f", mark, "c", block=block), rows.withColumn("c", F.min(mark).over(ahead)))
 
 
-def test_block_size_is_measured(rows):
-    assert B.block_size_for(rows, ["v"]) is None
-    assert B.block_size_for(rows, ["v"], max_rows=100, block=50) == 50
+@pytest.mark.parametrize("block", [2, 1000])
+def test_ties(spark, block):
+    """Rows at one position stand in the order of the tie column."""
+    df = spark.createDataFrame([("v", 1, 5), ("v", 1, 3), ("v", 2, 9), ("v", 2, 1), ("v", 4, 0)], "v string, f int, t int")
+    nb = B.Neighbours(df, ["v"], "f", tie=["t"], back=1, ahead=2, block=block)
+    got = {(r["f"], r["t"]): (r["p"], r["n"]) for r in nb.with_columns({"p": nb.lag("t"), "n": nb.lead("t", 2)}).collect()}
+    assert got == {(1, 3): (None, 1), (1, 5): (3, 9), (2, 1): (5, 0), (2, 9): (1, None), (4, 0): (9, None)}
+
+
+@pytest.mark.parametrize("block", [2, 1000])
+def test_rows_without_key_or_order_stay(spark, block):
+    data = [("v", 1), ("v", 2), ("v", None), (None, 1), (None, None), ("w", -3), ("w", None)]
+    df = spark.createDataFrame(data, "v string, f int")
+    nb = B.Neighbours(df, ["v"], "f", back=1, block=block)
+    for out, name, want in (
+        (nb.with_columns({"p": nb.lag("f")}), "p", {("v", 2): 1}),
+        (B.row_index(df, ["v"], "f", block=block), "row_idx", {("v", 1): 0, ("v", 2): 1, ("w", -3): 0}),
+        (B.with_runs(df, ["v"], "f", block=block), "run_start", {("v", 1): 1, ("v", 2): 1, ("w", -3): -3}),
+        (B.carry_forward(df, ["v"], "f", F.col("f"), "c", block=block), "c", {("v", 1): 1, ("v", 2): 2, ("w", -3): -3}),
+        (B.carry_backward(df, ["v"], "f", F.col("f"), "c", block=block), "c", {("v", 1): 1, ("v", 2): 2, ("w", -3): -3}),
+    ):
+        rows = out.collect()
+        assert len(rows) == len(data) and {(r["v"], r["f"]): r[name] for r in rows if r[name] is not None} == want
+    assert B.runs(df, ["v"], "f", block=block).count() == 2

@@ -8,9 +8,8 @@ table with at most one row per block:
 * :class:`Neighbours` gives ``lag`` / ``lead`` / short rolling sums across block borders;
 * :func:`with_runs` (gaps and islands) and :func:`running_total` carry a prefix value.
 
-The carry costs a second reference to the input, so a caller that has measured its longest
-sequence (:func:`block_size_for`) may pass ``block=None``: the operators then use one plain
-window per sequence. The results equal the plain ``Window.partitionBy(sequence)`` versions for every block size.
+There is one plan at every size; the block size is an argument and no property of the data. Rows
+without a key or an order value belong to no sequence: they stay, with NULL results.
 The carry table is read from the same exchange as the rows (the rows are selected first, so
 that both branches ask for identical columns and the exchange is reused).
 """
@@ -29,21 +28,8 @@ BLOCK = 65_536
 
 BLK = "_blk"
 
-
-#: Longest sequence, in rows, that one task may sort and stream through a window.
-MAX_SEQUENCE_ROWS = 5_000_000
-
-
-def block_size_for(
-    df: DataFrame, keys: Sequence[str], *, max_rows: int = MAX_SEQUENCE_ROWS, block: int = BLOCK
-) -> int | None:
-    """Measure: ``None`` when no sequence exceeds ``max_rows``, else a block size.
-
-    Counts are combined map-side and read the key columns only. A bound measured on a base
-    table also holds for what is filtered or renamed out of it.
-    """
-    long = df.groupBy(*keys).count().filter(F.col("count") > max_rows)
-    return None if long.limit(1).isEmpty() else block
+#: Rows of no sequence are spread over the blocks from here downwards.
+ABSENT = -(1 << 40)
 
 
 def block_of(order: str | Column, block: int) -> Column:
@@ -51,20 +37,23 @@ def block_of(order: str | Column, block: int) -> Column:
     return F.floor(col / F.lit(float(block))).cast("long")
 
 
-def in_blocks(
-    df: DataFrame, keys: Sequence[str], order: str, block: int | None = BLOCK
-) -> DataFrame:
+def in_blocks(df: DataFrame, keys: Sequence[str], order: str, block: int = BLOCK) -> DataFrame:
     """Partition by (sequence, block): the one exchange the ordered operators need.
 
-    Rows without a key or an order value belong to no sequence and are left out.
+    Rows without a key or an order value get blocks of their own, so that they crowd no task.
     """
-    present = F.lit(True)
+    complete = F.lit(True)
     for name in (*keys, order):
-        present = present & F.col(name).isNotNull()
-    if block is None:
-        return df.filter(present).withColumn(BLK, F.lit(0).cast("long"))
-    blocked = df.filter(present).withColumn(BLK, F.coalesce(block_of(order, block), F.lit(0)))
-    return blocked.repartition(*keys, BLK)
+        complete = complete & F.col(name).isNotNull()
+    plain = [c for c, kind in df.dtypes if "map<" not in kind]
+    absent = F.lit(ABSENT) - F.pmod(F.xxhash64(*plain), F.lit(256))
+    here = F.coalesce(block_of(order, block), F.lit(0))
+    return df.withColumn(BLK, F.when(complete, here).otherwise(absent)).repartition(*keys, BLK)
+
+
+def present() -> Column:
+    """Whether a row of :func:`in_blocks` belongs to a sequence."""
+    return F.col(BLK) > ABSENT
 
 
 def block_window(keys: Sequence[str], order: str | Sequence[str]):
@@ -76,7 +65,7 @@ class Neighbours:
     """Rows of ordered sequences with access to the previous and next rows.
 
     ``df`` holds the rows; :meth:`lag`, :meth:`lead` and :meth:`sum_ahead` /
-    :meth:`max_behind` build columns for it. ``keys + order`` must be unique.
+    :meth:`any_behind` build columns for it. ``keys + order + tie`` must be unique.
     """
 
     def __init__(
@@ -85,25 +74,23 @@ class Neighbours:
         keys: Sequence[str],
         order: str,
         *,
+        tie: Sequence[str] = (),
         back: int = 0,
         ahead: int = 0,
-        block: int | None = BLOCK,
+        block: int = BLOCK,
     ):
-        self.keys, self.order, self.back, self.ahead = list(keys), order, back, ahead
-        self.w = block_window(keys, order)
-        self.whole = block is None
-        if self.whole:
-            self.df = in_blocks(df, keys, order, None)
-            return
+        self.keys, self.order, self.back, self.ahead = list(keys), [order, *tie], back, ahead
+        self.w = block_window(keys, self.order)
         whole = Window.partitionBy(*keys, BLK)
         base = in_blocks(df, keys, order, block)
         numbered = base.withColumn("_rn", F.row_number().over(self.w))
         if ahead or back > 1:
             numbered = numbered.withColumn("_cnt", F.count(F.lit(1)).over(whole))
-        self.df = numbered.join(self._carry(base, numbered), [*keys, BLK], "left")
+        self.df = numbered.join(self._carry(base.filter(present()), numbered.filter(present())), [*keys, BLK], "left")
 
     def _carry(self, base: DataFrame, numbered: DataFrame) -> DataFrame:
-        keys, order = self.keys, self.order
+        keys = self.keys
+        order = F.struct(*self.order)
         row = F.struct(*[F.col(c) for c in base.columns if c not in keys and c != BLK])
         if self.back <= 1 and self.ahead <= 1:
             tail = F.array(F.max_by(row, order)) if self.back else F.array()
@@ -112,7 +99,7 @@ class Neighbours:
         else:
             is_tail = F.col("_rn") > F.col("_cnt") - self.back
             is_head = F.col("_rn") <= self.ahead
-            keyed = F.struct(F.col(order).alias("_o"), row.alias("_row"))
+            keyed = F.struct(order.alias("_o"), row.alias("_row"))
 
             def side(flag: Column) -> Column:
                 items = F.array_sort(F.collect_list(F.when(flag, keyed)))
@@ -141,15 +128,11 @@ class Neighbours:
         return carry.filter(some)
 
     def lag(self, name: str, k: int = 1) -> Column:
-        if self.whole:
-            return F.lag(name, k).over(self.w)
         at = F.size("_before") - (F.lit(k + 1) - F.col("_rn"))
         crossed = F.get(F.col("_before"), at)[name]
         return F.when(F.col("_rn") > k, F.lag(name, k).over(self.w)).otherwise(crossed)
 
     def lead(self, name: str, k: int = 1) -> Column:
-        if self.whole:
-            return F.lead(name, k).over(self.w)
         left = F.col("_cnt") - F.col("_rn")
         crossed = F.get(F.col("_after"), (F.lit(k - 1) - left).cast("int"))[name]
         return F.when(left >= k, F.lead(name, k).over(self.w)).otherwise(crossed)
@@ -158,8 +141,6 @@ class Neighbours:
         """Sum and row count over the current row and the ``rows - 1`` rows after it."""
         frame = self.w.rowsBetween(0, rows - 1)
         n_in = F.count(F.lit(1)).over(frame)
-        if self.whole:
-            return F.sum(F.col(name).cast("long")).over(frame), n_in
         extra = F.slice(F.coalesce(F.col("_after"), F.array()), 1, (F.lit(rows) - n_in).cast("int"))
         total = F.aggregate(
             extra, F.lit(0).cast("long"), lambda acc, r: acc + r[name].cast("long")
@@ -169,8 +150,6 @@ class Neighbours:
     def any_behind(self, name: str, rows: int) -> Column:
         """Whether a boolean column holds in one of the previous ``rows`` rows."""
         here = F.coalesce(F.max(F.col(name)).over(self.w.rowsBetween(-rows, -1)), F.lit(False))
-        if self.whole:
-            return here
         before = F.coalesce(F.col("_before"), F.array())
         want = F.greatest(F.lit(rows) - (F.col("_rn") - 1), F.lit(0))
         start = F.greatest(F.size(before) - want + 1, F.lit(1)).cast("int")
@@ -178,20 +157,19 @@ class Neighbours:
 
     def with_columns(self, columns: dict[str, Column]) -> DataFrame:
         hidden = [BLK, "_rn", "_cnt", "_before", "_after"]
-        return self.df.withColumns(columns).drop(*hidden)
+        known = {name: F.when(present(), value) for name, value in columns.items()}
+        return self.df.withColumns(known).drop(*hidden)
 
 
 def running_total(
-    df: DataFrame, keys: Sequence[str], order: str, value: Column, name: str, *, block: int | None = BLOCK
+    df: DataFrame, keys: Sequence[str], order: str, value: Column, name: str, *, block: int = BLOCK
 ) -> DataFrame:
     """Inclusive running sum of ``value`` along each sequence."""
     blocked = in_blocks(df.withColumn("_v", value), keys, order, block)
-    if block is None:
-        w = block_window(keys, order).rowsBetween(Window.unboundedPreceding, 0)
-        return blocked.withColumn(name, F.sum("_v").over(w)).drop("_v", BLK)
     earlier = Window.partitionBy(*keys).orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
     carry = (
-        blocked.groupBy(*keys, BLK)
+        blocked.filter(present())
+        .groupBy(*keys, BLK)
         .agg(F.sum("_v").alias("_s"))
         .select(*keys, BLK, F.sum("_s").over(earlier).alias("_carry"))
         .filter(F.col("_carry").isNotNull())
@@ -200,13 +178,13 @@ def running_total(
     return (
         blocked.withColumn("_in", F.sum("_v").over(w))
         .join(carry, [*keys, BLK], "left")
-        .withColumn(name, F.col("_in") + F.coalesce(F.col("_carry"), F.lit(0)))
+        .withColumn(name, F.when(present(), F.col("_in") + F.coalesce(F.col("_carry"), F.lit(0))))
         .drop("_v", "_in", "_carry", BLK)
     )
 
 
 def row_index(
-    df: DataFrame, keys: Sequence[str], order: str, name: str = "row_idx", *, block: int | None = BLOCK
+    df: DataFrame, keys: Sequence[str], order: str, name: str = "row_idx", *, block: int = BLOCK
 ) -> DataFrame:
     """0-based position along each sequence."""
     out = running_total(df, keys, order, F.lit(1).cast("long"), name, block=block)
@@ -214,25 +192,30 @@ def row_index(
 
 
 def carry_forward(
-    df: DataFrame, keys: Sequence[str], order: str, value: Column, name: str, *, block: int | None = BLOCK
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    value: Column,
+    name: str,
+    *,
+    tie: Sequence[str] = (),
+    block: int = BLOCK,
 ) -> DataFrame:
-    """Latest non-null ``value`` at or before each row; values must not decrease in order."""
+    """Greatest non-null ``value`` at or before each row (``tie`` orders equal positions)."""
     blocked = in_blocks(df.withColumn("_v", value), keys, order, block)
-    if block is None:
-        w = block_window(keys, order).rowsBetween(Window.unboundedPreceding, 0)
-        return blocked.withColumn(name, F.max("_v").over(w)).drop("_v", BLK)
     earlier = Window.partitionBy(*keys).orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
     carry = (
-        blocked.groupBy(*keys, BLK)
+        blocked.filter(present())
+        .groupBy(*keys, BLK)
         .agg(F.max("_v").alias("_s"))
         .select(*keys, BLK, F.max("_s").over(earlier).alias("_carry"))
         .filter(F.col("_carry").isNotNull())
     )
-    w = block_window(keys, order).rowsBetween(Window.unboundedPreceding, 0)
+    w = block_window(keys, [order, *tie]).rowsBetween(Window.unboundedPreceding, 0)
     return (
         blocked.withColumn("_in", F.max("_v").over(w))
         .join(carry, [*keys, BLK], "left")
-        .withColumn(name, F.coalesce("_in", "_carry"))
+        .withColumn(name, F.when(present(), F.coalesce("_in", "_carry")))
         .drop("_v", "_in", "_carry", BLK)
     )
 
@@ -245,18 +228,17 @@ def carry_backward(
     name: str,
     *,
     tie: Sequence[str] = (),
-    block: int | None = BLOCK,
+    block: int = BLOCK,
 ) -> DataFrame:
     """Smallest non-null ``value`` at or after each row (``tie`` orders equal positions)."""
     blocked = in_blocks(df.withColumn("_v", value), keys, order, block)
     # A growing frame from the far end: a "following" frame would rescan for every row.
     down = [F.col(c).desc() for c in (order, *tie)]
     w = Window.partitionBy(*keys, BLK).orderBy(*down).rowsBetween(Window.unboundedPreceding, 0)
-    if block is None:
-        return blocked.withColumn(name, F.min("_v").over(w)).drop("_v", BLK)
     later = Window.partitionBy(*keys).orderBy(BLK).rowsBetween(1, Window.unboundedFollowing)
     carry = (
-        blocked.groupBy(*keys, BLK)
+        blocked.filter(present())
+        .groupBy(*keys, BLK)
         .agg(F.min("_v").alias("_s"))
         .select(*keys, BLK, F.min("_s").over(later).alias("_carry"))
         .filter(F.col("_carry").isNotNull())
@@ -264,13 +246,13 @@ def carry_backward(
     return (
         blocked.withColumn("_in", F.min("_v").over(w))
         .join(carry, [*keys, BLK], "left")
-        .withColumn(name, F.coalesce("_in", "_carry"))
+        .withColumn(name, F.when(present(), F.coalesce("_in", "_carry")))
         .drop("_v", "_in", "_carry", BLK)
     )
 
 
 def with_runs(
-    df: DataFrame, keys: Sequence[str], order: str, *, max_step: int | Column = 1, block: int | None = BLOCK
+    df: DataFrame, keys: Sequence[str], order: str, *, max_step: int | Column = 1, block: int = BLOCK
 ) -> DataFrame:
     """Gaps and islands: add ``run_start``, the order value at which the row's run begins.
 
@@ -284,17 +266,12 @@ def with_runs(
     marked = blocked.withColumn(
         "_open", F.when(F.col(order) - F.lag(order).over(w) > step, F.col(order))
     )
-    if block is None:
-        first = F.lag(order).over(w).isNull()
-        opened = F.when(first | F.col("_open").isNotNull(), F.col(order))
-        begun = w.rowsBetween(Window.unboundedPreceding, 0)
-        out = marked.withColumn("_open", opened)
-        return out.withColumn("run_start", F.max("_open").over(begun)).drop("_open", BLK)
     by_block = Window.partitionBy(*keys).orderBy(BLK)
     earlier = by_block.rowsBetween(Window.unboundedPreceding, -1)
     limit = F.max(step).alias("_step") if isinstance(max_step, Column) else step.alias("_step")
     carry = (
-        marked.groupBy(*keys, BLK)
+        marked.filter(present())
+        .groupBy(*keys, BLK)
         .agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"), F.max("_open").alias("_last"), limit)
         .withColumn("_gap", F.col("_lo") - F.lag("_hi").over(by_block))
         .withColumn("_lead", F.when(F.col("_gap") <= F.col("_step"), F.lit(None)).otherwise(F.col("_lo")))
@@ -304,8 +281,8 @@ def with_runs(
     here = F.max("_open").over(w.rowsBetween(Window.unboundedPreceding, 0))
     return (
         marked.withColumn("_in", here)
-        .join(carry, [*keys, BLK])
-        .withColumn("run_start", F.coalesce("_in", "_carry"))
+        .join(carry, [*keys, BLK], "left")
+        .withColumn("run_start", F.when(present(), F.coalesce("_in", "_carry")))
         .drop("_open", "_in", "_carry", BLK)
     )
 
@@ -317,11 +294,12 @@ def runs(
     *,
     max_step: int | Column = 1,
     aggs: Sequence[Column] = (),
-    block: int | None = BLOCK,
+    block: int = BLOCK,
 ) -> DataFrame:
     """One row per run: ``run_start``, ``run_end``, ``n_rows`` and ``aggs``."""
     return (
         with_runs(df, keys, order, max_step=max_step, block=block)
+        .filter(F.col("run_start").isNotNull())
         .groupBy(*keys, "run_start")
         .agg(F.max(order).alias("run_end"), F.count(F.lit(1)).alias("n_rows"), *aggs)
     )

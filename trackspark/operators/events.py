@@ -11,7 +11,7 @@ from trackspark.operators.blocks import BLOCK, Neighbours
 
 
 def separation_windows(
-    frames: DataFrame, *, min_frames: int = 25, gap_frames: int = 5, block: int | None = BLOCK
+    frames: DataFrame, *, min_frames: int = 25, gap_frames: int = 5, block: int = BLOCK
 ) -> DataFrame:
     """Runs of frames with a positive separation score, bridging short gaps."""
     good = frames.filter(F.col("separation_score") > 0).select("video_id", "frame_idx")
@@ -30,7 +30,7 @@ def occlusion_periods(
     *,
     window_frames: int = 25,
     threshold: float = 0.3,
-    block: int | None = BLOCK,
+    block: int = BLOCK,
 ) -> DataFrame:
     """Periods where the forward sliding share of flagged rows stays at ``threshold``.
 
@@ -88,7 +88,7 @@ def id_sets(tracks: DataFrame, entity: str = "tracking_id") -> DataFrame:
 
 
 def id_transitions(
-    tracks: DataFrame, fps: DataFrame, *, entity: str = "tracking_id", block: int | None = BLOCK
+    tracks: DataFrame, fps: DataFrame, *, entity: str = "tracking_id", block: int = BLOCK
 ) -> DataFrame:
     """Frames whose set of ids differs from the previous present frame."""
     nb = Neighbours(id_sets(tracks, entity), ["video_id"], "frame_idx", back=1, block=block)
@@ -112,7 +112,7 @@ def _merge_step(fps: Column, gap_seconds: float) -> Column:
 
 
 def overlap_periods(
-    overlaps: DataFrame, *, merge_gap_seconds: float = 1.0, block: int | None = BLOCK
+    overlaps: DataFrame, *, merge_gap_seconds: float = 1.0, block: int = BLOCK
 ) -> DataFrame:
     """Periods from per-frame overlapping pairs (video_id, fps, frame_idx, id_a, id_b)."""
     keys = ["video_id", "id_a", "id_b"]
@@ -139,7 +139,7 @@ def low_score_periods(
     min_seconds: float = 1.0,
     merge_gap_seconds: float = 1.0,
     entity: str = "tracking_id",
-    block: int | None = BLOCK,
+    block: int = BLOCK,
 ) -> DataFrame:
     """Per id: merged stretches of scores below ``threshold`` that last ``min_seconds``.
 
@@ -197,7 +197,7 @@ def low_score_periods(
 
 
 def occlusion_aware_switches(
-    frames: DataFrame, *, window_size: int = 5, block: int | None = BLOCK
+    frames: DataFrame, *, window_size: int = 5, block: int = BLOCK
 ) -> DataFrame:
     """Id swaps at a stable count shortly after a high-occlusion frame.
 
@@ -256,7 +256,7 @@ def tracking_issues(overlaps: DataFrame, transitions: DataFrame, low_scores: Dat
 
 
 def score_segments(
-    tracks: DataFrame, *, entity: str = "tracking_id", fallback: float = 0.5, block: int | None = BLOCK
+    tracks: DataFrame, *, entity: str = "tracking_id", fallback: float = 0.5, block: int = BLOCK
 ) -> DataFrame:
     """Contiguous presence segments with a mean score: tracker score, else score, else fallback."""
     keys = ["video_id", entity]

@@ -38,14 +38,16 @@ WINDOW = ["video_id", "bird_id", "window"]
 MIN_SPEED = 1.0
 
 
-def kinematics(spatial: DataFrame, *, block: int | None = BLOCK) -> DataFrame:
+def kinematics(spatial: DataFrame, *, block: int = BLOCK) -> DataFrame:
     """Add frame-to-frame changes per (video, bird) in frame order.
 
-    "Previous" is the previous present row. Shape changes are added for the shape columns
+    "Previous" is the previous present row; two rows of a bird in one frame stand in the order
+    of their centroids and areas. Shape changes are added for the shape columns
     the input has, ``dist_change_rate`` when it has ``min_dist_to_other``.
     """
-    nb = Neighbours(spatial, ENTITY, "frame_idx", back=2, block=block)
     names = set(spatial.columns)
+    tie = [c for c in ("centroid_x", "centroid_y", "mask_area") if c in names]
+    nb = Neighbours(spatial, ENTITY, "frame_idx", tie=tie, back=2, block=block)
     prev = {c: nb.lag(c) for c in names if c not in (*ENTITY, "frame_idx")}
     vx = F.col("centroid_x") - prev["centroid_x"]
     vy = F.col("centroid_y") - prev["centroid_y"]
@@ -81,12 +83,12 @@ def kinematics(spatial: DataFrame, *, block: int | None = BLOCK) -> DataFrame:
     )
 
 
-def frame_features(spatial: DataFrame, *, wide: bool | None = None, block: int | None = BLOCK) -> DataFrame:
+def frame_features(spatial: DataFrame, *, block: int = BLOCK) -> DataFrame:
     """All per-frame features from the spatial table: neighbours first, then kinematics.
 
     The two steps carry all columns along, so the feature tables need no joins.
     """
-    return kinematics(pairwise_features(spatial, wide=wide), block=block)
+    return kinematics(pairwise_features(spatial), block=block)
 
 
 def summarise(

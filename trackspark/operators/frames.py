@@ -47,24 +47,22 @@ def _pair_summary(pairs: Column, iou_threshold: float, near: float) -> Column:
     return tiles.fold(pairs, start, step)
 
 
-def _merge_parts(packed: DataFrame, keys: Sequence[str], summary: Column, wide: bool) -> DataFrame:
+def _merge_parts(packed: DataFrame, keys: Sequence[str], summary: Column) -> DataFrame:
     """Bring the rows of a split group back together."""
     rows = packed.select(*keys, summary.alias("_p"))
-    if wide:
-        p = F.col("_p")
-        rows = rows.groupBy(*keys).agg(
-            F.struct(
-                F.sum(p["n"]).alias("n"),
-                F.sum(p["n_dist"]).alias("n_dist"),
-                F.min(p["min_dist"]).alias("min_dist"),
-                F.sum(p["sum_dist"]).alias("sum_dist"),
-                F.sum(p["n_near"]).alias("n_near"),
-                F.max(p["max_iou"]).alias("max_iou"),
-                F.sum(p["sum_iou"]).alias("sum_iou"),
-                F.sum(p["n_over"]).alias("n_over"),
-            ).alias("_p")
-        )
     p = F.col("_p")
+    rows = rows.groupBy(*keys).agg(
+        F.struct(
+            F.sum(p["n"]).alias("n"),
+            F.sum(p["n_dist"]).alias("n_dist"),
+            F.min(p["min_dist"]).alias("min_dist"),
+            F.sum(p["sum_dist"]).alias("sum_dist"),
+            F.sum(p["n_near"]).alias("n_near"),
+            F.max(p["max_iou"]).alias("max_iou"),
+            F.sum(p["sum_iou"]).alias("sum_iou"),
+            F.sum(p["n_over"]).alias("n_over"),
+        ).alias("_p")
+    )
     some, known = p["n"] > 0, p["n_dist"] > 0
     return rows.select(
         *keys,
@@ -88,8 +86,7 @@ def detection_frames(
     min_separation: float = 0.15,
     normalised: bool = True,
     frame_spine: DataFrame | None = None,
-    wide: bool | None = None,
-    block: int | None = BLOCK,
+    block: int = BLOCK,
 ) -> DataFrame:
     """Detector metrics, one row per (video, frame) with a detection.
 
@@ -107,8 +104,6 @@ def detection_frames(
         (F.col("cy_norm") if use_norm else bx.centre_y(b)).cast("double").alias("cy"),
         F.col("confidence").cast("double").alias("confidence"),
     )
-    if wide is None:
-        wide = tiles.has_wide_groups(detections, FRAME)
 
     def measure(a: Column, c: Column) -> Column:
         return F.struct(
@@ -116,7 +111,7 @@ def detection_frames(
             bx.distance(a["cx"], a["cy"], c["cx"], c["cy"]).alias("dist"),
         )
 
-    packed = tiles.pack(d, FRAME, ["track_id", "box", "cx", "cy", "confidence"], wide=wide)
+    packed = tiles.pack(d, FRAME, ["track_id", "box", "cx", "cy", "confidence"])
     summary = _pair_summary(tiles.pair_array(measure), iou_threshold, cluster_distance)
     per_object = [
         F.count(F.lit(1)).alias("num_objects"),
@@ -126,43 +121,9 @@ def detection_frames(
         F.var_pop(bx.area(F.col("box"))).alias("bbox_area_variance"),
         F.avg("confidence").alias("mean_confidence"),
     ]
-    if wide:
-        ids = F.sort_array(F.collect_set("track_id")).alias("objects_present")
-        frames = d.groupBy(*FRAME).agg(*per_object, ids)
-        pairs = _merge_parts(packed, FRAME, summary, True)
-        out = frames.join(pairs, list(FRAME), "left")
-    else:
-        # One packed row holds the whole frame: everything is read off its array.
-        items = F.col("items")
-        n = F.size(items)
-        areas = F.transform(items, lambda i: bx.area(i["box"]))
-
-        def total(arr: Column) -> Column:
-            return F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x)
-
-        packed = packed.withColumns(
-            {
-                "num_objects": n.cast("long"),
-                "objects_present": F.transform(items, lambda i: i["track_id"]),
-                "mean_bbox_area": total(areas) / n,
-                "min_bbox_area": F.array_min(areas),
-                "max_bbox_area": F.array_max(areas),
-                "mean_confidence": total(F.transform(items, lambda i: i["confidence"])) / n,
-            }
-        ).withColumn(
-            "bbox_area_variance",
-            total(F.transform(areas, lambda x: F.pow(x - F.col("mean_bbox_area"), F.lit(2.0)))) / n,
-        )
-        base_cols = [
-            "num_objects",
-            "objects_present",
-            "mean_bbox_area",
-            "min_bbox_area",
-            "max_bbox_area",
-            "bbox_area_variance",
-            "mean_confidence",
-        ]
-        out = _merge_parts(packed, [*FRAME, *base_cols], summary, False)
+    ids = F.sort_array(F.collect_set("track_id")).alias("objects_present")
+    frames = d.groupBy(*FRAME).agg(*per_object, ids)
+    out = frames.join(_merge_parts(packed, FRAME, summary), list(FRAME), "left")
     out = out.withColumnRenamed("max_iou", "max_pairwise_bbox_iou").withColumnRenamed(
         "mean_iou", "mean_pairwise_bbox_iou"
     )
@@ -203,7 +164,7 @@ def _fill_spine(frames: DataFrame, spine: DataFrame | None) -> DataFrame:
     return out.withColumns(fills)
 
 
-def count_change(frames: DataFrame, *, block: int | None = BLOCK) -> DataFrame:
+def count_change(frames: DataFrame, *, block: int = BLOCK) -> DataFrame:
     """Flag frames whose object count differs from the previous present frame."""
     nb = Neighbours(frames, ["video_id"], "frame_idx", back=1, block=block)
     prev = nb.lag("num_objects")
@@ -212,7 +173,7 @@ def count_change(frames: DataFrame, *, block: int | None = BLOCK) -> DataFrame:
     )
 
 
-def pairwise_features(spatial: DataFrame, *, entity: str = "bird_id", wide: bool | None = None) -> DataFrame:
+def pairwise_features(spatial: DataFrame, *, entity: str = "bird_id") -> DataFrame:
     """Add the distance of every object to the others in its frame and the nearest one's id.
 
     ``spatial`` needs video_id, frame_idx, the entity, centroid_x and centroid_y; its other
@@ -220,11 +181,9 @@ def pairwise_features(spatial: DataFrame, *, entity: str = "bird_id", wide: bool
     frame, get NULLs. Ties go to the lowest id.
     """
     keys = list(FRAME)
-    if wide is None:
-        wide = tiles.has_wide_groups(spatial, keys)
     rest = [c for c in spatial.columns if c not in (*keys, entity, "centroid_x", "centroid_y")]
-    member = [entity, "centroid_x", "centroid_y"] + ([] if wide else rest)
-    packed = tiles.pack(spatial, keys, member, wide=wide)
+    member = [entity, "centroid_x", "centroid_y", *rest]
+    packed = tiles.pack(spatial, keys, member)
     items = F.col("items")
     whole = F.col("_pa") == F.col("_pb")
     start = F.struct(
@@ -257,15 +216,17 @@ def pairwise_features(spatial: DataFrame, *, entity: str = "bird_id", wide: bool
         own = [a[c].alias(c) for c in member]
         return F.struct(*own, F.aggregate(others, start, step).alias("_m"))
 
-    rows = packed.select(*keys, F.inline(F.transform(items, measure)))
+    rows = packed.select(*keys, "_parts", F.inline(F.transform(items, measure)))
     m = F.col("_m")
-    if wide:
-        rows = rows.groupBy(*keys, entity).agg(
-            F.struct(
-                F.min(m["best"]).alias("best"), F.sum(m["total"]).alias("total"), F.sum(m["n"]).alias("n")
-            ).alias("_m")
-        )
-        rows = spatial.join(rows, [*keys, entity], "left")
+    # A row stands in as many packed rows as its group has parts; equal rows stay as many as they were.
+    copies = (F.count(F.lit(1)) / F.first("_parts")).cast("int").alias("_copies")
+    rows = rows.groupBy(*keys, *member).agg(
+        F.struct(
+            F.min(m["best"]).alias("best"), F.sum(m["total"]).alias("total"), F.sum(m["n"]).alias("n")
+        ).alias("_m"),
+        copies,
+    )
+    rows = rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).drop("_copy", "_copies")
     return rows.withColumns(
         {
             "min_dist_to_other": m["best"]["d"],

@@ -1,4 +1,4 @@
-"""Joins of long tables with small ones, safe when one key holds much of the long table."""
+"""Joins of long tables with small ones, and checks of key sets."""
 
 from __future__ import annotations
 
@@ -7,58 +7,26 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows up to which the small side is broadcast; beyond it the join is salted instead.
-MAX_BROADCAST_ROWS = 200_000
-SALTS = 64
 
-
-#: Measured sizes by plan, so that one small table is not counted for every join it serves.
-_FITS: dict[tuple[int, int], bool] = {}
-
-
-def _fits(small: DataFrame, max_rows: int) -> bool:
-    key = (small.semanticHash(), max_rows)
-    if key not in _FITS:
-        if len(_FITS) > 1000:
-            _FITS.clear()
-        _FITS[key] = small.limit(max_rows + 1).count() <= max_rows
-    return _FITS[key]
-
-
-def join_small(
-    df: DataFrame,
-    small: DataFrame,
-    keys: Sequence[str],
-    how: str = "left",
-    *,
-    condition: Column | None = None,
-    max_rows: int = MAX_BROADCAST_ROWS,
-    salts: int = SALTS,
+def join_keyed(
+    df: DataFrame, other: DataFrame, keys: Sequence[str], how: str = "left", *, condition: Column | None = None
 ) -> DataFrame:
-    """Join on ``keys`` (+ ``condition``) without shuffling ``df`` by a possibly hot key.
+    """Equi-join on ``keys`` (+ ``condition``) that keeps the columns of ``df`` and those ``other`` adds.
 
-    The small side's size is measured first. Up to ``max_rows`` it is broadcast; a larger one
-    is copied per salt and the long side is spread over (keys, salt).
+    No hint: adaptive execution broadcasts a side that has turned out small and splits hot keys.
     """
-    fits = _fits(small, max_rows)
-    renamed = small
+    renamed = other
     for k in keys:
         renamed = renamed.withColumnRenamed(k, f"_k_{k}")
     on = condition if condition is not None else F.lit(True)
     for k in keys:
         on = on & (F.col(k) == F.col(f"_k_{k}"))
-    if fits:
-        out = df.join(F.broadcast(renamed), on, how)
-    else:
-        copies = renamed.withColumn("_k_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        spread = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int"))
-        out = spread.join(copies, on & (F.col("_salt") == F.col("_k_salt")), how).drop("_salt", "_k_salt")
-    return out.drop(*[f"_k_{k}" for k in keys])
+    return df.join(renamed, on, how).drop(*[f"_k_{k}" for k in keys])
 
 
 def with_fps(df: DataFrame, fps: DataFrame, default: float = 25.0) -> DataFrame:
     """Per-video frame rate from a one-row-per-video table, with a default."""
-    out = join_small(df, fps.select("video_id", "fps"), ["video_id"], "left")
+    out = join_keyed(df, fps.select("video_id", "fps"), ["video_id"], "left")
     return out.withColumn("fps", F.coalesce(F.col("fps").cast("double"), F.lit(float(default))))
 
 
@@ -92,3 +60,18 @@ def entity_differences(
     h, w = F.coalesce("_have", none), F.coalesce("_want", none)
     out = both.select("video_id", F.array_except(w, h).alias("missing"), F.array_except(h, w).alias("extra"))
     return out.filter((F.size("missing") > 0) | (F.size("extra") > 0))
+
+
+class Findings(ValueError):
+    """Rows that should not exist: ``table`` holds all of them, ``count`` tells how many."""
+
+    def __init__(self, what: str, table: DataFrame, count: int):
+        super().__init__(f"{count} {what}")
+        self.table, self.count = table, count
+
+
+def check_empty(df: DataFrame, what: str) -> None:
+    """Raise :class:`Findings` if ``df`` has rows."""
+    n = df.count()
+    if n:
+        raise Findings(what, df, n)

@@ -24,7 +24,7 @@ def _frame_counts(tracks: DataFrame) -> DataFrame:
     return tracks.groupBy("video_id", "frame_idx").agg(F.count(F.lit(1)).alias("_n"))
 
 
-def presence(tracks: DataFrame, *, low_count: int = 3, block: int | None = BLOCK) -> DataFrame:
+def presence(tracks: DataFrame, *, low_count: int = 3, block: int = BLOCK) -> DataFrame:
     """Rows with what the lifecycle tables need: run start, box overlap with the id's previous
     present row, and whether the frame holds fewer than ``low_count`` objects."""
     rows = _boxes(tracks).join(
@@ -44,7 +44,7 @@ def presence(tracks: DataFrame, *, low_count: int = 3, block: int | None = BLOCK
     return blocks.with_runs(seen, ID, "frame_idx", block=block)
 
 
-def run_metrics(rows: DataFrame, *, block: int | None = BLOCK) -> DataFrame:
+def run_metrics(rows: DataFrame, *, block: int = BLOCK) -> DataFrame:
     """One row per contiguous run of an id (input: :func:`presence`)."""
     cols = rows.columns
     inner = F.col("frame_idx") > F.col("run_start")
@@ -64,50 +64,41 @@ def run_metrics(rows: DataFrame, *, block: int | None = BLOCK) -> DataFrame:
 
 
 def spatial_continuity(
-    tracks: DataFrame, *, iou_threshold: float = 0.5, wide: bool | None = None, block: int | None = BLOCK
+    tracks: DataFrame, *, iou_threshold: float = 0.5, block: int = BLOCK
 ) -> DataFrame:
     """Per id: mean of the best overlap with any box of the next present frame, where >= threshold.
 
     Boxes of the next frame may serve several boxes: nothing is marked as used here.
     """
-    best = _next_frame_pairs(tracks, iou_threshold, wide, block).groupBy(*ID, "frame_idx").agg(
+    best = _next_frame_pairs(tracks, iou_threshold, block).groupBy(*ID, "frame_idx").agg(
         F.max("iou").alias("iou")
     )
     return best.groupBy(*ID).agg(F.avg("iou").alias("spatial_continuity_iou"))
 
 
 def _next_frame_pairs(
-    tracks: DataFrame, iou_threshold: float, wide: bool | None, block: int | None
+    tracks: DataFrame, iou_threshold: float, block: int
 ) -> DataFrame:
     """Overlapping boxes of consecutive present frames: (video, frame, id, next_id, iou >= thr).
 
-    Frames are packed, one row each; the next frame's array is the neighbour row, so the pair
-    test happens inside a row and only the few overlapping pairs come out. Where frames are
-    wide, each part of a frame meets each part of the next one in a row of its own.
+    Each part of a frame (usually the whole frame) meets each part of the next one in a row of
+    its own; the pair test happens inside that row and only the few overlapping pairs come out.
     """
     rows = _boxes(tracks).select("video_id", "frame_idx", F.col("tracking_id").alias("id"), "box")
     keys = ["video_id", "frame_idx"]
-    if wide is None:
-        wide = tiles.has_wide_groups(rows, keys)
-    if not wide:
-        packed = tiles.pack(rows, keys, ["id", "box"], wide=False).select(*keys, "items")
-        nb = Neighbours(packed, ["video_id"], "frame_idx", ahead=1, block=block)
-        both = nb.with_columns({"next_items": nb.lead("items")})
-    else:
-        frames = rows.select(*keys).distinct()
-        nb = Neighbours(frames, ["video_id"], "frame_idx", ahead=1, block=block)
-        follows = nb.with_columns({"next_frame": nb.lead("frame_idx")})
-        part = F.pmod(F.xxhash64("id", "box"), F.lit(32)).cast("int")
-        item = F.struct("id", "box")
-        parts = (
-            rows.withColumn("_part", part)
-            .groupBy(*keys, "_part")
-            .agg(F.sort_array(F.collect_list(item)).alias("items"))
-        )
-        following = parts.select(
-            "video_id", F.col("frame_idx").alias("next_frame"), F.col("items").alias("next_items")
-        )
-        both = parts.join(follows, keys).join(following, ["video_id", "next_frame"])
+    frames = tiles.parts_of(rows, keys)
+    nb = Neighbours(frames, ["video_id"], "frame_idx", ahead=1, block=block)
+    follows = nb.with_columns({"next_frame": nb.lead("frame_idx")}).drop("_parts")
+    parts = (
+        rows.join(frames, keys)
+        .withColumn("_part", tiles.part_of(["id", "box"]))
+        .groupBy(*keys, "_part")
+        .agg(F.sort_array(F.collect_list(F.struct("id", "box"))).alias("items"))
+    )
+    following = parts.select(
+        "video_id", F.col("frame_idx").alias("next_frame"), F.col("items").alias("next_items")
+    )
+    both = parts.join(follows, keys).join(following, ["video_id", "next_frame"])
 
     def matches(a: Column) -> Column:
         scored = F.transform(
@@ -126,14 +117,14 @@ def _next_frame_pairs(
 
 
 def greedy_matches(
-    tracks: DataFrame, *, iou_threshold: float = 0.5, wide: bool | None = None, block: int | None = BLOCK
+    tracks: DataFrame, *, iou_threshold: float = 0.5, block: int = BLOCK
 ) -> DataFrame:
     """One-to-one box matching of consecutive present frames, ids ascending.
 
     Each box takes the best box of the next frame that is not taken yet. A pair below the
     threshold can never match, so the fold runs over the overlapping pairs only.
     """
-    pairs = _next_frame_pairs(tracks, iou_threshold, wide, block)
+    pairs = _next_frame_pairs(tracks, iou_threshold, block)
     choice = F.struct(
         F.col("tracking_id").alias("a"), (-F.col("iou")).alias("o"), F.col("next_id").alias("b")
     )
@@ -165,8 +156,7 @@ def id_metrics(
     *,
     low_count: int = 3,
     iou_threshold: float = 0.5,
-    wide: bool | None = None,
-    block: int | None = BLOCK,
+    block: int = BLOCK,
     rows: DataFrame | None = None,
 ) -> DataFrame:
     """One row per (video, id): span, runs, gaps, low-count frames, overlaps, mean area."""
@@ -188,11 +178,11 @@ def id_metrics(
             "low_count_fraction": F.col("low_count_total") / F.col("span"),
         }
     )
-    near = spatial_continuity(tracks, iou_threshold=iou_threshold, wide=wide, block=block)
+    near = spatial_continuity(tracks, iou_threshold=iou_threshold, block=block)
     return out.join(near, ID, "left")
 
 
-def continuity(tracks: DataFrame, *, block: int | None = BLOCK) -> DataFrame:
+def continuity(tracks: DataFrame, *, block: int = BLOCK) -> DataFrame:
     """Per video: detections that could persist to the next present frame, and those that did."""
     keys = ["video_id", "frame_idx"]
     packed = tracks.groupBy(*keys).agg(
@@ -214,15 +204,14 @@ def video_summary(
     iou_threshold: float = 0.5,
     frame_spine: DataFrame | None = None,
     switch_events: DataFrame | None = None,
-    wide: bool | None = None,
-    block: int | None = BLOCK,
+    block: int = BLOCK,
 ) -> DataFrame:
     """One row per video with the usual tracking proxies.
 
     ``frame_spine`` (video_id, frame_idx) counts frames without objects as well;
     ``switch_events`` adds occlusion-aware switch counts.
     """
-    ids = id_metrics(tracks, low_count=low_count, iou_threshold=iou_threshold, wide=wide, block=block)
+    ids = id_metrics(tracks, low_count=low_count, iou_threshold=iou_threshold, block=block)
     per_id = ids.groupBy("video_id").agg(
         F.count(F.lit(1)).alias("total_unique_ids"),
         F.avg("length").alias("mean_track_length"),
@@ -242,7 +231,7 @@ def video_summary(
         F.avg(n).alias("avg_detections_per_frame"),
         F.count_if(n < low_count).alias("low_frame_count"),
     )
-    greedy = greedy_matches(tracks, iou_threshold=iou_threshold, wide=wide, block=block)
+    greedy = greedy_matches(tracks, iou_threshold=iou_threshold, block=block)
     matched = greedy.groupBy("video_id").agg(
         F.count(F.lit(1)).alias("iou_match_count"), F.count_if("is_switch").alias("id_switches")
     )

@@ -44,37 +44,40 @@ def drop_empty(masks: DataFrame) -> DataFrame:
     return masks.filter(rle.mask_area("counts") > 0)
 
 
-def _packed(masks: DataFrame, entity: str, extra: list[str], wide: bool) -> DataFrame:
+def _packed(masks: DataFrame, entity: str, extra: list[str]) -> DataFrame:
     rows = masks.select(*FRAME, F.col(entity).cast("long").alias("id"), "counts", *extra)
-    packed = tiles.pack(rows, FRAME, ["id", *extra, "counts"], wide=wide)
+    packed = tiles.pack(rows, FRAME, ["id", *extra, "counts"])
     pick = lambda name: F.transform("items", lambda i: i[name])
+    place = F.transform("items", lambda _, k: k.cast("long"))  # an id may occur twice in a frame
     return packed.withColumn(
         "_pairs",
-        rle.mask_pairs(pick("id"), pick("counts"), pick("_part"), F.col("_pa") == F.col("_pb")),
+        rle.mask_pairs(place, pick("counts"), pick("_part"), F.col("_pa") == F.col("_pb")),
     )
 
 
+def _at(place: Column) -> Column:
+    return F.get(F.col("items"), place.cast("int"))
+
+
 def _iou(p: Column) -> Column:
     union = p["area_a"] + p["area_b"] - p["inter"]
     return F.when(union > 0, p["inter"] / union).otherwise(F.lit(0.0))
 
 
 def mask_overlaps(
-    masks: DataFrame, *, entity: str = "tracking_id", threshold: float = 0.0, wide: bool | None = None
+    masks: DataFrame, *, entity: str = "tracking_id", threshold: float = 0.0
 ) -> DataFrame:
     """Pairs of one frame with mask IoU >= ``threshold``: video_id, frame_idx, id_a < id_b, iou."""
-    if wide is None:
-        wide = tiles.has_wide_groups(masks, FRAME)
     scored = F.transform(
         "_pairs",
         lambda p: F.struct(
-            F.least(p["ia"], p["ib"]).alias("id_a"),
-            F.greatest(p["ia"], p["ib"]).alias("id_b"),
+            F.least(_at(p["ia"])["id"], _at(p["ib"])["id"]).alias("id_a"),
+            F.greatest(_at(p["ia"])["id"], _at(p["ib"])["id"]).alias("id_b"),
             _iou(p).alias("iou"),
         ),
     )
     kept = F.filter(scored, lambda s: s["iou"] >= threshold)
-    return _packed(masks, entity, [], wide).select(*FRAME, F.inline(kept))
+    return _packed(masks, entity, []).select(*FRAME, F.inline(kept))
 
 
 def mask_frames(
@@ -84,29 +87,24 @@ def mask_frames(
     iou_threshold: float = 0.15,
     cluster_distance: float = 50.0,
     frame_spine: DataFrame | None = None,
-    wide: bool | None = None,
-    block: int | None = BLOCK,
+    block: int = BLOCK,
 ) -> DataFrame:
     """Crowding metrics per frame from masks, in pixels. Empty masks have no centroid and
     take no part in distances."""
-    if wide is None:
-        wide = tiles.has_wide_groups(masks, FRAME)
     shaped = masks.withColumn("g", rle.mask_geometry("counts", height())).withColumns(
         {"cx": F.col("g.centroid_x"), "cy": F.col("g.centroid_y"), "area": F.col("g.mask_area")}
     )
-    packed = _packed(shaped, entity, ["cx", "cy", "area"], wide)
-    by_id = F.map_from_entries(F.transform("items", lambda i: F.struct(i["id"], i)))
-    packed = packed.withColumn("_by", by_id)
+    packed = _packed(shaped, entity, ["cx", "cy", "area"])
 
     def scored(p: Column) -> Column:
-        a, b = F.col("_by")[p["ia"]], F.col("_by")[p["ib"]]
+        a, b = _at(p["ia"]), _at(p["ib"])
         return F.struct(
             _iou(p).alias("iou"), bx.distance(a["cx"], a["cy"], b["cx"], b["cy"]).alias("dist")
         )
 
     packed = packed.withColumn("_scored", F.transform("_pairs", scored))
     summary = _pair_summary(F.col("_scored"), iou_threshold, cluster_distance)
-    pairs = _merge_parts(packed, FRAME, summary, wide)
+    pairs = _merge_parts(packed, FRAME, summary)
     objects = shaped.groupBy(*FRAME).agg(
         F.count(F.lit(1)).alias("num_objects"),
         F.sort_array(F.collect_set(entity)).alias("objects_present"),

@@ -2,9 +2,9 @@
 
 The rows of a group are packed into an array and pair measures are folded inside the row, so
 one frame is one row and no pair ever becomes one. Groups are packed only up to ``tile``
-members: where a wider group exists, its members are dealt into parts and every pair of parts
-becomes its own row (each member is copied once per part), so the quadratic work is spread
-over tasks and still covers every pair exactly once.
+members: those of a wider group are dealt into parts and every pair of parts becomes its own
+row (each member is copied once per part), so the quadratic work is spread over tasks and
+still covers every pair exactly once. The plan is the same whether wide groups exist or not.
 """
 
 from __future__ import annotations
@@ -17,51 +17,33 @@ from pyspark.sql import functions as F
 TILE = 64
 
 
-def has_wide_groups(df: DataFrame, keys: Sequence[str], tile: int = TILE) -> bool:
-    """Measure: does any group exceed the tile? Reads the key columns only."""
-    wide = df.groupBy(*keys).count().filter(F.col("count") > tile)
-    return not wide.limit(1).isEmpty()
+def parts_of(df: DataFrame, keys: Sequence[str], tile: int = TILE) -> DataFrame:
+    """``keys, _parts``: in how many parts of about half a tile a group is dealt (1 up to a tile)."""
+    n = F.count(F.lit(1))
+    parts = F.when(n > tile, F.ceil(n / (tile / 2))).otherwise(F.lit(1)).cast("int")
+    return df.groupBy(*keys).agg(parts.alias("_parts"))
 
 
-def pack(
-    df: DataFrame,
-    keys: Sequence[str],
-    member: Sequence[str],
-    *,
-    tile: int = TILE,
-    wide: bool | None = None,
-) -> DataFrame:
-    """One row per group with ``items`` (sorted array of structs of ``member`` columns).
+def part_of(member: Sequence[str]) -> Column:
+    """The deal needs no order; it must only be the same on a retry, hence a hash of the row."""
+    return F.pmod(F.xxhash64(*member), F.col("_parts")).cast("int")
 
-    Wide groups yield one row per pair of parts, marked by ``_pa`` / ``_pb``; items then carry
-    their part in ``_part``. ``wide=None`` measures; pass a bool when table statistics tell.
+
+def pack(df: DataFrame, keys: Sequence[str], member: Sequence[str], *, tile: int = TILE) -> DataFrame:
+    """One row per group, or per pair of a wide group's parts (``_pa`` <= ``_pb``), with ``items``.
+
+    ``items`` is the sorted array of structs of the ``member`` columns and their ``_part``; every
+    member stands in ``_parts`` rows. Rows with a NULL among the keys form no group.
     """
-    if wide is None:
-        wide = has_wide_groups(df, keys, tile)
-    if not wide:
-        item = F.struct(*member, F.lit(0).alias("_part"))
-        return (
-            df.groupBy(*keys)
-            .agg(F.sort_array(F.collect_list(item)).alias("items"))
-            .withColumns({"_pa": F.lit(0), "_pb": F.lit(0)})
-        )
-    sizes = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > tile)
-        .select(*keys, F.ceil(F.col("_n") / (tile / 2)).cast("int").alias("_parts"))
-    )
-    # The deal needs no order; it must only be the same on a retry, hence a hash of the row.
     dealt = (
-        df.join(sizes, list(keys), "left")
-        .withColumn("_parts", F.coalesce("_parts", F.lit(1)))
-        .withColumn("_part", F.pmod(F.xxhash64(*member), F.col("_parts")).cast("int"))
+        df.join(parts_of(df, keys, tile), list(keys))
+        .withColumn("_part", part_of(member))
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
         .withColumn("_pa", F.least("_part", "_other"))
         .withColumn("_pb", F.greatest("_part", "_other"))
     )
     item = F.struct(*member, "_part")
-    return dealt.groupBy(*keys, "_pa", "_pb").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    return dealt.groupBy(*keys, "_pa", "_pb", "_parts").agg(F.sort_array(F.collect_list(item)).alias("items"))
 
 
 def pair_array(measure, items: str | Column = "items") -> Column:

@@ -27,14 +27,14 @@ def align_labels(tracks: DataFrame, labels: DataFrame, fps: DataFrame) -> DataFr
     return out.filter(F.col("time").between(F.col("_t0"), F.col("_t1"))).drop("_t0", "_t1")
 
 
-def number_labels(labels: DataFrame, *, block: int | None = TIME_BLOCK) -> DataFrame:
+def number_labels(labels: DataFrame, *, block: int = TIME_BLOCK) -> DataFrame:
     """Add ``window``: the label's position in time within (video, bird)."""
     out = blocks.row_index(labels, ENTITY, "time", "window", block=block)
     return out.withColumn("window", F.col("window").cast("int"))
 
 
 def assign_windows(
-    tracks: DataFrame, labels: DataFrame, fps: DataFrame, *, block: int | None = TIME_BLOCK
+    tracks: DataFrame, labels: DataFrame, fps: DataFrame, *, block: int = TIME_BLOCK
 ) -> tuple[DataFrame, DataFrame]:
     """Give every frame the first label at or after it: window ``(previous label, label]``.
 
@@ -55,7 +55,7 @@ def assign_windows(
     return out.withColumn("window", F.col("_next.w")).drop("_t", "_label", "_next"), labels
 
 
-def label_spacing(labels: DataFrame, *, block: int | None = TIME_BLOCK) -> DataFrame:
+def label_spacing(labels: DataFrame, *, block: int = TIME_BLOCK) -> DataFrame:
     """One row: the median distance of consecutive labels over all birds (NULL without any)."""
     nb = Neighbours(labels.select(*ENTITY, "time"), ENTITY, "time", back=1, block=block)
     gaps = nb.with_columns({"gap": F.col("time") - nb.lag("time")}).filter(F.col("gap").isNotNull())
@@ -64,7 +64,7 @@ def label_spacing(labels: DataFrame, *, block: int | None = TIME_BLOCK) -> DataF
 
 
 def window_coverage(
-    tracks: DataFrame, labels: DataFrame, fps: DataFrame, *, block: int | None = TIME_BLOCK
+    tracks: DataFrame, labels: DataFrame, fps: DataFrame, *, block: int = TIME_BLOCK
 ) -> DataFrame:
     """Frames per window and their share of the expected count."""
     counts = tracks.groupBy(*WINDOW).agg(F.count("frame_idx").alias("n_frames"))
@@ -84,7 +84,7 @@ def filter_incomplete(
     *,
     min_coverage: float = 0.5,
     max_coverage: float = 1.02,
-    block: int | None = TIME_BLOCK,
+    block: int = TIME_BLOCK,
 ) -> tuple[DataFrame, DataFrame]:
     """Keep windows whose coverage is in range, in both tables.
 

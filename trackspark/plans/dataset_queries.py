@@ -155,16 +155,13 @@ MERGED = (
 )
 
 
-def _dedupe_birds(df: DataFrame) -> DataFrame:
-    """After merging two ids a bird can hold several boxes in a frame: keep the first one."""
-    return df.groupBy("video_id", "bird_id", "frame_idx").agg(
-        *[F.min_by(c, "bbox").alias(c) for c in df.columns if c not in ("video_id", "bird_id", "frame_idx")]
-    )
-
-
 def trimmed_tables(spark, sf) -> tuple[DataFrame, DataFrame]:
     return repair.trim(
-        views.tracks(spark, sf), views.labels(spark, sf), views.actions(spark, sf), views.videos(spark, sf)
+        views.tracks(spark, sf),
+        views.labels(spark, sf),
+        views.actions(spark, sf),
+        views.videos(spark, sf),
+        block=views.BLOCK,
     )
 
 
@@ -195,7 +192,7 @@ SQL_TRIM_LABELS = (
 def repaired(spark, sf) -> tuple[DataFrame, DataFrame]:
     acts = views.actions(spark, sf)
     t, l = trimmed_tables(spark, sf)
-    return repair.merge_switches(t, acts).withColumnRenamed("tracking_id", "bird_id"), l
+    return repair.merge_switches(t, acts, block=views.BLOCK).withColumnRenamed("tracking_id", "bird_id"), l
 
 
 def q_merge_switches(spark, sf):
@@ -254,9 +251,7 @@ SQL_MATCH = (
 
 BIRDS = (
     "birds",
-    """SELECT video_id, bird_id, frame_idx, min(x1) AS x1, arg_min(y1, [x1, y1, x2, y2]) AS y1,
-    arg_min(x2, [x1, y1, x2, y2]) AS x2, arg_min(y2, [x1, y1, x2, y2]) AS y2,
-    arg_min(tracker_score, [x1, y1, x2, y2]) AS tracker_score FROM merged GROUP BY ALL""",
+    "SELECT video_id, bird_id, frame_idx, x1, y1, x2, y2, tracker_score FROM merged",
 )
 WIN = [
     O.DET,
@@ -303,22 +298,17 @@ WIN = [
 
 def aligned(spark, sf):
     t, l = repaired(spark, sf)
-    t = cut_lineage(_dedupe_birds(t), "repaired")
+    t = cut_lineage(t, "repaired")
     fps = views.videos(spark, sf)
     return t, windows.align_labels(t, l, fps), fps
 
 
 def windowed(spark, sf):
     t, l, fps = aligned(spark, sf)
-    block = time_block(spark, sf)
-    t, l = windows.assign_windows(t, cut_lineage(l, "labels"), fps, block=block)
+    t, l = windows.assign_windows(t, cut_lineage(l, "labels"), fps, block=views.TIME_BLOCK)
     return cut_lineage(t, "windowed"), l, fps
 
 
-def time_block(spark, sf):
-    return windows.TIME_BLOCK if views.shape(spark, sf)["block"] else None
-
-
 def q_align_labels(spark, sf):
     _, l, _ = aligned(spark, sf)
     return l.select("video_id", "bird_id", "time", "behav_label")
@@ -337,7 +327,7 @@ SQL_ASSIGN = O._cte(*WIN) + 'SELECT video_id, bird_id, frame_idx, "window" FROM
 
 def q_window_coverage(spark, sf):
     t, l, fps = windowed(spark, sf)
-    out = windows.window_coverage(t, l, fps, block=time_block(spark, sf))
+    out = windows.window_coverage(t, l, fps, block=views.TIME_BLOCK)
     return rounded(out, "coverage", "spacing")
 
 
@@ -346,7 +336,7 @@ SQL_COVERAGE = O.r6(O._cte(*WIN) + "SELECT * FROM cov", "coverage", "spacing")
 
 def complete(spark, sf):
     t, l, fps = windowed(spark, sf)
-    return windows.filter_incomplete(t, l, fps, min_coverage=0.3, block=time_block(spark, sf))
+    return windows.filter_incomplete(t, l, fps, min_coverage=0.3, block=views.TIME_BLOCK)
 
 
 def q_complete_labels(spark, sf):
@@ -390,7 +380,7 @@ def box_spatial(tracks: DataFrame) -> DataFrame:
 
 def frame_table(spark, sf) -> DataFrame:
     t, _ = complete(spark, sf)
-    return features.frame_features(box_spatial(t), **views.shape(spark, sf))
+    return features.frame_features(box_spatial(t), block=views.BLOCK)
 
 
 SPAT = (
@@ -403,11 +393,11 @@ FEAT = [
     SPAT,
     (
         "nn",
-        """SELECT a.video_id, a.bird_id, a.frame_idx, min(d) AS min_dist_to_other, avg(d) AS mean_dist_to_other,
+        """SELECT a.video_id, a.bird_id, a.frame_idx, a.cx, a.cy, min(d) AS min_dist_to_other, avg(d) AS mean_dist_to_other,
       arg_min(b_id, d * 1000 + b_id / 1000000.0) AS nearest_neighbor_id
-      FROM (SELECT a.video_id, a.bird_id, a.frame_idx, b.bird_id AS b_id,
+      FROM (SELECT a.video_id, a.bird_id, a.frame_idx, a.cx, a.cy, b.bird_id AS b_id,
         sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy)) AS d
-        FROM spat a JOIN spat b ON a.video_id = b.video_id AND a.frame_idx = b.frame_idx AND a.bird_id <> b.bird_id) a
+        FROM (SELECT DISTINCT video_id, bird_id, frame_idx, cx, cy FROM spat) a JOIN spat b ON a.video_id = b.video_id AND a.frame_idx = b.frame_idx AND a.bird_id <> b.bird_id) a
       GROUP BY ALL""",
     ),
     (
@@ -416,8 +406,8 @@ FEAT = [
       cx - lag(cx) OVER w AS vx, cy - lag(cy) OVER w AS vy, lag(mask_area) OVER w AS pa,
       lag(cx) OVER w - lag(cx, 2) OVER w AS ux, lag(cy) OVER w - lag(cy, 2) OVER w AS uy,
       min_dist_to_other - lag(min_dist_to_other) OVER w AS dist_change_rate
-      FROM spat s LEFT JOIN nn USING (video_id, bird_id, frame_idx)
-      WINDOW w AS (PARTITION BY video_id, bird_id ORDER BY frame_idx)""",
+      FROM spat s LEFT JOIN nn USING (video_id, bird_id, frame_idx, cx, cy)
+      WINDOW w AS (PARTITION BY video_id, bird_id ORDER BY frame_idx, cx, cy, mask_area)""",
     ),
     ("mv2", "SELECT *, sqrt(vx * vx + vy * vy) AS velocity, sqrt(ux * ux + uy * uy) AS v0 FROM mv"),
     (
@@ -485,7 +475,7 @@ def q_window_sequences(spark, sf):
 SQL_SEQUENCES = (
     O._cte(*FEAT)
     + """SELECT video_id, bird_id, "window", count(*) AS steps,
-    string_agg(CAST(CAST(round(CAST(CAST(mask_area AS FLOAT) AS DOUBLE), 0) AS BIGINT) AS VARCHAR), ',' ORDER BY frame_idx) AS areas
+    string_agg(CAST(CAST(round(CAST(CAST(mask_area AS FLOAT) AS DOUBLE), 0) AS BIGINT) AS VARCHAR), ',' ORDER BY frame_idx, CAST(mask_area AS FLOAT), CAST(aspect_ratio AS FLOAT)) AS areas
     FROM feat GROUP BY ALL"""
 )
 

@@ -96,8 +96,7 @@ SQL_BOXES = (
 
 
 def q_mask_overlaps(spark, sf):
-    wide = views.shape(spark, sf)["wide"]
-    return rounded(masks.mask_overlaps(coded(spark, sf), entity="bird_id", threshold=0.05, wide=wide), "iou", digits=9)
+    return rounded(masks.mask_overlaps(coded(spark, sf), entity="bird_id", threshold=0.05), "iou", digits=9)
 
 
 SQL_OVERLAPS = O.r6(
@@ -108,10 +107,9 @@ SQL_OVERLAPS = O.r6(
 
 
 def q_overlap_periods(spark, sf):
-    shape = views.shape(spark, sf)
-    ov = masks.mask_overlaps(coded(spark, sf), entity="bird_id", threshold=0.3, wide=shape["wide"])
+    ov = masks.mask_overlaps(coded(spark, sf), entity="bird_id", threshold=0.3)
     ov = ov.withColumn("fps", F.lit(views.FPS))
-    out = events.overlap_periods(ov, block=shape["block"])
+    out = events.overlap_periods(ov, block=views.BLOCK)
     return out.withColumn("ids", F.array_join("ids", ","))
 
 
@@ -141,7 +139,7 @@ FRAME_COLS = [
 
 
 def q_mask_frames(spark, sf):
-    out = masks.mask_frames(coded(spark, sf), entity="bird_id", **views.shape(spark, sf))
+    out = masks.mask_frames(coded(spark, sf), entity="bird_id", block=views.BLOCK)
     out = out.withColumn("objects_present", F.array_join("objects_present", ","))
     return rounded(out, *FRAME_COLS, digits=7)
 

@@ -432,9 +432,8 @@ def q_linear_baseline(spark, sf):
 
 
 def q_difficulty(spark, sf):
-    shape = views.shape(spark, sf)
-    metrics = cut_lineage(S.frame_metrics(spark, sf, shape).drop("objects_present"), "frames")
-    periods = events.occlusion_periods(metrics, window_frames=10, threshold=0.9, block=shape["block"])
+    metrics = cut_lineage(S.frame_metrics(spark, sf).drop("objects_present"), "frames")
+    periods = events.occlusion_periods(metrics, window_frames=10, threshold=0.9, block=views.BLOCK)
     p = reports.difficulty_proxies(metrics, periods, views.videos(spark, sf))
     # Equal proxies must rank equal whatever the order of summation.
     return reports.difficulty_manifest(rounded(p, *reports.PROXIES, digits=9))
@@ -631,7 +630,7 @@ def q_conversation_runs(spark, sf):
     from trackspark.operators import blocks
 
     c = views.table(spark, sf, "conversations")
-    out = blocks.runs(c, ["conv_id", "role"], "turn", block=blocks.block_size_for(c, ["conv_id", "role"]))
+    out = blocks.runs(c, ["conv_id", "role"], "turn", block=4)
     return out
 
 

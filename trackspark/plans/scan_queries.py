@@ -36,10 +36,9 @@ def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c), digits) for c in cols})
 
 
-def frame_metrics(spark: SparkSession, sf: str, shape: dict | None = None) -> DataFrame:
-    shape = shape or views.shape(spark, sf)
+def frame_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return frames.detection_frames(
-        views.detections(spark, sf), iou_threshold=IOU, min_separation=SEP, **shape
+        views.detections(spark, sf), iou_threshold=IOU, min_separation=SEP, block=views.BLOCK
     )
 
 
@@ -66,9 +65,8 @@ SQL_FRAME_METRICS = O.r6(
 
 def q_separation_windows(spark, sf):
     """Flagship: detections -> crowding metrics -> sustained separation windows."""
-    shape = views.shape(spark, sf)
     return events.separation_windows(
-        frame_metrics(spark, sf, shape), min_frames=6, gap_frames=5, block=shape["block"]
+        frame_metrics(spark, sf), min_frames=6, gap_frames=5, block=views.BLOCK
     )
 
 
@@ -84,11 +82,10 @@ SQL_SEPARATION = (
 
 
 def q_occlusion_periods(spark, sf):
-    shape = views.shape(spark, sf)
     metrics = cut_lineage(
-        frame_metrics(spark, sf, shape).select("video_id", "frame_idx", "is_high_occlusion"), "frames"
+        frame_metrics(spark, sf).select("video_id", "frame_idx", "is_high_occlusion"), "frames"
     )
-    return events.occlusion_periods(metrics, window_frames=10, threshold=0.9, block=shape["block"])
+    return events.occlusion_periods(metrics, window_frames=10, threshold=0.9, block=views.BLOCK)
 
 
 # Next-pointer form of the scan: from each resume row, the first hot row opens a period that
@@ -133,8 +130,7 @@ def _fps(spark, sf):
 
 
 def q_id_transitions(spark, sf):
-    block = views.shape(spark, sf)["block"]
-    out = events.id_transitions(views.tracks(spark, sf), _fps(spark, sf), block=block)
+    out = events.id_transitions(views.tracks(spark, sf), _fps(spark, sf), block=views.BLOCK)
     arrays = ["ids_before", "ids_after", "lost", "gained"]
     return out.withColumns({c: F.concat_ws(",", c) for c in arrays})
 
@@ -166,7 +162,7 @@ def q_low_score(spark, sf):
         threshold=0.8,
         min_seconds=0.4,
         merge_gap_seconds=0.2,
-        block=views.shape(spark, sf)["block"],
+        block=views.BLOCK,
     )
 
 
@@ -187,8 +183,7 @@ SQL_LOW_SCORE = (
 
 
 def q_occlusion_switches(spark, sf):
-    shape = views.shape(spark, sf)
-    return events.occlusion_aware_switches(frame_metrics(spark, sf, shape), block=shape["block"])
+    return events.occlusion_aware_switches(frame_metrics(spark, sf), block=views.BLOCK)
 
 
 SQL_OCC_SWITCH = (
@@ -219,8 +214,7 @@ SQL_OCC_SWITCH = (
 
 
 def q_score_segments(spark, sf):
-    block = views.shape(spark, sf)["block"]
-    out = events.score_segments(views.tracks(spark, sf), block=block).withColumnRenamed("tracking_id", "id")
+    out = events.score_segments(views.tracks(spark, sf), block=views.BLOCK).withColumnRenamed("tracking_id", "id")
     return rounded(out, "mean_score")
 
 
@@ -291,13 +285,12 @@ SQL_STABILITY = (
 def q_action_template(spark, sf):
     from trackspark.operators import repair
 
-    shape = views.shape(spark, sf)
     t, fps = views.tracks(spark, sf), _fps(spark, sf)
     empty = "video_id string, ids array<int>, start int, end int, start_time double, end_time double"
     issues = events.tracking_issues(
         spark.createDataFrame([], empty),
-        events.id_transitions(t, fps, block=shape["block"]),
-        events.low_score_periods(t, fps, min_seconds=0.4, merge_gap_seconds=0.2, block=shape["block"]),
+        events.id_transitions(t, fps, block=views.BLOCK),
+        events.low_score_periods(t, fps, min_seconds=0.4, merge_gap_seconds=0.2, block=views.BLOCK),
     )
     birds = views.label_sheet(spark, sf).select(
         F.concat(F.substring("sheet", 1, 4), F.lit("D"), "age").alias("video_id"),

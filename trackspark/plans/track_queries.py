@@ -60,7 +60,7 @@ ID_SQL = [
 
 def q_id_metrics(spark, sf):
     t = views.tracks(spark, sf)
-    out = lifecycle.id_metrics(t, **views.shape(spark, sf))
+    out = lifecycle.id_metrics(t, block=views.BLOCK)
     return rounded(out.withColumnRenamed("tracking_id", "id"), *ID_DOUBLES, digits=8)
 
 
@@ -71,9 +71,8 @@ RUN_DOUBLES = ["low_count_fraction", "mean_iou", "mean_bbox_area", "mean_tracker
 
 
 def q_run_metrics(spark, sf):
-    block = views.shape(spark, sf)["block"]
-    rows = lifecycle.presence(views.tracks(spark, sf), block=block)
-    out = lifecycle.run_metrics(rows, block=block)
+    rows = lifecycle.presence(views.tracks(spark, sf), block=views.BLOCK)
+    out = lifecycle.run_metrics(rows, block=views.BLOCK)
     return rounded(out.withColumnRenamed("tracking_id", "id"), *RUN_DOUBLES, digits=8)
 
 
@@ -90,7 +89,7 @@ SQL_RUN_METRICS = O.r6(
 
 
 def q_greedy_matches(spark, sf):
-    out = lifecycle.greedy_matches(views.tracks(spark, sf), **views.shape(spark, sf))
+    out = lifecycle.greedy_matches(views.tracks(spark, sf), block=views.BLOCK)
     return rounded(out.withColumnRenamed("tracking_id", "id"), "iou", digits=8)
 
 
@@ -135,7 +134,7 @@ SUM_DOUBLES = [
 
 
 def q_video_summary(spark, sf):
-    out = lifecycle.video_summary(views.tracks(spark, sf), **views.shape(spark, sf))
+    out = lifecycle.video_summary(views.tracks(spark, sf), block=views.BLOCK)
     return rounded(out, *SUM_DOUBLES, digits=8)
 
 
@@ -202,8 +201,7 @@ SQL_FIXED = O._cte(VID, (FIXED[0], FIXED[1].format(sec=3.9))) + "SELECT * FROM f
 
 
 def q_adaptive_chunks(spark, sf):
-    shape = views.shape(spark, sf)
-    metrics = S.frame_metrics(spark, sf, shape)
+    metrics = S.frame_metrics(spark, sf)
     return chunks.adaptive_chunks(
         metrics, views.videos(spark, sf), chunk_seconds=3.9, search_seconds=1.0, max_seconds=5.0
     )
@@ -259,11 +257,10 @@ SQL_ADAPTIVE = (
 
 def q_keyframes(spark, sf):
     """Boundaries + longest low-separation stretches + uniform backbone, by priority."""
-    shape = views.shape(spark, sf)
-    metrics = cut_lineage(S.frame_metrics(spark, sf, shape), "frames")
+    metrics = cut_lineage(S.frame_metrics(spark, sf), "frames")
     v = views.videos(spark, sf)
     cuts = chunks.fixed_chunks(v, chunk_seconds=3.9)
-    wins = events.separation_windows(metrics, min_frames=3, block=shape["block"])
+    wins = events.separation_windows(metrics, min_frames=3, block=views.BLOCK)
     return chunks.keyframe_schedule(cuts, chunks.longest_periods(wins, 3).drop("rank"), v, uniform_seconds=1.0)
 
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackspark.operators import blocks, tiles
+from trackspark.operators.labels import BEHAVIOURS
 
 FPS = 25.0
 WIDTH, HEIGHT = 640, 480
@@ -67,28 +67,9 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_SHAPES: dict[str, dict] = {}
-
-
-def shape(spark: SparkSession, sf_dir: str) -> dict:
-    """Measured once per table: block size for the sequences, and whether frames are wide.
-
-    Repair, filters and windows only remove or rename rows, so the bounds hold downstream.
-    """
-    if sf_dir not in _SHAPES:
-        _SHAPES[sf_dir] = _measure(spark, sf_dir)
-    return _SHAPES[sf_dir]
-
-
-def _measure(spark: SparkSession, sf_dir: str) -> dict:
-    key = F.col("l_orderkey")
-    rows = table(spark, sf_dir, "lineitem").select(
-        video_of(key).alias("video_id"), frame_of(key).alias("frame_idx")
-    )
-    return {
-        "block": blocks.block_size_for(rows, ["video_id"]),
-        "wide": tiles.has_wide_groups(rows, ["video_id", "frame_idx"]),
-    }
+#: Frames, and seconds, in a block of the registered queries: the small test tables span many blocks too.
+BLOCK = 512
+TIME_BLOCK = 20
 
 
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,22 +93,8 @@ def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: Which multi-hot column an order sets: (priority digit, status) -> behaviour.
-BEHAVIOUR_OF = {
-    ("1", "O"): "Running",
-    ("1", "F"): "Frolicking",
-    ("1", "P"): "Wing flapping",
-    ("2", "O"): "Spinning",
-    ("2", "F"): "Spinning while wing flapping",
-    ("2", "P"): "Sparring jumping no contact",
-    ("3", "O"): "Sparring jumping contact",
-    ("3", "F"): "Sparring stand-off no contact",
-    ("3", "P"): "Sparring stand-off contact",
-    ("4", "O"): "Worm running",
-    ("4", "F"): "Worm running mealworm",
-    ("4", "P"): "Worm chasing",
-    ("5", "O"): "Worm exchange",
-}
+#: Which multi-hot column an order sets: (priority digit, status) -> behaviour; the last one never.
+BEHAVIOUR_OF = dict(zip([(d, s) for d in "12345" for s in "OFP"][:13], BEHAVIOURS[:13], strict=True))
 
 
 def label_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,6 +151,7 @@ def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("part") % 2 == 0, F.col("any_id")).alias("id"),
         F.lit(None).cast("int").alias("protocol_id"),
         F.lit(None).cast("int").alias("tracking_id"),
+        F.col("part").alias("seq"),
     )
     switch = g.select(
         "video_id",
@@ -194,6 +162,7 @@ def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("id"),
         F.lit(None).cast("int").alias("protocol_id"),
         F.lit(None).cast("int").alias("tracking_id"),
+        F.col("part").alias("seq"),
     )
     return trim.unionByName(switch).filter(F.coalesce("frame", "from").isNotNull())
 
