@@ -1,15 +1,17 @@
 """Whole-document token ids and character spans from a tokenizer whose tokens never cross white space.
 
 ``word_bpe_49k`` drops white space and splits the rest into pieces by a fixed pattern, so a text's
-ids are the ids of its words in order. Words repeat, so each Python worker keeps a bounded cache of
-words: the tokenizer itself encodes a word once (many unseen words at a time), later it is a
-look-up. The tests compare this with whole-text encoding by the library.
+ids are the ids of its words in order. Words repeat, so each Python worker keeps bounded caches of
+words and pieces; what is missing is encoded by the tokenizer's own merges, once. Words outside
+Latin-1, and those that may hold a special token, go to the whole tokenizer. The tests compare all
+of this with whole-text encoding by the library.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -17,8 +19,11 @@ import numpy as np
 MAX_CACHED = 400_000
 GROUP_CHARS = 1 << 20  # texts whose words are looked up together
 JOINED = 256  # unseen words in one call
+# Fixed value: the split pattern in the tokenizer's file.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 # Python's str.split() cuts at these, the tokenizer does not.
 _ODD = "\x1c\x1d\x1e\x1f"
+_pack = struct.Struct("<I").pack
 _WORKER: dict[tuple[str, bool], WordTokens] = {}
 
 
@@ -28,18 +33,81 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies write a byte as a letter: itself if printable, else the next free one from 256."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+class Cache(dict):
+    """A dictionary that learns what it misses. Two generations: what is used again outlives a clearing."""
+
+    def __init__(self, most: int, learn: Callable):
+        super().__init__()
+        self.most, self.learn, self.old = most, learn, {}
+
+    def __missing__(self, key):
+        v = self.old.get(key)
+        if v is None:
+            v = self.learn(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = v
+        return v
+
+
 class WordTokens:
     """Ids as little-endian unsigned 32-bit bytes; with ``spans``, starts and ends in code points."""
 
     def __init__(self, path: str, spans: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = self.tokenizer.model.tokenize
+        self.cut = regex.compile(PATTERN).findall
+        self.letters = byte_letters()
         self.with_spans = spans
+        self.words = Cache(MAX_CACHED, self._word)
+        self.pieces = Cache(MAX_CACHED, self._piece)
         self.ids: dict[str, bytes] = {}
         self.spans: dict[str, bytes] = {}
 
+    def _piece(self, piece: str) -> bytes:
+        if not (piece.isascii() and piece.isprintable()):
+            piece = piece.encode().decode("latin-1").translate(self.letters)
+        return b"".join([_pack(t.id) for t in self.merges(piece)])
+
+    def _word(self, word: str) -> bytes:
+        if word.isascii():
+            if word.isalpha():
+                return self.pieces[word.lower()]
+        elif max(word) > "\xff":  # may need composition
+            return self._whole(word)[0]
+        if "<|" in word:
+            return self._whole(word)[0]
+        return b"".join(map(self.pieces.__getitem__, self.cut(word.lower())))
+
+    def _whole(self, text: str) -> tuple[bytes, np.ndarray]:
+        e = self.tokenizer.encode(text, add_special_tokens=False)
+        return np.asarray(e.ids, "<u4").tobytes(), np.asarray(e.offsets, np.int64).reshape(-1, 2)
+
+    def encode(self, texts: list[str]) -> Iterator[tuple[bytes, np.ndarray | None]]:
+        """``(ids, spans)`` of each text, in order; spans are None unless asked for."""
+        if self.with_spans:
+            yield from self._encode_spans(texts)
+            return
+        for text in texts:
+            if any(c in text for c in _ODD):
+                yield self._whole(text)[0], None
+                continue
+            yield b"".join(map(self.words.__getitem__, text.split())), None
+
+    # With spans.
+
     def _learn(self, words: list[str]) -> None:
         if len(self.ids) + len(words) > MAX_CACHED:
             self.ids.clear()
@@ -55,25 +123,17 @@ class WordTokens:
             a = 0
             for w, b in zip(part, ends, strict=True):
                 self.ids[w] = data[4 * a : 4 * b]
-                if self.with_spans:
-                    self.spans[w] = rel[8 * a : 8 * b]
+                self.spans[w] = rel[8 * a : 8 * b]
                 a = b
 
-    def _whole(self, text: str) -> tuple[bytes, np.ndarray]:
-        e = self.tokenizer.encode(text, add_special_tokens=False)
-        return np.asarray(e.ids, "<u4").tobytes(), np.asarray(e.offsets, np.int64).reshape(-1, 2)
-
-    def _found(self, text: str, words: list[str]) -> tuple[bytes, np.ndarray | None]:
+    def _found(self, text: str, words: list[str]) -> tuple[bytes, np.ndarray]:
         ids = b"".join(map(self.ids.__getitem__, words))
-        if not self.with_spans:
-            return ids, None
         parts = list(map(self.spans.__getitem__, words))
         rel = np.frombuffer(b"".join(parts), "<i4").reshape(-1, 2).astype(np.int64)
         counts = np.fromiter(map(len, parts), np.int64, len(parts)) // 8
         return ids, rel + np.repeat(word_starts(text), counts)[:, None]
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[bytes, np.ndarray | None]]:
-        """``(ids, spans)`` of each text, in order; spans are None unless asked for."""
+    def _encode_spans(self, texts: list[str]) -> Iterator[tuple[bytes, np.ndarray]]:
         for group in _groups(texts):
             out: list = [None] * len(group)
             late: dict[int, list[str]] = {}
