@@ -23,12 +23,15 @@ def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def sixteen(data: np.ndarray) -> np.ndarray:
-    """The hash of each 16-byte substring, by doubling."""
+def sixteen_and_seven(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of each 16-byte and of each 7-byte substring, by doubling."""
     h = BYTES[data]
-    for step in (1, 2, 4, 8):
+    for step in (1, 2):
         h = pair(h[:-step], h[step:])
-    return h
+    seven = pair(h[:-3], h[3:])
+    for step in (4, 8):
+        h = pair(h[:-step], h[step:])
+    return h, seven
 
 
 _PLACES = np.random.default_rng(20_240_918).integers(0, 1 << 63, 1024, np.uint64) * np.uint64(2) + np.uint64(1)

@@ -1,9 +1,10 @@
 """Repeated 50-byte strings across documents, by a prefix-free parse of the corpus.
 
-1. Rolling-hash triggers cut every text into phrases. A trigger is a 16-byte string whose hash is
-   the least of its neighbourhood, so every 50-byte window holds one and equal windows choose equal
-   triggers. The windows of a trigger, with the text they cover, are one *phrase*; phrases overlap,
-   and a window belongs to exactly one.
+1. Rolling-hash triggers cut every text into phrases. Every 50-byte window chooses one 29-byte
+   trigger inside itself: the place of its least 7-byte hash, taken modulo 22 (which samples fewer
+   triggers than the least 29-byte hash would). Equal windows choose equal triggers, neighbouring
+   windows mostly the same one. The windows of a trigger, with the text they cover, are one
+   *phrase*; phrases overlap, and a window belongs to exactly one.
 2. The parse is put into order by (trigger, phrase): the dictionary's order. Equal phrases lie side by
    side, and so do different phrases around one trigger. A phrase that occurs in a document with a
    smaller id is covered there as a whole, however often the corpus repeats it.
@@ -27,14 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackspark.llm import hashing
+from trackspark.llm import hashing, words
 from trackspark.llm.common import texts
 from trackspark.session import cut_lineage
 
 WINDOW = 50
-TRIGGER = 16
-CHUNK = 1 << 16  # windows hashed at once
+SEED_BYTES, MODULUS, TRIGGER = 7, 22, 29  # TRIGGER % MODULUS == SEED_BYTES keeps the choices in order
+CHUNK = 1 << 15  # windows hashed at once; places in a chunk fit 16 bits
 BATCH_BYTES = 1 << 23  # text whose phrases are combined before the shuffle
+BATCH_WINDOWS = 1 << 19  # single windows combined before the shuffle
 _LOW = np.uint64(0xFFFF)
 
 
@@ -47,16 +49,19 @@ def phrases(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     """``(trigger, phrase, first window, windows)`` of each phrase of a text, in order."""
     out = []
     for c in range(0, len(data) - WINDOW + 1, CHUNK):
-        h16 = hashing.sixteen(data[c : c + CHUNK + WINDOW - 1])
-        low = (h16 & ~_LOW) | (np.arange(len(h16), dtype=np.uint64) & _LOW)
-        for step in (1, 2, 4, 8, 16):
+        h16, h7 = hashing.sixteen_and_seven(data[c : c + CHUNK + WINDOW - 1])
+        low = (h7 & ~_LOW) | np.arange(len(h7), dtype=np.uint64)
+        for step in (1, 2, 4, 8, 16):  # 32 neighbours
             low = np.minimum(low[:-step], low[step:])
-        low = np.minimum(low[: len(low) - 3], low[3:])  # least of 35 neighbours: the trigger of each window
-        first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+        low = np.minimum(low[:-12], low[12:])  # the least of the 44 seeds of each window, the first one on a tie
+        place = np.arange(len(low))
+        chosen = place + ((low & _LOW).astype(np.int64) - place) % MODULUS
+        first = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]]))
         last = np.append(first[1:], len(low)) - 1
         n = (last - first + 1).astype(np.uint64)
+        at = chosen[first]
         phrase = hashing.pair(hashing.pair(hashes_at(h16, first), hashes_at(h16, last)), n)
-        out.append((low[first] >> np.uint64(16), phrase, c + first, n.astype(np.int64)))
+        out.append((hashing.pair(h16[at], h16[at + TRIGGER - 16]) >> np.uint64(16), phrase, c + first, n.astype(np.int64)))
     if not out:
         e = np.zeros(0, np.uint64)
         return e, e, np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -107,10 +112,10 @@ def _by_size(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
     """The rows of the batches in groups of about ``BATCH_BYTES`` of text, ids never null."""
     group, size = [], 0
     for b in batches:
-        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if row[0] is not None:
-                group.append(row)
-                size += len(row[1])
+        for doc, text in zip(*b.columns, strict=True):
+            if doc.is_valid:
+                group.append((doc.as_py(), text.as_py().encode()))
+                size += len(group[-1][1])
                 if size >= BATCH_BYTES:
                     yield group
                     group, size = [], 0
@@ -122,8 +127,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents to parse rows."""
     for group in _by_size(batches):
         parts = []
-        for doc, text in group:
-            raw = text.encode()
+        for doc, raw in group:
             if len(raw) < WINDOW:
                 continue
             t, p, first, n = phrases(np.frombuffer(raw, np.uint8))
@@ -198,20 +202,30 @@ def _ordered(rows: DataFrame, shift: int, with_open: bool) -> DataFrame:
     return dealt.mapInArrow(run, _FOUND_DDL)
 
 
+def _own(column: pa.Array, k: int, tag: int, is_open: bool) -> tuple[np.ndarray, np.ndarray]:
+    """First windows and window counts of the stretches of row k."""
+    found = column.slice(k, 1).flatten()
+    place, n, open_ = (c.to_numpy(zero_copy_only=False) for c in found.flatten())
+    own = (place >> 32 == tag) & (open_.astype(bool) == is_open)
+    return place[own] & 0xFFFFFFFF, n[own].astype(np.int64)
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents with open phrases to rows of single windows."""
-    for group in _by_size(batches):
-        parts = []
-        for doc, text, found in group:
-            raw = text.encode()
+    for b in batches:
+        parts, size = [], 0
+        for k in range(b.num_rows):
+            raw = b.column(1)[k].as_py().encode()
             tag = _tag(raw)
-            at = [np.arange(f["place"] & 0xFFFFFFFF, (f["place"] & 0xFFFFFFFF) + f["n"]) for f in found if f["open"] and f["place"] >> 32 == tag]
-            if at:
-                at = np.sort(np.concatenate(at))
-                h = np.concatenate([hashes_at(hashing.sixteen(np.frombuffer(raw, np.uint8, int(x[-1]) + WINDOW - int(x[0]), int(x[0]))), x - x[0]) for x in _near(at)])
-                parts.append((h & ~_LOW | np.uint64(1), h, np.full(len(at), doc), (tag << 32) + at))
-        if parts:
-            yield _combine(*map(np.concatenate, zip(*parts, strict=True)))
+            first, n = _own(b.column(2), k, tag, True)
+            if len(first):
+                at = np.sort(words.ragged(first, n))
+                h = np.concatenate([hashes_at(hashing.sixteen_and_seven(np.frombuffer(raw, np.uint8, int(x[-1]) + WINDOW - int(x[0]), int(x[0])))[0], x - x[0]) for x in _near(at)])
+                parts.append((h & ~_LOW | np.uint64(1), h, np.full(len(at), b.column(0)[k].as_py()), (tag << 32) + at))
+                size += len(at)
+            if parts and (size >= BATCH_WINDOWS or k == b.num_rows - 1):
+                yield _combine(*map(np.concatenate, zip(*parts, strict=True)))
+                parts, size = [], 0
 
 
 def _near(at: np.ndarray) -> list[np.ndarray]:
@@ -222,32 +236,33 @@ def _near(at: np.ndarray) -> list[np.ndarray]:
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
-def _cut(raw: bytes, found: list | None) -> tuple[int, int, bytes]:
+def _cut(raw: bytes, column: pa.Array, k: int) -> tuple[int, int, bytes]:
     """Removed bytes, maximal removed runs, and what stays."""
-    tag = _tag(raw)
-    spans = sorted((f["place"] & 0xFFFFFFFF, (f["place"] & 0xFFFFFFFF) + f["n"] + WINDOW - 1) for f in found or () if not f["open"] and f["place"] >> 32 == tag)
+    if not column[k].is_valid:
+        return 0, 0, raw
+    first, n = _own(column, k, _tag(raw), False)
+    order = np.argsort(first)
     kept, removed, runs, end = [], 0, 0, 0
-    at = 0
-    for a, b in spans:
+    for a, b in zip(first[order].tolist(), (first + n)[order].tolist(), strict=True):
+        b += WINDOW - 1
         if a > end or not runs:
             runs += 1
-            kept.append(raw[at:a])
+            kept.append(raw[end:a])
             removed += b - a
         elif b > end:
             removed += b - end
         end = max(end, b)
-        at = end
-    kept.append(raw[at:])
+    kept.append(raw[end:])
     return removed, runs, b"".join(kept)
 
 
 def _results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
-        for doc, text, found in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            raw = text.encode()
-            removed, runs, kept = _cut(raw, found)
-            rows.append((doc, len(raw), removed, runs, hashlib.sha256(kept).hexdigest()))
+        for k in range(b.num_rows):
+            raw = b.column(1)[k].as_py().encode()
+            removed, runs, kept = _cut(raw, b.column(2), k)
+            rows.append((b.column(0)[k].as_py(), len(raw), removed, runs, hashlib.sha256(kept).hexdigest()))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _RESULT.types, strict=True)], schema=_RESULT)
 
@@ -282,7 +297,7 @@ def kept_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def run(batches):
         for b in batches:
-            rows = [(d, _cut(t.encode(), f)[2]) for d, t, f in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+            rows = [(b.column(0)[k].as_py(), _cut(b.column(1)[k].as_py().encode(), b.column(2), k)[2]) for k in range(b.num_rows)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary()), strict=True)], names=["doc_id", "kept"])
 
