@@ -47,20 +47,18 @@ def test_drop_empty(spark):
 
 def test_whole_dataset_and_features(spark):
     """The end-to-end jobs on mask tracks of the views."""
-    from pyspark.sql import functions as F
-
     from trackspark.functions import rle
     from trackspark.plans import pipelines, views
 
     m = views.masks(spark, SF).withColumnRenamed("bird_id", "tracking_id").withColumn("counts", rle.rle_encode("runs"))
     t = m.select("video_id", "tracking_id", "frame_idx", "bbox", "counts", "size", "tracker_score")
-    acts = views.actions(spark, SF).filter(F.col("type") == "trim")
+    acts = views.actions(spark, SF)
     tracks, labels = pipelines.build_dataset(t, views.label_sheet(spark, SF), acts, views.videos(spark, SF), min_coverage=0.2)
     assert tracks.columns[:3] == ["video_id", "bird_id", "frame_idx"] and tracks.count() > 0
     out = pipelines.extract_features(tracks)
     windows = out["features_windowed"]
     assert windows.count() == labels.count() == out["sequences"].count()
-    assert len(windows.columns) == 3 + 19 * 9 + 1
+    assert len(windows.columns) == 3 + 17 * 9 + 1
     found = pipelines.find_issues(t, views.videos(spark, SF), spark.createDataFrame([("C1G1D28", "1", "x")], "video_id string, protocol_id string, description string"))
     assert found["issues"].count() > 0 and found["template"].count() > 0
     res = pipelines.scan(views.detections(spark, SF), views.videos(spark, SF))

@@ -100,107 +100,6 @@ def hull_area(x, y0, y1) -> float:
     return float(-above - below)
 
 
-def _bitmap(x, y0, y1) -> np.ndarray:
-    """Mask cropped to its box, with a border of one background pixel."""
-    grid = np.zeros((x.max() - x.min() + 3, y1.max() - y0.min() + 3), dtype=np.int8)
-    n = y1 - y0
-    rows = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(y0, n) - y0.min() + 1
-    grid[np.repeat(x - x.min() + 1, n), rows] = 1
-    return grid
-
-
-def _flood(grid: np.ndarray, seed: tuple[int, int], diagonal: bool) -> np.ndarray:
-    """Cells connected to ``seed`` through equal values."""
-    same = grid == grid[seed]
-    reach = np.zeros_like(same)
-    reach[seed] = True
-    while True:
-        grown = reach.copy()
-        grown[1:] |= reach[:-1]
-        grown[:-1] |= reach[1:]
-        if diagonal:
-            wide = grown.copy()
-            wide[:, 1:] |= grown[:, :-1]
-            wide[:, :-1] |= grown[:, 1:]
-            grown = wide
-        else:
-            grown[:, 1:] |= reach[:, :-1]
-            grown[:, :-1] |= reach[:, 1:]
-        grown &= same
-        if (grown == reach).all():
-            return reach
-        reach = grown
-
-
-def _path_length(grid: np.ndarray) -> float:
-    """Closed border path of one hole-free component, from 2x2 pattern counts.
-
-    Two neighbours in a pattern are one unit step, three are one diagonal step, an opposite
-    pair is passed twice diagonally.
-    """
-    code = grid[:-1, :-1] + 2 * grid[1:, :-1] + 4 * grid[:-1, 1:] + 8 * grid[1:, 1:]
-    n = np.bincount(code.ravel(), minlength=16)
-    straight = n[3] + n[5] + n[10] + n[12]
-    bent = n[7] + n[11] + n[13] + n[14]
-    return float(straight + np.sqrt(2.0) * (bent + 2 * (n[6] + n[9])))
-
-
-def _column_path(y0: np.ndarray, y1: np.ndarray) -> float:
-    """Border path of one component with a single segment per column: along the upper ends,
-    down the last column, back along the lower ends, up the first column."""
-    jump = np.abs(np.concatenate((np.diff(y0), np.diff(y1))))
-    level = int((jump == 0).sum())
-    turns = len(jump) - level
-    upright = jump.sum() - turns + (y1[0] - y0[0] - 1) + (y1[-1] - y0[-1] - 1)
-    return float(level + upright + np.sqrt(2.0) * turns)
-
-
-_RING = [(0, -1), (1, -1), (1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1)]  # (dx, dy), from up
-
-
-def trace_border(grid: np.ndarray) -> list[tuple[int, int]]:
-    """Corner points of one component's outer border, from its first pixel in raster order,
-    with the background kept on one side all the way round."""
-    ys, xs = np.nonzero(grid.T)
-    start = (int(xs[0]), int(ys[0]))
-    here, came, steps = start, 0, []
-    while True:
-        for k in range(1, 9):
-            d = (came - k) % 8
-            nxt = (here[0] + _RING[d][0], here[1] + _RING[d][1])
-            if grid[nxt]:
-                break
-        else:
-            return [start]
-        if here == start and steps and d == steps[0][1]:
-            break
-        steps.append((here, d))
-        here, came = nxt, (d + 4) % 8
-    return [p for i, (p, d) in enumerate(steps) if i == 0 or d != steps[i - 1][1]]
-
-
-def contour_length(x, y0, y1) -> float:
-    """Closed length of the outer borders of all components, joined one after the other.
-
-    Components are joined in reverse raster order of their first pixels.
-    """
-    single = (np.diff(x) == 1).all()  # one segment per column, no column left out
-    if single and (y0[1:] <= y1[:-1]).all() and (y1[1:] >= y0[:-1]).all():
-        return _column_path(y0, y1)
-    grid = _bitmap(x, y0, y1)
-    filled = (~_flood(grid, (0, 0), diagonal=False)).astype(np.int8)
-    parts, left = [], filled.copy()
-    while left.any():
-        ys, xs = np.nonzero(left.T)
-        part = _flood(left, (int(xs[0]), int(ys[0])), diagonal=True)
-        parts.append(part.astype(np.int8))
-        left[part] = 0
-    if len(parts) == 1:
-        return _path_length(parts[0])
-    ring = np.array([p for part in reversed(parts) for p in trace_border(part)], dtype=float)
-    return float(np.hypot(*(ring - np.roll(ring, -1, axis=0)).T).sum())
-
-
 _FIELDS = [
     "mask_area",
     "centroid_x",
@@ -209,8 +108,6 @@ _FIELDS = [
     "orientation",
     "solidity",
     "eccentricity",
-    "perimeter",
-    "circularity",
 ]
 INTS = T.ArrayType(T.IntegerType())
 POINTS = T.ArrayType(INTS)
@@ -226,11 +123,11 @@ def geometry(runs: np.ndarray, height: int) -> tuple:
     """Shape measures of one mask, in the order of ``GEOMETRY``; None where undefined."""
     x, y0, y1 = segments(runs, height)
     if len(x) == 0:
-        return (0.0, *[None] * 8, [0, 0, 0, 0])
+        return (0.0, *[None] * 6, [0, 0, 0, 0])
     area, cx, cy, m20, m02, m11 = _moments(x, y0, y1)
     spread = np.sqrt((m20 - m02) ** 2 + 4 * m11**2)
     major, minor = (m20 + m02 + spread) / 2, max((m20 + m02 - spread) / 2, 0.0)
-    hull, around = hull_area(x, y0, y1), contour_length(x, y0, y1)
+    hull = hull_area(x, y0, y1)
     return (
         float(area),
         float(cx),
@@ -239,8 +136,6 @@ def geometry(runs: np.ndarray, height: int) -> tuple:
         float(0.5 * np.arctan2(2 * m11, m20 - m02)),
         float(area / hull) if hull > 0 else None,
         float(np.sqrt(1 - minor / major)) if major > 0 else None,
-        around,
-        float(4 * np.pi * area / around**2) if around > 0 else None,
         [int(x.min()), int(y0.min()), int(x.max()), int(y1.max() - 1)],
     )
 
@@ -269,24 +164,25 @@ def _pick(runs: np.ndarray, height: int, ranks: np.ndarray) -> list[list[int]]:
 
 @F.pandas_udf(T.StringType())
 def rle_encode(runs: pd.Series) -> pd.Series:
-    return runs.map(encode_runs)
+    return runs.map(encode_runs, na_action="ignore")
 
 
 @F.pandas_udf(INTS)
 def rle_decode(counts: pd.Series) -> pd.Series:
-    return counts.map(lambda c: decode_runs(c).astype(np.int32))
+    return counts.map(lambda c: decode_runs(c).astype(np.int32), na_action="ignore")
 
 
 @F.pandas_udf(GEOMETRY)
 def mask_geometry(counts: pd.Series, height: pd.Series) -> pd.DataFrame:
-    rows = [geometry(decode_runs(c), int(h)) for c, h in zip(counts, height)]
+    none = (None,) * (len(_FIELDS) + 1)  # no mask, no shape
+    rows = [none if c is None else geometry(decode_runs(c), int(h)) for c, h in zip(counts, height)]
     frame = pd.DataFrame(rows, columns=[*_FIELDS, "box"])
     return frame.astype({c: "float64" for c in _FIELDS})
 
 
 @F.pandas_udf(T.LongType())
 def mask_area(counts: pd.Series) -> pd.Series:
-    return counts.map(lambda c: int(decode_runs(c)[1::2].sum()))
+    return pd.Series([None if c is None else int(decode_runs(c)[1::2].sum()) for c in counts], dtype="Int64")
 
 
 @F.pandas_udf(INTS)
@@ -294,6 +190,8 @@ def mask_box(counts: pd.Series, height: pd.Series) -> pd.Series:
     """[x1, y1, x2, y2] with inclusive maxima; zeros for an empty mask."""
 
     def one(c, h):
+        if c is None:
+            return None
         x, y0, y1 = segments(decode_runs(c), int(h))
         if len(x) == 0:
             return [0, 0, 0, 0]
@@ -307,12 +205,12 @@ def mask_pairs(ids: pd.Series, counts: pd.Series, parts: pd.Series, whole: pd.Se
     """Overlaps of the unordered mask pairs a packed row is responsible for."""
 
     def one(ids, counts, parts, whole):
-        runs = [decode_runs(c) for c in counts]
-        area = [int(r[1::2].sum()) for r in runs]
+        runs = [None if c is None else decode_runs(c) for c in counts]
+        area = [0 if r is None else int(r[1::2].sum()) for r in runs]
         out = []
         for i in range(len(runs)):
             for j in range(i + 1, len(runs)):
-                if whole or parts[i] != parts[j]:
+                if (whole or parts[i] != parts[j]) and runs[i] is not None and runs[j] is not None:
                     both = overlap(runs[i], runs[j])
                     out.append((int(ids[i]), int(ids[j]), both, area[i], area[j]))
         return out
@@ -326,6 +224,8 @@ def spread_points(num_points: int):
     @F.pandas_udf(POINTS)
     def points(counts: pd.Series, height: pd.Series) -> pd.Series:
         def one(c, h):
+            if c is None:
+                return None
             runs = decode_runs(c)
             n = int(runs[1::2].sum())
             if n == 0:
@@ -347,6 +247,8 @@ def random_points(num_points: int):
     @F.pandas_udf(POINTS)
     def points(counts: pd.Series, height: pd.Series, seed: pd.Series) -> pd.Series:
         def one(c, h, s):
+            if c is None:
+                return None
             runs = decode_runs(c)
             n = int(runs[1::2].sum())
             if n == 0:
@@ -364,6 +266,8 @@ def body_thirds(counts: pd.Series, height: pd.Series) -> pd.Series:
     """Pixel counts of the three equal parts along the major axis; NULL for tiny masks."""
 
     def one(c, h):
+        if c is None:
+            return None
         x, y0, y1 = segments(decode_runs(c), int(h))
         n = y1 - y0
         if n.sum() < 10:

@@ -56,14 +56,26 @@ def video_folds(videos: DataFrame) -> DataFrame:
 
 
 def shuffled_folds(videos: DataFrame, seed: int, *, by: str = "cage") -> DataFrame:
-    """Seeded random validation ids from other cages, the same on every run."""
+    """Seeded random validation ids from other cages, the same on every run.
+
+    The ids (cages or videos) stand on a circle in the order of a hash; each takes the first one
+    after it from another cage: the start of the next stretch of one cage.
+    """
     unit = cage_of("video_id") if by == "cage" else F.col("video_id")
-    ids = videos.select(unit.alias("test_id")).distinct()
-    others = ids.select(F.col("test_id").alias("val_id"))
-    differs = cage_of("test_id") != cage_of("val_id")
-    order = F.xxhash64("test_id", "val_id", F.lit(seed))
-    # A pair table of ids (cages or videos), reduced map-side to one choice each.
-    return ids.join(others, differs).groupBy("test_id").agg(F.min_by("val_id", order).alias("val_id"))
+    ids = videos.select(unit.alias("test_id")).distinct().withColumn("cage", cage_of("test_id"))
+    ids = ids.withColumn("h", F.md5(F.concat_ws("/", "test_id", F.lit(str(seed)))))
+    line = Window.partitionBy(F.lit(0)).orderBy("h", "test_id")  # a table of ids, not of rows
+    whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    opens = F.coalesce((F.lag("cage").over(line) != F.col("cage")).cast("int"), F.lit(1))
+    ids = ids.withColumn("opens", opens).withColumn("stretch", F.sum("opens").over(line))
+    ids = ids.withColumns({"last": F.max("stretch").over(whole), "last_cage": F.last("cage").over(whole)})
+    heads = ids.filter("opens = 1").select(F.col("stretch").alias("after"), F.col("test_id").alias("val_id"), F.col("cage").alias("val_cage"))
+    # Past the end the circle goes on with the first stretch, or the second if the first goes on with the last.
+    first_cage = F.first("cage").over(whole)
+    after = F.when(F.col("stretch") < F.col("last"), F.col("stretch") + 1).when(first_cage != F.col("last_cage"), F.lit(1)).otherwise(F.lit(2))
+    few = F.raise_error(F.lit("shuffled folds need at least 2 cages"))
+    after = F.when(F.col("last") < 2, few.cast("long")).otherwise(after)
+    return ids.withColumn("after", after).join(heads, "after").select("test_id", "val_id")
 
 
 def tag_splits(rows: DataFrame, folds: DataFrame, *, group: Column | None = None) -> DataFrame:

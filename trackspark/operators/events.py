@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackspark.functions import boxes as bx
@@ -234,8 +234,14 @@ def occlusion_aware_switches(
     )
 
 
-def tracking_issues(overlaps: DataFrame, transitions: DataFrame, low_scores: DataFrame) -> DataFrame:
-    """All events of a video in one table, ordered by start, then overlap / switch / low score."""
+def tracking_issues(
+    overlaps: DataFrame, transitions: DataFrame, low_scores: DataFrame, *, block: int = BLOCK
+) -> DataFrame:
+    """All events of a video in one table, ordered by start, then overlap / switch / low score.
+
+    ``event`` numbers the events of a video in this order from 1; the table is sorted as a whole
+    (by ranges, so a video with many events spreads over partitions).
+    """
     ov = overlaps.withColumns({"type": F.lit("overlap"), "_rank": F.lit(0)})
     sw = transitions.select(
         "video_id",
@@ -252,7 +258,19 @@ def tracking_issues(overlaps: DataFrame, transitions: DataFrame, low_scores: Dat
     )
     lo = low_scores.withColumns({"type": F.lit("low_score"), "_rank": F.lit(2)})
     out = ov.unionByName(sw, allowMissingColumns=True).unionByName(lo, allowMissingColumns=True)
-    return out.repartition("video_id", "start").sortWithinPartitions("video_id", "start", "_rank").drop("_rank")
+    # Equal starts and kinds stand in the order of a hash of the whole event.
+    out = out.withColumn("_tie", F.xxhash64(*out.columns))
+    return _numbered(out, block).orderBy("video_id", "event")
+
+
+def _numbered(events: DataFrame, block: int) -> DataFrame:
+    in_order = blocks.in_blocks(events, ["video_id"], "start", block)
+    here = Window.partitionBy("video_id", blocks.BLK).orderBy("start", "_rank", "_tie")
+    earlier = Window.partitionBy("video_id").orderBy(blocks.BLK).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = in_order.groupBy("video_id", blocks.BLK).agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("video_id", blocks.BLK, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    out = in_order.withColumn("_at", F.row_number().over(here)).join(before, ["video_id", blocks.BLK], "left")
+    return out.withColumn("event", F.col("_before") + F.col("_at")).drop("_before", "_at", "_rank", "_tie", blocks.BLK)
 
 
 def score_segments(

@@ -30,8 +30,6 @@ FEATURES = [
     "orientation",
     "solidity",
     "eccentricity",
-    "perimeter",
-    "circularity",
 ]
 ENTITY = ["video_id", "bird_id"]
 WINDOW = ["video_id", "bird_id", "window"]

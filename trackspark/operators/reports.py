@@ -230,7 +230,16 @@ def linear_cka(df: DataFrame, x: str, y: str) -> DataFrame:
     """
 
     def mean_vector(c: str) -> DataFrame:
-        items = df.select(F.posexplode(c).alias("i", "v")).groupBy("i").agg(F.avg(F.col("v").cast("double")).alias("m"))
+        def sums(batches):
+            total, n = 0.0, 0
+            for pdf in batches:
+                if len(pdf):
+                    total, n = total + np.stack(pdf[c].to_numpy()).astype(float).sum(0), n + len(pdf)
+            if n:
+                yield pd.DataFrame({"i": np.arange(len(total)), "s": total, "n": n})
+
+        cells = df.select(c).mapInPandas(sums, "i int, s double, n long").groupBy("i")
+        items = cells.agg((F.sum("s") / F.sum("n")).alias("m"))
         return items.agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("o")).select(
             F.transform("o", lambda e: e["m"]).alias(f"_m_{c}")
         )

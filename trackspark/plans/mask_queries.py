@@ -56,8 +56,6 @@ SHAPE = [
     "orientation",
     "solidity",
     "eccentricity",
-    "perimeter",
-    "circularity",
 ]
 
 
@@ -68,7 +66,7 @@ def q_mask_geometry(spark, sf):
     return rounded(out.withColumn("orientation", flat), *SHAPE, digits=7)
 
 
-# A w x h rectangle of pixels: variances (w^2-1)/12 and (h^2-1)/12, hull and border on centres.
+# A w x h rectangle of pixels: variances (w^2-1)/12 and (h^2-1)/12, hull on pixel centres.
 SQL_GEOMETRY = O.r6(
     O._cte(O.DET, MASK)
     + """SELECT video_id, id AS bird_id, frame_idx, CAST(mw * mh AS DOUBLE) AS mask_area, mx + (mw - 1) / 2 AS centroid_x,
@@ -76,9 +74,7 @@ SQL_GEOMETRY = O.r6(
     sqrt((greatest(mw, mh) ** 2 - 1) / (least(mw, mh) ** 2 - 1)) AS elongation,
     CASE WHEN mw >= mh THEN 0.0::DOUBLE ELSE pi() / 2 END AS orientation,
     mw * mh / ((mw - 1) * (mh - 1)) AS solidity,
-    sqrt(1 - (least(mw, mh) ** 2 - 1) / (greatest(mw, mh) ** 2 - 1)) AS eccentricity,
-    CAST(2 * (mw - 1) + 2 * (mh - 1) AS DOUBLE) AS perimeter,
-    4 * pi() * mw * mh / (2 * (mw - 1) + 2 * (mh - 1)) ** 2 AS circularity FROM mk""",
+    sqrt(1 - (least(mw, mh) ** 2 - 1) / (greatest(mw, mh) ** 2 - 1)) AS eccentricity FROM mk""",
     *SHAPE,
     digits=7,
 )

@@ -64,16 +64,16 @@ SQL_MEAN_POOL = (
 
 def q_concat_embeddings(spark, sf):
     e = _emb(spark, sf)
-    a = e.select("vec_id", F.slice("embedding", 1, 3).alias("vec"))
-    b = e.select("vec_id", F.slice("embedding", 10, 2).alias("vec"))
+    a = e.select("vec_id", F.slice("embedding", 25, 40).alias("vec"))
+    b = e.select("vec_id", F.slice("embedding", 1, 24).alias("vec"))
     out = sequences.join_embeddings(a, b, keys=["vec_id"])
     return out.select("vec_id", F.posexplode("vec").alias("dim", "value")).withColumn(
         "value", F.round(F.col("value").cast("double"), 6)
     )
 
 
-SQL_CONCAT = """SELECT vec_id, CAST(p - 1 AS INTEGER) AS dim, round(CAST(embedding[[1, 2, 3, 10, 11][p]] AS DOUBLE), 6) AS value
-    FROM (SELECT vec_id, embedding, unnest([1, 2, 3, 4, 5]) AS p FROM embeddings)"""
+SQL_CONCAT = """SELECT vec_id, CAST(p AS INTEGER) AS dim, round(CAST(embedding[CASE WHEN p < 40 THEN p + 25 ELSE p - 39 END] AS DOUBLE), 6) AS value
+    FROM (SELECT vec_id, embedding, unnest(range(64)) AS p FROM embeddings)"""
 
 
 def q_scale_columns(spark, sf):
@@ -202,6 +202,14 @@ def q_shuffled_folds(spark, sf):
     return classes.shuffled_folds(views.videos(spark, sf), 7, by="video")
 
 
+# The first id of another cage after one's own on the circle of hashes.
+SQL_SHUFFLED = (
+    O._cte(_V, ("u", "SELECT DISTINCT video_id, substr(video_id, 1, 2) AS cage, md5(video_id || '/7') AS h FROM v"))
+    + """SELECT a.video_id AS test_id, arg_min(b.video_id, (CASE WHEN b.h > a.h THEN '0' ELSE '1' END) || b.h) AS val_id
+    FROM u a JOIN u b ON a.cage <> b.cage GROUP BY a.video_id"""
+)
+
+
 def q_split_counts(spark, sf):
     v = views.videos(spark, sf)
     tagged = classes.tag_splits(views.labels(spark, sf), classes.cage_folds(v))
@@ -583,7 +591,7 @@ SQL_PURITY = O.r6(
 def q_cka(spark, sf):
     e = _emb(spark, sf).select(
         F.slice("embedding", 1, 32).alias("x"),
-        F.slice("embedding", 17, 32).alias("y"),
+        F.slice("embedding", 33, 32).alias("y"),
     )
     return rounded(reports.linear_cka(e, "x", "y"), "cka")
 
@@ -595,7 +603,7 @@ SQL_CKA = O.r6(
         ("c", "SELECT vec_id, list_transform(range(1, 65), lambda i: CAST(embedding[i] AS DOUBLE) - mu[i]) AS v FROM embeddings CROSS JOIN mv"),
         (
             "k",
-            """SELECT list_inner_product(a.v[1:32], b.v[1:32]) AS k, list_inner_product(a.v[17:48], b.v[17:48]) AS l
+            """SELECT list_inner_product(a.v[1:32], b.v[1:32]) AS k, list_inner_product(a.v[33:64], b.v[33:64]) AS l
           FROM c a JOIN c b ON a.vec_id <> b.vec_id""",
         ),
     )
@@ -647,7 +655,7 @@ QUERIES = {
     "crop_plan": (q_crop_plan, SQL_CROP),
     "cage_folds": (q_cage_folds, SQL_CAGE_FOLDS),
     "video_folds": (q_video_folds, SQL_VIDEO_FOLDS),
-    "shuffled_folds": (q_shuffled_folds, None),
+    "shuffled_folds": (q_shuffled_folds, SQL_SHUFFLED),
     "split_counts": (q_split_counts, SQL_SPLITS),
     "class_weights": (q_class_weights, SQL_WEIGHTS),
     "confusion": (q_confusion, SQL_CONFUSION),

@@ -11,9 +11,9 @@ KEYS = ("video_id", "frame_idx", "object_id")
 
 
 def start_upsert(
-    stream: DataFrame, path: str, checkpoint: str, *, keys: Sequence[str] = KEYS, order: str | None = None
+    stream: DataFrame, path: str, checkpoint: str, *, keys: Sequence[str] = KEYS, order: str
 ):
-    """Write every micro-batch to its own ``batch`` folder, one row per key.
+    """Write every micro-batch to its own ``batch`` folder, one row per key: the last by ``order``.
 
     A batch that is replayed after a failure overwrites its own folder only, so the table is
     the same as without the failure, and no earlier data is read or rewritten.
@@ -21,8 +21,7 @@ def start_upsert(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rest = F.struct(*[c for c in batch.columns if c not in keys])
-        by = F.col(order) if order else rest
-        last = batch.groupBy(*keys).agg(F.max_by(rest, by).alias("_r")).select(*keys, "_r.*")
+        last = batch.groupBy(*keys).agg(F.max_by(rest, F.col(order)).alias("_r")).select(*keys, "_r.*")
         last.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
