@@ -6,13 +6,14 @@ A document's tokens are its distinct word shingles, hashed to 64 bits. Two docum
 1. Equal token sets become one class; its smallest document stands for it.
 2. Tokens have one global order, rare ones first (frequencies from 2**18 counters over all documents).
    A set of n tokens can only link to sets that share one of its first ``n - ceil(t n) + 1`` tokens.
-3. Classes that share such a token are dealt into groups: by the first shared token, and groups of
-   more than ``GROUP`` at random into parts. A part also gets the group's few anchors, so parts of one
+3. Classes that share such a token are dealt into groups: by the most shared one, and groups of more
+   than ``GROUP`` at random into parts. A part also gets the group's few anchors, so parts of one
    family of near copies connect through them.
 4. Inside a part, classes are linked one after the other: each found component keeps the union of its
    tokens, and only components whose union can hold enough of the new class's tokens are opened.
-5. Across parts, the token-group matrix (prefix token, part, components in it) names the parts each
-   class must still query; parts that lie in the class's own component as a whole are left out.
+5. Across parts, the token-group matrix (prefix token, part, components, sizes and places in it) names
+   the parts each class must still query: those where enough tokens can follow a first common one.
+   Parts that lie in the class's own component as a whole are left out.
    There, again, only components whose union qualifies are opened.
 
 No pair of documents becomes a row before its link is proven, and each class sends a link for each
@@ -21,11 +22,11 @@ component it touches, not for each partner.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -153,9 +154,20 @@ class Part:
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed, as they travel between the steps."""
+    zip_ = zstandard.ZstdCompressor(level=1).compress
+    for b in batches:
+        packed = pa.array([zip_(t.as_py().encode()) for t in b.column("text")], pa.binary())
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), packed], names=["doc_id", "text_key", "packed"])
+
+
 def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows with the text, their last column, opened."""
+    unzip = zstandard.ZstdDecompressor().decompress
     for b in batches:
-        yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
+        for *row, packed in zip(*b.columns, strict=True):
+            yield *(x.as_py() for x in row), unzip(packed.as_py()).decode()
 
 
 def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -234,9 +246,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     # Prefix tokens that classes share; a class without one has no links.
     prefix = classes.select("rep", "text_key", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = prefix.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1").select("token")
+    shared = prefix.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1")
     prefix = cut_lineage(prefix.join(shared, "token"), "prefix")
-    homes = prefix.groupBy("rep", "text_key").agg(F.min_by("token", "pos").alias("home"))
+    # The most shared one of its tokens is home to a class: a family of near copies meets there.
+    homes = prefix.groupBy("rep", "text_key").agg(F.max_by("token", F.struct("m", "token")).alias("home"))
     anchor = [F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("h"), "rep", "text_key")) for k in range(ANCHORS)]
     sizes = homes.groupBy("home").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"), F.array(*anchor).alias("anchors"))
     placed = homes.join(sizes.select("home", "parts"), "home").withColumn("sub", F.pmod(F.xxhash64("rep", "text_key"), "parts").cast("int"))
@@ -247,20 +260,24 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     # The texts of these classes only; one shuffle of the documents.
     wanted = placed.select(F.col("rep").alias("doc_id"), "text_key")
-    own = docs.join(wanted, ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"]).withColumnRenamed("doc_id", "rep")
+    packed = docs.filter("doc_id is not null").mapInArrow(_packed, "doc_id long, text_key long, packed binary")
+    own = packed.join(wanted, ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"]).withColumnRenamed("doc_id", "rep")
     own = cut_lineage(own, "class-texts")
 
-    rows = members.join(own, ["rep", "text_key"]).select("home", "sub", "rep", "text")
+    rows = members.join(own, ["rep", "text_key"]).select("home", "sub", "rep", "packed")
     inside = rows.repartition("home", "sub").sortWithinPartitions("home", "sub", "rep").mapInArrow(_inside(size, num, den), "a long, b long")
     inside = cut_lineage(inside.unionByName(same_id), "links-inside")
     found = components(inside)
 
     # The token-group matrix, without tokens whose classes all lie in one part or one component.
-    cells = _labelled(prefix.select("rep", "text_key", "n", "token").join(placed, ["rep", "text_key"]), found)
+    cells = _labelled(prefix.select("rep", "text_key", "n", "pos", "token").join(placed, ["rep", "text_key"]), found)
     group = F.struct("home", "sub")
     open_tokens = cells.groupBy("token").agg(F.min(group).alias("g0"), F.max(group).alias("g1"), F.min("component").alias("c0"), F.max("component").alias("c1"))
     cells = cut_lineage(cells.join(open_tokens.filter("g0 < g1 and c0 < c1").select("token"), "token"), "cells")
-    matrix = cells.groupBy("token", "home", "sub").agg(*[f(c).alias(f"{name}_{c}") for c in ("component", "n") for name, f in (("min", F.min), ("max", F.max))])
+    # Of a pair's first common token, at places i and j of sets of n and m tokens, all common ones come
+    # from there on: n - i and m - j must reach num / (num + den) * (n + m).
+    reach = F.max(den * F.col("n") - (num + den) * F.col("pos")).alias("reach")
+    matrix = cells.groupBy("token", "home", "sub").agg(*[f(c).alias(f"{name}_{c}") for c in ("component", "n") for name, f in (("min", F.min), ("max", F.max))], reach)
     q, m = cells.alias("q"), matrix.alias("m")
     ask = q.join(
         m,
@@ -268,13 +285,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         & (F.struct("q.home", "q.sub") < F.struct("m.home", "m.sub"))
         & ~((F.col("min_component") == F.col("max_component")) & (F.col("min_component") == F.col("q.component")))
         & (F.col("q.n") * num <= F.col("max_n") * den)
+        & ((F.col("q.n") + F.col("min_n")) * num <= (F.col("q.n") - F.col("q.pos")) * (num + den))
+        & (F.col("q.n") * num <= F.col("reach"))
         & (F.col("min_n") * num <= F.col("q.n") * den),
     ).select("m.home", "m.sub", "q.rep", "q.text_key", "q.component")
     ask = cut_lineage(ask.distinct(), "asks")
     asked = ask.select("home", "sub").distinct()
     answering = _labelled(placed.join(asked, ["home", "sub"]).select("rep", "text_key", "home", "sub"), found)
     both = answering.withColumn("query", F.lit(False)).unionByName(ask.withColumn("query", F.lit(True)))
-    rows = both.join(own, ["rep", "text_key"]).select("home", "sub", "query", "rep", "component", "text")
+    rows = both.join(own, ["rep", "text_key"]).select("home", "sub", "query", "rep", "component", "packed")
     across = rows.repartition("home", "sub").sortWithinPartitions("home", "sub", "query", "rep").mapInArrow(_across(size, num, den), "a long, b long")
     across = cut_lineage(across, "links-across")
     found = components(inside.unionByName(across))
