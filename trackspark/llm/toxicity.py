@@ -28,7 +28,7 @@ WINDOW, STRIDE = 16, 8
 GRAMS = (3, 4, 5)
 # Bounds of the training sample: rows of either class, and the longest text in it.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 3000, 6000, 32_768
-STEPS, REFRESH, BATCH, RATE, SEED = 1200, 100, 64, 0.25, 7
+STEPS, REFRESH, BATCH, RATE, SEED = 2400, 100, 64, 0.25, 7
 TOXIC_WEIGHT = 3.0  # a missed toxic text against a clean one suspected
 THRESHOLD = 0.7
 MAX_CACHED = 400_000
@@ -130,10 +130,14 @@ def train(sample: list[tuple[str, int]], seed: int = SEED) -> Model:
     if not len(labels) or labels.min() == labels.max():
         return Model(np.zeros(BUCKETS, np.float32), 0.0, float(labels.mean()) if len(labels) else 0.0, fitted=False)
     index: dict[str, int] = {}
-    docs = [np.array([index.setdefault(w, len(index)) for w in words_of(t)], np.int64) for t, _ in sample]
+    docs = [np.array([index.setdefault(w, len(index)) for w in words_of(t)], np.int32) for t, _ in sample]
     if not index:
         return Model(np.zeros(BUCKETS, np.float32), 0.0, float(labels.mean()), fitted=False)
-    flats, counts_of = parts(list(index))
+    vocabulary = list(index)
+    pieces = [parts(vocabulary[a : a + 20_000]) for a in range(0, len(vocabulary), 20_000)]
+    flats = np.concatenate([f.astype(np.int32) for f, _ in pieces])
+    counts_of = np.concatenate([c for _, c in pieces])
+    del index, vocabulary, pieces
     starts_of = np.cumsum(counts_of) - counts_of
     rng = np.random.default_rng(seed)
     emb = np.zeros((BUCKETS, DIM), np.float32)  # parts that training never saw stay neutral
