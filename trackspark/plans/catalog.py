@@ -4,7 +4,15 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["scan_queries", "dataset_queries", "track_queries", "mask_queries", "eval_queries", "report_queries"]
+_MODULES = [
+    "scan_queries",
+    "dataset_queries",
+    "track_queries",
+    "mask_queries",
+    "eval_queries",
+    "report_queries",
+    "io_queries",
+]
 
 QUERIES: dict = {}
 for _name in _MODULES:
