@@ -16,7 +16,7 @@ from itertools import chain
 
 import numpy as np
 
-MAX_CACHED = 400_000
+MAX_CACHED = 200_000
 GROUP_CHARS = 1 << 20  # texts whose words are looked up together
 JOINED = 256  # unseen words in one call
 # Fixed value: the split pattern in the tokenizer's file.

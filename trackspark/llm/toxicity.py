@@ -31,7 +31,7 @@ SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 3000, 6000, 32_768
 STEPS, REFRESH, BATCH, RATE, SEED = 2400, 100, 64, 0.25, 7
 TOXIC_WEIGHT = 3.0  # a missed toxic text against a clean one suspected
 THRESHOLD = 0.7
-MAX_CACHED = 400_000
+MAX_CACHED = 150_000
 _WORD = re.compile(r"[^\W_]+")
 
 
