@@ -1,6 +1,8 @@
 """Secrets: the base kinds against a plain reading of their rules, and the token test."""
 
+import random
 import re
+import string
 
 from trackspark.llm import secrets
 
@@ -31,6 +33,25 @@ def test_random_strings():
         assert not found(clean), clean
 
 
+def test_random_strings_joined_to_words():
+    rng = random.Random(5)
+    sets = [(string.ascii_letters + string.digits, 24), (string.ascii_letters + string.digits + "+/", 32), (string.ascii_letters + string.digits + "-_", 40)]
+    for before in ("production_database_connection_credential=", "/services/integration/notifications/", "https://hooks.example/services/incoming/notifications/customer-support/"):
+        for letters, size in sets:
+            hit = 0
+            for _ in range(200):
+                t = f"{before}{''.join(rng.choices(letters, k=size))} end"
+                # Up to three characters at the ends may look like the path.
+                hit += any(a <= len(before) + 3 and e >= len(before) + size - 3 for a, _, e in secrets.random_spans(t, ENC))
+            assert hit >= 0.96 * 200, (before, size)
+    found = lambda t: [t[a:b] for a, _, b in secrets.random_spans(t, ENC)]
+    other = KEY[::-1]
+    assert found(f"/customers/integration/{KEY}/notifications/configuration/development/{other}/information/international") == [KEY, other]
+    assert found(f"production_database_connection_credential={KEY[:18]}==") == [KEY[:18] + "=="]
+    for clean in ("/customers/notifications/123e4567-e89b-12d3-a456-426614174000/details", "/objects/configuration/" + "0a1b2c3d" * 4 + "/information", "/usr/lib/python3/site-packages/configuration"):
+        assert not found(clean), clean
+
+
 def test_table(awkward, empty, spark):
     rows = secrets.scan_secrets(awkward).collect()
     assert len(rows) == 11 and {r["spans"] for r in rows if r["doc_id"] in (2, 3)} == {""}

@@ -2,7 +2,8 @@
 
 A public byte-pair vocabulary packs natural words, paths and identifiers into few tokens, but needs
 a token for every one or two characters of a random string. Candidates are runs of key characters;
-known digests, UUIDs and identifiers built from plain words and numbers are excluded first.
+known digests, UUIDs and identifiers built from plain words and numbers are excluded first. In a run that is
+shortened as a whole, a name or path may hide a secret, so its stretches are tried too.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,9 +24,13 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # the runs of [0-9a-f]+ that are long enough
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+LEAST = 20  # characters of a random string
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 PIECES = re.compile(r"[^A-Za-z0-9]+")
+WORD = re.compile(r"[A-Za-z0-9]+(?:=+$)?")  # with the padding that ends a run
+SHORT = 3  # plain pieces of base64 text are seldom longer
 UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
+UUID_INSIDE = re.compile(rf"(?<![A-Za-z0-9]){UUID.pattern}(?![A-Za-z0-9])")
 DIGEST_SIZES = frozenset({32, 40, 48, 56, 64, 96, 128})  # hex digits of the common digests
 ALL_HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 MAX_CHARS_PER_TOKEN = 2.0
@@ -50,11 +56,19 @@ def encoder(path: str):
     return _ENCODERS[path]
 
 
+def known(run: str) -> bool:
+    """A digest or a UUID."""
+    return bool(len(run) in DIGEST_SIZES and ALL_HEX.fullmatch(run) or UUID.fullmatch(run))
+
+
+def plain(piece: str) -> bool:
+    """A plain word, a capitalised word or a number."""
+    return piece.isdigit() or piece.isalpha() and (piece.islower() or piece.isupper() or piece.istitle())
+
+
 def excluded(run: str) -> bool:
-    """A digest, a UUID, or an identifier: every piece is a plain word, a capitalised word or a number."""
-    if len(run) in DIGEST_SIZES and ALL_HEX.fullmatch(run) or UUID.fullmatch(run):
-        return True
-    return all(p.isdigit() or p.islower() and p.isalpha() or p.isupper() and p.isalpha() or p.istitle() and p.isalpha() for p in PIECES.split(run) if p)
+    """A digest, a UUID, or an identifier: every piece is plain."""
+    return known(run) or all(plain(p) for p in PIECES.split(run) if p)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -65,13 +79,81 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def stretches(run: str, enc, max_ratio: float) -> list[tuple[int, int]]:
+    """``(start, end)`` of the secrets inside a run that also holds a name, a path or other words.
+
+    Of the stretches from piece to piece with enough characters and few of them for each token, the
+    longest is taken, then the longest on either side of it. None begins or ends with a plain piece of
+    over ``SHORT`` characters, reaches over a digest or UUID, or has plain pieces only.
+    """
+    out: list[tuple[int, int]] = []
+    at = 0
+    for m in [*UUID_INSIDE.finditer(run), None]:
+        pieces = [(at + w.start(), at + w.end()) for w in WORD.finditer(run[at : m.start() if m else len(run)])]
+        at = m.end() if m else at
+        group: list[tuple[int, int]] = []
+        for a, e in pieces:
+            if known(run[a:e]):
+                out += _longest(run, group, enc, max_ratio)
+                group = []
+            else:
+                group.append((a, e))
+        out += _longest(run, group, enc, max_ratio)
+    return sorted(out)
+
+
+def _longest(run: str, pieces: list[tuple[int, int]], enc, max_ratio: float) -> list[tuple[int, int]]:
+    if not pieces or pieces[-1][1] - pieces[0][0] < LEAST:
+        return []
+    odd = [not plain(run[a:e].rstrip("=")) for a, e in pieces]
+    if not any(odd):
+        return []
+    # A stretch has few enough characters for each token if its gain from first to last piece is not negative.
+    tokens = [len(enc.encode_ordinary(run[a:e])) for a, e in pieces]
+    gaps = [len(enc.encode_ordinary(run[e:a])) for (_, e), (a, _) in zip(pieces, pieces[1:], strict=False)]
+    before, after, gain = [], [], 0.0
+    for k, (a, e) in enumerate(pieces):
+        before.append(gain)
+        gain += max_ratio * tokens[k] - (e - a)
+        after.append(gain)
+        if k < len(gaps):
+            gain += max_ratio * gaps[k] - (pieces[k + 1][0] - e)
+    edge = [o or e - a <= SHORT for o, (a, e) in zip(odd, pieces, strict=True)]
+    seen = [0, *accumulate(odd)]
+    out, todo = [], [(0, len(pieces))]
+    while todo:
+        lo, hi = todo.pop()
+        # Starts whose gain is a new low, in order; ends from the right: each start is met once.
+        starts: list[int] = []
+        for k in range(lo, hi):
+            if edge[k] and (not starts or before[k] < before[starts[-1]]):
+                starts.append(k)
+        best = (0, 0, 0)
+        for k in range(hi - 1, lo - 1, -1):
+            if edge[k]:
+                while starts and (starts[-1] > k or before[starts[-1]] <= after[k]):
+                    i = starts.pop()
+                    if i <= k and seen[k + 1] > seen[i]:
+                        best = max(best, (pieces[k][1] - pieces[i][0], i, k))
+        size, i, k = best
+        if size >= LEAST:
+            out.append((pieces[i][0], pieces[k][1]))
+            todo += [(lo, i), (k + 1, hi)]
+    return out
+
+
 def random_spans(text: str, enc, max_ratio: float = MAX_CHARS_PER_TOKEN) -> list[tuple[int, int, int]]:
-    """Runs with few characters for each token, apart from what is excluded."""
-    return [
-        (m.start(), 3, m.end())
-        for m in CANDIDATE.finditer(text)
-        if not excluded(m[0]) and len(m[0]) <= max_ratio * len(enc.encode_ordinary(m[0]))
-    ]
+    """Runs with few characters for each token, apart from what is excluded; else such stretches of a run."""
+    out = []
+    for m in CANDIDATE.finditer(text):
+        run = m[0]
+        if excluded(run):
+            continue
+        if len(run) <= max_ratio * len(enc.encode_ordinary(run)):
+            out.append((m.start(), 3, m.end()))
+        else:
+            out += [(m.start() + a, 3, m.start() + e) for a, e in stretches(run, enc, max_ratio)]
+    return out
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
