@@ -48,10 +48,22 @@ def test_random_strings_joined_to_words():
     other = KEY[::-1]
     assert found(f"/customers/integration/{KEY}/notifications/configuration/development/{other}/information/international") == [KEY, other]
     assert found(f"production_database_connection_credential={KEY[:18]}==") == [KEY[:18] + "=="]
-    for clean in ("/customers/notifications/123e4567-e89b-12d3-a456-426614174000/details", "/objects/configuration/" + "0a1b2c3d" * 4 + "/information", "/usr/lib/python3/site-packages/configuration"):
+    for clean in ("/customers/notifications/123e4567-e89b-12d3-a456-426614174000/details", "/objects/configuration/notifications/international/" + "0a1b2c3d" * 4 + "/information/development", "/usr/lib/python3/site-packages/configuration"):
         assert not found(clean), clean
 
 
+def test_one_letter_case():
+    rng = random.Random(6)
+    keys = [lambda n=n: "".join(rng.choices(string.ascii_lowercase, k=n)) for n in (20, 24, 40)]
+    keys += [lambda: "-".join("".join(rng.choices(string.ascii_uppercase, k=5)) for _ in range(5))]
+    for before in ("", "production_database_connection_credential="):
+        for key in keys:
+            hit = sum(bool(secrets.random_spans(f"{before}{key()} end", ENC)) for _ in range(200))
+            assert hit >= 0.95 * 200, before
+    for clean in ("an_id_of_a_word_to_be_kept", "MAX_CHARACTERS_PER_TOKEN_EXCLUDED", "internationalization", "donaudampfschifffahrtsgesellschaft", "RESPONSABILIDADES-ADMINISTRATIVAS"):
+        assert not secrets.random_spans(clean, ENC), clean
+
+
 def test_table(awkward, empty, spark):
     rows = secrets.scan_secrets(awkward).collect()
     assert len(rows) == 11 and {r["spans"] for r in rows if r["doc_id"] in (2, 3)} == {""}

@@ -11,7 +11,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from itertools import accumulate
+from itertools import accumulate, groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,7 +28,8 @@ LEAST = 20  # characters of a random string
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 PIECES = re.compile(r"[^A-Za-z0-9]+")
 WORD = re.compile(r"[A-Za-z0-9]+(?:=+$)?")  # with the padding that ends a run
-SHORT = 3  # plain pieces of base64 text are seldom longer
+REPEATED = re.compile(r"(.{1,4}?)\1{3,}")
+SHORT = 3  # plain pieces of random text seldom have more characters for each token
 UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 UUID_INSIDE = re.compile(rf"(?<![A-Za-z0-9]){UUID.pattern}(?![A-Za-z0-9])")
 DIGEST_SIZES = frozenset({32, 40, 48, 56, 64, 96, 128})  # hex digits of the common digests
@@ -61,14 +62,25 @@ def known(run: str) -> bool:
     return bool(len(run) in DIGEST_SIZES and ALL_HEX.fullmatch(run) or UUID.fullmatch(run))
 
 
-def plain(piece: str) -> bool:
-    """A plain word, a capitalised word or a number."""
-    return piece.isdigit() or piece.isalpha() and (piece.islower() or piece.isupper() or piece.istitle())
+def plain(piece: str, enc, max_ratio: float) -> bool:
+    """A number, or a word in one letter case or capitalised that the vocabulary shortens,
+    or up to four such letters over and over.
+
+    Words in capitals are asked for in small letters, which the vocabulary knows better; short words
+    need be one token only.
+    """
+    if not piece.isalpha():
+        return piece.isdigit()
+    if not (piece.islower() or piece.isupper() or piece.istitle()):
+        return False
+    if REPEATED.fullmatch(piece):
+        return True
+    return any(n == 1 or len(piece) > max_ratio * n for n in (len(enc.encode_ordinary(p)) for p in dict.fromkeys((piece, piece.lower()))))
 
 
-def excluded(run: str) -> bool:
+def excluded(run: str, enc, max_ratio: float = MAX_CHARS_PER_TOKEN) -> bool:
     """A digest, a UUID, or an identifier: every piece is plain."""
-    return known(run) or all(plain(p) for p in PIECES.split(run) if p)
+    return known(run) or all(plain(p, enc, max_ratio) for p in PIECES.split(run) if p)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -84,7 +96,7 @@ def stretches(run: str, enc, max_ratio: float) -> list[tuple[int, int]]:
 
     Of the stretches from piece to piece with enough characters and few of them for each token, the
     longest is taken, then the longest on either side of it. None begins or ends with a plain piece of
-    over ``SHORT`` characters, reaches over a digest or UUID, or has plain pieces only.
+    over ``SHORT`` characters a token, reaches over a digest or UUID, or has plain pieces only.
     """
     out: list[tuple[int, int]] = []
     at = 0
@@ -105,7 +117,7 @@ def stretches(run: str, enc, max_ratio: float) -> list[tuple[int, int]]:
 def _longest(run: str, pieces: list[tuple[int, int]], enc, max_ratio: float) -> list[tuple[int, int]]:
     if not pieces or pieces[-1][1] - pieces[0][0] < LEAST:
         return []
-    odd = [not plain(run[a:e].rstrip("=")) for a, e in pieces]
+    odd = [not plain(run[a:e].rstrip("="), enc, max_ratio) for a, e in pieces]
     if not any(odd):
         return []
     # A stretch has few enough characters for each token if its gain from first to last piece is not negative.
@@ -118,8 +130,12 @@ def _longest(run: str, pieces: list[tuple[int, int]], enc, max_ratio: float) ->
         after.append(gain)
         if k < len(gaps):
             gain += max_ratio * gaps[k] - (pieces[k + 1][0] - e)
-    edge = [o or e - a <= SHORT for o, (a, e) in zip(odd, pieces, strict=True)]
+    edge = [o or e - a <= SHORT * n for o, n, (a, e) in zip(odd, tokens, pieces, strict=True)]
     seen = [0, *accumulate(odd)]
+
+    def holds(i: int, k: int) -> bool:
+        return pieces[k][1] - pieces[i][0] >= LEAST and after[k] >= before[i] and seen[k + 1] > seen[i]
+
     out, todo = [], [(0, len(pieces))]
     while todo:
         lo, hi = todo.pop()
@@ -137,8 +153,15 @@ def _longest(run: str, pieces: list[tuple[int, int]], enc, max_ratio: float) ->
                         best = max(best, (pieces[k][1] - pieces[i][0], i, k))
         size, i, k = best
         if size >= LEAST:
-            out.append((pieces[i][0], pieces[k][1]))
             todo += [(lo, i), (k + 1, hi)]
+            # Words between two secrets are not part of either.
+            for words, at in groupby(range(i, k + 1), lambda n: not edge[n]):
+                p, *_, q = [*at] * 2
+                if words and pieces[q][1] - pieces[p][0] >= LEAST // 2 and holds(i, p - 1) and holds(q + 1, k):
+                    todo += [(i, p), (q + 1, k + 1)]
+                    break
+            else:
+                out.append((pieces[i][0], pieces[k][1]))
     return out
 
 
@@ -147,7 +170,7 @@ def random_spans(text: str, enc, max_ratio: float = MAX_CHARS_PER_TOKEN) -> list
     out = []
     for m in CANDIDATE.finditer(text):
         run = m[0]
-        if excluded(run):
+        if excluded(run, enc, max_ratio):
             continue
         if len(run) <= max_ratio * len(enc.encode_ordinary(run)):
             out.append((m.start(), 3, m.end()))
