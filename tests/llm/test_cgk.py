@@ -69,6 +69,32 @@ def test_index_against_brute_force(small, spark):
                 assert edits <= cgk.SHARE * len(c)
 
 
+def test_all_edits_allowed():
+    """With as many edits as the operator accepts nothing is missed, at any length."""
+    for length in (1, 4, 5, 9, 10, 15, 16, 31, 32, 33, 47, 64):
+        items = [(i, " ".join(random.choices(VOCAB, k=length))) for i in range(150)]
+        index = cgk.build(items)
+        texts = []
+        for _, t in items:
+            passage = edited(t, int(cgk.SHARE * length) / length) if int(cgk.SHARE * length) else t
+            texts.append(" ".join([*random.choices(VOCAB, k=30), passage, *random.choices(VOCAB, k=30)]))
+        found = {(k, items[n][0]) for k, n, *_ in cgk._found(texts, index, cgk.SHARE)}
+        assert all((k, k) in found for k in range(150)), length
+
+
+def test_all_shares_against_brute_force(small, spark):
+    """The hits are the pairs that the exact check accepts, at the operator's own share and others."""
+    items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()
+    texts = [r["text"] for r in small.orderBy("doc_id").limit(60).collect()]
+    texts += [" ".join([*random.choices(VOCAB, k=9), edited(r["text"], 0.19), *random.choices(VOCAB, k=9)]) for r in items]
+    codes = [cgk.hashing.split_words([t.encode()], letters=True)[0].tolist() for t in texts]
+    for share in (0.0, 0.2, 0.3):
+        index = cgk.build([(r["item_id"], r["text"]) for r in items], share)
+        got = {(k, n): e for k, n, e, *_ in cgk._found(texts, index, share)}
+        want = {(k, n): cgk.best_end(c.tolist(), t)[0] for k, t in enumerate(codes) for n, (_, c) in enumerate(index.items)}
+        assert got == {(k, n): e for (k, n), e in want.items() if e <= int(share * len(index.items[n][1]))}
+
+
 def test_spans_and_words():
     text = "Eh, é: The QUICK brown-fox\n jumped over; ÉTÉ lazy dogs again and again!"
     index = cgk.build([(1, "the quick brown fox jumped over été lazy dogs"), (2, None or ""), (3, "...")])

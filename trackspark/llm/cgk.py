@@ -3,8 +3,9 @@
 A random walk over a window copies the word under its pointer at every step and then moves on or
 stays, as a random function of step and word tells. Two windows a few edits apart fall into step
 again after each edit, so their edit distance becomes a small Hamming distance of the copies. Some
-steps of the walk are sampled as a key; walks and samples are repeated until a passage with the
-edits to be found shares a key with high probability (the tests measure it).
+steps of the walk are sampled as a key; walks and samples are repeated, but near the edits allowed
+some passages share no key. So an item is also dealt into one part more than it may have edits: in
+every passage to be found one part stands whole, and nothing is missed.
 
 Benchmark items are tiled by windows of their own size class, documents have a window at every word.
 Whatever shares a key is verified: the exact word edit distance between the whole item and the best
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,7 @@ WALKS, SAMPLES, STEPS_KEYED = 3, 3, 4  # walks, keys of each walk, steps in a ke
 SHARE = 0.2  # edits allowed for each item word
 ITEM_ROWS, ITEM_BYTES = 20_000, 1 << 26  # items compared in one pass over the documents
 GROUP_CHARS, CHUNK = 1 << 20, 1 << 14
+PART_WORDS = 8  # of a longer part the first words are compared
 SEED = 11
 
 
@@ -39,7 +42,8 @@ class Index:
 
     items: list[tuple[int | None, np.ndarray]]  # id, word codes
     sizes: list[int] = field(default_factory=list)
-    keys: dict = field(default_factory=dict)  # (size, walk, sample) -> {key: [(item number, offset)]}
+    parts: list[int] = field(default_factory=list)  # sizes
+    keys: dict = field(default_factory=dict)  # (size, walk, sample) or size of a part -> {key: [(item number, offset)]}
     filters: dict = field(default_factory=dict)  # the same -> flags by the key's top bits
     bits: int = 20
 
@@ -86,7 +90,25 @@ def walk_keys(codes: np.ndarray, starts: np.ndarray, sizes: list[int]) -> Iterat
         yield from keys.items()
 
 
-def build(items: list[tuple[int | None, str]]) -> Index:
+def parts_of(words: int, share: float) -> list[tuple[int, int]]:
+    """``(offset, size)`` of parts of which one stands whole in any passage with at most ``share`` edits a word."""
+    n = min(int(share * words) + 1, words)
+    at = [words * k // n for k in range(n + 1)]
+    return [(a, min(b - a, PART_WORDS)) for a, b in zip(at, at[1:], strict=False)]
+
+
+def part_keys(codes: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each size the keys of the parts at every word; a part that does not end in ``codes`` has none."""
+    key = np.zeros(len(codes), np.uint64)
+    for size in range(1, max(sizes, default=0) + 1):
+        if size > len(codes):
+            return
+        key = hashing.pair(key[: len(codes) - size + 1], codes[size - 1 :])
+        if size in sizes:
+            yield size, key
+
+
+def build(items: list[tuple[int | None, str]], share: float = SHARE) -> Index:
     codes, _, _, first = hashing.split_words([t.encode() for _, t in items], letters=True)
     index = Index([(i, codes[a:b]) for (i, _), a, b in zip(items, first[:-1], first[1:], strict=True) if a < b])
     tiles: dict[int, list[tuple[int, int]]] = {}
@@ -95,12 +117,17 @@ def build(items: list[tuple[int | None, str]]) -> Index:
         offsets = sorted({*range(0, len(c) - size + 1, size), len(c) - size})
         tiles.setdefault(size, []).extend((n, o) for o in offsets)
     index.sizes = sorted(tiles)
-    index.bits = min(24, max(16, int(np.log2(64 * sum(map(len, tiles.values())) + 1))))
+    parts = [(n, *part) for n, (_, c) in enumerate(index.items) for part in parts_of(len(c), share)]
+    index.parts = sorted({size for *_, size in parts})
+    index.bits = min(24, max(16, int(np.log2(64 * max(sum(map(len, tiles.values())), len(parts)) + 1))))
     for size, own in tiles.items():
         for n, o in own:
             window = index.items[n][1][o : o + size]
             for name, key in walk_keys(window, np.zeros(1, np.int64), [size]):
                 index.keys.setdefault(name, {}).setdefault(int(key[0]), []).append((n, o))
+    for n, o, size in parts:
+        (_, key), = part_keys(index.items[n][1][o : o + size], [size])
+        index.keys.setdefault(size, {}).setdefault(int(key[0]), []).append((n, o))
     for name, keys in index.keys.items():
         flags = np.zeros(1 << index.bits, bool)
         flags[np.array(list(keys), np.uint64) >> np.uint64(64 - index.bits)] = True
@@ -159,7 +186,7 @@ def find(codes: np.ndarray, ends: np.ndarray, index: Index, share: float) -> dic
     if not len(codes) or not index.sizes:
         return out
     seen = set()
-    for name, keys in walk_keys(codes, np.arange(len(codes)), index.sizes):
+    for name, keys in chain(walk_keys(codes, np.arange(len(codes)), index.sizes), part_keys(codes, index.parts)):
         for s in np.flatnonzero(index.filters[name][keys >> np.uint64(64 - index.bits)]).tolist():
             for n, offset in index.keys[name].get(int(keys[s]), ()):
                 d = int(np.searchsorted(ends, s, "right")) - 1
@@ -217,7 +244,7 @@ def leaks(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str
     give an empty table.
     """
     docs = texts(df, id_col, text_col)
-    parts = [docs.mapInArrow(_hits(build(block), share), _HITS_DDL) for block in item_blocks(items)]
+    parts = [docs.mapInArrow(_hits(build(block, share), share), _HITS_DDL) for block in item_blocks(items)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -250,5 +277,5 @@ def decontaminate(df: DataFrame, items: DataFrame, text_col: str = "text", share
         return run
 
     for block in item_blocks(items):
-        df = df.mapInArrow(clean(build(block)), df.schema)
+        df = df.mapInArrow(clean(build(block, share)), df.schema)
     return df
