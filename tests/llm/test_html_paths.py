@@ -29,6 +29,29 @@ def test_known_page():
     ]
 
 
+LONG = "This is a long sentence, with commas, and more text. It goes on, as text does, for a while."
+MENU = "<ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li><li><a href=/c>More</a></li></ul>"
+
+
+def test_pages_without_article():
+    text = lambda p: html_paths.main_text(f"<html><body>{p}</body></html>").split("\n\n")
+    body = f"<div class=text><p>{LONG * 4}</p><p>{LONG * 4}</p></div>"
+    want = [LONG * 4] * 2
+    assert text(f"{MENU}<div class=post><h1>T</h1><p>The lead.</p>{body}</div><div class=footer>x</div>") == ["T", "The lead.", *want]
+    assert text(f"{MENU}<div class=post><p>The lead.</p>{body}<p>The end.</p></div>") == ["The lead.", *want, "The end."]
+    assert text(f"<h1>T</h1><div>By me</div>{body}<div class=footer><p>All rights, reserved.</p></div>") == ["T", "By me", *want]
+    assert text(f"<h2>Site</h2>{MENU}<div><h1>T</h1>{body}</div><div>{MENU}</div>") == ["T", *want]
+    assert text(f"{MENU}<div class=page><div><p>{LONG * 8}</p></div><div><p>{LONG}</p></div></div>") == [LONG * 8, LONG]
+
+
+def test_reference_lists():
+    refs = "<ul><li><a href=1>Smith, J. A paper, 2020.</a></li><li><a href=2>Jones, K. A book.</a></li></ul>"
+    for tag in ("article", "main", "div"):
+        got = html_paths.main_text(f"<body>{MENU}<{tag}><p>{LONG * 5}</p>{refs}</{tag}></body>")
+        assert got.split("\n\n") == [LONG * 5, "Smith, J. A paper, 2020.", "Jones, K. A book."]
+    assert html_paths.main_text(f"<article><p>{LONG}</p><ul><li><a href=1>Smith 2020</a></li></ul></article>").endswith("Smith 2020")
+
+
 def test_broken_and_plain():
     assert html_paths.main_text("") == ""
     assert html_paths.main_text("just  text, no tags") == "just text, no tags"

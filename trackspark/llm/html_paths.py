@@ -3,9 +3,10 @@
 A page becomes a list of blocks (text between block-level tags), each with its path of block tags
 from the root. Text length and punctuation are summed for every path and divided by the path's
 blocks; both ratios are smoothed over the page's order of blocks, fused as a product, and the paths
-above a share of the weighted mean are content paths. The deepest element that holds most of their
-text is the article; its blocks are the result, less what tags, roles or class names mark as
-boilerplate and less paths that are mostly links.
+above a share of the weighted mean are content paths. The article is an ``article`` or ``main`` around
+most of their text, or else the deepest element that holds most of it, widened on both sides to all
+content blocks and to the headings and paragraphs beside it. Its blocks are the result, less what tags,
+roles or class names mark as boilerplate and, but in an ``article``, less menus of links.
 """
 
 from __future__ import annotations
@@ -54,8 +55,9 @@ _MARKS = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b\s*(?:=\s*(?:\
 _WORDS = re.compile(r"[a-z]+")
 _PUNCT = re.compile(r"[.,;:!?…、。，！？¿¡]")
 SHARE = 0.5  # a content path's score against the text-weighted mean score
-HELD = 0.8  # the article holds this much of the content paths' text
-LINKS = 0.6  # a path with more link text than this is a menu
+HELD = 0.8  # the article's core holds this much of the content paths' text
+LINKS = 0.6  # a path with more link text than this and no punctuation is a menu
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 def boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
@@ -162,11 +164,11 @@ def smooth(x: np.ndarray) -> np.ndarray:
     return np.convolve(x, kernel)[2:-2] / np.convolve(np.ones(len(x)), kernel)[2:-2]
 
 
-def container(found: list[tuple], weight: np.ndarray) -> int | None:
-    """The number of the deepest element around blocks that holds most of the weight.
+def container(found: list[tuple], weight: np.ndarray) -> tuple[tuple, tuple]:
+    """``(element numbers, path)`` of the deepest element around blocks that holds most of the weight.
 
     A block's own paragraph or heading is no container; inside an ``article`` or ``main`` the
-    nearest of these is taken, so that no section of it is lost.
+    nearest of these is taken, so that no section of it is lost. Empty if there is none.
     """
     held: dict[int, float] = defaultdict(float)
     chain: dict[int, tuple] = {}
@@ -177,12 +179,45 @@ def container(found: list[tuple], weight: np.ndarray) -> int | None:
             chain[elements[d]] = elements[: d + 1], path[: d + 1]
     inside = [e for e, w in held.items() if w >= HELD * weight.sum()]
     if not inside:
-        return None
+        return (), ()
     elements, path = chain[max(inside, key=lambda e: len(chain[e][0]))]
     for name in ("article", "main"):
         if name in path:
-            return elements[len(path) - 1 - path[::-1].index(name)]
-    return elements[-1]
+            n = len(path) - path[::-1].index(name)
+            return elements[:n], path[:n]
+    return elements, path
+
+
+def widened(found: list[tuple], elements: tuple, path: tuple, chosen: np.ndarray, menu: np.ndarray) -> tuple[int, int]:
+    """The first block of the article and the one after its last.
+
+    Around the container, from each element to the next outer one: all content blocks belong to it,
+    the paragraphs right beside it, and headings before it if no menu stands between.
+    """
+
+    def span(d: int) -> tuple[int, int]:
+        own = [k for k, b in enumerate(found) if len(b[0]) > d and b[0][d] == elements[d]]
+        return own[0], own[-1] + 1
+
+    if not elements:
+        return 0, len(found)
+    lo, hi = span(len(elements) - 1)
+    if path[-1] in ("article", "main"):
+        return lo, hi
+    for d in range(len(elements) - 2, -1, -1):
+        a, b = span(d)
+        beside = (*path[: d + 1], "p")
+        first, last, apart = lo, hi, False
+        for k in range(lo - 1, a - 1, -1):
+            apart |= bool(menu[k])
+            own = found[k][1]
+            if chosen[k] or not menu[k] and own == beside or not apart and own[-1] in HEADINGS:
+                first = k
+        for k in range(hi, b):
+            if chosen[k] or not menu[k] and found[k][1] == beside and path[d] not in ("html", "body"):
+                last = k + 1
+        lo, hi = first, last
+    return lo, hi
 
 
 def content(found: list[tuple]) -> list[str]:
@@ -205,11 +240,14 @@ def content(found: list[tuple]) -> list[str]:
     for at in by_path.values():
         path_score[at] = score[at].mean()
     chosen = path_score >= SHARE * (path_score @ size) / size.sum()
-    weight = np.where(chosen & (link_share <= LINKS), size, 0.0)
+    chosen &= link_share <= LINKS
+    weight = np.where(chosen, size, 0.0)
     if not weight.any():
         weight = size
-    root = container(found, weight)
-    return [b[2] for b, share in zip(found, link_share, strict=True) if (root is None or root in b[0]) and (share <= LINKS or not b[3])]
+    elements, path = container(found, weight)
+    menu = (link_share > LINKS) & (punct_ratio < 1) & (linked > 0)
+    lo, hi = widened(found, elements, path, chosen, menu)
+    return [found[k][2] for k in range(lo, hi) if not menu[k] or path[-1:] == ("article",)]
 
 
 def main_text(page: str) -> str:
