@@ -52,6 +52,20 @@ def test_reference_lists():
     assert html_paths.main_text(f"<article><p>{LONG}</p><ul><li><a href=1>Smith 2020</a></li></ul></article>").endswith("Smith 2020")
 
 
+def test_wrappers_with_marks():
+    inner = f"<h1>T</h1><p>{LONG * 4}</p><p>{LONG * 2}</p>"
+    want = ["T", LONG * 4, LONG * 2]
+    side = f"<div class=sidebar><p>{LONG}</p></div><div class=comments><p>{LONG}</p></div>"
+    for mark in ("class='content-with-sidebar'", "class=has-sidebar", "class='no-comments'", "class='post-share x'", "id=widget"):
+        assert html_paths.main_text(f"<body>{MENU}<div {mark}>{inner}</div></body>").split("\n\n") == want, mark
+    for mark in ("class='content-with-sidebar'", "class='post-share'"):
+        assert html_paths.main_text(f"<body>{MENU}<div {mark}>{inner}{side}</div>{side}</body>").split("\n\n") == want, mark
+    assert html_paths.main_text(f"<body><form action=x>{MENU}<div class=post-share>{inner}</div><input name=a>{side}</form></body>").split("\n\n") == want
+    # Comments longer than the text, and an element that hides itself, are left out all the same.
+    assert html_paths.main_text(f"<body><div>{inner}</div><div class=comments><p>{LONG * 9}</p></div></body>").split("\n\n") == want
+    assert html_paths.main_text(f"<body><div>{inner}</div><div hidden><p>{LONG * 9}</p></div></body>").split("\n\n") == want
+
+
 def test_broken_and_plain():
     assert html_paths.main_text("") == ""
     assert html_paths.main_text("just  text, no tags") == "just text, no tags"

@@ -6,7 +6,8 @@ blocks; both ratios are smoothed over the page's order of blocks, fused as a pro
 above a share of the weighted mean are content paths. The article is an ``article`` or ``main`` around
 most of their text, or else the deepest element that holds most of it, widened on both sides to all
 content blocks and to the headings and paragraphs beside it. Its blocks are the result, less what tags,
-roles or class names mark as boilerplate and, but in an ``article``, less menus of links.
+roles or class names mark as boilerplate and, but in an ``article``, less menus of links. An element that only its class, id or ``form``
+marks is no boilerplate if it holds most of the page's content text.
 """
 
 from __future__ import annotations
@@ -57,35 +58,57 @@ _PUNCT = re.compile(r"[.,;:!?…、。，！？¿¡]")
 SHARE = 0.5  # a content path's score against the text-weighted mean score
 HELD = 0.8  # the article's core holds this much of the content paths' text
 LINKS = 0.6  # a path with more link text than this and no punctuation is a menu
+MOST, NEARLY_ALL = 0.5, 0.9  # of the content text: in a wrapper of a compound name or a form; in one that a whole name marks
+WRAPPERS = frozenset(["form", "fieldset"])
+NEGATED = frozenset("no not non with without has have hide hidden".split())  # the names after these are those of other elements
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
-def boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
-    """Whether an element and all below it are left out, by what its own tag says."""
-    if tag in SKIPPED or tag == "header" and not in_article:
-        return True
+def noted(token: str) -> float:
+    """Of a class or id: 0 if it marks no boilerplate, else the share of the content text from which its element stays."""
+    if token in NOTED:
+        return NEARLY_ALL
+    words = _WORDS.findall(token)
+    if any(w in NOTED and NEGATED.isdisjoint(words[:k]) for k, w in enumerate(words)):
+        return MOST
+    return 0.0
+
+
+def boilerplate(tag: str, attrs: str, in_article: bool) -> float:
+    """Whether an element and all below it are left out, by what its own tag says: 0 if not.
+
+    Else the share of the page's content text from which it stays after all; over 1 if it never does.
+    """
+    if tag in SKIPPED and tag not in WRAPPERS or tag == "header" and not in_article:
+        return 2.0
+    share = MOST if tag in WRAPPERS else 0.0
     if not attrs or tag in ROOTS:
-        return False
+        return share
     for name, a, b, c in _MARKS.findall(attrs):
         name, value = name.lower(), (a or b or c).lower()
         if name == "hidden" and not value or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
-            return True
+            return 2.0
         if name == "role" and value in ROLES:
-            return True
+            share = max(share, MOST if tag == "form" and value == "form" else 2.0)
         if name in ("class", "id"):
-            if any(not NOTED.isdisjoint(_WORDS.findall(w)) for w in value.split()) or value in ("header", "site-header", "page-header", "top-header"):
-                return True
-    return False
+            share = max([share, *map(noted, value.split())])
+            if value in ("header", "site-header", "page-header", "top-header"):
+                share = max(share, NEARLY_ALL)
+    return share
 
 
-def blocks(page: str) -> list[tuple[tuple[int, ...], tuple[str, ...], str, int]]:
-    """``(element numbers, path, text, link characters)`` of each block, in page order."""
+def blocks(page: str, kept: frozenset[int] = frozenset(), dropped: dict[int, list[float]] | None = None) -> list[tuple[tuple[int, ...], tuple[str, ...], str, int]]:
+    """``(element numbers, path, text, link characters)`` of each block, in page order.
+
+    The elements ``kept`` stay whatever their tags say. Of what is left out for itself and not within
+    another, ``dropped`` gets by element number the share from which it stays and its raw characters.
+    """
     out: list[tuple] = []
     stack: list[tuple[str, int, str, bool]] = []  # tag, element number, name in paths, inline
     skip = links = in_article = 0
     words: list[str] = []
     linked: list[str] = []
-    count = 0
+    count = open_drop = 0
 
     def flush() -> None:
         nonlocal words, linked
@@ -108,6 +131,8 @@ def blocks(page: str) -> list[tuple[tuple[int, ...], tuple[str, ...], str, int]]
 
     at = 0
     for m in _NODE.finditer(page):
+        if skip and dropped is not None and open_drop in dropped:
+            dropped[open_drop][1] += m.start() - at
         if m.start() > at and not skip:
             words.append(page[at : m.start()])
             if links:
@@ -145,7 +170,12 @@ def blocks(page: str) -> list[tuple[tuple[int, ...], tuple[str, ...], str, int]]
             if not inline:
                 flush()
             count += 1
-            drop = boilerplate(tag, m["attrs"] or "", bool(in_article))
+            share = boilerplate(tag, m["attrs"] or "", bool(in_article))
+            drop = share > 0 and count not in kept
+            if drop and not skip:
+                open_drop = count
+                if dropped is not None and share <= 1:
+                    dropped[count] = [share, 0]
             if drop and inline:
                 words.append(" ")
             stack.append((tag, -count if drop else count, tag, inline))
@@ -220,10 +250,8 @@ def widened(found: list[tuple], elements: tuple, path: tuple, chosen: np.ndarray
     return lo, hi
 
 
-def content(found: list[tuple]) -> list[str]:
-    """The texts of the content blocks."""
-    if not found:
-        return []
+def scored(found: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each block, whether its path is a content path, and whether it is one of a menu."""
     by_path: dict[tuple, list[int]] = defaultdict(list)
     for k, b in enumerate(found):
         by_path[b[1]].append(k)
@@ -241,17 +269,58 @@ def content(found: list[tuple]) -> list[str]:
         path_score[at] = score[at].mean()
     chosen = path_score >= SHARE * (path_score @ size) / size.sum()
     chosen &= link_share <= LINKS
+    menu = (link_share > LINKS) & (punct_ratio < 1) & (linked > 0)
+    return chosen, menu
+
+
+def content(found: list[tuple]) -> list[str]:
+    """The texts of the content blocks."""
+    if not found:
+        return []
+    chosen, menu = scored(found)
+    size = np.array([len(b[2]) for b in found], float)
     weight = np.where(chosen, size, 0.0)
     if not weight.any():
         weight = size
     elements, path = container(found, weight)
-    menu = (link_share > LINKS) & (punct_ratio < 1) & (linked > 0)
     lo, hi = widened(found, elements, path, chosen, menu)
     return [found[k][2] for k in range(lo, hi) if not menu[k] or path[-1:] == ("article",)]
 
 
+def unwrapped(page: str) -> list[tuple]:
+    """The blocks of a page, where no wrapper of most of its content text is left out.
+
+    Only a marked element with more raw text than enough is tried, the largest first; then those in it.
+    """
+    kept: frozenset[int] = frozenset()
+    while True:
+        dropped: dict[int, list[float]] = {}
+        found = blocks(page, kept, dropped)
+        rest = sum(len(b[2]) - b[3] for b in found)
+        for n, (share, raw) in sorted(dropped.items(), key=lambda x: -x[1][1]):
+            if raw < share * (raw + rest) / 2 or not raw:
+                continue
+            inside: dict[int, list[float]] = {}
+            tried = blocks(page, kept | {n}, inside)
+            deeper = [x for x in inside if x not in dropped]
+            if not tried:
+                if deeper:
+                    kept |= {n}
+                    break
+                continue
+            chosen, _ = scored(tried)
+            size = np.array([len(b[2]) for b in tried], float) * chosen
+            own = np.array([n in b[0] for b in tried])
+            hidden = sum(inside[x][1] for x in deeper)
+            if size.any() and size @ own >= share * size.sum() or hidden >= share * (hidden + size.sum()):
+                kept |= {n}
+                break
+        else:
+            return found
+
+
 def main_text(page: str) -> str:
-    return "\n\n".join(content(blocks(page)))
+    return "\n\n".join(content(unwrapped(page)))
 
 
 _SCHEMA = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
