@@ -63,6 +63,15 @@ def test_awkward(awkward, empty):
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 3, 5, 6, 7, 8]
 
 
+def test_one_of_repeated_rows(spark):
+    long = "many words of one long text that is repeated here"
+    rows = [(1, long, "a"), (1, long, "a"), (1, long, "b"), (2, long, "c"), (3, "another text of its own words", "d"), (3, "third text under the same id again", "e"), (4, None, "f"), (4, None, "f"), (None, long, "g"), (None, long, "g"), (5, "single row with its words", "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = [tuple(r) for n in (1, 3) for r in token_groups.one_of_each(df.repartition(n)).collect()]
+    assert sorted(r[0] or 0 for r in kept) == sorted([0, 0, 1, 3, 4, 5] * 2)
+    assert len(set(kept)) == 5 and set(kept) <= set(rows)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(5, 3), (9, 5), (9, 9), (3, 5), (7, 8)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}

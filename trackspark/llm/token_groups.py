@@ -303,7 +303,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
-    """The rows, with their columns, whose id is the smallest of its component; null ids stay."""
+    """One row, with its columns, of each component: of the smallest id the row whose text has the least hash.
+
+    Of equal rows one stays; rows with a null id all stay.
+    """
     found = near_duplicates(df, id_col, text_col, size, num, den)
     gone = found.filter("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return df.join(gone, df[id_col] == gone["__gone"], "left_anti")
+    left = df.join(gone, df[id_col] == gone["__gone"], "left_anti")
+    # Only ids that stand in several rows need a choice; the others are not shuffled with their texts.
+    many = df.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__many")).count().filter("count > 1").select("__many")
+    single = left.join(many, left[id_col] == many["__many"], "left_anti")
+    again = left.join(many, left[id_col] == many["__many"], "left_semi")
+    row = F.struct(F.xxhash64(text_col).alias("__hash"), F.struct(*[F.col(c) for c in df.columns]).alias("__row"))
+    chosen = again.groupBy(F.col(id_col).alias("__id")).agg(F.min(row).alias("__least"))
+    return single.unionByName(chosen.select("__least.__row.*").select(*df.columns))
