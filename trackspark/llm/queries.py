@@ -6,7 +6,7 @@ brute force, an exact round trip or held-out labels in the tests.
 
 from __future__ import annotations
 
-from trackspark.llm import attribution, cgk, differencing, html_paths, ogg, packing, prefix_free, secrets, token_groups, toxicity
+from trackspark.llm import attribution, cgk, differencing, divergence, html_paths, ogg, packing, prefix_free, quality, secrets, token_groups, toxicity, vector_codes
 from trackspark.llm.common import table
 
 
@@ -103,6 +103,94 @@ WITH RECURSIVE w AS (
 SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, (SELECT min(root) FROM reach r WHERE r.node = s.doc_id) AS component_id FROM s
 """
 
+def op11(spark, sf_dir):
+    return quality.judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12(spark, sf_dir):
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def _op12_sql() -> str:
+    """The rounds are written out: ``b<r>`` are the codebooks after r of them."""
+    nearest = """
+  SELECT r, part, v, min(struct_pack(d := d, k := k)) AS m FROM (
+    SELECT c.r, c.part, c.v, b.k, list_sum(list_transform(range(1, len(c.v) + 1), lambda i: (c.v[i] - b.c[i]) * (c.v[i] - b.c[i]))) AS d
+    FROM cut c JOIN {book} b USING (part)
+  ) GROUP BY r, part, v"""
+    rounds = "".join(
+        f"""
+), s{r} AS MATERIALIZED (
+  SELECT part, k, list(x ORDER BY i) AS c FROM (
+    SELECT part, m.k AS k, i, CAST(floor(sum(v[i]) / CAST(count(*) AS DOUBLE)) AS BIGINT) AS x
+    FROM ({nearest.format(book=f"b{r - 1}")}), (SELECT unnest(range(1, 1 + (SELECT max(len(v)) FROM cut))) AS i) GROUP BY ALL
+  ) GROUP BY part, k
+), b{r} AS MATERIALIZED (
+  SELECT b.part, b.k, coalesce(s.c, b.c) AS c FROM b{r - 1} b LEFT JOIN s{r} s USING (part, k)"""
+        for r in range(1, vector_codes.ROUNDS + 1)
+    )
+    last = f"b{vector_codes.ROUNDS}"
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label,
+    list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), cut AS MATERIALIZED (
+  SELECT r, p AS part, q[p * (len(q) // 8) + 1 : (p + 1) * (len(q) // 8)] AS v FROM kept, (SELECT unnest(range(8)) AS p)
+), b0 AS MATERIALIZED (
+  SELECT part, r - 1 AS k, v AS c FROM cut WHERE r <= 16{rounds}
+), done AS (
+  SELECT r, string_agg(lower(printf('%02x', m.k)), '' ORDER BY part) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM ({nearest.format(book=last)}) GROUP BY r
+), digest AS (
+  SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, k)) AS h FROM {last}
+), total AS (
+  SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM kept JOIN done USING (r) GROUP BY label
+)
+SELECT vec_id, code, error, label_error, h AS codebooks_sha256
+FROM kept JOIN done USING (r) JOIN total ON kept.label IS NOT DISTINCT FROM total.label, digest
+"""
+
+
+def op13(spark, sf_dir):
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM documents
+), t AS (
+  SELECT r, lang, source, unnest(ts) AS term FROM d
+), kept AS (
+  SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 3
+), c AS (
+  SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL
+), v AS (
+  SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY lang
+), g AS (
+  SELECT lang, source, coalesce(m.n, 0) AS n FROM (SELECT DISTINCT lang, source FROM d)
+  LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c GROUP BY ALL) m USING (lang, source)
+), p AS (
+  SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n,
+    CAST(1 + (1000000000 * (coalesce(c.n, 0) + 1)::HUGEINT) // (g.n + v.v) AS BIGINT) AS p,
+    CAST(1 + (1000000000 * (kept.n + 1)::HUGEINT) // (v.n + v.v) AS BIGINT) AS q
+  FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(x.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN (
+    SELECT s.lang, s.source, o.source AS item, sum(((s.p - o.p) * (s.p - o.p)) // o.p) AS value
+    FROM p s JOIN p o ON s.lang = o.lang AND s.term = o.term AND s.source <> o.source GROUP BY ALL
+  ) x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+), terms AS (
+  SELECT lang, source, term AS item, ((p - q) * (p - q)) // q AS value FROM p WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+  FROM (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', item, value FROM terms)
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
 
 QUERIES = {
     "op1_tag_path_text": (op1, None),
@@ -115,4 +203,7 @@ QUERIES = {
     "op8_cgk_decontamination": (op8, None),
     "op9_prefix_free_dedup": (op9, OP9_SQL),
     "op10_token_group_join": (op10, OP10_SQL),
+    "op11_boosted_quality": (op11, None),
+    "op12_grid_cell_codes": (op12, _op12_sql()),
+    "op13_source_divergence": (op13, OP13_SQL),
 }
