@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
+
 from trackspark.llm import divergence
 
 DDL = "doc_id long, text string, lang string, source string, term string, n long, value string"
@@ -60,12 +62,53 @@ def test_against_plain_python(spark):
     check(spark, [])
 
 
-def test_hot_text_is_one_row_for_each_source(spark, monkeypatch):
+def test_hot_text_is_sent_and_cut_once(spark, monkeypatch):
     rows = [("the hot text again and again", "en", "AB"[k % 2]) for k in range(2000)] + made(60)
-    df = spark.createDataFrame([(k, *r, "x", 1, "y") for k, r in enumerate(rows)], DDL)
-    assert divergence.collapsed(df).filter("text like 'the hot%'").count() == 2
-    monkeypatch.setattr(divergence, "MOST_ENTRIES", 5)  # counts go out in many pieces
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"] * 4, "sid": pa.array([0, 1, 0, 0], pa.int32()), "text": [b"x y", b"x y", b"z", b"x y"]})
+    out = [r for b in divergence._collapse(iter([batch, batch])) for r in b.to_pylist()]
+    assert [r["text"] for r in out if r["text"]] == [b"x y", b"z"]
+    assert sorted((r["sid"], r["copies"]) for r in out if not r["text"]) == [(0, 2), (0, 4), (1, 2)]
+    check(spark, rows)
+
+
+def test_counts_leave_in_many_pieces(spark):
+    rows = made(60) + [("the hot text again and again", "en", "AB"[k % 2]) for k in range(200)]
+    texts = sorted({(t.encode(), la) for t, la, _ in rows})
+    batches = [pa.RecordBatch.from_pylist([{"h": t[:20], "lang": la, "sid": 0, "copies": None, "text": t}, {"h": t[:20], "lang": la, "sid": 3, "copies": 2, "text": None}], divergence._TEXTS) for t, la in texts]
+    whole = pa.Table.from_batches(list(divergence._count(iter(batches))))
+    most, divergence.MOST_ENTRIES = divergence.MOST_ENTRIES, 5
+    try:
+        pieces = pa.Table.from_batches(list(divergence._count(iter(batches))))
+    finally:
+        divergence.MOST_ENTRIES = most
+    assert len(pieces) > len(whole)
+
+    def joined(table, size):
+        rows = table.sort_by([("lang", "ascending"), ("term", "ascending")]).combine_chunks().to_batches(max_chunksize=size)
+        return [r for b in divergence._join_counts(3)(iter(rows)) for r in b.to_pylist()]
+
+    want = joined(whole, 10_000)
+    assert want and want == joined(pieces, 10_000) == joined(pieces, 1) == joined(pieces, 7)
+
+
+def test_many_sources(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(" ".join(rng.choices("abcdefgh", k=12)), "en", f"s{k % 40}") for k in range(200)]
     check(spark, rows)
+    used = [[{"sid": s, "p": 5 + s * k, "p0": 2 + s} for s in range(0, 40, k)] for k in range(1, 9)]
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"] * 8, "uses": used})
+
+    def sums():
+        total = Counter()
+        for b in divergence._pairs(iter([batch, batch])):
+            for r in b.to_pylist():
+                total[r["s"], r["t"], r["p"]] += r["n"]
+        return {k: v for k, v in total.items() if v}
+
+    want = sums()
+    monkeypatch.setattr(divergence, "WIDE", 3)
+    monkeypatch.setattr(divergence, "MOST_PAIRS", 50)
+    assert want == sums()
 
 
 def test_equal_values_rank_by_bytes(spark):
