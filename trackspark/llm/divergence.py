@@ -265,7 +265,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 s, t = sid[i], sid[j]
                 if not len(s):
                     continue
-                side = int(s.max()) + 1
+                side = int(max(s.max(), t.max())) + 1
                 table = tables.get(lang)
                 if side <= WIDE:
                     if table is None or len(table) < side:
