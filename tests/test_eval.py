@@ -4,22 +4,45 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trackspark.functions.assign import assign, best_pairs
+from trackspark.functions.assign import best_pairs
 from trackspark.operators import moteval as M
 
 BOX = "struct<x1:double,y1:double,x2:double,y2:double>"
 
 
-def test_assignment_against_permutations():
+def best_total(pairs, most):
+    """Most matches and best score (or best score alone) over all matchings."""
+    lefts = sorted({p[0] for p in pairs})
+
+    def rest(i, used):
+        if i == len(lefts):
+            return (0, 0.0)
+        best = rest(i + 1, used)
+        for a, b, score in pairs:
+            if a == lefts[i] and b not in used:
+                n, s = rest(i + 1, used | {b})
+                best = max(best, (n + 1, s + score), key=lambda x: x if most else x[1])
+        return best
+
+    return rest(0, frozenset())
+
+
+@pytest.mark.parametrize("most", [True, False])
+def test_best_pairs_against_all_matchings(most):
     rng = np.random.default_rng(0)
-    for _ in range(200):
+    for _ in range(400):
         n, m = rng.integers(1, 6, 2)
-        c = rng.integers(0, 9, (n, m)).astype(float)
-        got = assign(c)
-        total = sum(c[i, j] for i, j in got)
-        small, big = (c, m) if n <= m else (c.T, n)
-        want = min(sum(small[i, p[i]] for i in range(len(small))) for p in itertools.permutations(range(big), len(small)))
-        assert len(got) == min(n, m) and np.isclose(total, want)
+        pairs = [(a, b, float(rng.integers(1, 5) if rng.random() < 0.5 else rng.random())) for a in range(n) for b in range(m) if rng.random() < 0.6]
+        chosen = [pairs[k] for k in best_pairs(pairs, most=most)]
+        assert len({a for a, _, _ in chosen}) == len(chosen) == len({b for _, b, _ in chosen})
+        count, total = best_total(pairs, most)
+        assert np.isclose(sum(s for _, _, s in chosen), total) and (not most or len(chosen) == count)
+
+
+def test_long_augmenting_path():
+    n = 3000
+    pairs = [(i, i, 1.0) for i in range(n)] + [(i, i + 1, 2.0) for i in range(n - 1)] + [(n, 0, 1.0), (n, n, 1.0)]
+    assert sum(pairs[k][2] for k in best_pairs(pairs, most=False)) == 2 * (n - 1) + 1
 
 
 def test_best_pairs_prefers_more_matches():
@@ -95,7 +118,8 @@ def hota_by_hand(t, p):
             if not ps:
                 continue
             w = np.array([[score[gi[g["id"]], pi[q["id"]]] for q in ps] for g in gs]) * s
-            for a, b in assign(-w):
+            cells = [(a, b, w[a, b]) for a in range(len(gs)) for b in range(len(ps))]
+            for a, b, _ in (cells[k] for k in best_pairs(cells, most=False)):
                 if s[a, b] >= alpha - 2.3e-16:
                     match[gi[gs[a]["id"]], pi[ps[b]["id"]]] += 1
                     tp, loc = tp + 1, loc + s[a, b]
@@ -136,3 +160,116 @@ def test_expected_outputs(scene, spark):
     t, p, v = scene
     n = {r["variant"]: r["n_rows"] for r in M.expected_outputs(p, v, t).collect()}
     assert n == {"swap": 21, "none": 0}
+
+
+def iou_of(a, b):
+    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+    inter = max(0.0, w) * max(0.0, h)
+    return inter / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - inter)
+
+
+def events_by_hand(truth, pred, least=0.5):
+    """One frame after the other: kept partners, then the most and best of the rest."""
+    partner, out = {}, []
+    for f in sorted({r["frame_idx"] for r in truth}):
+        gs = sorted((r["id"], r["box"]) for r in truth if r["frame_idx"] == f)
+        ps = sorted((r["id"], r["box"]) for r in pred if r["frame_idx"] == f)
+        valid = {(a, b): iou_of(x, y) for a, x in gs for b, y in ps if iou_of(x, y) >= least}
+        hit = {}
+        for a, _ in gs:
+            b = partner.get(a)
+            if (a, b) in valid and b not in hit.values():
+                hit[a] = b
+        rest = [(a, b, s) for (a, b), s in valid.items() if a not in hit and b not in hit.values()]
+        forced = set(hit)
+        hit |= {rest[k][0]: rest[k][1] for k in best_pairs(rest, most=True)}
+        for a, _ in gs:
+            if a in hit:
+                switched = a not in forced and partner.get(a, hit[a]) != hit[a]
+                out.append((f, "SWITCH" if switched else "MATCH", a, hit[a]))
+            else:
+                out.append((f, "MISS", a, None))
+        out += [(f, "FP", None, b) for b, _ in ps if b not in hit.values()]
+        partner |= hit
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_chains_against_one_pass(spark, seed):
+    """Crowded boxes, ids that swap, objects that go and come back: most frames leave a choice."""
+    rng = np.random.default_rng(seed)
+    truth, pred = [], []
+    for f in range(60):
+        for i in range(6):
+            x, y = 25.0 * (i % 3) + 5 * float(np.sin(f / 5 + i)), 200.0 * (i // 3) + 4 * float(np.cos(f / 3 + i))
+            if rng.random() < 0.8:
+                truth.append(("C1G1D28", f, i, (x, y, x + 60, y + 40)))
+            for v in ("a", "b"):
+                if rng.random() < 0.85:
+                    d = rng.normal(0, 6, 2).tolist()
+                    # Variant b renames its ids on the way.
+                    pred.append((v, "C1G1D28", f, int(i + (f // 20 if v == "b" else 0)), (x + d[0], y + d[1], x + 60 + d[0], y + 40 + d[1])))
+    t = spark.createDataFrame(truth, f"video_id string, frame_idx int, id long, box {BOX}")
+    p = spark.createDataFrame(pred, f"variant string, video_id string, frame_idx int, id long, box {BOX}")
+    got = M.clear_events(t, p, p, block=8).collect()
+    rows = p.collect()
+    for v in ("a", "b"):
+        mine = sorted(((r["frame_idx"], r["type"], r["gt_id"], r["pred_id"]) for r in got if r["variant"] == v), key=str)
+        assert mine == events_by_hand(t.collect(), [r for r in rows if r["variant"] == v])
+
+
+def test_one_chain_over_all_frames(spark):
+    """Two boxes on one place: the partner of the first frame decides every later one."""
+    b = (0.0, 0.0, 50.0, 50.0)
+    t = spark.createDataFrame([("C1G1D28", f, i, b) for f in range(300) for i in (1, 2)], f"video_id string, frame_idx int, id long, box {BOX}")
+    pred = [("a", "C1G1D28", f, i, b if i == 1 or f else (0.0, 0.0, 50.0, 40.0)) for f in range(300) for i in (1, 2)]
+    p = spark.createDataFrame(pred, f"variant string, video_id string, frame_idx int, id long, box {BOX}")
+    kinds = {(r["type"], r["count"]) for r in M.clear_events(t, p, p, block=16).groupBy("type").count().collect()}
+    assert kinds == {("MATCH", 600)}
+
+
+def test_grid_against_all_boxes(spark):
+    rng = np.random.default_rng(8)
+
+    def boxes(n):
+        xy, wh = rng.uniform(-300, 3000, (n, 2)), rng.uniform(0, 90, (n, 2))
+        wh[:5] = 1500.0  # far wider than a cell
+        wh[5:8, 0] = 0.0
+        return np.concatenate([xy, xy + wh], 1)
+
+    g, q = boxes(2000), boxes(1500)
+    t = spark.createDataFrame([("V", 0, i, tuple(b)) for i, b in enumerate(g.tolist())] + [("V", 0, 9999, None)], f"video_id string, frame_idx int, id long, box {BOX}")
+    p = spark.createDataFrame([("a", "V", 0, i, tuple(b)) for i, b in enumerate(q.tolist())], f"variant string, video_id string, frame_idx int, id long, box {BOX}")
+    w = (np.minimum(g[:, None, 2:], q[None, :, 2:]) - np.maximum(g[:, None, :2], q[None, :, :2])).clip(0)
+    inter = w.prod(2)
+    area = lambda b: (b[:, 2:] - b[:, :2]).prod(1)
+    iou = inter / np.maximum(area(g)[:, None] + area(q)[None] - inter, 1e-300)
+    for least, cell in ((0.0, 64.0), (0.3, 256.0), (0.1, 37.5)):
+        got = sorted((r["gt_id"], r["pred_id"]) for r in M.box_pairs(t, p, min_iou=least, cell=cell).collect())
+        assert got == [tuple(x) for x in np.argwhere((iou > 0) & (iou >= least)).tolist()]
+
+
+def test_components_against_search(spark):
+    from trackspark.operators.components import components
+
+    rng = np.random.default_rng(3)
+    edges = [("k1", int(a), int(b)) for a, b in rng.integers(0, 120, (90, 2))] + [("k2", i, i + 1) for i in range(70)]
+    edges += [("k2", 5, 5), ("k2", 3, 4), (None, 1, 2), ("k2", None, 2)]
+    got = {(r["k"], r["node"]): r["component"] for r in components(spark.createDataFrame(edges, "k string, a long, b long"), ["k"]).collect()}
+    around = {}
+    for k, a, b in edges:
+        if k is not None and a is not None and a != b:
+            around.setdefault((k, a), set()).add((k, b))
+            around.setdefault((k, b), set()).add((k, a))
+    want, seen = {}, set()
+    for n in sorted(around):
+        if n not in seen:
+            todo, group = [n], {n}
+            while todo:
+                new = around[todo.pop()] - group
+                group |= new
+                todo += new
+            seen |= group
+            want |= {m: n[1] for m in group if m != n}
+    assert got == want
+    assert components(spark.createDataFrame([], "k string, a long, b long"), ["k"]).count() == 0

@@ -120,3 +120,26 @@ def test_occlusion_scan_against_loop(spark):
     for block in (13, WHOLE):
         got = events.occlusion_periods(df, window_frames=9, threshold=0.5, block=block)
         assert {tuple(r) for r in got.collect()} == want and len(want) > 10
+
+
+@pytest.mark.parametrize("block", [10, 64, WHOLE])
+def test_occlusion_on_one_single_chain(spark, block):
+    """Hot and cold rows in turn: every period hangs on the one before, over all blocks."""
+    n, w = 3000, 9
+    flags = [k % 4 < 2 or k % 7 == 0 for k in range(n)]
+    rows = [("a", 2 * k, f) for k, f in enumerate(flags)] + [("b", k, True) for k in range(200)] + [("c", 5, True), ("c", 6, False), ("d", 1, False)]
+    df = spark.createDataFrame(rows, "video_id string, frame_idx int, is_high_occlusion boolean")
+    want = set()
+    for v in "abcd":
+        f, o = zip(*[(f, o) for x, f, o in rows if x == v])
+        hot = [np.mean(o[i : i + w]) >= 0.6 for i in range(len(f))]
+        i = 0
+        while i < len(f):
+            if not hot[i]:
+                i += 1
+                continue
+            j = next((k for k in range(i, len(f)) if not hot[k]), len(f))
+            want.add((v, f[i], f[min(j + w - 1, len(f) - 1)]))
+            i = j + w
+    got = events.occlusion_periods(df, window_frames=w, threshold=0.6, block=block)
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 100

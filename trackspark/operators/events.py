@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackspark.functions import boxes as bx
 from trackspark.operators import blocks
 from trackspark.operators.blocks import BLOCK, Neighbours
+from trackspark.session import cut_lineage
 
 
 def separation_windows(
@@ -25,6 +28,88 @@ def separation_windows(
     )
 
 
+def _next(ends: np.ndarray, window: int) -> np.ndarray:
+    """For each stretch the index of the next one that a period may start in (its count for none)."""
+    return np.searchsorted(ends, ends + window, side="right")
+
+
+def _exits(window: int, block: int):
+    """For ``applyInPandas`` on the stretches of one block: from where the search goes on behind it.
+
+    One row for the last stretch that surely starts a period (``at`` is null), or, without one, a row
+    for each stretch that a period before the block can lead to: those in the first ``window`` rows
+    and the one after.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("e")
+        e, sure = pdf["e"].to_numpy(), np.flatnonzero(pdf["opens"])
+        reach = _next(e, window)
+        last = np.arange(len(e))
+        for k in range(len(e) - 1, -1, -1):
+            if reach[k] < len(e):
+                last[k] = last[reach[k]]
+        first = int(pdf["blk"].iloc[0]) * block
+        early = int(np.searchsorted(e, first + window + 1)) + 1
+        entries = pd.DataFrame({"at": e[:early], "x": e[last[:early]] + window + 1, "sure": False})
+        if len(sure):
+            entries["x"] = np.nan  # what leads into the block does not decide where it ends
+            entries.loc[len(entries)] = [None, e[last[sure[-1]]] + window + 1, True]
+        return entries.assign(video_id=pdf["video_id"].iloc[0])[["video_id", "at", "x", "sure"]].astype({"at": "Int64", "x": "Int64"})
+
+    return run
+
+
+def _entered(exits: DataFrame) -> DataFrame:
+    """``video_id, at, x``: the stretches at which the search enters a block, and from where.
+
+    Where the search leads from one block on is known if a period surely starts in the block. Blocks
+    that only pass it on are jumped over by pointer doubling: after k rounds, 2**k blocks at once.
+    """
+    points = exits.filter("at is not null").select("video_id", F.col("at").alias("pos"), F.col("at").alias("to"), F.lit(1).alias("kind"))
+    asked = exits.filter("x is not null").select("video_id", "x").distinct()
+    points = points.unionByName(asked.select("video_id", F.col("x").alias("pos"), F.lit(None).cast("long").alias("to"), F.lit(0).alias("kind")))
+    # A few rows a block, like every carry table.
+    later = Window.partitionBy("video_id").orderBy(F.desc("pos"), F.desc("kind"))
+    lands = points.withColumn("to", F.min("to").over(later.rowsBetween(Window.unboundedPreceding, 0)))
+    lands = lands.filter("kind = 0 and to is not null").select("video_id", F.col("pos").alias("x"), "to")
+    moves = cut_lineage(exits.join(lands, ["video_id", "x"]).select("video_id", "at", "x", "to", "sure"), "moves")
+    found = moves.filter("sure").select("video_id", F.col("to").alias("at"), "x")
+    jumps = moves.filter("not sure").select("video_id", "at", "x", "to")
+    while not jumps.isEmpty():
+        step = found.select("video_id", "at").distinct().join(jumps, ["video_id", "at"]).select("video_id", F.col("to").alias("at"), "x")
+        found = cut_lineage(found.unionByName(step).distinct(), "entered")
+        second = jumps.select("video_id", F.col("at").alias("to"), F.col("x").alias("x2"), F.col("to").alias("to2"))
+        jumps = jumps.join(second, ["video_id", "to"]).select("video_id", "at", F.col("x2").alias("x"), F.col("to2").alias("to"))
+        jumps = cut_lineage(jumps, "jumps")
+    return found
+
+
+def _periods(window: int):
+    """For ``applyInPandas`` on the stretches of one block, with the row from where the search enters."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("e")
+        s, e = pdf["s"].to_numpy(), pdf["e"].to_numpy()
+        reach, start = _next(e, window), s.copy()
+        used = np.zeros(len(e), bool)
+        open_at = np.flatnonzero(pdf["opens"]).tolist()
+        if pdf["at"].notna().any():
+            k = int(np.searchsorted(e, int(pdf["at"].max())))
+            start[k] = max(start[k], int(pdf["x"].max()) - 1)
+            open_at.insert(0, k)
+        for k in open_at:
+            while k < len(e) and not used[k]:
+                used[k] = True
+                j = reach[k]
+                if j < len(e):
+                    start[j] = max(start[j], e[k] + window)
+                k = j
+        return pd.DataFrame({"video_id": pdf["video_id"].iloc[0], "start_row": start[used], "end_row": e[used] + window - 1})
+
+    return run
+
+
 def occlusion_periods(
     frames: DataFrame,
     *,
@@ -35,11 +120,13 @@ def occlusion_periods(
     """Periods where the forward sliding share of flagged rows stays at ``threshold``.
 
     A period ends at the last row its closing window covers, and the search resumes after it,
-    so periods depend on the one before. That dependence cannot reach across a stretch of
-    ``window_frames`` unflagged positions: such stretches cut the hot stretches into chains,
-    and only a chain, not a video, is folded in order.
+    so periods depend on the one before: the stretch of hot rows that is next is the first that goes
+    on behind the period. A stretch after more than ``window_frames`` other rows surely starts a
+    period. The rest is settled in blocks: each block is reduced to where the search leaves it for
+    every way in, the ways are joined up by pointer doubling, and then each block finds its periods.
     """
     w = window_frames
+    block = max(block, w + 1)
     indexed = blocks.row_index(
         frames.select("video_id", "frame_idx", "is_high_occlusion"),
         ["video_id"],
@@ -49,28 +136,22 @@ def occlusion_periods(
     nb = Neighbours(indexed, ["video_id"], "frame_idx", ahead=w, block=block)
     total, n = nb.sum_ahead("is_high_occlusion", w)
     hot = nb.with_columns({"_share": total / n}).filter(F.col("_share") >= threshold)
-    # Rows further apart than the window cannot influence each other: they start a new chain.
-    chains = blocks.with_runs(
-        hot.select("video_id", "row_idx"), ["video_id"], "row_idx", max_step=w, block=block
-    ).withColumnRenamed("run_start", "chain")
-    chained = blocks.runs(chains, ["video_id", "chain"], "row_idx", block=block).select(
-        "video_id", "chain", F.col("run_start").alias("s"), (F.col("run_end") + 1).alias("e")
+    stretches = blocks.runs(hot.select("video_id", "row_idx"), ["video_id"], "row_idx", block=block).select(
+        "video_id", F.col("run_start").alias("s"), (F.col("run_end") + 1).alias("e")
     )
-
-    def step(row: dict, resume):
-        s, e = row["s"], row["e"]
-        if resume is not None and e <= resume:
-            return resume, []
-        start = s if resume is None else max(s, resume)
-        return e + w, [(row["video_id"], start, e + w - 1)]
-
-    periods = blocks.ordered_fold(
-        chained, ["video_id", "chain"], ["s"], step, "video_id string, start_row long, end_row long"
+    before = Neighbours(stretches, ["video_id"], "e", back=1, block=block)
+    far = before.with_columns({"_last": before.lag("e")}).withColumn("opens", F.coalesce(F.col("s") - F.col("_last") >= w, F.lit(True)))
+    at = blocks.block_of("e", block).alias("blk")
+    far = cut_lineage(far.select("video_id", "s", "e", "opens", at), "stretches")
+    exits = far.groupBy("video_id", "blk").applyInPandas(_exits(w, block), "video_id string, at long, x long, sure boolean")
+    entered = _entered(cut_lineage(exits, "exits")).select("video_id", blocks.block_of("at", block).alias("blk"), "at", "x")
+    periods = (
+        far.join(entered, ["video_id", "blk"], "left")
+        .groupBy("video_id", "blk")
+        .applyInPandas(_periods(w), "video_id string, start_row long, end_row long")
     )
     last = indexed.groupBy("video_id").agg(F.max("row_idx").alias("_last"))
-    periods = periods.join(last, "video_id").withColumn(
-        "end_row", F.least("end_row", "_last")
-    )
+    periods = periods.join(last, "video_id").withColumn("end_row", F.least("end_row", "_last"))
     at = indexed.select("video_id", "row_idx", "frame_idx")
     starts = at.select("video_id", F.col("row_idx").alias("start_row"), F.col("frame_idx").alias("start_frame"))
     ends = at.select("video_id", F.col("row_idx").alias("end_row"), F.col("frame_idx").alias("end_frame"))

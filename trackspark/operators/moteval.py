@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 from trackspark.functions import boxes as bx
 from trackspark.functions.assign import best_pairs
 from trackspark.functions.text import cage_of
-from trackspark.operators.blocks import ordered_fold
+from trackspark.operators.blocks import BLOCK, Neighbours, carry_forward, ordered_fold
+from trackspark.operators.components import components
 from trackspark.session import cut_lineage
 
 SEQ = ["variant", "video_id"]
@@ -35,68 +36,113 @@ def scored_predictions(truth: DataFrame, predictions: DataFrame) -> DataFrame:
     return predictions.join(frames, ["video_id", "frame_idx"], "left_semi")
 
 
-def box_pairs(truth: DataFrame, predictions: DataFrame, *, min_iou: float = 0.0) -> DataFrame:
-    """Overlapping truth/prediction boxes of a frame (IoU above 0 and at least ``min_iou``)."""
-    t = truth.select("video_id", "frame_idx", F.col("id").alias("gt_id"), F.col("box").alias("_g"))
-    p = predictions.select(*FRAME, F.col("id").alias("pred_id"), F.col("box").alias("_p"))
-    j = t.join(p, ["video_id", "frame_idx"]).withColumn("iou", bx.iou(F.col("_g"), F.col("_p")))
-    return j.filter((F.col("iou") > 0) & (F.col("iou") >= min_iou)).drop("_g", "_p")
+#: Side of a grid cell in pixels: boxes meet in the cells that they touch.
+CELL = 256.0
+#: Boxes that reach farther are not compared (no camera does).
+FARTHEST = 1e8
 
 
-def clear_events(truth: DataFrame, predictions: DataFrame, variants: DataFrame, *, min_iou: float = 0.5) -> DataFrame:
-    """MATCH / SWITCH / MISS / FP per scored frame.
+def _in_cells(df: DataFrame, cell: float) -> DataFrame:
+    """One row for each grid cell (``_cx``, ``_cy``) that the box touches; boxes without area go."""
+    b = F.col("_b")
+    sane = (b["x2"] > b["x1"]) & (b["y2"] > b["y1"]) & (F.greatest(*[F.abs(b[c]) for c in ("x1", "y1", "x2", "y2")]) < FARTHEST)
+    at = lambda c: F.floor(b[c] / cell)
+    return (
+        df.filter(sane)
+        .withColumn("_cx", F.explode(F.sequence(at("x1"), at("x2"))))
+        .withColumn("_cy", F.explode(F.sequence(at("y1"), at("y2"))))
+    )
+
 
-    A frame is one row (ids and valid pairs as arrays); a sequence is streamed through the
-    matcher in frame order, which remembers only the last partner of every truth id.
+def box_pairs(truth: DataFrame, predictions: DataFrame, *, min_iou: float = 0.0, cell: float = CELL) -> DataFrame:
+    """Overlapping truth/prediction boxes of a frame (IoU above 0 and at least ``min_iou``).
+
+    Boxes meet in the grid cells of the frame that both touch, and a pair counts in one of them only:
+    the cell of the upper left corner of what they share.
     """
-    pred = scored_predictions(truth, predictions)
-    grid = _truth_grid(truth, variants)
-    g = grid.groupBy(*FRAME).agg(F.sort_array(F.collect_list("id")).alias("gts"))
-    p = pred.groupBy(*FRAME).agg(F.sort_array(F.collect_list("id")).alias("preds"))
-    pair = F.struct("gt_id", "pred_id", "iou")
-    v = box_pairs(truth, predictions, min_iou=min_iou).groupBy(*FRAME).agg(
-        F.sort_array(F.collect_list(pair)).alias("pairs")
-    )
-    rows = g.join(p, FRAME, "left").join(v, FRAME, "left")
+    t = truth.select("video_id", "frame_idx", F.col("id").alias("gt_id"), F.col("box").alias("_b"))
+    p = predictions.select(*FRAME, F.col("id").alias("pred_id"), F.col("box").alias("_b"))
+    t, p = _in_cells(t, cell).withColumnRenamed("_b", "_g"), _in_cells(p, cell).withColumnRenamed("_b", "_p")
+    corner = lambda c: F.floor(F.greatest(F.col("_g")[c], F.col("_p")[c]) / cell)
+    j = t.join(p, ["video_id", "frame_idx", "_cx", "_cy"])
+    j = j.filter((corner("x1") == F.col("_cx")) & (corner("y1") == F.col("_cy")))
+    j = j.withColumn("iou", bx.iou(F.col("_g"), F.col("_p")))
+    return j.filter((F.col("iou") > 0) & (F.col("iou") >= min_iou)).drop("_g", "_p", "_cx", "_cy")
 
-    def listed(x) -> list:
-        return [] if x is None else list(x)
+
+def _chain_matches(rows: DataFrame) -> DataFrame:
+    """Frame by frame along each chain: kept partners first, then the best assignment of the rest."""
 
     def step(row: dict, partner: dict | None):
         partner = {} if partner is None else partner
-        pairs = [(q["gt_id"], q["pred_id"], q["iou"]) for q in listed(row["pairs"])]
+        partner.update((q["gt_id"], q["pred_id"]) for q in row["seeds"])
+        pairs = [(q["gt_id"], q["pred_id"], q["iou"]) for q in row["pairs"]]
         valid = {(a, b): s for a, b, s in pairs}
-        used_g, used_p, out = set(), set(), []
-
-        def emit(kind, a, b):
-            iou = valid.get((a, b))
-            out.append((row["variant"], row["video_id"], row["frame_idx"], kind, a, b, iou))
-
-        for a in listed(row["gts"]):
+        used_p: set = set()
+        out = []
+        for a in sorted({p[0] for p in pairs}):
             b = partner.get(a)
-            if b is not None and (a, b) in valid and b not in used_p:
-                used_g.add(a)
+            if (a, b) in valid and b not in used_p:
                 used_p.add(b)
-                emit("MATCH", a, b)
+                out.append((a, b, valid[a, b]))
+        used_g = {a for a, _, _ in out}
         rest = [q for q in pairs if q[0] not in used_g and q[1] not in used_p]
-        for k in best_pairs(rest, most=True):
-            a, b, _ = rest[k]
-            emit("SWITCH" if partner.get(a, b) != b else "MATCH", a, b)
-            partner[a] = b
-            used_g.add(a)
-            used_p.add(b)
-        for a in listed(row["gts"]):
-            if a not in used_g:
-                emit("MISS", a, None)
-        for b in listed(row["preds"]):
-            if b not in used_p:
-                emit("FP", None, b)
-        return partner, out
-
-    schema = (
-        "variant string, video_id string, frame_idx int, type string, gt_id long, pred_id long, iou double"
+        out += [rest[k] for k in best_pairs(rest, most=True)]
+        partner.update((a, b) for a, b, _ in out)
+        head = row["variant"], row["video_id"], row["frame_idx"]
+        return partner, [(*head, *q) for q in out]
+
+    schema = "variant string, video_id string, frame_idx int, gt_id long, pred_id long, iou double"
+    return ordered_fold(rows, [*SEQ, "chain_id", "chain_start"], ["frame_idx"], step, schema)
+
+
+def clear_matches(truth: DataFrame, predictions: DataFrame, *, min_iou: float = 0.5, block: int = BLOCK) -> DataFrame:
+    """``variant, video_id, frame_idx, gt_id, pred_id, iou``: the matched boxes of the scored frames.
+
+    A truth box with one valid partner that has no other is matched whatever came before, and its
+    partner is then known. Only the stretches between such frames, where a choice depends on the
+    partner remembered, are ordered: a stretch of one id belongs to the same chain as those it shares a
+    prediction with, and each chain is folded on its own.
+    """
+    at_gt, at_pred = Window.partitionBy(*FRAME, "gt_id"), Window.partitionBy(*FRAME, "pred_id")
+    alone = (F.count("*").over(at_gt) == 1) & (F.count("*").over(at_pred) == 1)
+    pairs = cut_lineage(box_pairs(truth, predictions, min_iou=min_iou).withColumn("plain", alone), "pairs")
+    ids = [*SEQ, "gt_id"]
+    seen = pairs.groupBy(*FRAME, "gt_id").agg(F.bool_and("plain").alias("plain"), F.max(F.when(F.col("plain"), F.col("pred_id"))).alias("known"))
+    before = Neighbours(seen, ids, "frame_idx", back=1, block=block)
+    seen = before.with_columns({"settled": F.coalesce(before.lag("plain"), F.lit(True)), "seed": before.lag("known")})
+    opens = F.when(F.col("settled"), F.col("frame_idx"))
+    open_rows = seen.filter(~F.col("plain")).withColumn("seed", F.when(F.col("settled"), F.col("seed")))
+    stretches = carry_forward(open_rows, ids, "frame_idx", opens, "start", block=block)
+    own = F.struct(F.col("start"), F.col("gt_id"))
+    rows = pairs.filter(~F.col("plain")).drop("plain").join(stretches.select(*FRAME, "gt_id", "start", "seed"), [*FRAME, "gt_id"])
+    rows = cut_lineage(rows.withColumn("own", own).withColumn("first", F.min("own").over(at_pred)), "choices")
+    chain = components(rows, SEQ, "own", "first").select(*SEQ, F.col("node").alias("own"), F.col("component"))
+    rows = rows.join(chain, [*SEQ, "own"], "left").withColumn("_c", F.coalesce("component", "own"))
+    of_chain = [*FRAME, F.col("_c.gt_id").alias("chain_id"), F.col("_c.start").alias("chain_start")]
+    seed = F.when(F.col("seed").isNotNull(), F.struct("gt_id", F.col("seed").alias("pred_id")))
+    frames = rows.groupBy(*of_chain).agg(
+        F.sort_array(F.collect_list(F.struct("gt_id", "pred_id", "iou"))).alias("pairs"), F.collect_set(seed).alias("seeds")
     )
-    return ordered_fold(rows, SEQ, ["frame_idx"], step, schema)
+    return pairs.filter("plain").drop("plain").unionByName(_chain_matches(frames))
+
+
+def clear_events(
+    truth: DataFrame, predictions: DataFrame, variants: DataFrame, *, min_iou: float = 0.5, block: int = BLOCK
+) -> DataFrame:
+    """MATCH / SWITCH / MISS / FP per scored frame.
+
+    A match is a switch if the truth id's last match was another prediction.
+    """
+    found = clear_matches(truth, predictions, min_iou=min_iou, block=block)
+    last = Neighbours(found, [*SEQ, "gt_id"], "frame_idx", back=1, block=block)
+    found = cut_lineage(last.with_columns({"_last": last.lag("pred_id")}), "matches")
+    kind = F.when(F.col("pred_id").isNull(), "MISS").when(F.col("_last") != F.col("pred_id"), "SWITCH").otherwise("MATCH")
+    objects = _truth_grid(truth, variants).select(*FRAME, F.col("id").alias("gt_id")).join(found, [*FRAME, "gt_id"], "left")
+    columns = [*FRAME, "type", "gt_id", "pred_id", "iou"]
+    others = scored_predictions(truth, predictions).select(*FRAME, F.col("id").alias("pred_id")).join(found, [*FRAME, "pred_id"], "left_anti")
+    others = others.select(*FRAME, F.lit("FP").alias("type"), F.lit(None).cast("long").alias("gt_id"), "pred_id", F.lit(None).cast("double").alias("iou"))
+    return objects.withColumn("type", kind).select(*columns).unionByName(others)
 
 
 def clear_counts(events: DataFrame) -> DataFrame:
@@ -133,22 +179,25 @@ def clear_counts(events: DataFrame) -> DataFrame:
 
 
 def identity_counts(truth: DataFrame, predictions: DataFrame, variants: DataFrame, *, min_iou: float = 0.5) -> DataFrame:
-    """idtp / idfn / idfp per (variant, video): one global id assignment per video.
+    """idtp / idfn / idfp per (variant, video): one assignment of ids over all frames.
 
-    Co-occurrence is counted by Spark; only the id x id table of a video is assigned at once.
+    Ids that ever meet are edges of a graph; its components are assigned one by one over their edges
+    alone, so no table of all ids of a video is ever built.
     """
-    together = box_pairs(truth, predictions, min_iou=min_iou).groupBy(*SEQ, "gt_id", "pred_id").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    meets = box_pairs(truth, predictions, min_iou=min_iou).groupBy(*SEQ, "gt_id", "pred_id").agg(F.count(F.lit(1)).alias("n"))
+    meets = meets.withColumn("a", F.struct(F.lit(0).alias("side"), F.col("gt_id").alias("id")))
+    meets = cut_lineage(meets.withColumn("b", F.struct(F.lit(1).alias("side"), F.col("pred_id").alias("id"))), "meets")
+    parts = components(meets, SEQ).select(*SEQ, F.col("node").alias("b"), F.col("component"))
+    # Every prediction meets a truth id, and truth ids are the lesser nodes.
+    meets = meets.join(parts, [*SEQ, "b"])
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = list(zip(pdf["gt_id"], pdf["pred_id"], pdf["n"].astype(float)))
+        rows = list(zip(pdf["gt_id"], pdf["pred_id"], pdf["n"].tolist()))
         total = sum(rows[k][2] for k in best_pairs(rows, most=False))
-        return pd.DataFrame(
-            {"variant": [pdf["variant"].iloc[0]], "video_id": [pdf["video_id"].iloc[0]], "idtp": [int(total)]}
-        )
+        return pd.DataFrame({"variant": [pdf["variant"].iloc[0]], "video_id": [pdf["video_id"].iloc[0]], "n": [int(total)]})
 
-    found = together.groupBy(*SEQ).applyInPandas(solve, "variant string, video_id string, idtp long")
+    found = meets.drop("a", "b").groupBy(*SEQ, "component").applyInPandas(solve, "variant string, video_id string, n long")
+    found = found.groupBy(*SEQ).agg(F.sum("n").alias("idtp"))
     objects = _truth_grid(truth, variants).groupBy(*SEQ).agg(F.count("id").alias("_o"))
     preds = scored_predictions(truth, predictions).groupBy(*SEQ).agg(F.count("id").alias("_p"))
     out = objects.join(preds, SEQ, "left").join(found, SEQ, "left")
