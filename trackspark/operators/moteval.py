@@ -7,10 +7,12 @@ Ristani et al. (2016) and Luiten et al. (2021).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from trackspark.functions import boxes as bx
 from trackspark.functions.assign import best_pairs
@@ -42,16 +44,19 @@ CELL = 256.0
 FARTHEST = 1e8
 
 
-def _in_cells(df: DataFrame, cell: float) -> DataFrame:
-    """One row for each grid cell (``_cx``, ``_cy``) that the box touches; boxes without area go."""
-    b = F.col("_b")
-    sane = (b["x2"] > b["x1"]) & (b["y2"] > b["y1"]) & (F.greatest(*[F.abs(b[c]) for c in ("x1", "y1", "x2", "y2")]) < FARTHEST)
-    at = lambda c: F.floor(b[c] / cell)
-    return (
-        df.filter(sane)
-        .withColumn("_cx", F.explode(F.sequence(at("x1"), at("x2"))))
-        .withColumn("_cy", F.explode(F.sequence(at("y1"), at("y2"))))
-    )
+def _in_cells(df: DataFrame, mark: str, cell: float) -> DataFrame:
+    """One row for each grid cell (``_cx``, ``_cy``) that the box touches; boxes without area go.
+
+    Sides and area become plain columns, so that the join's condition stays small enough to be compiled.
+    """
+    b = F.col("box")
+    sides = {f"{mark}_{c}": b[c] for c in ("x1", "y1", "x2", "y2")}
+    x1, y1, x2, y2 = (F.col(c) for c in sides)
+    sane = (x2 > x1) & (y2 > y1) & (F.greatest(*[F.abs(c) for c in (x1, y1, x2, y2)]) < FARTHEST)
+    df = df.withColumns(sides).drop("box").filter(sane).withColumn(f"{mark}_area", (x2 - x1) * (y2 - y1))
+    for name, low, high in (("_cx", x1, x2), ("_cy", y1, y2)):
+        df = df.withColumn(name, F.explode(F.sequence(F.floor(low / cell), F.floor(high / cell))))
+    return df
 
 
 def box_pairs(truth: DataFrame, predictions: DataFrame, *, min_iou: float = 0.0, cell: float = CELL) -> DataFrame:
@@ -60,14 +65,18 @@ def box_pairs(truth: DataFrame, predictions: DataFrame, *, min_iou: float = 0.0,
     Boxes meet in the grid cells of the frame that both touch, and a pair counts in one of them only:
     the cell of the upper left corner of what they share.
     """
-    t = truth.select("video_id", "frame_idx", F.col("id").alias("gt_id"), F.col("box").alias("_b"))
-    p = predictions.select(*FRAME, F.col("id").alias("pred_id"), F.col("box").alias("_b"))
-    t, p = _in_cells(t, cell).withColumnRenamed("_b", "_g"), _in_cells(p, cell).withColumnRenamed("_b", "_p")
-    corner = lambda c: F.floor(F.greatest(F.col("_g")[c], F.col("_p")[c]) / cell)
-    j = t.join(p, ["video_id", "frame_idx", "_cx", "_cy"])
-    j = j.filter((corner("x1") == F.col("_cx")) & (corner("y1") == F.col("_cy")))
-    j = j.withColumn("iou", bx.iou(F.col("_g"), F.col("_p")))
-    return j.filter((F.col("iou") > 0) & (F.col("iou") >= min_iou)).drop("_g", "_p", "_cx", "_cy")
+    t = _in_cells(truth.select("video_id", "frame_idx", F.col("id").alias("gt_id"), "box"), "_g", cell)
+    p = _in_cells(predictions.select(*FRAME, F.col("id").alias("pred_id"), "box"), "_p", cell)
+    c = F.col
+    left, top = F.greatest(c("_g_x1"), c("_p_x1")), F.greatest(c("_g_y1"), c("_p_y1"))
+    width, height = F.least(c("_g_x2"), c("_p_x2")) - left, F.least(c("_g_y2"), c("_p_y2")) - top
+    j = t.join(p, ["video_id", "frame_idx", "_cx", "_cy"]).filter((width > 0) & (height > 0))
+    j = j.filter((F.floor(left / cell) == c("_cx")) & (F.floor(top / cell) == c("_cy")))
+    inter = width * height
+    iou = inter / (c("_g_area") + c("_p_area") - inter)
+    # Boxes that touch by less than a double holds share no area.
+    j = j.filter((iou >= min_iou) if min_iou > 0 else (inter > 0))
+    return j.select("video_id", "frame_idx", "gt_id", "variant", "pred_id", iou.alias("iou"))
 
 
 def _chain_matches(rows: DataFrame) -> DataFrame:
@@ -206,9 +215,45 @@ def identity_counts(truth: DataFrame, predictions: DataFrame, variants: DataFram
     return out.select(*SEQ, "idtp", (F.col("_o") - F.col("idtp")).alias("idfn"), (F.col("_p") - F.col("idtp")).alias("idfp"))
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _choose(lefts: pd.Series, rights: pd.Series, scores: pd.Series) -> pd.Series:
-    return pd.Series([best_pairs(list(zip(*row)), most=False) for row in zip(lefts, rights, scores)])
+def _chosen_rows(rows: pd.DataFrame) -> np.ndarray:
+    """Indices of the pairs that a frame's best assignment chooses; rows in order of frame and truth id.
+
+    A truth id takes its best prediction. Only frames where two of them take the same are assigned.
+    """
+    same = rows[FRAME].eq(rows[FRAME].shift()).all(axis=1).to_numpy()
+    frame = np.cumsum(~same) - 1
+    gt, pred, s = (rows[c].to_numpy() for c in ("gt_id", "pred_id", "s"))
+    starts = np.flatnonzero(~same | (np.diff(gt, prepend=gt[0] - 1) != 0))
+    owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(gt))))
+    top = np.where(s == np.maximum.reduceat(s, starts)[owner], np.arange(len(s)), len(s))
+    best = np.minimum.reduceat(top, starts)
+    order = np.lexsort((pred[best], frame[best]))
+    f, q = frame[best][order], pred[best][order]
+    twice = np.zeros(frame[-1] + 1, bool)
+    twice[f[1:][(f[1:] == f[:-1]) & (q[1:] == q[:-1])]] = True
+    out = [best[~twice[frame[best]]]]
+    edges = np.searchsorted(frame, np.arange(frame[-1] + 2))
+    for k in np.flatnonzero(twice).tolist():
+        a, e = edges[k], edges[k + 1]
+        pairs = list(zip(gt[a:e].tolist(), pred[a:e].tolist(), s[a:e].tolist()))
+        out.append(a + np.array(best_pairs(pairs, most=False), np.int64))
+    return np.sort(np.concatenate(out))
+
+
+def _choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For ``mapInPandas`` over rows in order of frame; a frame may go on in the next batch."""
+    columns = [*SEQ, "gt_id", "pred_id", "iou"]
+    held: pd.DataFrame | None = None
+    for batch in batches:
+        rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        last = (rows[FRAME] == rows[FRAME].iloc[-1]).all(axis=1).to_numpy()
+        cut = len(rows) - int(np.argmin(last[::-1])) if not last.all() else 0
+        held = rows.iloc[cut:].reset_index(drop=True)
+        if cut:
+            done = rows.iloc[:cut]
+            yield done.iloc[_chosen_rows(done)][columns]
+    if held is not None and len(held):
+        yield held.iloc[_chosen_rows(held)][columns]
 
 
 def hota_terms(truth: DataFrame, predictions: DataFrame, variants: DataFrame) -> DataFrame:
@@ -227,11 +272,9 @@ def hota_terms(truth: DataFrame, predictions: DataFrame, variants: DataFrame) ->
         .withColumn("_score", F.col("_pot") / (F.col("gc") + F.col("pc") - F.col("_pot")))
     )
     scored = pairs.join(aligned.select(*SEQ, "gt_id", "pred_id", "_score"), [*SEQ, "gt_id", "pred_id"])
-    item = F.struct("gt_id", "pred_id", "iou", (F.col("_score") * F.col("iou")).alias("s"))
-    frames = scored.groupBy(*FRAME).agg(F.sort_array(F.collect_list(item)).alias("items"))
-    pick = lambda name: F.transform("items", lambda i: i[name])
-    chosen = F.transform(_choose(pick("gt_id"), pick("pred_id"), pick("s")), lambda k: F.get("items", k))
-    matched = frames.select(*SEQ, F.inline(chosen))
+    scored = scored.select(*FRAME, "gt_id", "pred_id", "iou", (F.col("_score") * F.col("iou")).alias("s"))
+    in_order = scored.repartition(*FRAME).sortWithinPartitions(*FRAME, "gt_id", "pred_id")
+    matched = in_order.mapInPandas(_choose, "variant string, video_id string, gt_id long, pred_id long, iou double")
     # How many alphas a match satisfies; counted before the alphas are spelled out.
     alphas = F.array(*[F.lit(a) for a in ALPHAS])
     level = F.size(F.filter(alphas, lambda a: F.col("iou") >= a - EPS))
