@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackspark.operators.distributions import quantile_row, rank_correlation
 from trackspark.functions import boxes as bx
 
 # Difficulty proxies, True where more is harder.
@@ -88,12 +89,10 @@ def window_score_stats(tracks: DataFrame, keys: Sequence[str], score: str = "tra
 
 def quantile_bins(df: DataFrame, column: str, q: int = 4, name: str = "bin") -> DataFrame:
     """1-based quantile bins, right-closed, exact edges over the whole table."""
-    inner = [i / q for i in range(1, q)]
-    edges = df.agg(F.percentile(F.col(column), F.array(*[F.lit(p) for p in inner])).alias("_e"))
-    rank = F.size(F.filter("_e", lambda e: F.col(column) > e)) + 1
-    return df.crossJoin(F.broadcast(edges)).withColumn(
-        name, F.when(F.col(column).isNotNull(), rank)
-    ).drop("_e")
+    edges = quantile_row(df, [column], [i / q for i in range(1, q)], "_e_")
+    rank = F.size(F.filter(f"_e_{column}", lambda e: F.col(column) > e)) + 1
+    # One row of q - 1 numbers.
+    return df.crossJoin(F.broadcast(edges)).withColumn(name, F.when(F.col(column).isNotNull(), rank)).drop(f"_e_{column}")
 
 
 def width_bins(df: DataFrame, column: str, n: int = 10, name: str = "bin") -> DataFrame:
@@ -106,35 +105,19 @@ def width_bins(df: DataFrame, column: str, n: int = 10, name: str = "bin") -> Da
     return df.crossJoin(F.broadcast(ends)).withColumn(name, F.when(x.isNotNull(), bin_).cast("int")).drop("_lo", "_hi")
 
 
-def average_ranks(df: DataFrame, by: Sequence[str], column: str, name: str) -> DataFrame:
-    """Ranks with ties averaged, per group, from value counts.
+def correlations(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
+    """Per group: rows, Spearman rank correlation and point-biserial (Pearson) correlation.
 
-    Ranks are prefix sums over the *distinct* values, cut into value ranges: no group is
-    sorted in one task unless its values are few.
+    Ranks are those of the distinct pairs with their counts; they are never joined back to rows. Null for
+    a constant column.
     """
-    n = df.groupBy(*by, column).agg(F.count(F.lit(1)).alias("_n"))
-    edges = n.agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))
-    span = F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-300))
-    part = F.floor((F.col(column) - F.col("_lo")) / span * 255).cast("int")
-    cut = n.crossJoin(F.broadcast(edges)).withColumn("_part", part)
-    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    per = cut.groupBy(*by, "_part").agg(F.sum("_n").alias("_s")).withColumn("_before", F.sum("_s").over(earlier))
-    w = Window.partitionBy(*by, "_part").orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = cut.withColumn("_cum", F.sum("_n").over(w)).join(per.drop("_s"), [*by, "_part"])
-    upto = F.col("_cum") + F.coalesce("_before", F.lit(0))
-    ranks = ranked.select(*by, column, (upto - (F.col("_n") - 1) / 2).alias(name))
-    return df.join(ranks, [*by, column])
-
-
-def correlations(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
-    """Per group: rows, Spearman rank correlation and point-biserial (Pearson) correlation."""
     rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(by, x, F.col(y).cast("double").alias(y))
-    ranked = average_ranks(average_ranks(rows, [by], x, "_rx"), [by], y, "_ry")
-    return ranked.groupBy(by).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.corr("_rx", "_ry").alias("spearman"),
-        F.corr(x, y).alias("point_biserial"),
-    )
+    # Not corr: a constant column makes it fail.
+    dx, dy = F.stddev_pop(x), F.stddev_pop(y)
+    pearson = F.when((dx > 0) & (dy > 0), F.covar_pop(x, y) / dx / dy)
+    plain = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), pearson.alias("point_biserial"))
+    pairs = rows.groupBy(by, x, y).agg(F.count(F.lit(1)).alias("_w"))
+    return plain.join(rank_correlation(pairs, [by], x, y, "_w"), by).select(by, "n", "spearman", "point_biserial")
 
 
 def importance(attributions: DataFrame, *, suffixes: Sequence[str], families: dict[str, str]) -> DataFrame:

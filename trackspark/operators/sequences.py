@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackspark.operators.distributions import quantile_row
 from trackspark.functions import boxes as bx
 from trackspark.functions import pooling
 
@@ -75,13 +76,13 @@ def scale_columns(
 ) -> DataFrame:
     """Median-impute and z-score columns over the whole table, optionally clipped.
 
-    The mean and deviation are those of the imputed column. Medians come from value counts,
-    so the exact median of a large table is a map-side combined aggregation.
+    The mean and deviation are those of the imputed column. Medians are exact, from ranges of counted
+    values.
     """
     cols = list(columns)
-    med = df.agg(*[F.percentile(F.col(c), F.lit(0.5)).alias(f"_med_{c}") for c in cols])
+    med = quantile_row(df, cols, [0.5], "_med_")
     filled = df.crossJoin(F.broadcast(med)).withColumns(
-        {c: F.coalesce(F.col(c).cast("double"), F.col(f"_med_{c}")) for c in cols}
+        {c: F.coalesce(F.col(c).cast("double"), F.col(f"_med_{c}")[0]) for c in cols}
     ).drop(*[f"_med_{c}" for c in cols])
     dev = F.stddev_pop if population else F.stddev_samp
     aggs = []

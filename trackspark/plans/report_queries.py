@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trackspark.functions import pooling, text
-from trackspark.operators import classes, events, reports, sequences
+from trackspark.operators import classes, distributions, events, reports, sequences
 from trackspark.plans import dataset_queries as D
 from trackspark.plans import oracle as O
 from trackspark.plans import scan_queries as S
@@ -537,6 +537,45 @@ SQL_CORRELATIONS = O.r6(
 )
 
 
+def _amounts(spark, sf):
+    """99 of 100 orders share one value; the rest differ."""
+    o = views.table(spark, sf, "orders")
+    odd = F.when(F.col("o_orderkey") % 100 == 0, F.col("o_totalprice")).otherwise(F.lit(1.0))
+    return o.select("o_orderpriority", odd.alias("amount"), "o_totalprice")
+
+
+def q_correlations_tied(spark, sf):
+    """Ranks where one value holds almost all rows."""
+    return rounded(reports.correlations(_amounts(spark, sf), "o_orderpriority", "o_totalprice", "amount"), "spearman", "point_biserial")
+
+
+SQL_CORRELATIONS_TIED = O.r6(
+    O._cte(
+        ("e", "SELECT o_orderpriority, o_totalprice AS value, CAST(CASE WHEN o_orderkey % 100 = 0 THEN o_totalprice ELSE 1 END AS DOUBLE) AS y FROM orders"),
+        (
+            "r",
+            """SELECT *, rank() OVER (PARTITION BY o_orderpriority ORDER BY value) + (count(*) OVER (PARTITION BY o_orderpriority, value) - 1) / 2 AS rx,
+          rank() OVER (PARTITION BY o_orderpriority ORDER BY y) + (count(*) OVER (PARTITION BY o_orderpriority, y) - 1) / 2 AS ry FROM e""",
+        ),
+    )
+    + "SELECT o_orderpriority, count(*) AS n, corr(rx, ry) AS spearman, corr(value, y) AS point_biserial FROM r GROUP BY o_orderpriority",
+    "spearman",
+    "point_biserial",
+)
+
+
+def q_column_quantiles(spark, sf):
+    li = views.table(spark, sf, "lineitem").select("l_quantity", "l_extendedprice", "l_discount")
+    return rounded(distributions.quantiles(li, li.columns, [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]), "value")
+
+
+SQL_COLUMN_QUANTILES = " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", p, round(v, 6) AS value FROM (
+      SELECT unnest([0.0, 0.01, 0.25, 0.5, 0.9, 1.0]::DOUBLE[]) AS p, unnest(quantile_cont({c}::DOUBLE, [0.0, 0.01, 0.25, 0.5, 0.9, 1.0])) AS v FROM lineitem)"""
+    for c in ("l_quantity", "l_extendedprice", "l_discount")
+)
+
+
 def q_importance(spark, sf):
     """Order amounts as a long attribution table: priority = class, status and customer = column."""
     o = views.table(spark, sf, "orders")
@@ -673,6 +712,8 @@ QUERIES = {
     "window_scores": (q_window_scores, SQL_WINDOW_SCORES),
     "width_bins": (q_width_bins, SQL_WIDTH),
     "correlations": (q_correlations, SQL_CORRELATIONS),
+    "correlations_tied": (q_correlations_tied, SQL_CORRELATIONS_TIED),
+    "column_quantiles": (q_column_quantiles, SQL_COLUMN_QUANTILES),
     "importance": (q_importance, SQL_IMPORTANCE),
     "neighbour_purity": (q_purity, SQL_PURITY),
     "linear_cka": (q_cka, SQL_CKA),
