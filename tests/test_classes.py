@@ -64,3 +64,32 @@ def test_difficulty_ranks_ties_low(spark):
     assert got == {"C1G1D28": (7, 1, True), "C1G2D28": (7, 1, True), "C2G1D29": (21, 1, True)}
     with pytest.raises(ValueError):
         reports.require_selected(reports.difficulty_manifest(df), "29", 2)
+
+
+def test_ridge_folds_against_refitting(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    n, d, order = 240, 5, ["a", "b", "c"]
+    y = rng.integers(0, 3, n)
+    x = rng.normal(size=(n, d)) + 1.5 * np.eye(3, d)[y]
+    g = rng.choice(["C1", "C2", "C3"], n, p=[0.6, 0.3, 0.1])
+    rows = [(str(gi), order[yi], xi.tolist()) for gi, yi, xi in zip(g, y, x)]
+    odd = [("C1", "unknown", [0.0] * d), (None, "a", [1.0] * d), ("C2", None, [2.0] * d)]
+    df = spark.createDataFrame(rows + odd, "cage string, label string, features array<double>").repartition(4)
+    old, classes.MOST_SUMS = classes.MOST_SUMS, 2
+    try:
+        got = classes.ridge_folds(df, order, group="cage", penalty=0.5).collect()
+    finally:
+        classes.MOST_SUMS = old
+    assert len(got) == n + 2
+    full = np.concatenate([x, np.ones((n, 1))], 1)
+    for cage in ("C1", "C2", "C3"):
+        train = g != cage
+        w = 1 / np.sqrt(np.maximum(np.bincount(y[train], minlength=3), 1))
+        w *= 3 / w.sum()
+        weighted = full[train] * w[y[train]][:, None]
+        coef = np.linalg.solve(weighted.T @ full[train] + 0.5 * np.eye(d + 1), weighted.T @ np.eye(3)[y[train]])
+        want = {tuple(v): order[k] for v, k in zip(x[~train].tolist(), (full[~train] @ coef).argmax(1))}
+        mine = {tuple(r["features"]): r["prediction"] for r in got if r["test_id"] == cage and r["label"] in order}
+        assert mine == want and len(want) > 10

@@ -66,7 +66,7 @@ def test_ranks_over_partitions(table, spark, parts):
 def test_constant_column_has_no_correlation(spark):
     df = spark.createDataFrame([("a", 1.0, 2.0), ("a", 2.0, 2.0), ("b", 1.0, 1.0), ("b", 2.0, 3.0), ("b", None, 3.0)], "g string, x double, y double")
     got = {r["g"]: (r["n"], r["spearman"]) for r in reports.correlations(df, "g", "x", "y").collect()}
-    assert got == {"a": (2, None), "b": (2, 1.0)}
+    assert got["a"] == (2, None) and got["b"][0] == 2 and np.isclose(got["b"][1], 1.0)
 
 
 def test_quartile_bins(table):

@@ -436,6 +436,80 @@ def q_linear_baseline(spark, sf):
     return rounded(classes.class_scores(cm), "precision", "recall", "f1")
 
 
+LABELS = [str(i) for i in range(10)]
+
+
+def _ridge(spark, sf):
+    """Every vector with the class that the fold without its cage gives it."""
+    e = _emb(spark, sf).withColumn("video_id", views.video_of(F.col("vec_id")))
+    rows = e.select("vec_id", F.substring("video_id", 1, 2).alias("cage"), F.col("label").cast("string").alias("true_label"), "embedding")
+    out = classes.ridge_folds(rows, LABELS, group="cage", label="true_label", features="embedding")
+    return out.withColumnRenamed("prediction", "pred_label")
+
+
+def q_ridge_folds(spark, sf):
+    """Leave-one-cage-out: every fold, then MEAN, STD and POOLED."""
+    cm = cut_lineage(classes.confusion(_ridge(spark, sf).withColumnRenamed("cage", "fold"), by=["fold"]), "confusion")
+    hit = F.sum(F.when(F.col("true_label") == F.col("pred_label"), F.col("n")).otherwise(0)) / F.sum("n")
+    folds = classes.macro_f1(cm, by=["fold"]).join(cm.groupBy("fold").agg(hit.alias("accuracy")), "fold").withColumnRenamed("fold", "test_id")
+    whole = cm.groupBy("true_label", "pred_label").agg(F.sum("n").alias("n"))
+    pooled = classes.macro_f1(whole).crossJoin(F.broadcast(whole.agg(hit.alias("accuracy"))))  # one row each
+    return rounded(classes.fold_summary(folds.select("test_id", "macro_f1", "accuracy"), pooled), "macro_f1", "accuracy")
+
+
+def q_ridge_scores(spark, sf):
+    cm = classes.confusion(_ridge(spark, sf).select("true_label", "pred_label"))
+    return rounded(classes.class_scores(cm), "precision", "recall", "f1")
+
+
+_N = 65  # features and the constant
+# The normal equations of each fold, solved by elimination: step k clears column k in every other row.
+_RIDGE = [
+    ("e", f"""SELECT vec_id, substr({O.video('vec_id')}, 1, 2) AS cage, label, list_append(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), 1.0::DOUBLE) AS x FROM embeddings"""),
+    ("ij", f"SELECT i, j FROM (SELECT unnest(range(1, {_N + 1})) AS i), (SELECT unnest(range(1, {_N + 1})) AS j)"),
+    ("g", "SELECT cage, label, i, j, sum(x[i] * x[j]) AS v FROM e CROSS JOIN ij GROUP BY ALL"),
+    ("f", """SELECT c.cage AS fold, t.label, t.i, t.j, t.v - coalesce(g.v, 0) AS v FROM (SELECT DISTINCT cage FROM e) c
+      CROSS JOIN (SELECT label, i, j, sum(v) AS v FROM g GROUP BY ALL) t LEFT JOIN g ON g.cage = c.cage AND g.label = t.label AND g.i = t.i AND g.j = t.j"""),
+    ("cw", f"""SELECT fold, label, w * 10 / sum(w) OVER (PARTITION BY fold) AS w FROM (
+      SELECT c.fold, l.label, 1 / sqrt(greatest(round(coalesce(f.v, 0)), 1)) AS w FROM (SELECT DISTINCT fold FROM f) c
+      CROSS JOIN (SELECT unnest(range(10)) AS label) l LEFT JOIN f ON f.fold = c.fold AND f.label = l.label AND f.i = {_N} AND f.j = {_N})"""),
+    ("aj", "SELECT fold, i, j AS k, sum(w * v) + (i = j)::INT AS v FROM f JOIN cw USING (fold, label) GROUP BY fold, i, j"),
+    ("bj", f"SELECT cw.fold, f.i, {_N} + 1 + cw.label AS k, cw.w * f.v AS v FROM cw JOIN f USING (fold, label) WHERE f.j = {_N}"),
+    ("full_row", f"""SELECT fold, i, list(coalesce(v, 0) ORDER BY k) AS r FROM (SELECT DISTINCT fold, i FROM aj)
+      CROSS JOIN (SELECT unnest(range(1, {_N + 11})) AS k) LEFT JOIN (SELECT * FROM aj UNION ALL SELECT * FROM bj) USING (fold, i, k) GROUP BY ALL"""),
+    ("st", f"""SELECT 0 AS s, fold, i, r FROM full_row UNION ALL
+      SELECT st.s + 1, st.fold, st.i, CASE WHEN st.i = st.s + 1 THEN list_transform(st.r, lambda x: x / st.r[st.s + 1])
+        ELSE list_transform(range(1, {_N + 11}), lambda k: st.r[k] - st.r[st.s + 1] / p.r[st.s + 1] * p.r[k]) END
+      FROM st JOIN st p ON p.fold = st.fold AND p.i = st.s + 1 WHERE st.s < {_N}"""),
+    ("model", f"SELECT fold, label, list(r[{_N} + 1 + label] ORDER BY i) AS w FROM st CROSS JOIN (SELECT unnest(range(10)) AS label) WHERE s = {_N} GROUP BY ALL"),
+    ("p", """SELECT vec_id, cage AS lang, CAST(any_value(e.label) AS VARCHAR) AS true_label, CAST(max_by(m.label, list_dot_product(x, w)) AS VARCHAR) AS pred_label
+      FROM e JOIN model m ON m.fold = e.cage GROUP BY vec_id, cage"""),
+    ("names", "SELECT true_label AS c FROM p UNION SELECT pred_label FROM p"),
+    ("cells", """SELECT l.lang, c, count(*) FILTER (WHERE true_label = c AND pred_label = c) AS tp, count(*) FILTER (WHERE true_label = c) AS support,
+      count(*) FILTER (WHERE pred_label = c) AS predicted FROM (SELECT DISTINCT lang FROM p) l CROSS JOIN names JOIN p ON p.lang = l.lang GROUP BY ALL"""),
+]
+_F1 = "coalesce(2.0 * tp / nullif(support + predicted, 0), 0)"
+SQL_RIDGE_FOLDS = (
+    O._cte(
+        *_RIDGE,
+        ("fo", f"""SELECT lang AS test_id, avg({_F1}) AS macro_f1, any_value(acc) AS accuracy FROM cells
+      JOIN (SELECT lang, avg((true_label = pred_label)::INT) AS acc FROM p GROUP BY ALL) USING (lang) GROUP BY ALL"""),
+        ("po", f"""SELECT avg({_F1}) AS macro_f1, (SELECT avg((true_label = pred_label)::INT) FROM p) AS accuracy
+      FROM (SELECT c, sum(tp) AS tp, sum(support) AS support, sum(predicted) AS predicted FROM cells GROUP BY ALL)"""),
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+    + """SELECT test_id, round(macro_f1, 6) AS macro_f1, round(accuracy, 6) AS accuracy FROM fo
+    UNION ALL SELECT 'MEAN', round(avg(macro_f1), 6), round(avg(accuracy), 6) FROM fo
+    UNION ALL SELECT 'STD', round(stddev_samp(macro_f1), 6), round(stddev_samp(accuracy), 6) FROM fo
+    UNION ALL SELECT 'POOLED', round(macro_f1, 6), round(accuracy, 6) FROM po"""
+)
+SQL_RIDGE_SCORES = (
+    O._cte(*_RIDGE).replace("WITH ", "WITH RECURSIVE ", 1)
+    + f"""SELECT c AS class, sum(tp)::BIGINT AS tp, sum(support)::BIGINT AS support, sum(predicted)::BIGINT AS predicted,
+    round(coalesce(sum(tp) / nullif(sum(predicted), 0), 0), 6) AS precision, round(coalesce(sum(tp) / nullif(sum(support), 0), 0), 6) AS recall,
+    round(coalesce(2.0 * sum(tp) / nullif(sum(support) + sum(predicted), 0), 0), 6) AS f1 FROM cells GROUP BY c"""
+)
+
+
 # --- reports ----------------------------------------------------------------------------
 
 
@@ -706,6 +780,8 @@ QUERIES = {
     "recall_by_quartile": (q_recall_by_quartile, SQL_QUARTILE),
     "recall_main_confusion": (q_main_confusion, SQL_MAIN_CONFUSION),
     "linear_baseline": (q_linear_baseline, None),
+    "ridge_folds": (q_ridge_folds, SQL_RIDGE_FOLDS),
+    "ridge_scores": (q_ridge_scores, SQL_RIDGE_SCORES),
     "difficulty_manifest": (q_difficulty, SQL_DIFFICULTY),
     "group_shares": (q_group_shares, SQL_GROUP_SHARES),
     "day_shares": (q_day_shares, SQL_DAY),
