@@ -146,7 +146,7 @@ def q_stability_stream(spark, sf):
     for late in (False, True):
         writers.append(m.filter((F.col("frame_idx") % 200 >= 100) == late), f"{path}/in")
         stream = spark.readStream.schema(m.schema).parquet(f"{path}/in")
-        hits = stability.stability_stream(stream, limit=0.2, window=5, cooldown=20)
+        hits = stability.stability_stream(stream, limit=0.2, window=5, cooldown=20, ends=F.col("frame_idx") % 200 == 199)
         query = hits.writeStream.format("parquet").option("checkpointLocation", f"{path}/log").option("path", f"{path}/out").outputMode("append").start()
         query.processAllAvailable()
         query.stop()

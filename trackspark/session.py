@@ -18,6 +18,10 @@ DEFAULTS = {
     # Mask geometry costs far more CPU than bytes: do not merge small inputs into one task.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # The state store that timers and expiry need.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # Timers run with the next batch that has rows; else a query with timers never comes to rest.
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
     # Shuffle files go when their query ends, not when the driver happens to collect its garbage.
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
 }

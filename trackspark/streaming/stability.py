@@ -10,8 +10,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from trackspark.operators.blocks import ordered_fold
 
@@ -49,30 +50,73 @@ def stability_triggers(
     return ordered_fold(rows, ["video_id", "chunk_idx"], ["frame_idx"], step, schema)
 
 
-def stability_stream(
-    frames: DataFrame, *, limit: float = MAX_IOU, window: int = WINDOW, cooldown: int = COOLDOWN
-) -> DataFrame:
-    """The same over a stream whose chunks arrive in frame order from batch to batch."""
+class _Trigger(StatefulProcessor):
+    """The scan's state of one chunk, which goes with the chunk's last frame or when nothing comes any more."""
+
+    def __init__(self, limit: float, window: int, cooldown: int, idle_seconds: float):
+        self.settings = {"limit": limit, "window": window, "cooldown": cooldown}
+        self.idle = int(idle_seconds * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.scan = handle.getValueState("scan", "recent array<double>, since int")
+
+    def _forget_timers(self) -> None:
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at if isinstance(at, int) else at[0])
 
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        recent, since = (list(state.get[0]), state.get[1]) if state.exists else ([], cooldown)
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        recent, since = [], self.settings["cooldown"]
+        if self.scan.exists():
+            kept = self.scan.get()
+            recent, since = list(kept[0]), kept[1]
         # One chunk (at most a few thousand frames) per key and micro-batch.
-        pdf = pd.concat(list(batches)).sort_values("frame_idx")
-        hits = []
-        for frame, value in zip(pdf["frame_idx"], pdf["max_iou"]):
-            recent, since, fired = _advance(
-                recent, since, float(value), limit=limit, window=window, cooldown=cooldown
-            )
-            if fired:
-                hits.append((key[0], key[1], int(frame), float(value)))
-        state.update(([float(v) for v in recent], int(since)))
+        pdf = pd.concat(list(rows)).sort_values("frame_idx")
+        hits, ended = [], False
+        for frame, value, counts, last in zip(pdf["frame_idx"], pdf["max_iou"], pdf["counts"], pdf["last"]):
+            if counts:
+                recent, since, fired = _advance(recent, since, float(value), **self.settings)
+                if fired:
+                    hits.append((key[0], key[1], int(frame), float(value)))
+            ended = ended or bool(last)
+        self._forget_timers()
+        if ended:
+            self.scan.clear()
+        else:
+            self.scan.update(([float(v) for v in recent], int(since)))
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle)
         yield pd.DataFrame(hits, columns=["video_id", "chunk_idx", "frame_idx", "max_iou"])
 
-    rows = frames.filter(F.col("num_objects") >= 2).select("video_id", "chunk_idx", "frame_idx", "max_iou")
-    return rows.groupBy("video_id", "chunk_idx").applyInPandasWithState(
-        update,
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.scan.clear()
+        yield pd.DataFrame([], columns=["video_id", "chunk_idx", "frame_idx", "max_iou"])
+
+    def close(self) -> None:
+        pass
+
+
+def stability_stream(
+    frames: DataFrame,
+    *,
+    limit: float = MAX_IOU,
+    window: int = WINDOW,
+    cooldown: int = COOLDOWN,
+    ends: Column | None = None,
+    idle_seconds: float = 3600.0,
+) -> DataFrame:
+    """The same over a stream whose chunks arrive in frame order from batch to batch.
+
+    ``ends`` marks the last frame of a chunk, with which its state goes. The state of a chunk without
+    such a frame goes with the first batch after ``idle_seconds`` without its rows; frames that come later
+    start it anew. The session needs the RocksDB state store.
+    """
+    some = F.col("num_objects") >= 2
+    last = F.lit(False) if ends is None else F.coalesce(ends, F.lit(False))
+    rows = frames.withColumns({"counts": some, "last": last}).filter(F.col("counts") | F.col("last"))
+    rows = rows.select("video_id", "chunk_idx", "frame_idx", "max_iou", "counts", "last")
+    return rows.groupBy("video_id", "chunk_idx").transformWithStateInPandas(
+        _Trigger(limit, window, cooldown, idle_seconds),
         "video_id string, chunk_idx int, frame_idx int, max_iou double",
-        "recent array<double>, since int",
         "append",
-        "NoTimeout",
+        "processingTime",
     )
