@@ -16,7 +16,7 @@ from itertools import chain
 
 import numpy as np
 
-MAX_CACHED = 200_000
+MAX_CACHED = 250_000
 GROUP_CHARS = 1 << 20  # texts whose words are looked up together
 JOINED = 256  # unseen words in one call
 # Fixed value: the split pattern in the tokenizer's file.
@@ -108,10 +108,13 @@ class WordTokens:
 
     # With spans.
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, needed: set[str]) -> None:
+        """All words of a group of texts; of a full cache only what the group needs is kept."""
+        words = list(needed.difference(self.ids))
         if len(self.ids) + len(words) > MAX_CACHED:
-            self.ids.clear()
-            self.spans.clear()
+            kept = needed.intersection(self.ids)
+            self.ids = {w: self.ids[w] for w in kept}
+            self.spans = {w: self.spans[w] for w in kept}
         for at in range(0, len(words), JOINED):
             part = words[at : at + JOINED]
             starts = np.cumsum([0, *(len(w) + 1 for w in part[:-1])])
@@ -147,12 +150,9 @@ class WordTokens:
                 except KeyError:
                     late[k] = words
             if late:
-                self._learn(list(set(chain.from_iterable(late.values())).difference(self.ids)))
+                self._learn(set(chain.from_iterable(late.values())))
             for k, words in late.items():
-                try:
-                    out[k] = self._found(group[k], words)
-                except KeyError:  # the cache was cleared for the other words
-                    out[k] = self._whole(group[k])
+                out[k] = self._found(group[k], words)
             yield from out
 
 
