@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackspark.llm import hashing
-from trackspark.llm.common import texts
+from trackspark.llm.common import slices, texts
 
 SIZES = (1, 2, 4, 8, 16, 32)  # window sizes in words; an item takes the largest that it fills
 WALKS, SAMPLES, STEPS_KEYED = 3, 3, 4  # walks, keys of each walk, steps in a key
@@ -268,7 +268,7 @@ def decontaminate(df: DataFrame, items: DataFrame, text_col: str = "text", share
 
     def clean(index: Index):
         def run(batches):
-            for b in batches:
+            for b in slices(batches):
                 keep = np.ones(b.num_rows, bool)
                 for k, *_ in _found(b.column(at).to_pylist(), index, share):
                     keep[k] = False

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -22,6 +24,31 @@ def utf8(col: str | Column) -> Column:
     return (F.col(col) if isinstance(col, str) else col).cast("binary")
 
 
+#: Bytes of a batch that become Python objects at once (one row at least).
+SLICE_BYTES = 1 << 22
+
+
+def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Stretches of bounded bytes of a task's batches; then freed memory goes back to the system.
+
+    A Python worker outlives its task and keeps what its allocators hold, which the next stage would
+    find taken.
+    """
+    for b in batches:
+        step = max(1, b.num_rows * size // max(b.nbytes, 1))
+        for k in range(0, b.num_rows, step):
+            yield b.slice(k, step)
+    release()
+
+
+def release() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library only
+    if trim is not None:
+        trim(0)
+
+
 def map_rows(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], schema: pa.Schema, ddl: str) -> DataFrame:
     """``mapInArrow`` for a function from column lists to column lists (one dict a batch)."""
 

@@ -16,7 +16,7 @@ from itertools import accumulate, groupby
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from trackspark.llm.common import map_rows, texts
+from trackspark.llm.common import map_rows, slices, texts
 
 # The three base patterns, as the scan's contract gives them.
 KINDS = ("assign", "access", "hex", "random")
@@ -237,7 +237,7 @@ def redact(df: DataFrame, text_col: str = "text", mark: str = "[secret]", vocabu
 
     def run(batches):
         enc = encoder(path)
-        for b in batches:
+        for b in slices(batches):
             new = []
             for text in b.column(at).to_pylist():
                 spans = merged(base_spans(text) + random_spans(text, enc, max_ratio)) if text else []

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackspark.llm import hashing
-from trackspark.llm.common import texts
+from trackspark.llm.common import slices, texts
 from trackspark.llm.components import components
 from trackspark.session import cut_lineage
 
@@ -82,7 +82,7 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
 def _counted(size: int):
     def run(batches):
         counts = np.zeros(COUNTERS, np.int64)
-        for b in batches:
+        for b in slices(batches):
             for text in b.column("text").to_pylist():
                 s = shingles(text, size)
                 np.add.at(counts, (s & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
@@ -110,7 +110,7 @@ def _sets(size: int, num: int, den: int, counters):
 
     def run(batches):
         freq = counters.value
-        for b in batches:
+        for b in slices(batches):
             out: list[list] = [[], [], [], []]
             for text in b.column("text").to_pylist():
                 s = shingles(text, size)
@@ -157,7 +157,7 @@ _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts compressed, as they travel between the steps."""
     zip_ = zstandard.ZstdCompressor(level=1).compress
-    for b in batches:
+    for b in slices(batches):
         packed = pa.array([zip_(t.as_py().encode()) for t in b.column("text")], pa.binary())
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), packed], names=["doc_id", "text_key", "packed"])
 
@@ -165,7 +165,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """Rows with the text, their last column, opened."""
     unzip = zstandard.ZstdDecompressor().decompress
-    for b in batches:
+    for b in slices(batches):
         for *row, packed in zip(*b.columns, strict=True):
             yield *(x.as_py() for x in row), unzip(packed.as_py()).decode()
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackspark.llm.common import map_rows, texts
+from trackspark.llm.common import map_rows, slices, texts
 
 BUCKETS = 1 << 17
 DIM = 8
@@ -235,7 +235,7 @@ def without_toxic(df: DataFrame, labels: DataFrame, text_col: str = "text", thre
 
     def run(batches):
         scorer = Scorer(model)
-        for b in batches:
+        for b in slices(batches):
             yield b.filter(pa.array([t is None or scorer(t) < threshold for t in b.column(at).to_pylist()], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
