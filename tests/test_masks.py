@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -28,21 +29,55 @@ def test_code_round_trip():
         assert (rle.decode_runs(rle.encode_runs(runs)) == runs).all()
 
 
+def measured(bitmaps):
+    """The measures of a batch, one dict a mask; an empty dict for a mask without pixels or none at all."""
+    codes = pa.array([None if b is None else rle.encode_runs(runs_of(b)) for b in bitmaps], pa.string())
+    found = rle.shapes(codes, np.array([1 if b is None else b.shape[0] for b in bitmaps], np.int64))
+    out = [{} for _ in bitmaps]
+    for k, row in enumerate(found["mask"].tolist()):
+        out[row] = {name: v[k] for name, v in found.items()}
+    return out
+
+
+def some_bitmaps(n, seed=1):
+    rng = np.random.default_rng(seed)
+    out = [blob(rng, int(rng.integers(2, 30)), int(rng.integers(2, 40)), rng.uniform(0.05, 0.8)) for _ in range(n)]
+    corner = np.ones((9, 12), bool)
+    corner[2:, 5:] = False  # an L
+    apart = np.zeros((9, 12), bool)
+    apart[:, 1:3] = apart[4:7, 8:] = True
+    return out + [corner, apart, corner[::-1], np.ones((4, 7), bool), None, np.zeros((5, 5), bool), corner.T]
+
+
+def test_batches_decode_like_single_masks():
+    bitmaps = some_bitmaps(40)
+    codes = [None if b is None else rle.encode_runs(runs_of(b)) for b in bitmaps]
+    for part in (codes, codes[3:9], [None], [], ["", None]):
+        runs, owner = rle.decode_batch(pa.array(part, pa.string()))
+        for k, code in enumerate(part):
+            assert runs[owner == k].tolist() == ([] if not code else rle.decode_runs(code).tolist())
+    sliced = pa.array(codes, pa.string()).slice(5, 7)
+    assert rle.decode_batch(sliced)[0].tolist() == rle.decode_batch(pa.array(codes[5:12], pa.string()))[0].tolist()
+
+
 def test_geometry_against_pixels():
-    rng = np.random.default_rng(1)
-    for _ in range(60):
-        b = blob(rng, share=rng.uniform(0.1, 0.7))
-        runs = np.array(runs_of(b))
-        area, cx, cy, elong, orient, solid, ecc, box = rle.geometry(runs, b.shape[0])
+    bitmaps = some_bitmaps(60)
+    for b, g in zip(bitmaps, measured(bitmaps), strict=True):
+        if b is None or not b.any():
+            assert g == {}
+            continue
         ys, xs = np.nonzero(b)
-        assert area == len(xs)
+        assert g["mask_area"] == len(xs)
         cov = np.cov(np.vstack([xs, ys]), bias=True)
         lam = np.linalg.eigvalsh(cov)
-        assert np.allclose([cx, cy], [xs.mean(), ys.mean()])
-        assert np.isclose(elong, np.sqrt(lam[1] / lam[0])) and np.isclose(ecc, np.sqrt(1 - lam[0] / lam[1]))
-        assert np.isclose(orient, 0.5 * np.arctan2(2 * cov[0, 1], cov[0, 0] - cov[1, 1]))
-        assert box == [xs.min(), ys.min(), xs.max(), ys.max()]
-        assert solid > 0
+        assert np.allclose([g["centroid_x"], g["centroid_y"]], [xs.mean(), ys.mean()])
+        if lam[0] > 1e-9:
+            assert np.isclose(g["elongation"], np.sqrt(lam[1] / lam[0])) and np.isclose(g["eccentricity"], np.sqrt(1 - lam[0] / lam[1]))
+        if abs(cov[0, 1]) > 1e-9:  # with its sign
+            assert np.isclose(g["orientation"], 0.5 * np.arctan2(2 * cov[0, 1], cov[0, 0] - cov[1, 1]))
+        assert g["box"].tolist() == [xs.min(), ys.min(), xs.max(), ys.max()]
+        hull = hull_by_turns(list(zip(xs.tolist(), ys.tolist()))) if len(xs) > 2 else 0.0
+        assert np.isclose(g["solidity"], len(xs) / hull) if hull > 1e-9 else np.isnan(g["solidity"])
 
 
 def hull_by_turns(points):
@@ -62,23 +97,12 @@ def hull_by_turns(points):
     return abs((a * np.roll(b, -1) - np.roll(a, -1) * b).sum()) / 2
 
 
-def test_hull_area():
-    rng = np.random.default_rng(6)
-    for _ in range(80):
-        b = blob(rng, share=rng.uniform(0.01, 0.6))
-        if b.sum() < 3:
-            continue
-        xs, ys = np.nonzero(b.T)
-        got = rle.hull_area(*rle.segments(np.array(runs_of(b)), b.shape[0]))
-        assert np.isclose(got, hull_by_turns(list(zip(xs.tolist(), ys.tolist()))))
-
-
-def test_empty_and_single_pixel():
-    assert rle.geometry(np.array([H * W]), H)[:2] == (0.0, None)
+def test_single_pixel():
     one = np.zeros((H, W), bool)
     one[3, 4] = True
-    got = rle.geometry(np.array(runs_of(one)), H)
-    assert got[:3] == (1.0, 4.0, 3.0) and got[3] is None and got[5] is None
+    (got,) = measured([one])
+    assert (got["mask_area"], got["centroid_x"], got["centroid_y"]) == (1.0, 4.0, 3.0)
+    assert np.isnan(got["elongation"]) and np.isnan(got["solidity"])
 
 
 def test_known_string_and_missing_mask(spark):
@@ -98,11 +122,25 @@ def test_known_string_and_missing_mask(spark):
     assert out[1]["a"] == 0 and out[1]["g"]["mask_area"] == 0.0 and out[1]["r"] == [100]
 
 
-def test_overlap_against_pixels():
+def test_sweep_against_pixels():
+    """All pairs of all frames of a batch at once: masks with parts, without pixels, over the whole picture."""
     rng = np.random.default_rng(3)
-    for _ in range(50):
-        a, b = blob(rng), blob(rng)
-        assert rle.overlap(np.array(runs_of(a)), np.array(runs_of(b))) == (a & b).sum()
+    bitmaps, frame = [], []
+    for f in range(12):
+        for _ in range(int(rng.integers(0, 7))):
+            kind = rng.integers(0, 5)
+            b = {0: np.zeros((24, 30), bool), 1: np.ones((24, 30), bool)}.get(int(kind), blob(rng, share=rng.uniform(0.02, 0.6)))
+            bitmaps.append(b)
+            frame.append(f)
+    codes = pa.array([rle.encode_runs(runs_of(b)) for b in bitmaps])
+    got = rle.overlaps(*rle.intervals(*rle.decode_batch(codes)), np.array(frame))
+    want = {}
+    for i in range(len(bitmaps)):
+        for j in range(i + 1, len(bitmaps)):
+            n = int((bitmaps[i] & bitmaps[j]).sum())
+            if frame[i] == frame[j] and n:
+                want[i, j] = n
+    assert dict(zip(zip(got["a"].tolist(), got["b"].tolist()), got["n"].tolist())) == want and len(want) > 30
 
 
 def test_spread_points_and_thirds(spark):

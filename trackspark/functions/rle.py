@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,6 +60,143 @@ def segments(runs: np.ndarray, height: int) -> tuple[np.ndarray, np.ndarray, np.
     return x, lo, hi
 
 
+# --- whole batches ----------------------------------------------------------------------
+
+
+def _within(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Running sums that start over at each index of ``first``."""
+    if not len(values):
+        return values
+    total = np.cumsum(values)
+    sizes = np.diff(np.append(first, len(values)))
+    return total - np.repeat((total - values)[first], sizes)
+
+
+def _starts(owner: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.diff(owner, prepend=-1))
+
+
+def decode_batch(counts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``(runs, mask of each run)`` of a column of compressed masks; nulls and empty strings have none."""
+    counts = counts.cast(pa.large_binary())
+    ends = np.frombuffer(counts.buffers()[1], np.int64)[counts.offset : counts.offset + len(counts) + 1]
+    raw = np.frombuffer(counts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    c = raw.astype(np.int64) - 48
+    last = np.flatnonzero((c & 32) == 0)
+    if not len(last):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first = np.concatenate(([0], last[:-1] + 1))
+    c = c[: last[-1] + 1]
+    place = np.arange(len(c)) - np.repeat(first, last - first + 1)
+    x = np.add.reduceat((c & 31) << (5 * place), first)
+    x -= np.where(c[last] & 16, np.int64(1) << (5 * (last - first + 1)), 0)
+    owner = np.searchsorted(ends - ends[0], last, "right") - 1
+    begins = _starts(owner)
+    k = np.arange(len(x)) - np.repeat(begins, np.diff(np.append(begins, len(x))))
+    # Stored from the fourth run on: the difference to two runs before.
+    for rows in (np.flatnonzero(k % 2 == 1), np.flatnonzero((k % 2 == 0) & (k > 0))):
+        x[rows] = _within(x[rows], _starts(owner[rows]))
+    return x, owner
+
+
+def intervals(runs: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Foreground of a batch as pixel ranges ``mask, start, end`` in order."""
+    begins = _starts(owner)
+    ends = _within(runs, begins)
+    k = np.arange(len(runs)) - np.repeat(begins, np.diff(np.append(begins, len(runs))))
+    on = np.flatnonzero((k % 2 == 1) & (runs > 0))
+    return owner[on], ends[on] - runs[on], ends[on]
+
+
+def columns_of(owner: np.ndarray, starts: np.ndarray, ends: np.ndarray, height: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Pixel ranges as vertical segments ``mask, x, y0, y1``; ``height`` is that of each mask."""
+    h = height[owner]
+    x0, x1 = starts // h, (ends - 1) // h
+    k = x1 - x0 + 1
+    mask, h = np.repeat(owner, k), np.repeat(h, k)
+    x = np.repeat(x0, k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+    return mask, x, np.maximum(np.repeat(starts, k) - x * h, 0), np.minimum(np.repeat(ends, k) - x * h, h)
+
+
+def _corners(mask: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Area under the lower hull of each mask's points, which stand in order of (mask, x).
+
+    Points on or above the line through their neighbours are no corners; in every mask all of them
+    are dropped at once until none is left.
+    """
+    n = int(mask[-1]) + 1
+    while True:
+        inner = (mask[2:] == mask[:-2]) if len(mask) > 2 else np.zeros(0, bool)
+        turn = (x[1:-1] - x[:-2]) * (y[2:] - y[:-2]) - (y[1:-1] - y[:-2]) * (x[2:] - x[:-2])
+        drop = np.flatnonzero(inner & (turn <= 0)) + 1
+        if not len(drop):
+            break
+        keep = np.ones(len(mask), bool)
+        keep[drop] = False
+        mask, x, y = mask[keep], x[keep], y[keep]
+    same = mask[1:] == mask[:-1]
+    return np.bincount(mask[1:][same], ((y[1:] + y[:-1]) * np.diff(x) / 2)[same], n)
+
+
+def shapes(counts: pa.Array, height: np.ndarray) -> dict[str, np.ndarray]:
+    """The measures of ``GEOMETRY`` and the box of each mask with pixels, by ``mask`` (its row)."""
+    owner, x, y0, y1 = columns_of(*intervals(*decode_batch(counts)), height)
+    if not len(owner):
+        return {"mask": owner}
+    first = _starts(owner)
+    rows = owner[first]
+    own = np.cumsum(np.diff(owner, prepend=owner[0]) != 0)  # masks counted from 0
+    add = lambda v: np.add.reduceat(v, first)
+    n = (y1 - y0).astype(float)
+    xs, base = x - x[first][own], np.minimum.reduceat(y0, first)
+    a, b = (y0 - base[own]).astype(float), (y1 - 1 - base[own]).astype(float)
+    area = add(n)
+    cx, cy = add(xs * n) / area, add(n * (a + b) / 2) / area
+    mid, dx = (a + b) / 2 - cy[own], xs - cx[own]
+    m20, m11 = add(n * dx**2) / area, add(dx * mid * n) / area
+    m02 = add(n * mid**2 + n * (n**2 - 1) / 12) / area
+    spread = np.sqrt((m20 - m02) ** 2 + 4 * m11**2)
+    major, minor = (m20 + m02 + spread) / 2, np.maximum((m20 + m02 - spread) / 2, 0.0)
+    at = np.flatnonzero((np.diff(own, prepend=-1) != 0) | (np.diff(x, prepend=x[0] - 1) != 0))
+    columns, mask = x[at].astype(float), own[at]
+    hull = -_corners(mask, columns, -np.maximum.reduceat(y1 - 1, at).astype(float)) - _corners(mask, columns, np.minimum.reduceat(y0, at).astype(float))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return {
+            "mask": rows,
+            "mask_area": area,
+            "centroid_x": cx + x[first],
+            "centroid_y": cy + base,
+            "elongation": np.where(minor > 0, np.sqrt(major / minor), np.nan),
+            "orientation": 0.5 * np.arctan2(2 * m11, m20 - m02),
+            "solidity": np.where(hull > 0, area / hull, np.nan),
+            "eccentricity": np.where(major > 0, np.sqrt(1 - minor / major), np.nan),
+            "box": np.stack([x[first], base, np.maximum.reduceat(x, first), np.maximum.reduceat(y1, first) - 1], 1),
+        }
+
+
+def overlaps(owner: np.ndarray, starts: np.ndarray, ends: np.ndarray, frame: np.ndarray) -> dict[str, np.ndarray]:
+    """Common pixels of the masks of a frame: ``a < b`` (masks) and ``n``, for pairs that share any.
+
+    One sweep for all masks of all frames: pixel ranges are ordered by their starts, and each meets those
+    that start before it ends. ``frame`` is the frame of each mask, ascending.
+    """
+    far = int(ends.max()) + 1 if len(ends) else 1
+    at = frame[owner] * far
+    lo, hi = at + starts, at + ends
+    order = np.argsort(lo, kind="stable")
+    owner, lo, hi = owner[order], lo[order], hi[order]
+    met = np.searchsorted(lo, hi, "left") - np.arange(len(lo)) - 1
+    i = np.repeat(np.arange(len(lo)), met)
+    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(met) - met, met)
+    n = np.minimum(hi[i], hi[j]) - lo[j]
+    a, b = np.minimum(owner[i], owner[j]), np.maximum(owner[i], owner[j])
+    size = len(frame)
+    keys, place = np.unique(a * size + b, return_inverse=True)
+    total = np.zeros(len(keys), np.int64)
+    np.add.at(total, place, n)
+    return {"a": keys // size, "b": keys % size, "n": total}
+
+
 # --- geometry ---------------------------------------------------------------------------
 
 
@@ -77,29 +215,6 @@ def _moments(x, y0, y1):
     return area, cx + x[0], cy + base, (n * dx**2).sum() / area, syy / area, (dx * mid * n).sum() / area
 
 
-def _convex(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lower hull of points sorted by x: points on or above the line through their neighbours
-    are no corners; drop all of them at once until none is left."""
-    while len(x) > 2:
-        turn = (x[1:-1] - x[:-2]) * (y[2:] - y[:-2]) - (y[1:-1] - y[:-2]) * (x[2:] - x[:-2])
-        keep = np.concatenate(([True], turn > 0, [True]))
-        if keep.all():
-            break
-        x, y = x[keep], y[keep]
-    return x, y
-
-
-def hull_area(x, y0, y1) -> float:
-    """Area of the convex hull of the pixel centres."""
-    at = np.flatnonzero(np.concatenate(([True], np.diff(x) > 0)))
-    cols = x[at].astype(float)
-    lx, ly = _convex(cols, np.minimum.reduceat(y0, at).astype(float))
-    ux, uy = _convex(cols, -np.maximum.reduceat(y1 - 1, at).astype(float))
-    below = ((ly[1:] + ly[:-1]) * np.diff(lx)).sum() / 2
-    above = ((uy[1:] + uy[:-1]) * np.diff(ux)).sum() / 2
-    return float(-above - below)
-
-
 _FIELDS = [
     "mask_area",
     "centroid_x",
@@ -119,37 +234,6 @@ PAIRS = T.ArrayType(
 )
 
 
-def geometry(runs: np.ndarray, height: int) -> tuple:
-    """Shape measures of one mask, in the order of ``GEOMETRY``; None where undefined."""
-    x, y0, y1 = segments(runs, height)
-    if len(x) == 0:
-        return (0.0, *[None] * 6, [0, 0, 0, 0])
-    area, cx, cy, m20, m02, m11 = _moments(x, y0, y1)
-    spread = np.sqrt((m20 - m02) ** 2 + 4 * m11**2)
-    major, minor = (m20 + m02 + spread) / 2, max((m20 + m02 - spread) / 2, 0.0)
-    hull = hull_area(x, y0, y1)
-    return (
-        float(area),
-        float(cx),
-        float(cy),
-        float(np.sqrt(major / minor)) if minor > 0 else None,
-        float(0.5 * np.arctan2(2 * m11, m20 - m02)),
-        float(area / hull) if hull > 0 else None,
-        float(np.sqrt(1 - minor / major)) if major > 0 else None,
-        [int(x.min()), int(y0.min()), int(x.max()), int(y1.max() - 1)],
-    )
-
-
-def overlap(a: np.ndarray, b: np.ndarray) -> int:
-    """Common pixels of two masks on one canvas, from their run lengths."""
-    ends = np.cumsum(b)
-    counted = np.cumsum(np.where(np.arange(len(b)) % 2, b, 0))
-    knots, values = np.concatenate(([0], ends)), np.concatenate(([0], counted))
-    stop = np.cumsum(a)[1::2]
-    start = stop - a[1::2][: len(stop)]
-    return int(round((np.interp(stop, knots, values) - np.interp(start, knots, values)).sum()))
-
-
 def _pick(runs: np.ndarray, height: int, ranks: np.ndarray) -> list[list[int]]:
     """Pixels at the given positions of the (x, y) order."""
     x, y0, y1 = segments(runs, height)
@@ -172,50 +256,74 @@ def rle_decode(counts: pd.Series) -> pd.Series:
     return counts.map(lambda c: decode_runs(c).astype(np.int32), na_action="ignore")
 
 
-@F.pandas_udf(GEOMETRY)
-def mask_geometry(counts: pd.Series, height: pd.Series) -> pd.DataFrame:
-    none = (None,) * (len(_FIELDS) + 1)  # no mask, no shape
-    rows = [none if c is None else geometry(decode_runs(c), int(h)) for c, h in zip(counts, height)]
-    frame = pd.DataFrame(rows, columns=[*_FIELDS, "box"])
-    return frame.astype({c: "float64" for c in _FIELDS})
-
-
-@F.pandas_udf(T.LongType())
-def mask_area(counts: pd.Series) -> pd.Series:
-    return pd.Series([None if c is None else int(decode_runs(c)[1::2].sum()) for c in counts], dtype="Int64")
-
-
-@F.pandas_udf(INTS)
-def mask_box(counts: pd.Series, height: pd.Series) -> pd.Series:
+@F.arrow_udf(GEOMETRY)
+def mask_geometry(counts: pa.Array, height: pa.Array) -> pa.Array:
+    """NULL measures without a mask; a mask without pixels has area 0 and an empty box only."""
+    found = shapes(counts, height.fill_null(1).to_numpy(zero_copy_only=False).astype(np.int64))
+    known = counts.is_valid().to_numpy(zero_copy_only=False)
+    columns = []
+    for name in _FIELDS:
+        v = np.full(len(counts), np.nan)
+        if name == "mask_area":
+            v[known] = 0.0
+        if name in found:
+            v[found["mask"]] = found[name]
+        columns.append(pa.array(v, mask=np.isnan(v)))
+    return pa.StructArray.from_arrays([*columns, _boxes(found, known)], names=[*_FIELDS, "box"])
+
+
+def _boxes(found: dict, known: np.ndarray) -> pa.Array:
+    box = np.zeros((len(known), 4), np.int32)
+    if "box" in found:
+        box[found["mask"]] = found["box"]
+    ends = np.append(0, np.cumsum(4 * known)).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(box[known].ravel()))
+    return lists if known.all() else pa.array([v if k else None for v, k in zip(lists.to_pylist(), known)], pa.list_(pa.int32()))
+
+
+@F.arrow_udf(T.LongType())
+def mask_area(counts: pa.Array) -> pa.Array:
+    owner, starts, ends = intervals(*decode_batch(counts))
+    area = np.zeros(len(counts), np.int64)
+    np.add.at(area, owner, ends - starts)
+    return pa.array(area, mask=counts.is_null().to_numpy(zero_copy_only=False))
+
+
+@F.arrow_udf(INTS)
+def mask_box(counts: pa.Array, height: pa.Array) -> pa.Array:
     """[x1, y1, x2, y2] with inclusive maxima; zeros for an empty mask."""
-
-    def one(c, h):
-        if c is None:
-            return None
-        x, y0, y1 = segments(decode_runs(c), int(h))
-        if len(x) == 0:
-            return [0, 0, 0, 0]
-        return [int(x[0]), int(y0.min()), int(x[-1]), int(y1.max() - 1)]
-
-    return pd.Series([one(c, h) for c, h in zip(counts, height)])
-
-
-@F.pandas_udf(PAIRS)
-def mask_pairs(ids: pd.Series, counts: pd.Series, parts: pd.Series, whole: pd.Series) -> pd.Series:
-    """Overlaps of the unordered mask pairs a packed row is responsible for."""
-
-    def one(ids, counts, parts, whole):
-        runs = [None if c is None else decode_runs(c) for c in counts]
-        area = [0 if r is None else int(r[1::2].sum()) for r in runs]
-        out = []
-        for i in range(len(runs)):
-            for j in range(i + 1, len(runs)):
-                if (whole or parts[i] != parts[j]) and runs[i] is not None and runs[j] is not None:
-                    both = overlap(runs[i], runs[j])
-                    out.append((int(ids[i]), int(ids[j]), both, area[i], area[j]))
-        return out
-
-    return pd.Series([one(*row) for row in zip(ids, counts, parts, whole)])
+    found = shapes(counts, height.fill_null(1).to_numpy(zero_copy_only=False).astype(np.int64))
+    return _boxes(found, counts.is_valid().to_numpy(zero_copy_only=False))
+
+
+@F.arrow_udf(PAIRS)
+def mask_pairs(ids: pa.Array, counts: pa.Array, parts: pa.Array, whole: pa.Array) -> pa.Array:
+    """Overlaps of the unordered mask pairs that each packed row is responsible for."""
+    sizes = np.diff(ids.offsets.to_numpy()).astype(np.int64)
+    frame = np.repeat(np.arange(len(ids)), sizes)
+    masks = counts.flatten()
+    owner, starts, ends = intervals(*decode_batch(masks))
+    area = np.zeros(len(masks), np.int64)
+    np.add.at(area, owner, ends - starts)
+    common = overlaps(owner, starts, ends, frame)
+    # Every pair of a row's masks, also those that share nothing.
+    stop = np.repeat(np.cumsum(sizes), sizes)
+    ahead = stop - np.arange(len(frame)) - 1
+    a = np.repeat(np.arange(len(frame)), ahead)
+    b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(ahead) - ahead, ahead)
+    part = parts.flatten().to_numpy(zero_copy_only=False)
+    known = masks.is_valid().to_numpy(zero_copy_only=False)
+    mine = (whole.to_numpy(zero_copy_only=False).astype(bool)[frame[a]] | (part[a] != part[b])) & known[a] & known[b]
+    a, b = a[mine], b[mine]
+    keys, shared = common["a"] * len(frame) + common["b"], np.zeros(len(a), np.int64)
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, a * len(frame) + b), len(keys) - 1)
+        hit = keys[at] == a * len(frame) + b
+        shared[hit] = common["n"][at[hit]]
+    place = ids.flatten().to_numpy(zero_copy_only=False)
+    columns = [place[a], place[b], shared, area[a], area[b]]
+    rows = pa.StructArray.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["ia", "ib", "inter", "area_a", "area_b"])
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(frame[a], minlength=len(ids)))).astype(np.int32)), rows)
 
 
 def spread_points(num_points: int):

@@ -218,12 +218,98 @@ def q_chunk_id_matching(spark, sf):
     return masks.match_ids_across_chunks(pairs.filter(F.col("iou") > 0), first)
 
 
+def shaped(spark, sf):
+    """Masks of two rectangles: an L, a mask in two parts, and none for every fifth object."""
+    m = views.masks(spark, sf)
+    w1 = F.floor(F.col("mw") / 2)
+    gap, h2 = F.col("frame_idx") % 3, F.floor(F.col("mh") / 3)
+    empty = (F.col("frame_idx") + F.col("bird_id")) % 5 == 0
+    column = lambda x, y, h: F.struct((x * views.HEIGHT + y).alias("s"), h.alias("n"))
+    range_ = lambda lo, n: F.sequence(lo, lo + n - 1)
+    left = F.transform(range_(F.col("mx"), w1), lambda x: column(x, F.col("my"), F.col("mh")))
+    right = F.transform(range_(F.col("mx") + w1 + gap, w1), lambda x: column(x, F.col("my") + h2, F.col("mh") - h2))
+    m = m.withColumn("on", F.concat(left, right))
+    end = lambda k: F.when(k > 0, F.get("on", k - 1)["s"] + F.get("on", k - 1)["n"]).otherwise(F.lit(0))
+    runs = F.flatten(F.transform("on", lambda o, k: F.array(o["s"] - end(k), o["n"])))
+    rest = F.lit(views.HEIGHT * views.WIDTH) - end(F.size("on"))
+    runs = F.when(empty, F.array(F.lit(views.HEIGHT * views.WIDTH).cast("long"))).otherwise(F.concat(runs, F.array(rest)))
+    return m.withColumn("counts", rle.rle_encode(runs.cast("array<int>"))).drop("on", "runs")
+
+
+SHAPED = [
+    MASK,
+    (
+        "rc",
+        """SELECT video_id, frame_idx, id, mx AS x, my AS y, mw // 2 AS w, mh AS h FROM mk WHERE (frame_idx + id) % 5 <> 0
+      UNION ALL SELECT video_id, frame_idx, id, mx + mw // 2 + frame_idx % 3, my + mh // 3, mw // 2, mh - mh // 3 FROM mk WHERE (frame_idx + id) % 5 <> 0""",
+    ),
+    ("ar", "SELECT mk.video_id, mk.frame_idx, mk.id, coalesce(sum(w * h), 0) AS area FROM mk LEFT JOIN rc USING (video_id, frame_idx, id) GROUP BY ALL"),
+    (
+        "ov",
+        """SELECT a.video_id, a.frame_idx, a.id AS id_a, b.id AS id_b, sum(greatest(least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x), 0)
+        * greatest(least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y), 0)) AS inter
+      FROM rc a JOIN rc b ON a.video_id = b.video_id AND a.frame_idx = b.frame_idx AND a.id < b.id GROUP BY ALL""",
+    ),
+]
+
+
+def q_shape_overlaps(spark, sf):
+    """All pairs of a frame, those that share nothing and empty masks included."""
+    return rounded(masks.mask_overlaps(shaped(spark, sf), entity="bird_id"), "iou", digits=9)
+
+
+SQL_SHAPE_OVERLAPS = O.r6(
+    O._cte(O.DET, *SHAPED)
+    + """SELECT a.video_id, a.frame_idx, a.id AS id_a, b.id AS id_b,
+    CASE WHEN coalesce(inter, 0) > 0 THEN inter / (a.area + b.area - inter) ELSE 0.0::DOUBLE END AS iou
+    FROM ar a JOIN ar b ON a.video_id = b.video_id AND a.frame_idx = b.frame_idx AND a.id < b.id
+    LEFT JOIN ov ON ov.video_id = a.video_id AND ov.frame_idx = a.frame_idx AND ov.id_a = a.id AND ov.id_b = b.id""",
+    "iou",
+    digits=9,
+)
+
+
+def q_shape_geometry(spark, sf):
+    """Area, centroid, signed angle and box of masks that are no rectangles."""
+    m = shaped(spark, sf).select("video_id", "bird_id", "frame_idx", rle.mask_geometry("counts", masks.height()).alias("g"))
+    out = m.select("video_id", "bird_id", "frame_idx", "g.mask_area", "g.centroid_x", "g.centroid_y", "g.elongation", "g.orientation", F.array_join("g.box", ",").alias("box"))
+    return rounded(out, "mask_area", "centroid_x", "centroid_y", "elongation", "orientation", digits=6)
+
+
+SQL_SHAPE_GEOMETRY = O.r6(
+    O._cte(
+        O.DET,
+        *SHAPED,
+        # Around the corner of the mask, so that the sums stay small.
+        ("o", "SELECT rc.*, x - mx AS u, y - my AS v, mx, my FROM rc JOIN mk USING (video_id, frame_idx, id)"),
+        (
+            "s",
+            """SELECT video_id, frame_idx, id, mx, my, CAST(sum(w * h) AS DOUBLE) AS n, sum(h * (w * u + w * (w - 1) / 2)) AS sx, sum(w * (h * v + h * (h - 1) / 2)) AS sy,
+          sum(h * (w * u * u + u * w * (w - 1) + (w - 1) * w * (2 * w - 1) / 6)) AS sxx, sum(w * (h * v * v + v * h * (h - 1) + (h - 1) * h * (2 * h - 1) / 6)) AS syy,
+          sum((w * u + w * (w - 1) / 2) * (h * v + h * (h - 1) / 2)) AS sxy,
+          min(x) || ',' || min(y) || ',' || (max(x + w) - 1) || ',' || (max(y + h) - 1) AS box FROM o GROUP BY ALL""",
+        ),
+        ("c", "SELECT *, sxx / n - (sx / n) ** 2 AS a, syy / n - (sy / n) ** 2 AS b, sxy / n - sx / n * (sy / n) AS c FROM s"),
+    )
+    + """SELECT mk.video_id, mk.id AS bird_id, mk.frame_idx, coalesce(n, 0) AS mask_area, c.mx + sx / n AS centroid_x, c.my + sy / n AS centroid_y,
+    sqrt((a + b + sqrt((a - b) ** 2 + 4 * c.c * c.c)) / (a + b - sqrt((a - b) ** 2 + 4 * c.c * c.c))) AS elongation,
+    0.5 * atan2(2 * c.c, a - b) AS orientation, coalesce(box, '0,0,0,0') AS box FROM mk LEFT JOIN c USING (video_id, frame_idx, id)""",
+    "mask_area",
+    "centroid_x",
+    "centroid_y",
+    "elongation",
+    "orientation",
+)
+
+
 QUERIES = {
     "mask_round_trip": (q_round_trip, SQL_ROUND_TRIP),
     "mask_geometry": (q_mask_geometry, SQL_GEOMETRY),
     "mask_boxes": (q_mask_boxes, SQL_BOXES),
     "mask_overlaps": (q_mask_overlaps, SQL_OVERLAPS),
     "overlap_periods": (q_overlap_periods, SQL_OVERLAP_PERIODS),
+    "mask_shape_overlaps": (q_shape_overlaps, SQL_SHAPE_OVERLAPS),
+    "mask_shape_geometry": (q_shape_geometry, SQL_SHAPE_GEOMETRY),
     "mask_frame_metrics": (q_mask_frames, SQL_MASK_FRAMES),
     "mask_spread_points": (q_spread_points, SQL_POINTS),
     "mask_body_thirds": (q_body_thirds, SQL_THIRDS),
