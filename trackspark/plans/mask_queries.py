@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trackspark.functions import rle
-from trackspark.operators import events, masks
+from trackspark.operators import events, features, masks
+from trackspark.plans import dataset_queries as D
 from trackspark.plans import oracle as O
 from trackspark.plans import views
 from trackspark.plans.scan_queries import rounded
@@ -218,12 +219,10 @@ def q_chunk_id_matching(spark, sf):
     return masks.match_ids_across_chunks(pairs.filter(F.col("iou") > 0), first)
 
 
-def shaped(spark, sf):
-    """Masks of two rectangles: an L, a mask in two parts, and none for every fifth object."""
-    m = views.masks(spark, sf)
+def two_parts(m, empty):
+    """``counts`` of two rectangles beside each other inside (mx, my, mw, mh); no pixels where ``empty``."""
     w1 = F.floor(F.col("mw") / 2)
     gap, h2 = F.col("frame_idx") % 3, F.floor(F.col("mh") / 3)
-    empty = (F.col("frame_idx") + F.col("bird_id")) % 5 == 0
     column = lambda x, y, h: F.struct((x * views.HEIGHT + y).alias("s"), h.alias("n"))
     range_ = lambda lo, n: F.sequence(lo, lo + n - 1)
     left = F.transform(range_(F.col("mx"), w1), lambda x: column(x, F.col("my"), F.col("mh")))
@@ -233,7 +232,12 @@ def shaped(spark, sf):
     runs = F.flatten(F.transform("on", lambda o, k: F.array(o["s"] - end(k), o["n"])))
     rest = F.lit(views.HEIGHT * views.WIDTH) - end(F.size("on"))
     runs = F.when(empty, F.array(F.lit(views.HEIGHT * views.WIDTH).cast("long"))).otherwise(F.concat(runs, F.array(rest)))
-    return m.withColumn("counts", rle.rle_encode(runs.cast("array<int>"))).drop("on", "runs")
+    return m.withColumn("counts", rle.rle_encode(runs.cast("array<int>"))).drop("on")
+
+
+def shaped(spark, sf):
+    """Masks of two rectangles: an L, a mask in two parts, and none for every fifth object."""
+    return two_parts(views.masks(spark, sf).drop("runs"), (F.col("frame_idx") + F.col("bird_id")) % 5 == 0)
 
 
 SHAPED = [
@@ -302,6 +306,62 @@ SQL_SHAPE_GEOMETRY = O.r6(
 )
 
 
+def _guarded(out):
+    """Ratios and shape statistics of what is constant but for rounding mean nothing on either side."""
+    still = lambda c: F.col(f"{c}_std") < 1e-9
+    for c in features.FEATURES:
+        near = F.abs(F.col(f"{c}_mean")) > 1e-9
+        out = out.withColumns({f"{c}_cv": F.when(near, F.col(f"{c}_cv")), **{f"{c}_{k}": F.when(~still(c), F.col(f"{c}_{k}")) for k in ("skew", "kurt")}})
+    return out
+
+
+def q_mask_window_summary(spark, sf):
+    """All features of mask tracks, summarised by window: repaired, labelled tracks with masks in two parts."""
+    t, _ = D.complete(spark, sf)
+    b = [F.get("bbox", F.lit(k)) for k in range(4)]
+    m = t.withColumns({"mx": F.floor(b[0]), "my": F.floor(b[1]), "mw": F.floor(b[2] - b[0]), "mh": F.floor(b[3] - b[1])})
+    m = two_parts(m, F.lit(False)).withColumn("size", F.array(F.lit(views.HEIGHT), F.lit(views.WIDTH)))
+    spatial = masks.spatial_features(m).drop("bbox_area")
+    out = features.summarise(features.frame_features(spatial, block=views.BLOCK))
+    return rounded(_guarded(out), *[c for c in out.columns if c not in ("video_id", "bird_id", "window", "n_frames")], digits=7)
+
+
+_MASK_SPAT = [
+    ("kb", """SELECT *, CAST(floor(x1) AS BIGINT) AS mx, CAST(floor(y1) AS BIGINT) AS my, CAST(floor(x2 - x1) AS BIGINT) // 2 AS w, CAST(floor(y2 - y1) AS BIGINT) AS h FROM ktr"""),
+    # Left part (0, 0, w, h), right part (d, t, w, h - t).
+    ("kc", "SELECT *, w + frame_idx % 3 AS d, h // 3 AS t FROM kb"),
+    (
+        "kd",
+        """SELECT *, CAST(w * h + w * (h - t) AS DOUBLE) AS n, h * w * (w - 1) / 2 + (h - t) * (w * d + w * (w - 1) / 2) AS sx, w * h * (h - 1) / 2 + w * ((h - t) * t + (h - t) * (h - t - 1) / 2) AS sy,
+      h * ((w - 1) * w * (2 * w - 1) / 6) + (h - t) * (w * d * d + d * w * (w - 1) + (w - 1) * w * (2 * w - 1) / 6) AS sxx,
+      w * ((h - 1) * h * (2 * h - 1) / 6) + w * ((h - t) * t * t + t * (h - t) * (h - t - 1) + (h - t - 1) * (h - t) * (2 * (h - t) - 1) / 6) AS syy,
+      (w * (w - 1) / 2) * (h * (h - 1) / 2) + (w * d + w * (w - 1) / 2) * ((h - t) * t + (h - t) * (h - t - 1) / 2) AS sxy FROM kc""",
+    ),
+    ("ke", "SELECT *, sxx / n - (sx / n) ** 2 AS a, syy / n - (sy / n) ** 2 AS b, sxy / n - sx / n * (sy / n) AS c FROM kd"),
+    ("kf", "SELECT *, (a + b + sqrt((a - b) ** 2 + 4 * c * c)) / 2 AS big, (a + b - sqrt((a - b) ** 2 + 4 * c * c)) / 2 AS little FROM ke"),
+    (
+        "spat",
+        """SELECT video_id, bird_id, frame_idx, "window", n AS mask_area, CASE WHEN y2 > y1 THEN (x2 - x1) / (y2 - y1) END AS aspect_ratio,
+      mx + sx / n AS cx, my + sy / n AS cy, sqrt(big / little) AS elongation, 0.5 * atan2(2 * c, a - b) AS orientation,
+      n / ((d + w - 1) * (h - 1) - d * t / 2) AS solidity, sqrt(1 - little / big) AS eccentricity FROM kf""",
+    ),
+]
+_CHANGES = """,
+      orientation - lag(orientation) OVER w AS orientation_velocity, solidity - lag(solidity) OVER w AS solidity_change,
+      elongation - lag(elongation) OVER w AS elongation_change
+      FROM spat s LEFT JOIN nn"""
+
+
+def _mask_summary_sql() -> str:
+    rest = [(n, q.replace("\n      FROM spat s LEFT JOIN nn", _CHANGES)) for n, q in D.FEAT[len(D.WIN) + 1 :]]
+    line = ", ".join(D._summary_sql(c) for c in features.FEATURES)
+    names = [f"{c}_{s}" for c in features.FEATURES for s in D._STATS]
+    shown = ", ".join(
+        f"CASE WHEN {n.rsplit('_', 1)[0]}_std >= 1e-9 THEN round({n}, 7) END AS {n}" if n.endswith(("_skew", "_kurt")) else f"round({n}, 7) AS {n}" for n in names
+    )
+    return O._cte(*D.WIN, *_MASK_SPAT, *rest) + f'SELECT video_id, bird_id, "window", n_frames, {shown} FROM (SELECT video_id, bird_id, "window", count(*) AS n_frames, {line} FROM feat GROUP BY ALL)'
+
+
 QUERIES = {
     "mask_round_trip": (q_round_trip, SQL_ROUND_TRIP),
     "mask_geometry": (q_mask_geometry, SQL_GEOMETRY),
@@ -310,6 +370,7 @@ QUERIES = {
     "overlap_periods": (q_overlap_periods, SQL_OVERLAP_PERIODS),
     "mask_shape_overlaps": (q_shape_overlaps, SQL_SHAPE_OVERLAPS),
     "mask_shape_geometry": (q_shape_geometry, SQL_SHAPE_GEOMETRY),
+    "mask_window_summary": (q_mask_window_summary, _mask_summary_sql()),
     "mask_frame_metrics": (q_mask_frames, SQL_MASK_FRAMES),
     "mask_spread_points": (q_spread_points, SQL_POINTS),
     "mask_body_thirds": (q_body_thirds, SQL_THIRDS),
