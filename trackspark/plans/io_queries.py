@@ -54,18 +54,18 @@ def q_detection_files(spark, sf):
     path = _folder(spark, "detections")
     # Written in two goes: the sink appends.
     for half in (0, 1):
-        writers.append(rows.filter(F.col("track_id") % 2 == half).withColumn("video", F.col("stem")).drop("stem"), f"{path}/{half}")
+        writers.append(rows.filter(F.pmod(F.hash("track_id"), F.lit(2)) == half).withColumn("video", F.col("stem")).drop("stem"), f"{path}/{half}")
     out = None
     for half in (0, 1):
         part = spark.read.parquet(f"{path}/{half}")
         out = part if out is None else out.unionByName(part)
     writers.dataset(out, f"{path}/all", partition=["video"])
     back = readers.detections(spark, f"{path}/all", name="*.parquet")
-    return S.rounded(back.select("video_id", "frame_idx", "track_id", "x1", "x2", "y2", "confidence"), "x1", "x2", "y2", "confidence")
+    return S.rounded(back.select("video_id", "frame_idx", "track_id", "x1", "y1", "x2", "y2", "confidence"), "x1", "y1", "x2", "y2", "confidence")
 
 
 SQL_DETECTIONS = O.r6(
-    O._cte(O.DET) + "SELECT video_id, frame_idx, track_id, x1, x2, y2, confidence FROM det", "x1", "x2", "y2", "confidence"
+    O._cte(O.DET) + "SELECT video_id, frame_idx, track_id, x1, y1, x2, y2, confidence FROM det", "x1", "y1", "x2", "y2", "confidence"
 )
 
 

@@ -88,40 +88,63 @@ def q_occlusion_periods(spark, sf):
     return events.occlusion_periods(metrics, window_frames=10, threshold=0.9, block=views.BLOCK)
 
 
+def q_occlusion_chain(spark, sf):
+    """Flagged and other frames in turn: all periods of a video hang on the first one."""
+    o = views.table(spark, sf, "orders")
+    flag = (views.frame_of(F.col("o_orderkey")) % 4 < 2) | (F.col("o_custkey") % 7 == 0)
+    rows = o.select(views.video_of(F.col("o_orderkey")).alias("video_id"), views.frame_of(F.col("o_orderkey")).alias("frame_idx"), flag.alias("is_high_occlusion"))
+    return events.occlusion_periods(rows, window_frames=9, threshold=0.6, block=views.BLOCK)
+
+
 # Next-pointer form of the scan: from each resume row, the first hot row opens a period that
 # lasts to the first cold row after it; the search resumes a window later.
-SQL_OCCLUSION = (
-    "WITH RECURSIVE "
-    + O._cte(
-        *SQL_FRAMES,
-        (
-            "ix",
-            """SELECT video_id, frame_idx, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY video_id) AS n,
-          avg(CASE WHEN is_high_occlusion THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY video_id ORDER BY frame_idx
-            ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) >= 0.9 AS hot
-          FROM fm WINDOW w AS (PARTITION BY video_id ORDER BY frame_idx)""",
-        ),
-        (
-            "nx",
-            """SELECT video_id, frame_idx, i, n,
-          min(CASE WHEN hot THEN i END) OVER f AS next_hot, min(CASE WHEN NOT hot THEN i END) OVER f AS next_cold
-          FROM ix WINDOW f AS (PARTITION BY video_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)""",
-        ),
-        (
-            "st",
-            """SELECT a.video_id, a.i, a.n, a.next_hot AS s, coalesce(b.next_cold, a.n) AS e
-          FROM nx a JOIN nx b ON a.video_id = b.video_id AND b.i = a.next_hot""",
-        ),
+def _occlusion_sql(frames: list[tuple[str, str]], window: int, threshold: float) -> str:
+    return (
+        "WITH RECURSIVE "
+        + O._cte(
+            *frames,
+            (
+                "ix",
+                f"""SELECT video_id, frame_idx, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY video_id) AS n,
+              avg(CASE WHEN is_high_occlusion THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY video_id ORDER BY frame_idx
+                ROWS BETWEEN CURRENT ROW AND {window - 1} FOLLOWING) >= {threshold} AS hot
+              FROM fm WINDOW w AS (PARTITION BY video_id ORDER BY frame_idx)""",
+            ),
+            (
+                "nx",
+                """SELECT video_id, frame_idx, i, n,
+              min(CASE WHEN hot THEN i END) OVER f AS next_hot, min(CASE WHEN NOT hot THEN i END) OVER f AS next_cold
+              FROM ix WINDOW f AS (PARTITION BY video_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)""",
+            ),
+            (
+                "st",
+                """SELECT a.video_id, a.i, a.n, a.next_hot AS s, coalesce(b.next_cold, a.n) AS e
+              FROM nx a JOIN nx b ON a.video_id = b.video_id AND b.i = a.next_hot""",
+            ),
+            (
+                "walk",
+                f"""SELECT video_id, s, e, n FROM st WHERE i = 0
+              UNION ALL SELECT st.video_id, st.s, st.e, st.n FROM walk JOIN st
+                ON st.video_id = walk.video_id AND st.i = walk.e + {window}""",
+            ),
+        ).removeprefix("WITH ")
+        + f"""SELECT w.video_id, p.frame_idx AS start_frame, q.frame_idx AS end_frame FROM walk w
+        JOIN ix p ON p.video_id = w.video_id AND p.i = w.s
+        JOIN ix q ON q.video_id = w.video_id AND q.i = least(w.e + {window - 1}, w.n - 1)"""
+    )
+
+
+SQL_OCCLUSION = _occlusion_sql(SQL_FRAMES, 10, 0.9)
+SQL_OCCLUSION_CHAIN = _occlusion_sql(
+    [
         (
-            "walk",
-            """SELECT video_id, s, e, n FROM st WHERE i = 0
-          UNION ALL SELECT st.video_id, st.s, st.e, st.n FROM walk JOIN st
-            ON st.video_id = walk.video_id AND st.i = walk.e + 10""",
-        ),
-    ).removeprefix("WITH ")
-    + """SELECT w.video_id, p.frame_idx AS start_frame, q.frame_idx AS end_frame FROM walk w
-    JOIN ix p ON p.video_id = w.video_id AND p.i = w.s
-    JOIN ix q ON q.video_id = w.video_id AND q.i = least(w.e + 9, w.n - 1)"""
+            "fm",
+            f"""SELECT {O.video('o_orderkey')} AS video_id, CAST(o_orderkey // 30 AS INTEGER) AS frame_idx,
+          (o_orderkey // 30) % 4 < 2 OR o_custkey % 7 = 0 AS is_high_occlusion FROM orders""",
+        )
+    ],
+    9,
+    0.6,
 )
 
 
@@ -231,6 +254,7 @@ QUERIES = {
     "frame_metrics": (q_frame_metrics, SQL_FRAME_METRICS),
     "separation_windows": (q_separation_windows, SQL_SEPARATION),
     "occlusion_periods": (q_occlusion_periods, SQL_OCCLUSION),
+    "occlusion_chain": (q_occlusion_chain, SQL_OCCLUSION_CHAIN),
     "id_transitions": (q_id_transitions, SQL_TRANSITIONS),
     "low_score_periods": (q_low_score, SQL_LOW_SCORE),
     "occlusion_aware_switches": (q_occlusion_switches, SQL_OCC_SWITCH),

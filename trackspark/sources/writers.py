@@ -47,9 +47,9 @@ def mot_text(rows: DataFrame, path: str) -> None:
 
 
 def csv_report(df: DataFrame, path: str, *, order: Sequence[str] = ()) -> None:
-    """A small report as one CSV file with a header."""
+    """A report as CSV files with headers: each holds a range of the order, in the order of the file names."""
     out = df.orderBy(*order) if order else df
-    out.coalesce(1).write.mode("overwrite").option("header", "true").csv(path)
+    out.write.mode("overwrite").option("header", "true").csv(path)
 
 
 def frame_text(frames: DataFrame) -> DataFrame:
