@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackspark import schemas
-from trackspark.operators import labels
+from trackspark.operators import chunks, labels
 from trackspark.plans import dataset_queries as D
 from trackspark.plans import oracle as O
 from trackspark.plans import scan_queries as S
@@ -154,7 +154,159 @@ def q_stability_stream(spark, sf):
     return S.rounded(out, "max_iou")
 
 
+def _documents(df: DataFrame, path: str, folder: str = "stem") -> None:
+    """One JSON text a folder, as annotation tools and trackers leave them."""
+    df.select(folder, "text").write.partitionBy(folder).text(path)
+
+
+def q_action_files(spark, sf):
+    """Correction actions as one JSON list a video; entries of other types are not read."""
+    a = views.actions(spark, sf).withColumn("stem", _stem())
+    item = F.struct("seq", "type", "frame", "from", "to", "id")
+    other = F.array(F.lit('{"type":"merged_object","from":1}'))
+    lines = F.transform(F.array_sort(F.collect_list(item)), lambda x: F.to_json(x))
+    docs = a.groupBy("stem").agg(F.concat(F.lit("["), F.array_join(F.concat(other, lines), ","), F.lit("]")).alias("text"))
+    path = _folder(spark, "actions")
+    _documents(docs, path)
+    back = readers.actions(spark, path, name="*.txt")
+    return back.select("video_id", "type", *[F.coalesce(F.col(c), F.lit(-1)).alias(c) for c in ("frame", "from", "to", "id")])
+
+
+SQL_ACTION_FILES = (
+    O._cte(*D.ACT)
+    + """SELECT video_id, 'trim' AS type, -1 AS frame, a AS "from", b AS "to", coalesce(id, -1) AS id FROM cuts
+    UNION ALL SELECT video_id, 'id_switch', frame, old, new, -1 FROM sw"""
+)
+
+
+def q_chunk_files(spark, sf):
+    """Chunk descriptions as JSON, read back: throughput and prompt points of every video."""
+    v = views.videos(spark, sf).withColumn("stem", _stem())
+    lo = lambda k: k * 100
+    hi = lambda k: F.least((k + 1) * 100, F.col("total_frames"))
+    chunk = lambda k: F.struct(
+        k.alias("chunk_idx"),
+        F.array(lo(k), hi(k)).alias("frame_range"),
+        F.lit("video").alias("model_type"),
+        F.create_map(F.lit("3"), F.array(F.array(k * 1.0, k + 0.5))).alias("prompt_points"),
+        F.struct((hi(k) - lo(k)).alias("num_frames"), ((hi(k) - lo(k)) / 8.0).alias("elapsed_seconds")).alias("timing"),
+    )
+    many = F.sequence(F.lit(0), F.ceil(F.col("total_frames") / 100).cast("int") - 1)
+    docs = v.select("stem", F.to_json(F.struct(F.transform(many, chunk).alias("chunks"))).alias("text"))
+    path = _folder(spark, "chunks")
+    _documents(docs, path)
+    info = readers.chunk_info(spark, path, name="*.txt")
+    points = readers.prompt_points(info).groupBy("video_id").agg(F.count("*").alias("points"), F.sum("x").alias("sum_x"), F.sum("y").alias("sum_y"))
+    return chunks.chunk_throughput(info).join(points, "video_id").select("video_id", "chunks", "num_frames", "elapsed_seconds", "fps", "points", "sum_x", "sum_y")
+
+
+SQL_CHUNK_FILES = f"""WITH v AS (SELECT {O.video('o_orderkey')} AS video_id, max(o_orderkey // 30) + 1 AS n FROM orders GROUP BY 1),
+    c AS (SELECT video_id, n, CAST(ceil(n / 100) AS BIGINT) AS k FROM v)
+    SELECT video_id, k AS chunks, n AS num_frames, n / 8.0::DOUBLE AS elapsed_seconds, 8.0::DOUBLE AS fps, k AS points,
+    k * (k - 1) / 2 AS sum_x, k * (k - 1) / 2 + k * 0.5::DOUBLE AS sum_y FROM c"""
+
+
+def q_annotation_files(spark, sf):
+    """Drawn boxes as annotation tasks (a track for each id), read back; polygons are left out."""
+    d = views.detections(spark, sf).filter(F.col("track_id").isNotNull())
+    shape = F.struct(
+        F.col("frame_idx").alias("frame"),
+        F.when(F.col("frame_idx") % 11 == 3, "polygon").otherwise("rectangle").alias("type"),
+        (F.col("frame_idx") % 7 == 2).alias("outside"),
+        F.array("x1", "y1", "x2", "y2").alias("points"),
+    )
+    per = d.groupBy("video_id", "track_id").agg(F.collect_list(shape).alias("shapes"))
+    # Track positions are ids: ids that a video lacks are tracks without shapes.
+    have = F.map_from_entries(F.collect_list(F.struct("track_id", "shapes")))
+    slots = F.transform(F.sequence(F.lit(1), F.lit(7)), lambda k: F.struct(F.coalesce(have[k], F.array().cast(per.schema["shapes"].dataType)).alias("shapes")))
+    docs = per.groupBy(F.col("video_id").alias("task")).agg(F.to_json(F.struct(slots.alias("tracks"))).alias("text"))
+    path = _folder(spark, "annotations")
+    _documents(docs, path, "task")
+    rows = readers.annotation_boxes(spark, path, name="*.txt").withColumn("video_id", F.regexp_replace("task", "^task=", ""))
+    return S.rounded(rows.select("video_id", "id", "frame_idx", "kind", "x", "y", "w", "h"), "x", "y", "w", "h")
+
+
+SQL_ANNOTATION_FILES = O.r6(
+    O._cte(O.DET)
+    + """SELECT video_id, track_id AS id, frame_idx, CASE WHEN frame_idx % 7 = 2 THEN 'outside' ELSE 'drawn' END AS kind,
+    x1 AS x, y1 AS y, x2 - x1 AS w, y2 - y1 AS h FROM det WHERE frame_idx % 7 = 2 OR frame_idx % 11 <> 3""",
+    "x",
+    "y",
+    "w",
+    "h",
+)
+
+
+def q_scan_summaries(spark, sf):
+    """One summary a run and video; the last run of each video counts."""
+    v = views.videos(spark, sf).withColumn("stem", _stem())
+    runs = v.withColumn("run", F.explode(F.array(F.lit("2026_a"), F.lit("2026_b"))))
+    runs = runs.withColumn("fps", F.when(F.col("run") == "2026_b", F.col("fps")).otherwise(F.lit(1.0)))
+    last = readers.latest_runs(runs, stem="stem", run="run")
+    rows = last.select("stem", "run", "total_frames", (F.col("total_frames") / F.col("fps")).alias("video_duration_seconds"), "fps", F.lit(2).alias("num_occlusion_periods"))
+    path = _folder(spark, "summaries")
+    writers.dataset(rows, path, partition=["stem", "run"])
+    return readers.scan_fps(spark, path, name="*.parquet")
+
+
+SQL_SCAN_SUMMARIES = f"""SELECT {O.video('o_orderkey')} AS video_id, 25.0::DOUBLE AS fps, CAST(max(o_orderkey // 30) + 1 AS INTEGER) AS total_frames,
+    2 AS num_occlusion_periods FROM orders GROUP BY 1"""
+
+
+def q_nested_frames(spark, sf):
+    """Frames in the three accepted nested shapes, flattened again."""
+    d = views.detections(spark, sf)
+    one = F.struct(F.col("track_id").alias("id"), F.array("x1", "y1", "x2", "y2").alias("bbox"), F.col("confidence").alias("score"), "tracker_score")
+    g = d.groupBy("video_id", "frame_idx").agg(F.sort_array(F.collect_list(one)).alias("all"))
+    kind = F.col("frame_idx") % 3
+    pick = lambda name: F.when(kind == 0, F.transform("all", lambda x: x[name]))
+    by_id = F.when(kind == 0, F.map_from_entries(F.transform("all", lambda x: F.struct(x["id"].cast("string"), x["tracker_score"]))))
+    nested = g.select(
+        "video_id",
+        "frame_idx",
+        pick("id").alias("object_ids"),
+        pick("bbox").alias("boxes"),
+        pick("score").alias("scores"),
+        by_id.alias("obj_id_to_tracker_score"),
+        F.when(kind == 1, F.col("all")).alias("detections"),
+        F.when(kind == 2, F.col("all")).alias("instances"),
+    )
+    out = readers.flatten_frames(nested)
+    return S.rounded(out.select("video_id", "frame_idx", "id", *[F.get("bbox", F.lit(k)).alias(c) for k, c in enumerate(("x1", "y1", "x2", "y2"))], "score", "tracker_score"), "x1", "y1", "x2", "y2", "score", "tracker_score")
+
+
+SQL_NESTED_FRAMES = O.r6(
+    O._cte(O.DET) + "SELECT video_id, frame_idx, track_id AS id, x1, y1, x2, y2, confidence AS score, tracker_score FROM det",
+    "x1",
+    "y1",
+    "x2",
+    "y2",
+    "score",
+    "tracker_score",
+)
+
+
+def q_carried_points(spark, sf):
+    """Rows of the frames around every hundredth frame."""
+    d = views.detections(spark, sf).select("video_id", "frame_idx", "track_id")
+    wanted = d.filter(F.col("frame_idx") % 100 == 50).select("video_id", "frame_idx").distinct()
+    return readers.frame_points(d, wanted, offsets=(-1, 0, 2))
+
+
+SQL_CARRIED_POINTS = (
+    O._cte(O.DET)
+    + """SELECT video_id, frame_idx, track_id FROM det WHERE EXISTS (SELECT 1 FROM det w WHERE w.video_id = det.video_id
+    AND w.frame_idx % 100 = 50 AND det.frame_idx - w.frame_idx IN (-1, 0, 2))"""
+)
+
+
 QUERIES = {
+    "action_files": (q_action_files, SQL_ACTION_FILES),
+    "chunk_files": (q_chunk_files, SQL_CHUNK_FILES),
+    "annotation_files": (q_annotation_files, SQL_ANNOTATION_FILES),
+    "scan_summaries": (q_scan_summaries, SQL_SCAN_SUMMARIES),
+    "nested_frames": (q_nested_frames, SQL_NESTED_FRAMES),
+    "carried_points": (q_carried_points, SQL_CARRIED_POINTS),
     "tracking_outputs": (q_tracking_outputs, SQL_TRACKING),
     "detection_files": (q_detection_files, SQL_DETECTIONS),
     "label_sheet_csv": (q_label_sheet_csv, D.SQL_LABELS),
