@@ -74,3 +74,27 @@ def test_quartile_bins(table):
     got = reports.quantile_bins(df, "few", 4, "q").groupBy("few").agg(F.min("q").alias("a"), F.max("q").alias("b")).collect()
     edges = np.quantile(pdf["few"], [0.25, 0.5, 0.75])
     assert all(r["a"] == r["b"] == 1 + sum(r["few"] > e for e in edges) for r in got)
+
+
+@pytest.mark.parametrize("spread", [0.05, 5.0])
+def test_nearest_neighbours_against_all_pairs(spark, spread):
+    """Clusters of very different size: exact, and with clusters most slices are never asked."""
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=(12, 8))
+    at = rng.choice(12, 900, p=[0.45] + [0.05] * 11)
+    x = centre[at] + spread * rng.normal(size=(900, 8))
+    x[100] = x[101] = x[7]  # ties go to the lowest key
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, e array<double>").repartition(4)
+    got = {r["id"]: (r["neighbour"], r["similarity"]) for r in reports.nearest_neighbour(df, key="id", vec="e", pivots=12, slice_rows=50, query_rows=200).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sim = np.round(u @ u.T, 12)
+    np.fill_diagonal(sim, -np.inf)
+    assert len(got) == 900
+    for k in range(900):
+        assert np.isclose(got[k][1], sim[k].max(), atol=1e-11) and sim[k, got[k][0]] >= sim[k].max() - 1e-11
+    assert got[7][0] == 100 and got[100][0] == got[101][0] == 7
+    if spread < 1:
+        _, _, asks, n = reports.neighbour_asks(df, key="id", vec="e", pivots=12, slice_rows=50)
+        assert asks.count() < 0.5 * 900 * (n - 1)
+    assert reports.nearest_neighbour(df.limit(0), key="id", vec="e").count() == 0
+    assert reports.nearest_neighbour(df.limit(1), key="id", vec="e").count() == 0

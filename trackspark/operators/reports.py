@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackspark.operators.distributions import quantile_row, rank_correlation
 from trackspark.functions import boxes as bx
+from trackspark.operators.distributions import quantile_row, rank_correlation
+from trackspark.session import cut_lineage
 
 # Difficulty proxies, True where more is harder.
 PROXIES: dict[str, bool] = {
@@ -147,49 +149,118 @@ def unit(v: str | Column) -> Column:
     return F.transform(a, lambda x: x / norm)
 
 
-def nearest_neighbour(df: DataFrame, *, key: str, vec: str, block_rows: int = 4096) -> DataFrame:
-    """Exact cosine nearest neighbour of every vector: (key, neighbour, similarity).
+#: Pivots on the driver, members of a part that are compared at once, queries to them in one task.
+PIVOTS, SLICE_ROWS, QUERY_ROWS = 64, 2048, 16_384
+#: Rounding of distances and similarities never hides a partner that is within this of the best.
+SLACK = 1e-6
+
+
+def _vectors(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Between unit vectors."""
+    return np.sqrt(np.maximum(2 - 2 * (x @ y.T), 0))
+
+
+def _placed(centres: np.ndarray):
+    """For ``mapInArrow`` on ``k, v``: adds the nearest pivot and the distance to it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                d = _distances(_vectors(b.column(1)), centres)
+                p = d.argmin(1)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p.astype(np.int32)), pa.array(d[np.arange(len(p)), p])], names=["k", "v", "p", "r"])
 
-    Vectors are dealt into blocks of about ``block_rows``; each pair of blocks is one matrix
-    product in one task, which returns only the best partner per row, and the partials are
-    reduced per key. No pair of vectors is ever a row. Ties go to the lowest key.
+    return run
+
+
+def _asked(centres: np.ndarray, low: np.ndarray, high: np.ndarray, slices: np.ndarray):
+    """For ``mapInArrow`` on ``k, v, p, s, near``: the slices of other vectors that may hold a nearer one.
+
+    A vector at distance d from a pivot is at least d - high and low - d from all members of its part,
+    whose own distances lie between low and high.
     """
-    n = df.count()
-    parts = max(1, -(-n // block_rows))
-    dealt = df.select(
-        F.col(key).cast("long").alias("k"), unit(vec).alias("v"), F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("p")
-    )
-    other = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    spread = dealt.withColumn("o", other).withColumns(
-        {"a": F.least("p", "o"), "b": F.greatest("p", "o")}
-    )
+    part = np.repeat(np.arange(len(slices)), slices)
+    number = np.arange(len(part)) - np.repeat(np.cumsum(slices) - slices, slices)
 
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("k", kind="stable")
-        keys = pdf["k"].to_numpy()
-        x = np.stack(pdf["v"].to_numpy())
-        own = pdf["p"].to_numpy()
-        a, b = int(pdf["a"].iloc[0]), int(pdf["b"].iloc[0])
-        sides = [(np.arange(len(keys)), np.arange(len(keys)))] if a == b else [
-            (np.flatnonzero(own == a), np.flatnonzero(own == b)),
-            (np.flatnonzero(own == b), np.flatnonzero(own == a)),
-        ]
-        out = []
-        for rows, cols in sides:
-            for lo in range(0, len(rows), 1024):
-                part = rows[lo : lo + 1024]
-                if len(cols) == 0:
-                    continue
-                sim = np.round(x[part] @ x[cols].T, 12)
-                if a == b:
-                    sim[np.arange(len(part)), part] = -np.inf
-                j = sim.argmax(axis=1)
-                out.append(pd.DataFrame({"k": keys[part], "n": keys[cols[j]], "s": sim[np.arange(len(part)), j]}))
-        res = pd.concat(out) if out else pd.DataFrame({"k": [], "n": [], "s": []})
-        return res[np.isfinite(res["s"])].astype({"k": "int64", "n": "int64", "s": "float64"})
-
-    found = spread.groupBy("a", "b").applyInPandas(best, "k long, n long, s double")
-    top = found.groupBy("k").agg(F.min(F.struct((-F.col("s")).alias("d"), "n")).alias("t"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            d = _distances(_vectors(b.column(1)), centres)
+            near = b.column(4).to_numpy(zero_copy_only=False)[:, None]
+            open_ = np.maximum(d - high, low - d) <= near + SLACK
+            own, slice_ = (b.column(c).to_numpy(zero_copy_only=False) for c in (2, 3))
+            rows, at = np.nonzero(open_[:, part])
+            other = (part[at] != own[rows]) | (number[at] != slice_[rows])
+            rows, at = rows[other], at[other]
+            for k in range(0, len(rows), 10_000):
+                r, q = pa.array(rows[k : k + 10_000]), at[k : k + 10_000]
+                columns = [b.column(0).take(r), b.column(1).take(r), pa.array(part[q].astype(np.int32)), pa.array(number[q].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["k", "v", "p", "s"])
+
+    return run
+
+
+def _best(pdf: pd.DataFrame) -> pd.DataFrame:
+    """For ``applyInPandas``: each asking row's best member; without asking rows, each member's best other."""
+    members = pdf[~pdf["asks"]].sort_values("k", kind="stable")
+    asking = pdf[pdf["asks"]]
+    keys, y = members["k"].to_numpy(), np.stack(members["v"].to_numpy()) if len(members) else np.zeros((0, 1))
+    inside = not len(asking)
+    rows = members if inside else asking
+    out = []
+    if len(keys) > inside:
+        x, mine = np.stack(rows["v"].to_numpy()), rows["k"].to_numpy()
+        for a in range(0, len(x), 1024):
+            sim = np.round(x[a : a + 1024] @ y.T, 12)
+            if inside:
+                sim[np.arange(len(sim)), np.arange(a, a + len(sim))] = -np.inf
+            j = sim.argmax(1)
+            out.append(pd.DataFrame({"k": mine[a : a + 1024], "n": keys[j], "sim": sim[np.arange(len(sim)), j]}))
+    return pd.concat(out) if out else pd.DataFrame({"k": np.zeros(0, int), "n": np.zeros(0, int), "sim": np.zeros(0)})
+
+
+def neighbour_asks(df: DataFrame, *, key: str, vec: str, pivots: int = PIVOTS, slice_rows: int = SLICE_ROWS) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Members by slice, each one's best inside its slice, the asks to other slices, and the slice count."""
+    rows = cut_lineage(df.select(F.col(key).cast("long").alias("k"), unit(vec).alias("v")).filter("v is not null"), "units")
+    spark = df.sparkSession
+    centres = np.array([r["v"] for r in rows.orderBy(F.xxhash64("k"), "k").limit(pivots).collect()])
+    placed = cut_lineage(rows.mapInArrow(_placed(centres), "k long, v array<double>, p int, r double"), "placed")
+    # One row for each pivot.
+    found = {r["p"]: r for r in placed.groupBy("p").agg(F.min("r").alias("low"), F.max("r").alias("high"), F.count("*").alias("n")).collect()}
+    low, high = (np.array([found[p][c] if p in found else np.inf * sign for p in range(len(centres))]) for c, sign in (("low", 1), ("high", -1)))
+    slices = np.array([-(-found[p]["n"] // slice_rows) if p in found else 0 for p in range(len(centres))], np.int64)
+    sizes = spark.createDataFrame([(p, int(n)) for p, n in enumerate(slices)], "p int, n int")
+    members = placed.join(F.broadcast(sizes), "p").select("k", "v", "p", F.pmod(F.xxhash64("k"), F.col("n")).cast("int").alias("s"))
+    kinds = "k long, n long, sim double"
+    inside = cut_lineage(members.withColumn("asks", F.lit(False)).groupBy("p", "s").applyInPandas(_best, kinds), "inside")
+    near = inside.groupBy("k").agg(F.min(F.sqrt(F.greatest(2 - 2 * F.col("sim"), F.lit(0.0)))).alias("near"))
+    known = members.join(near, "k", "left").select("k", "v", "p", "s", F.coalesce("near", F.lit(2.0)).alias("near"))
+    asks = known.mapInArrow(_asked(centres, low, high, slices), "k long, v array<double>, p int, s int")
+    return members, inside, asks, int(slices.sum())
+
+
+def nearest_neighbour(df: DataFrame, *, key: str, vec: str, pivots: int = PIVOTS, slice_rows: int = SLICE_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+    """Exact cosine nearest neighbour of every vector: (key, neighbour, similarity).
+
+    Vectors belong to the nearest of a few pivots, and a part's members to slices of bounded size. The best
+    partner inside the own slice bounds how far a nearer one can be; by the triangle inequality only
+    slices whose part can hold one are asked, by one matrix product for each slice and stretch of
+    queries. No pair of vectors is ever a row. Ties go to the lowest key.
+    """
+    if df.isEmpty():
+        return df.select(F.col(key).cast("long").alias(key), F.lit(0).cast("long").alias("neighbour"), F.lit(0.0).alias("similarity")).limit(0)
+    members, inside, asks, n_slices = neighbour_asks(df, key=key, vec=vec, pivots=pivots, slice_rows=slice_rows)
+    stretches = max(1, -(-n_slices * slice_rows // query_rows))  # all rows may ask one slice
+    asks = asks.withColumn("c", F.pmod(F.xxhash64("k", F.lit(1)), F.lit(stretches)).cast("int")).withColumn("asks", F.lit(True))
+    every = F.explode(F.sequence(F.lit(0), F.lit(stretches - 1))).alias("c")
+    copies = members.select("k", "v", "p", "s", every).withColumn("asks", F.lit(False))
+    across = asks.unionByName(copies).groupBy("p", "s", "c").applyInPandas(lambda pdf: _best(pdf) if pdf["asks"].any() else _best(pdf.iloc[:0]), "k long, n long, sim double")
+    top = inside.unionByName(across).groupBy("k").agg(F.min(F.struct((-F.col("sim")).alias("d"), "n")).alias("t"))
     return top.select(F.col("k").alias(key), F.col("t.n").alias("neighbour"), (-F.col("t.d")).alias("similarity"))
 
 

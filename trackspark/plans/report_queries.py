@@ -685,7 +685,7 @@ SQL_IMPORTANCE = O.r6(
 
 def q_purity(spark, sf):
     e = _emb(spark, sf)
-    nn = reports.nearest_neighbour(e, key="vec_id", vec="embedding", block_rows=256)
+    nn = reports.nearest_neighbour(e, key="vec_id", vec="embedding", pivots=16, slice_rows=64, query_rows=256)
     out = reports.purity(e, nn, key="vec_id", label="label").withColumn("class", F.col("class").cast("int"))
     return rounded(out, "purity", "chance", "lift")
 
