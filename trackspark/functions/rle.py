@@ -10,6 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -99,6 +100,32 @@ def decode_batch(counts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return x, owner
 
 
+def encode_batch(runs: pa.Array) -> pa.Array:
+    """A column of run lengths as compressed masks; nulls stay."""
+    known = runs.is_valid().to_numpy(zero_copy_only=False)
+    sizes = pc.list_value_length(runs).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    x = runs.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
+    k = np.arange(len(x)) - np.repeat(ends - sizes, sizes)
+    late = np.flatnonzero(k > 2)
+    v = x.copy()
+    v[late] -= x[late - 2]
+    # As many groups of five bits as hold the value and its sign.
+    n = np.ones(len(v), np.int64)
+    bound = 16
+    while (more := (v < -bound) | (v >= bound)).any():
+        n += more
+        bound <<= 5
+    stop = np.cumsum(n)
+    text = np.zeros(int(stop[-1]) if len(stop) else 0, np.uint8)
+    for i in range(int(n.max(initial=0))):
+        at = np.flatnonzero(n > i)
+        text[stop[at] - n[at] + i] = (v[at] >> (5 * i) & 31) + np.where(n[at] > i + 1, 80, 48)
+    offsets = np.append(0, stop)[np.append(0, ends)]
+    bitmap = pa.array(known).buffers()[1]
+    return pa.Array.from_buffers(pa.large_string(), len(runs), [bitmap, pa.py_buffer(offsets), pa.py_buffer(text)]).cast(pa.string())
+
+
 def intervals(runs: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Foreground of a batch as pixel ranges ``mask, start, end`` in order."""
     begins = _starts(owner)
@@ -138,6 +165,19 @@ def _corners(mask: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bincount(mask[1:][same], ((y[1:] + y[:-1]) * np.diff(x) / 2)[same], n)
 
 
+def _second_moments(x, y0, y1, n, first, own, area) -> tuple[np.ndarray, ...]:
+    """Centre and second moments of each mask; coordinates count from its corner, so that sums stay small."""
+    add = lambda v: np.add.reduceat(v, first)
+    mid = (y0.astype(float) + (y1 - 1)) / 2
+    cx, cy = add(x * n) / area, add(n * mid) / area
+    mid, dx = mid - cy[own], x - cx[own]
+    return cx, cy, add(n * dx**2) / area, add(n * mid**2 + n * (n**2 - 1) / 12) / area, add(dx * mid * n) / area
+
+
+def _extents(x: np.ndarray, y0: np.ndarray, y1: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return np.stack([x[first], np.minimum.reduceat(y0, first), np.maximum.reduceat(x, first), np.maximum.reduceat(y1, first) - 1], 1)
+
+
 def shapes(counts: pa.Array, height: np.ndarray) -> dict[str, np.ndarray]:
     """The measures of ``GEOMETRY`` and the box of each mask with pixels, by ``mask`` (its row)."""
     owner, x, y0, y1 = columns_of(*intervals(*decode_batch(counts)), height)
@@ -149,12 +189,8 @@ def shapes(counts: pa.Array, height: np.ndarray) -> dict[str, np.ndarray]:
     add = lambda v: np.add.reduceat(v, first)
     n = (y1 - y0).astype(float)
     xs, base = x - x[first][own], np.minimum.reduceat(y0, first)
-    a, b = (y0 - base[own]).astype(float), (y1 - 1 - base[own]).astype(float)
     area = add(n)
-    cx, cy = add(xs * n) / area, add(n * (a + b) / 2) / area
-    mid, dx = (a + b) / 2 - cy[own], xs - cx[own]
-    m20, m11 = add(n * dx**2) / area, add(dx * mid * n) / area
-    m02 = add(n * mid**2 + n * (n**2 - 1) / 12) / area
+    cx, cy, m20, m02, m11 = _second_moments(xs, y0 - base[own], y1 - base[own], n, first, own, area)
     spread = np.sqrt((m20 - m02) ** 2 + 4 * m11**2)
     major, minor = (m20 + m02 + spread) / 2, np.maximum((m20 + m02 - spread) / 2, 0.0)
     at = np.flatnonzero((np.diff(own, prepend=-1) != 0) | (np.diff(x, prepend=x[0] - 1) != 0))
@@ -170,7 +206,7 @@ def shapes(counts: pa.Array, height: np.ndarray) -> dict[str, np.ndarray]:
             "orientation": 0.5 * np.arctan2(2 * m11, m20 - m02),
             "solidity": np.where(hull > 0, area / hull, np.nan),
             "eccentricity": np.where(major > 0, np.sqrt(1 - minor / major), np.nan),
-            "box": np.stack([x[first], base, np.maximum.reduceat(x, first), np.maximum.reduceat(y1, first) - 1], 1),
+            "box": _extents(x, y0, y1, first),
         }
 
 
@@ -200,21 +236,6 @@ def overlaps(owner: np.ndarray, starts: np.ndarray, ends: np.ndarray, frame: np.
 # --- geometry ---------------------------------------------------------------------------
 
 
-def _moments(x, y0, y1):
-    n = (y1 - y0).astype(float)
-    area = n.sum()
-    xs = x - x[0]
-    base = y0.min()
-    a, b = (y0 - base).astype(float), (y1 - 1 - base).astype(float)
-    sy = n * (a + b) / 2
-    cx, cy = (xs * n).sum() / area, sy.sum() / area
-    # Sums of squares around the centre, per segment of consecutive rows.
-    mid = (a + b) / 2 - cy
-    syy = (n * mid**2 + n * (n**2 - 1) / 12).sum()
-    dx = xs - cx
-    return area, cx + x[0], cy + base, (n * dx**2).sum() / area, syy / area, (dx * mid * n).sum() / area
-
-
 _FIELDS = [
     "mask_area",
     "centroid_x",
@@ -243,23 +264,88 @@ def _pick(runs: np.ndarray, height: int, ranks: np.ndarray) -> list[list[int]]:
     return [[int(p), int(q)] for p, q in zip(x[at], y)]
 
 
+def pixels_at(counts: pa.Array, height: np.ndarray, num_points: int) -> np.ndarray:
+    """Per mask ``num_points`` pixels ``x, y``, evenly spaced in the (x, y) order; zeros without pixels."""
+    owner, starts, ends = intervals(*decode_batch(counts))
+    n = np.zeros(len(counts), np.int64)
+    np.add.at(n, owner, ends - starts)
+    upto, some = np.cumsum(ends - starts), np.flatnonzero(n)
+    rank = np.arange(num_points) * (n[some, None] - 1) // (num_points - 1)
+    rank += (np.cumsum(n) - n)[some, None]
+    at = np.searchsorted(upto, rank, side="right")
+    pixel = ends[at] - (upto[at] - rank)
+    out = np.zeros((len(counts), num_points, 2), np.int32)
+    out[some] = np.stack([pixel // height[some, None], pixel % height[some, None]], 2)
+    return out
+
+
+def thirds(counts: pa.Array, height: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(mask, pixels of its three equal parts along the major axis)``; tiny masks are left out.
+
+    A column's pixels are in the order of the axis or against it, so those beyond a cut are counted from
+    where the cut crosses the column; no pixel is listed.
+    """
+    owner, x, y0, y1 = columns_of(*intervals(*decode_batch(counts)), height)
+    area = np.bincount(owner, y1 - y0, len(counts))
+    big = area[owner] >= 10
+    owner, x, y0, y1 = owner[big], x[big], y0[big], y1[big]
+    if not len(owner):
+        return owner, np.zeros((0, 3), np.int64)
+    first = _starts(owner)
+    rows, own = owner[first], np.cumsum(np.diff(owner, prepend=owner[0]) != 0)
+    add = lambda v: np.add.reduceat(v, first)
+    n, area = (y1 - y0).astype(float), area[rows]
+    xs, base = x - x[first][own], np.minimum.reduceat(y0, first)[own]
+    _, _, m20, m02, m11 = _second_moments(xs, y0 - base, y1 - base, n, first, own, area)
+    _, vectors = np.linalg.eigh(np.stack([m20, m11, m11, m02], 1).reshape(-1, 2, 2))
+    axis = vectors[:, :, 1]
+    longer = np.take_along_axis(axis, np.abs(axis).argmax(1)[:, None], 1)
+    axis = np.where(longer > 0, axis, -axis)
+    ax, ay = axis[own, 0], axis[own, 1]
+    along = lambda y: x * ax + y * ay
+    ends = np.stack([along(y0), along(y1 - 1)])
+    lo, hi = np.minimum.reduceat(ends.min(0), first), np.maximum.reduceat(ends.max(0), first)
+    extent = hi - lo
+
+    def beyond(cut: np.ndarray) -> np.ndarray:
+        # By bisection: the first pixel, in the order of the axis, that reaches the cut.
+        cut, steps, stop = cut[own], np.zeros(len(own), np.int64), y1 - y0
+        while (seeking := steps < stop).any():
+            half = (steps + stop) // 2
+            short = along(np.where(ay >= 0, y0 + half, y1 - 1 - half)) < cut
+            steps, stop = np.where(seeking & short, half + 1, steps), np.where(seeking & ~short, half, stop)
+        return add(y1 - y0 - steps)
+
+    last, upper = beyond(lo + 2 * extent / 3), beyond(lo + extent / 3)
+    kept = extent >= 1e-6
+    parts = np.stack([add(y1 - y0) - upper, upper - last, last], 1)
+    return rows[kept], parts[kept]
+
+
 # --- Spark functions --------------------------------------------------------------------
 
 
-@F.pandas_udf(T.StringType())
-def rle_encode(runs: pd.Series) -> pd.Series:
-    return runs.map(encode_runs, na_action="ignore")
+@F.arrow_udf(T.StringType())
+def rle_encode(runs: pa.Array) -> pa.Array:
+    return encode_batch(runs)
 
 
-@F.pandas_udf(INTS)
-def rle_decode(counts: pd.Series) -> pd.Series:
-    return counts.map(lambda c: decode_runs(c).astype(np.int32), na_action="ignore")
+def _lists(values: np.ndarray | pa.Array, sizes: np.ndarray, known: np.ndarray) -> pa.Array:
+    """Lists of the given sizes; NULL where not ``known``, which must have size 0."""
+    ends = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
+    return pa.ListArray.from_arrays(ends, values if isinstance(values, pa.Array) else pa.array(values), mask=pa.array(~known))
+
+
+@F.arrow_udf(INTS)
+def rle_decode(counts: pa.Array) -> pa.Array:
+    runs, owner = decode_batch(counts)
+    return _lists(runs.astype(np.int32), np.bincount(owner, minlength=len(counts)), counts.is_valid().to_numpy(zero_copy_only=False))
 
 
 @F.arrow_udf(GEOMETRY)
 def mask_geometry(counts: pa.Array, height: pa.Array) -> pa.Array:
     """NULL measures without a mask; a mask without pixels has area 0 and an empty box only."""
-    found = shapes(counts, height.fill_null(1).to_numpy(zero_copy_only=False).astype(np.int64))
+    found = shapes(counts, _heights(height))
     known = counts.is_valid().to_numpy(zero_copy_only=False)
     columns = []
     for name in _FIELDS:
@@ -276,9 +362,7 @@ def _boxes(found: dict, known: np.ndarray) -> pa.Array:
     box = np.zeros((len(known), 4), np.int32)
     if "box" in found:
         box[found["mask"]] = found["box"]
-    ends = np.append(0, np.cumsum(4 * known)).astype(np.int32)
-    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(box[known].ravel()))
-    return lists if known.all() else pa.array([v if k else None for v, k in zip(lists.to_pylist(), known)], pa.list_(pa.int32()))
+    return _lists(box[known].ravel(), 4 * known, known)
 
 
 @F.arrow_udf(T.LongType())
@@ -292,7 +376,9 @@ def mask_area(counts: pa.Array) -> pa.Array:
 @F.arrow_udf(INTS)
 def mask_box(counts: pa.Array, height: pa.Array) -> pa.Array:
     """[x1, y1, x2, y2] with inclusive maxima; zeros for an empty mask."""
-    found = shapes(counts, height.fill_null(1).to_numpy(zero_copy_only=False).astype(np.int64))
+    owner, x, y0, y1 = columns_of(*intervals(*decode_batch(counts)), _heights(height))
+    first = _starts(owner)
+    found = {"mask": owner[first], "box": _extents(x, y0, y1, first)} if len(owner) else {}
     return _boxes(found, counts.is_valid().to_numpy(zero_copy_only=False))
 
 
@@ -326,25 +412,29 @@ def mask_pairs(ids: pa.Array, counts: pa.Array, parts: pa.Array, whole: pa.Array
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(frame[a], minlength=len(ids)))).astype(np.int32)), rows)
 
 
+def _heights(height: pa.Array) -> np.ndarray:
+    return height.fill_null(1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _point_lists(points: np.ndarray, known: np.ndarray) -> pa.Array:
+    values = points[known].ravel()
+    inner = pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, 2, dtype=np.int32)), pa.array(values))
+    return _lists(inner, points.shape[1] * known, known)
+
+
 def spread_points(num_points: int):
     """Evenly spaced pixels along x; one point asks for the truncated centroid."""
 
-    @F.pandas_udf(POINTS)
-    def points(counts: pd.Series, height: pd.Series) -> pd.Series:
-        def one(c, h):
-            if c is None:
-                return None
-            runs = decode_runs(c)
-            n = int(runs[1::2].sum())
-            if n == 0:
-                return [[0, 0]] * num_points
-            if num_points == 1:
-                _, cx, cy, *_ = _moments(*segments(runs, int(h)))
-                return [[int(cx + 1e-9), int(cy + 1e-9)]]
-            step = np.arange(num_points, dtype=np.int64) * (n - 1) // (num_points - 1)
-            return _pick(runs, int(h), step)
-
-        return pd.Series([one(c, h) for c, h in zip(counts, height)])
+    @F.arrow_udf(POINTS)
+    def points(counts: pa.Array, height: pa.Array) -> pa.Array:
+        known, h = counts.is_valid().to_numpy(zero_copy_only=False), _heights(height)
+        if num_points > 1:
+            return _point_lists(pixels_at(counts, h, num_points), known)
+        found = shapes(counts, h)
+        centre = np.zeros((len(counts), 1, 2), np.int32)
+        if len(found["mask"]):
+            centre[found["mask"], 0] = np.stack([found["centroid_x"], found["centroid_y"]], 1) + 1e-9
+        return _point_lists(centre, known)
 
     return points
 
@@ -369,28 +459,10 @@ def random_points(num_points: int):
     return points
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def body_thirds(counts: pd.Series, height: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def body_thirds(counts: pa.Array, height: pa.Array) -> pa.Array:
     """Pixel counts of the three equal parts along the major axis; NULL for tiny masks."""
-
-    def one(c, h):
-        if c is None:
-            return None
-        x, y0, y1 = segments(decode_runs(c), int(h))
-        n = y1 - y0
-        if n.sum() < 10:
-            return None
-        px = np.repeat(x, n).astype(float)
-        py = np.repeat(y0, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        _, _, _, m20, m02, m11 = _moments(x, y0, y1)
-        _, vectors = np.linalg.eigh([[m20, m11], [m11, m02]])
-        axis = vectors[:, 1]
-        axis = axis if axis[np.abs(axis).argmax()] > 0 else -axis
-        along = px * axis[0] + py * axis[1]
-        lo, extent = along.min(), along.max() - along.min()
-        if extent < 1e-6:
-            return None
-        cuts = [lo + extent / 3, lo + 2 * extent / 3]
-        return np.bincount((along >= cuts[0]).astype(int) + (along >= cuts[1]), minlength=3).tolist()
-
-    return pd.Series([one(c, h) for c, h in zip(counts, height)])
+    mask, parts = thirds(counts, _heights(height))
+    known = np.zeros(len(counts), bool)
+    known[mask] = True
+    return _lists(parts.ravel(), 3 * known, known)
