@@ -302,19 +302,24 @@ def thirds(counts: pa.Array, height: np.ndarray) -> tuple[np.ndarray, np.ndarray
     longer = np.take_along_axis(axis, np.abs(axis).argmax(1)[:, None], 1)
     axis = np.where(longer > 0, axis, -axis)
     ax, ay = axis[own, 0], axis[own, 1]
-    along = lambda y: x * ax + y * ay
-    ends = np.stack([along(y0), along(y1 - 1)])
-    lo, hi = np.minimum.reduceat(ends.min(0), first), np.maximum.reduceat(ends.max(0), first)
+    low, high = np.where(ay >= 0, y0, y1 - 1), np.where(ay >= 0, y1 - 1, y0)  # along the axis
+    least, most = x * ax + low * ay, x * ax + high * ay
+    lo, hi = np.minimum.reduceat(least, first), np.maximum.reduceat(most, first)
     extent = hi - lo
 
     def beyond(cut: np.ndarray) -> np.ndarray:
-        # By bisection: the first pixel, in the order of the axis, that reaches the cut.
-        cut, steps, stop = cut[own], np.zeros(len(own), np.int64), y1 - y0
-        while (seeking := steps < stop).any():
-            half = (steps + stop) // 2
-            short = along(np.where(ay >= 0, y0 + half, y1 - 1 - half)) < cut
-            steps, stop = np.where(seeking & short, half + 1, steps), np.where(seeking & ~short, half, stop)
-        return add(y1 - y0 - steps)
+        cut = cut[own]
+        short = np.where(most < cut, y1 - y0, 0)
+        # By bisection where the cut crosses a column: its first pixel that reaches the cut.
+        at = np.flatnonzero((least < cut) & (most >= cut))
+        cut, shift, ay_, low_ = cut[at], x[at] * ax[at], ay[at], low[at]
+        way, steps, stop = np.where(ay_ >= 0, 1, -1), np.zeros(len(at), np.int64), (y1 - y0)[at]
+        while (steps < stop).any():
+            half = (steps + stop) // 2  # where both ends have met, the answer is there: it reaches the cut
+            reach = shift + (low_ + way * half) * ay_ >= cut
+            steps, stop = np.where(reach, steps, half + 1), np.where(reach, half, stop)
+        short[at] = steps
+        return add(y1 - y0 - short)
 
     last, upper = beyond(lo + 2 * extent / 3), beyond(lo + extent / 3)
     kept = extent >= 1e-6
