@@ -98,3 +98,13 @@ def test_nearest_neighbours_against_all_pairs(spark, spread):
         assert asks.count() < 0.5 * 900 * (n - 1)
     assert reports.nearest_neighbour(df.limit(0), key="id", vec="e").count() == 0
     assert reports.nearest_neighbour(df.limit(1), key="id", vec="e").count() == 0
+
+
+def test_nearest_neighbours_shuffle_no_vectors_twice(spark):
+    """Was a copy of every member for each stretch of queries: vectors without clusters filled the disk."""
+    x = np.random.default_rng(6).normal(size=(600, 8))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, e array<double>")
+    nn = reports.nearest_neighbour(df, key="id", vec="e", pivots=4, slice_rows=20, query_rows=50)
+    plan = nn._jdf.queryExecution().executedPlan().toString()
+    # The exchange of the answers alone.
+    assert nn.count() == 600 and plan.count("Exchange hashpartitioning") == 1 and "CartesianProduct" in plan

@@ -177,55 +177,68 @@ def _placed(centres: np.ndarray):
     return run
 
 
-def _asked(centres: np.ndarray, low: np.ndarray, high: np.ndarray, slices: np.ndarray):
-    """For ``mapInArrow`` on ``k, v, p, s, near``: the slices of other vectors that may hold a nearer one.
+def _open(v: np.ndarray, near: np.ndarray, centres: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Rows by parts: whether the part may hold a vector nearer than ``near``.
 
     A vector at distance d from a pivot is at least d - high and low - d from all members of its part,
     whose own distances lie between low and high.
     """
-    part = np.repeat(np.arange(len(slices)), slices)
-    number = np.arange(len(part)) - np.repeat(np.cumsum(slices) - slices, slices)
+    d = _distances(v, centres)
+    return np.maximum(d - high, low - d) <= near[:, None] + SLACK
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            d = _distances(_vectors(b.column(1)), centres)
-            near = b.column(4).to_numpy(zero_copy_only=False)[:, None]
-            open_ = np.maximum(d - high, low - d) <= near + SLACK
-            own, slice_ = (b.column(c).to_numpy(zero_copy_only=False) for c in (2, 3))
-            rows, at = np.nonzero(open_[:, part])
-            other = (part[at] != own[rows]) | (number[at] != slice_[rows])
-            rows, at = rows[other], at[other]
-            for k in range(0, len(rows), 10_000):
-                r, q = pa.array(rows[k : k + 10_000]), at[k : k + 10_000]
-                columns = [b.column(0).take(r), b.column(1).take(r), pa.array(part[q].astype(np.int32)), pa.array(number[q].astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, names=["k", "v", "p", "s"])
+
+def _best(x: np.ndarray, keys: np.ndarray, y: np.ndarray, own: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest of ``y`` for each of ``x`` and its similarity; ``own``: the same rows, none with itself."""
+    n, sim = np.zeros(len(x), np.int64), np.full(len(x), -np.inf)
+    for a in range(0, len(x), 1024):
+        s = np.round(x[a : a + 1024] @ y.T, 12)
+        if own:
+            s[np.arange(len(s)), np.arange(a, a + len(s))] = -np.inf
+        j = s.argmax(1)
+        n[a : a + 1024], sim[a : a + 1024] = keys[j], s[np.arange(len(s)), j]
+    return n, sim
+
+
+SLICES = "p int, s int, k array<bigint>, v binary, near array<double>, n array<bigint>, sim array<double>, asks array<int>"
+
+
+def _slice(centres: np.ndarray, low: np.ndarray, high: np.ndarray):
+    """For ``applyInPandas``: a slice as one row, with each member's best inside and the parts any of them asks."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("k", kind="stable")
+        k, v = pdf["k"].to_numpy(), np.stack(pdf["v"].to_numpy())
+        n, sim = _best(v, k, v, own=True)
+        near = np.sqrt(np.maximum(2 - 2 * np.maximum(sim, -1), 0))
+        asks = np.flatnonzero(_open(v, near, centres, low, high).any(0))
+        row = [pdf["p"].iloc[0], pdf["s"].iloc[0], k, v.astype(np.float64).tobytes(), near, n, sim, asks]
+        return pd.DataFrame({name.split()[0]: [value] for name, value in zip(SLICES.split(", "), row)})
 
     return run
 
 
-def _best(pdf: pd.DataFrame) -> pd.DataFrame:
-    """For ``applyInPandas``: each asking row's best member; without asking rows, each member's best other."""
-    members = pdf[~pdf["asks"]].sort_values("k", kind="stable")
-    asking = pdf[pdf["asks"]]
-    keys, y = members["k"].to_numpy(), np.stack(members["v"].to_numpy()) if len(members) else np.zeros((0, 1))
-    inside = not len(asking)
-    rows = members if inside else asking
-    out = []
-    if len(keys) > inside:
-        x, mine = np.stack(rows["v"].to_numpy()), rows["k"].to_numpy()
-        for a in range(0, len(x), 1024):
-            sim = np.round(x[a : a + 1024] @ y.T, 12)
-            if inside:
-                sim[np.arange(len(sim)), np.arange(a, a + len(sim))] = -np.inf
-            j = sim.argmax(1)
-            out.append(pd.DataFrame({"k": mine[a : a + 1024], "n": keys[j], "sim": sim[np.arange(len(sim)), j]}))
-    return pd.concat(out) if out else pd.DataFrame({"k": np.zeros(0, int), "n": np.zeros(0, int), "sim": np.zeros(0)})
+def _across(centres: np.ndarray, low: np.ndarray, high: np.ndarray):
+    """For ``mapInArrow`` on pairs of slices: the best member of the second for those of the first that ask it."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for i in range(b.num_rows):
+                k, near, keys = (b.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("k", "near", "keys"))
+                x = np.frombuffer(b.column("v")[i].as_buffer(), np.float64).reshape(len(k), -1)
+                y = np.frombuffer(b.column("w")[i].as_buffer(), np.float64).reshape(len(keys), -1)
+                q = b.column("p")[i].as_py()
+                rows = np.flatnonzero(_open(x, near, centres[q : q + 1], low[q : q + 1], high[q : q + 1])[:, 0])
+                if len(rows):
+                    out.append((k[rows], *_best(x[rows], keys, y)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["k", "n", "sim"])
 
-def neighbour_asks(df: DataFrame, *, key: str, vec: str, pivots: int = PIVOTS, slice_rows: int = SLICE_ROWS) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    """Members by slice, each one's best inside its slice, the asks to other slices, and the slice count."""
+    return run
+
+
+def _sliced(df: DataFrame, key: str, vec: str, pivots: int, slice_rows: int) -> tuple[DataFrame, tuple[np.ndarray, ...], np.ndarray]:
+    """One row a slice (see ``SLICES``), the pivots with the extremes of their parts, and the slices of each part."""
     rows = cut_lineage(df.select(F.col(key).cast("long").alias("k"), unit(vec).alias("v")).filter("v is not null"), "units")
     spark = df.sparkSession
     centres = np.array([r["v"] for r in rows.orderBy(F.xxhash64("k"), "k").limit(pivots).collect()])
@@ -233,34 +246,53 @@ def neighbour_asks(df: DataFrame, *, key: str, vec: str, pivots: int = PIVOTS, s
     # One row for each pivot.
     found = {r["p"]: r for r in placed.groupBy("p").agg(F.min("r").alias("low"), F.max("r").alias("high"), F.count("*").alias("n")).collect()}
     low, high = (np.array([found[p][c] if p in found else np.inf * sign for p in range(len(centres))]) for c, sign in (("low", 1), ("high", -1)))
-    slices = np.array([-(-found[p]["n"] // slice_rows) if p in found else 0 for p in range(len(centres))], np.int64)
-    sizes = spark.createDataFrame([(p, int(n)) for p, n in enumerate(slices)], "p int, n int")
+    numbers = np.array([-(-found[p]["n"] // slice_rows) if p in found else 0 for p in range(len(centres))], np.int64)
+    sizes = spark.createDataFrame([(p, int(n)) for p, n in enumerate(numbers)], "p int, n int")
     members = placed.join(F.broadcast(sizes), "p").select("k", "v", "p", F.pmod(F.xxhash64("k"), F.col("n")).cast("int").alias("s"))
-    kinds = "k long, n long, sim double"
-    inside = cut_lineage(members.withColumn("asks", F.lit(False)).groupBy("p", "s").applyInPandas(_best, kinds), "inside")
-    near = inside.groupBy("k").agg(F.min(F.sqrt(F.greatest(2 - 2 * F.col("sim"), F.lit(0.0)))).alias("near"))
-    known = members.join(near, "k", "left").select("k", "v", "p", "s", F.coalesce("near", F.lit(2.0)).alias("near"))
-    asks = known.mapInArrow(_asked(centres, low, high, slices), "k long, v array<double>, p int, s int")
-    return members, inside, asks, int(slices.sum())
+    bounds = (centres, low, high)
+    return cut_lineage(members.groupBy("p", "s").applyInPandas(_slice(*bounds), SLICES), "slices"), bounds, numbers
+
+
+def _inside(slices: DataFrame) -> DataFrame:
+    best = slices.select(F.inline(F.arrays_zip("k", "n", "sim")))
+    return best.filter(F.col("sim") > F.lit(-np.inf))  # a slice of one member has none
+
+
+def neighbour_asks(df: DataFrame, *, key: str, vec: str, pivots: int = PIVOTS, slice_rows: int = SLICE_ROWS) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Slices, each member's best inside its slice, the asks of members to other slices, and the slice count."""
+    slices, bounds, numbers = _sliced(df, key, vec, pivots, slice_rows)
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                v = np.frombuffer(r["v"], np.float64).reshape(len(r["k"]), -1)
+                row, p = np.nonzero(_open(v, np.array(r["near"]), *bounds))
+                n = numbers[p] - (p == r["p"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(r["k"])[row]), pa.array(p.astype(np.int32)), pa.array(n)], names=["k", "p", "n"])
+
+    asks = slices.mapInArrow(asked, "k long, p int, n long").withColumn("s", F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int")))).drop("n", "s")
+    return slices, _inside(slices), asks, int(numbers.sum())
 
 
 def nearest_neighbour(df: DataFrame, *, key: str, vec: str, pivots: int = PIVOTS, slice_rows: int = SLICE_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """Exact cosine nearest neighbour of every vector: (key, neighbour, similarity).
 
-    Vectors belong to the nearest of a few pivots, and a part's members to slices of bounded size. The best
-    partner inside the own slice bounds how far a nearer one can be; by the triangle inequality only
-    slices whose part can hold one are asked, by one matrix product for each slice and stretch of
-    queries. No pair of vectors is ever a row. Ties go to the lowest key.
+    Vectors belong to the nearest of a few pivots, and a part's members to slices of bounded size, one row
+    each. The best partner inside the own slice bounds how far a nearer one can be; by the triangle
+    inequality only slices whose part can hold one are asked, by one matrix product for each pair of
+    slices. Pairs are formed by reading the stage table of slices again, so that no vector is shuffled a second
+    time: disk grows with the vectors, not with their pairs. ``query_rows`` no longer bounds anything.
+    Ties go to the lowest key.
     """
     if df.isEmpty():
         return df.select(F.col(key).cast("long").alias(key), F.lit(0).cast("long").alias("neighbour"), F.lit(0.0).alias("similarity")).limit(0)
-    members, inside, asks, n_slices = neighbour_asks(df, key=key, vec=vec, pivots=pivots, slice_rows=slice_rows)
-    stretches = max(1, -(-n_slices * slice_rows // query_rows))  # all rows may ask one slice
-    asks = asks.withColumn("c", F.pmod(F.xxhash64("k", F.lit(1)), F.lit(stretches)).cast("int")).withColumn("asks", F.lit(True))
-    every = F.explode(F.sequence(F.lit(0), F.lit(stretches - 1))).alias("c")
-    copies = members.select("k", "v", "p", "s", every).withColumn("asks", F.lit(False))
-    across = asks.unionByName(copies).groupBy("p", "s", "c").applyInPandas(lambda pdf: _best(pdf) if pdf["asks"].any() else _best(pdf.iloc[:0]), "k long, n long, sim double")
-    top = inside.unionByName(across).groupBy("k").agg(F.min(F.struct((-F.col("sim")).alias("d"), "n")).alias("t"))
+    slices, bounds, _ = _sliced(df, key, vec, pivots, slice_rows)
+    asking = slices.select(F.struct("p", "s").alias("at"), "k", "v", "near", "asks")
+    asked = slices.select(F.struct("p", "s").alias("to"), "p", F.col("k").alias("keys"), F.col("v").alias("w"))
+    # The product of partitions, never a broadcast.
+    pairs = asking.join(asked.hint("shuffle_replicate_nl"), (F.col("at") != F.col("to")) & F.array_contains("asks", F.col("p")))
+    across = pairs.select("k", "near", "v", "p", "keys", "w").mapInArrow(_across(*bounds), "k long, n long, sim double")
+    top = _inside(slices).unionByName(across).groupBy("k").agg(F.min(F.struct((-F.col("sim")).alias("d"), "n")).alias("t"))
     return top.select(F.col("k").alias(key), F.col("t.n").alias("neighbour"), (-F.col("t.d")).alias("similarity"))
 
 
