@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackspark.operators import events, frames
@@ -33,7 +33,20 @@ UNITS = [c for c in FRAME_DOUBLES if "area" not in c]
 
 
 def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(c), digits) for c in cols})
+    """Round as the SQL twins do: a double is scaled and rounded as a double, not as its decimal text.
+
+    0.053554687499999996 scaled by 1e9 is a tie and goes up; its decimal text would go down.
+    """
+    unit = 10.0**digits
+    kinds = dict(df.dtypes)
+
+    def one(c: str) -> Column:
+        if kinds[c] != "double":
+            return F.round(F.col(c), digits)
+        scaled = F.col(c) * F.lit(unit)
+        return F.when(F.abs(scaled) < F.lit(float("inf")), F.round(scaled) / F.lit(unit)).otherwise(F.col(c))
+
+    return df.withColumns({c: one(c) for c in cols})
 
 
 def frame_metrics(spark: SparkSession, sf: str) -> DataFrame:
