@@ -100,3 +100,29 @@ def test_rows_without_key_or_order_stay(spark, block):
         rows = out.collect()
         assert len(rows) == len(data) and {(r["v"], r["f"]): r[name] for r in rows if r[name] is not None} == want
     assert B.runs(df, ["v"], "f", block=block).count() == 2
+
+
+@pytest.mark.parametrize("name", ["neighbours", "ahead", "runs", "total", "forward", "backward"])
+def test_rows_are_computed_once(spark, name):
+    """What crosses the block borders comes from the exchange of the rows, not from a second computation."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    raw = spark.createDataFrame([("v", k, k % 3, "x") for k in range(50)] + [(None, 1, 1, "y")], "v string, f int, n int, note string")
+    df = raw.mapInArrow(count, raw.schema)
+    if name in ("neighbours", "ahead"):
+        nb = B.Neighbours(df, ["v"], "f", block=8, **({"back": 1} if name == "neighbours" else {"back": 2, "ahead": 2}))
+        out = nb.with_columns({"p": nb.lag("n")})
+    elif name == "runs":
+        out = B.with_runs(df, ["v"], "f", block=8)
+    elif name == "total":
+        out = B.running_total(df, ["v"], "f", F.col("n"), "s", block=8)
+    else:
+        carry = B.carry_forward if name == "forward" else B.carry_backward
+        out = carry(df, ["v"], "f", F.col("n"), "s", block=8)
+    assert len(out.collect()) == 51
+    assert seen.value == 51

@@ -56,6 +56,22 @@ def present() -> Column:
     return F.col(BLK) > ABSENT
 
 
+def edges(rows: DataFrame, keys: Sequence[str], *aggs: Column) -> DataFrame:
+    """One row per block of the sequences: ``keys``, the block and ``aggs``, from the exchange of the rows.
+
+    Filters and narrower columns would move below the exchange, and Spark would compute the rows a second time
+    for an exchange of other content. So the keys come out as aggregates, which no filter passes, and a hash of
+    all columns keeps them together.
+    """
+    plain = [c for c, kind in rows.dtypes if "map<" not in kind]
+    own = [*keys, BLK]
+    out = rows.groupBy(*own).agg(
+        *[F.max(k).alias(f"_key{i}") for i, k in enumerate(own)], *aggs, F.max(F.xxhash64(*plain)).alias("_all")
+    )
+    out = out.drop(*own).withColumnsRenamed({f"_key{i}": k for i, k in enumerate(own)})
+    return out.filter(present() & F.col("_all").isNotNull()).drop("_all")
+
+
 def block_window(keys: Sequence[str], order: str | Sequence[str]):
     cols = [order] if isinstance(order, str) else list(order)
     return Window.partitionBy(*keys, BLK).orderBy(*cols)
@@ -86,7 +102,7 @@ class Neighbours:
         numbered = base.withColumn("_rn", F.row_number().over(self.w))
         if ahead or back > 1:
             numbered = numbered.withColumn("_cnt", F.count(F.lit(1)).over(whole))
-        self.df = numbered.join(self._carry(base.filter(present()), numbered.filter(present())), [*keys, BLK], "left")
+        self.df = numbered.join(self._carry(base, numbered), [*keys, BLK], "left")
 
     def _carry(self, base: DataFrame, numbered: DataFrame) -> DataFrame:
         keys = self.keys
@@ -95,7 +111,7 @@ class Neighbours:
         if self.back <= 1 and self.ahead <= 1:
             tail = F.array(F.max_by(row, order)) if self.back else F.array()
             head = F.array(F.min_by(row, order)) if self.ahead else F.array()
-            edges = base.groupBy(*keys, BLK).agg(tail.alias("_tail"), head.alias("_head"))
+            ends = edges(base, keys, tail.alias("_tail"), head.alias("_head"))
         else:
             is_tail = F.col("_rn") > F.col("_cnt") - self.back
             is_head = F.col("_rn") <= self.ahead
@@ -105,10 +121,8 @@ class Neighbours:
                 items = F.array_sort(F.collect_list(F.when(flag, keyed)))
                 return F.transform(items, lambda s: s["_row"])
 
-            edges = (
-                numbered.filter(is_tail | is_head)
-                .groupBy(*keys, BLK)
-                .agg(side(is_tail).alias("_tail"), side(is_head).alias("_head"))
+            ends = edges(
+                numbered.filter(is_tail | is_head), keys, side(is_tail).alias("_tail"), side(is_head).alias("_head")
             )
         by_block = Window.partitionBy(*keys).orderBy(BLK)
         out = []
@@ -119,7 +133,7 @@ class Neighbours:
         if self.ahead:
             later = F.flatten(F.collect_list("_head").over(by_block.rowsBetween(1, self.ahead)))
             out.append(F.slice(later, 1, self.ahead).alias("_after"))
-        carry = edges.select(*keys, BLK, *out)
+        carry = ends.select(*keys, BLK, *out)
         some = F.lit(False)
         if self.back:
             some = some | (F.size("_before") > 0)
@@ -168,9 +182,7 @@ def running_total(
     blocked = in_blocks(df.withColumn("_v", value), keys, order, block)
     earlier = Window.partitionBy(*keys).orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
     carry = (
-        blocked.filter(present())
-        .groupBy(*keys, BLK)
-        .agg(F.sum("_v").alias("_s"))
+        edges(blocked, keys, F.sum("_v").alias("_s"))
         .select(*keys, BLK, F.sum("_s").over(earlier).alias("_carry"))
         .filter(F.col("_carry").isNotNull())
     )
@@ -205,9 +217,7 @@ def carry_forward(
     blocked = in_blocks(df.withColumn("_v", value), keys, order, block)
     earlier = Window.partitionBy(*keys).orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
     carry = (
-        blocked.filter(present())
-        .groupBy(*keys, BLK)
-        .agg(F.max("_v").alias("_s"))
+        edges(blocked, keys, F.max("_v").alias("_s"))
         .select(*keys, BLK, F.max("_s").over(earlier).alias("_carry"))
         .filter(F.col("_carry").isNotNull())
     )
@@ -237,9 +247,7 @@ def carry_backward(
     w = Window.partitionBy(*keys, BLK).orderBy(*down).rowsBetween(Window.unboundedPreceding, 0)
     later = Window.partitionBy(*keys).orderBy(BLK).rowsBetween(1, Window.unboundedFollowing)
     carry = (
-        blocked.filter(present())
-        .groupBy(*keys, BLK)
-        .agg(F.min("_v").alias("_s"))
+        edges(blocked, keys, F.min("_v").alias("_s"))
         .select(*keys, BLK, F.min("_s").over(later).alias("_carry"))
         .filter(F.col("_carry").isNotNull())
     )
@@ -270,9 +278,7 @@ def with_runs(
     earlier = by_block.rowsBetween(Window.unboundedPreceding, -1)
     limit = F.max(step).alias("_step") if isinstance(max_step, Column) else step.alias("_step")
     carry = (
-        marked.filter(present())
-        .groupBy(*keys, BLK)
-        .agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"), F.max("_open").alias("_last"), limit)
+        edges(marked, keys, F.min(order).alias("_lo"), F.max(order).alias("_hi"), F.max("_open").alias("_last"), limit)
         .withColumn("_gap", F.col("_lo") - F.lag("_hi").over(by_block))
         .withColumn("_lead", F.when(F.col("_gap") <= F.col("_step"), F.lit(None)).otherwise(F.col("_lo")))
         .withColumn("_carry", F.max(F.coalesce("_last", "_lead")).over(earlier))
