@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from trackspark.functions import boxes as bx
 from trackspark.operators import tiles
@@ -47,6 +49,42 @@ def _pair_summary(pairs: Column, iou_threshold: float, near: float) -> Column:
     return tiles.fold(pairs, start, step)
 
 
+#: The foldable statistics, one column each.
+STATS = "n long, n_dist long, min_dist double, sum_dist double, n_near long, max_iou double, sum_iou double, n_over long"
+
+
+def _box_pairs_folded(iou_threshold: float, near: float):
+    """:func:`_pair_summary` for :func:`tiles.fold_pairs`: all pairs of many frames at once (NaN is NULL)."""
+
+    def fold(c: dict, group: np.ndarray, i: np.ndarray, j: np.ndarray, n: int) -> dict[str, np.ndarray]:
+        area = np.fmax((c["x2"] - c["x1"]) * (c["y2"] - c["y1"]), 0.0)
+        shared = np.ones(len(i))
+        for low, high in (("x1", "x2"), ("y1", "y2")):
+            shared *= np.fmax(np.fmin(c[high][i], c[high][j]) - np.fmax(c[low][i], c[low][j]), 0.0)
+        union = area[i] + area[j] - shared
+        iou = np.divide(shared, union, out=np.zeros(len(i)), where=union > 0)
+        dx, dy = c["cx"][i] - c["cx"][j], c["cy"][i] - c["cy"][j]
+        dist = np.sqrt(dx * dx + dy * dy)
+        known = ~np.isnan(dist)
+        max_iou, min_dist = np.zeros(n), np.full(n, bx.INF)
+        np.maximum.at(max_iou, group, iou)
+        np.minimum.at(min_dist, group[known], dist[known])
+        count = lambda flag: np.bincount(group[flag], minlength=n)
+        return {
+            "n": np.bincount(group, minlength=n),
+            "n_dist": count(known),
+            "min_dist": min_dist,
+            # Adds up in the order of the rows, as a fold would.
+            "sum_dist": np.bincount(group[known], dist[known], minlength=n),
+            "n_near": count(dist < near),
+            "max_iou": max_iou,
+            "sum_iou": np.bincount(group, iou, minlength=n),
+            "n_over": count(iou > iou_threshold),
+        }
+
+    return fold
+
+
 def _merge_parts(packed: DataFrame, keys: Sequence[str], summary: Column) -> DataFrame:
     """Bring the rows of a split group back together."""
     rows = packed.select(*keys, summary.alias("_p"))
@@ -105,14 +143,12 @@ def detection_frames(
         F.col("confidence").cast("double").alias("confidence"),
     )
 
-    def measure(a: Column, c: Column) -> Column:
-        return F.struct(
-            bx.iou(a["box"], c["box"]).alias("iou"),
-            bx.distance(a["cx"], a["cy"], c["cx"], c["cy"]).alias("dist"),
-        )
-
-    packed = tiles.pack(d, FRAME, ["track_id", "box", "cx", "cy", "confidence"])
-    summary = _pair_summary(tiles.pair_array(measure), iou_threshold, cluster_distance)
+    sides = [F.col("box")[c].alias(c) for c in ("x1", "y1", "x2", "y2")]
+    flat = d.select(*FRAME, "track_id", *sides, "cx", "cy")
+    member = [c for c in flat.columns if c not in FRAME]
+    stats = StructType.fromDDL(STATS)
+    packed = tiles.fold_pairs(flat, FRAME, member, _box_pairs_folded(iou_threshold, cluster_distance), stats)
+    summary = F.struct(*stats.names)
     per_object = [
         F.count(F.lit(1)).alias("num_objects"),
         F.avg(bx.area(F.col("box"))).alias("mean_bbox_area"),
