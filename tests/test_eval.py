@@ -2,6 +2,7 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trackspark.functions.assign import best_pairs
@@ -273,3 +274,35 @@ def test_components_against_search(spark):
             want |= {m: n[1] for m in group if m != n}
     assert got == want
     assert components(spark.createDataFrame([], "k string, a long, b long"), ["k"]).count() == 0
+
+
+@pytest.mark.parametrize("wide", [1024, 6])
+def test_frame_pairs_tell_what_windows_tell(spark, wide):
+    """Pairs folded by frame, narrow and wide, against grid cells and windows; predictions count once, in scored frames only."""
+    rng = np.random.default_rng(5)
+
+    def boxes(n, ids, frames):
+        x, y = rng.integers(0, 40, n) * 20.0, rng.integers(0, 3, n) * 25.0
+        flat = rng.random(n) < 0.05  # without area: scored, but without a pair
+        sides = zip(x, y, np.where(flat, x, x + 60.0), y + 30.0)
+        return [(f"v{v}", int(f), int(i), tuple(map(float, s))) for v, f, i, s in zip(rng.integers(0, 2, n), rng.integers(0, frames, n), rng.integers(0, ids, n), sides)]
+
+    t = spark.createDataFrame(boxes(300, 9, 30), f"video_id string, frame_idx int, id long, box {BOX}")
+    rows = [(str(rng.choice(["a", "b"])), *r) for r in boxes(500, 9, 34)]
+    p = spark.createDataFrame(rows, f"variant string, video_id string, frame_idx int, id long, box {BOX}")
+    got = M.frame_pairs(t, p, min_iou=0.1, wide=wide).cache()
+    w = {k: Window.partitionBy(*M.FRAME, k) for k in ("gt_id", "pred_id")}
+    sums = F.sum("iou").over(w["gt_id"]) + F.sum("iou").over(w["pred_id"])
+    want = M.box_pairs(t, p, min_iou=0.1).select(
+        *M.FRAME,
+        "gt_id",
+        "pred_id",
+        F.round("iou", 9).alias("iou"),
+        F.round(F.col("iou") / (sums - F.col("iou")), 9).alias("share"),
+        ((F.count("*").over(w["gt_id"]) == 1) & (F.count("*").over(w["pred_id"]) == 1)).alias("alone"),
+    )
+    met = got.filter("iou IS NOT NULL").withColumns({c: F.round(c, 9) for c in ("iou", "share")}).select(*want.columns)
+    assert sorted(map(tuple, met.collect())) == sorted(map(tuple, want.collect()))
+    counted = got.filter("counts").groupBy(*M.FRAME, "pred_id").count().collect()
+    expected = M.scored_predictions(t, p).groupBy(*M.FRAME, "id").count().select(*M.FRAME, "id", "count").collect()
+    assert sorted(map(tuple, counted)) == sorted(map(tuple, expected))

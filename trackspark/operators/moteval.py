@@ -11,6 +11,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ from trackspark.functions.assign import best_pairs
 from trackspark.functions.text import cage_of
 from trackspark.operators.blocks import BLOCK, Neighbours, carry_forward, ordered_fold
 from trackspark.operators.components import components
+from trackspark.operators.tiles import _starts
 from trackspark.session import cut_lineage
 
 SEQ = ["variant", "video_id"]
@@ -73,12 +76,146 @@ def box_pairs(truth: DataFrame, predictions: DataFrame, *, min_iou: float = 0.0,
     j = t.join(p, ["video_id", "frame_idx", "_cx", "_cy"]).filter((width > 0) & (height > 0))
     j = j.filter((F.floor(left / cell) == c("_cx")) & (F.floor(top / cell) == c("_cy")))
     inter = width * height
-    iou = inter / (c("_g_area") + c("_p_area") - inter)
+    # Boxes apart both ways may come to a union of 0, and Spark may divide before it filters.
+    iou = F.try_divide(inter, c("_g_area") + c("_p_area") - inter)
     # Boxes that touch by less than a double holds share no area.
     j = j.filter((iou >= min_iou) if min_iou > 0 else (inter > 0))
     return j.select("video_id", "frame_idx", "gt_id", "variant", "pred_id", iou.alias("iou"))
 
 
+#: Frames of more boxes are not folded in one task; their boxes meet in grid cells.
+WIDE = 1024
+
+MET = "variant string, video_id string, frame_idx int, gt_id long, pred_id long, iou double, share double, alone boolean, counts boolean"
+
+
+def _met_in(rows: pa.Table, starts: np.ndarray, min_iou: float) -> pa.RecordBatch:
+    """The pairs of whole frames, and the predictions without one; rows by frame, variant (truth first) and id."""
+    n = rows.num_rows
+    fresh = np.zeros(n, bool)
+    fresh[starts] = True
+    frame = np.cumsum(fresh) - 1
+    of = rows.column("variant").combine_chunks().dictionary_encode()
+    of = of.chunk(0) if isinstance(of, pa.ChunkedArray) else of
+    variant = of.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    ids = rows.column("id").fill_null(np.iinfo(np.int64).min).to_numpy()
+    x1, y1, x2, y2 = (rows.column(c).fill_null(np.nan).to_numpy() for c in ("x1", "y1", "x2", "y2"))
+    far = np.maximum(np.maximum(np.abs(x1), np.abs(x2)), np.maximum(np.abs(y1), np.abs(y2)))
+    sane = (x2 > x1) & (y2 > y1) & (far < FARTHEST)
+    area = (x2 - x1) * (y2 - y1)
+    known = variant < 0
+    # Runs of one variant in a frame, and of one id in that.
+    turn = fresh.copy()
+    turn[1:] |= variant[1:] != variant[:-1]
+    seq = np.cumsum(turn)
+    turn[1:] |= ids[1:] != ids[:-1]
+    own = np.cumsum(turn)
+    n_truth = np.bincount(frame[known], minlength=len(starts))
+    mine = np.flatnonzero(~known & (n_truth[frame] > 0))
+    tries = n_truth[frame[mine]]
+    b = np.repeat(mine, tries)
+    a = np.repeat(starts[frame[mine]] - (np.cumsum(tries) - tries), tries) + np.arange(len(b))
+    width = np.minimum(x2[a], x2[b]) - np.maximum(x1[a], x1[b])
+    height = np.minimum(y2[a], y2[b]) - np.maximum(y1[a], y1[b])
+    hit = (width > 0) & (height > 0) & sane[a] & sane[b]
+    a, b, inter = a[hit], b[hit], (width * height)[hit]
+    iou = inter / (area[a] + area[b] - inter)
+    # Boxes that touch by less than a double holds share no area.
+    hit = (iou >= min_iou) if min_iou > 0 else (inter > 0)
+    a, b, iou = a[hit], b[hit], iou[hit]
+    at_gt = np.unique(seq[b] * (n + 1) + own[a], return_inverse=True)[1]
+    of_gt, of_pred = np.bincount(at_gt, iou)[at_gt], np.bincount(own[b], iou)[own[b]]
+    alone = (np.bincount(at_gt)[at_gt] == 1) & (np.bincount(own[b])[own[b]] == 1)
+    first = np.ones(len(b), bool)
+    first[1:] = b[1:] != b[:-1]
+    lost = np.setdiff1d(mine, b)
+    where, blank = np.concatenate([b, lost]), [None] * len(lost)
+    heads = rows.select(["variant", "video_id", "frame_idx", "id"]).take(pa.array(where)).combine_chunks()
+    column = lambda t, c: t.column(c).combine_chunks()
+    pad = lambda v, kind: pa.concat_arrays([v if isinstance(v, pa.Array) else pa.array(v, kind), pa.array(blank, kind)])
+    arrays = [column(heads, c) for c in ("variant", "video_id", "frame_idx")]
+    arrays.append(pad(column(rows.select(["id"]).take(pa.array(a)), "id"), pa.int64()))
+    arrays += [column(heads, "id"), pad(iou, pa.float64()), pad(iou / (of_gt + of_pred - iou), pa.float64()), pad(alone, pa.bool_())]
+    arrays += [pa.array(np.concatenate([first, np.ones(len(lost), bool)])), pa.nulls(len(where), pa.list_(pa.float64()))]
+    return pa.RecordBatch.from_arrays(arrays, names=NAMES)
+
+
+NAMES = [part.split()[0] for part in MET.split(", ")] + ["sides"]
+
+
+def _unmet(rows: pa.Table) -> pa.RecordBatch:
+    """Boxes of wide frames as they came."""
+    n, truth = rows.num_rows, rows.column("variant").is_null().combine_chunks()
+    ids, none = rows.column("id").combine_chunks(), pa.nulls(rows.num_rows, pa.int64())
+    flat = np.stack([rows.column(c).fill_null(np.nan).to_numpy() for c in ("x1", "y1", "x2", "y2")], 1).ravel()
+    sides = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * 4), pa.array(flat))
+    arrays = [rows.column(c).combine_chunks() for c in ("variant", "video_id", "frame_idx")]
+    arrays += [pc.if_else(truth, ids, none), pc.if_else(truth, none, ids)]
+    arrays += [pa.nulls(n, pa.float64()), pa.nulls(n, pa.float64()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.bool_()), sides]
+    return pa.RecordBatch.from_arrays(arrays, names=NAMES)
+
+
+def frame_pairs(truth: DataFrame, predictions: DataFrame, *, min_iou: float = 0.0, wide: int = WIDE) -> DataFrame:
+    """:func:`box_pairs` of the scored frames, stored, with what their frame tells of them.
+
+    ``share``: the IoU over all IoUs of both boxes' ids; ``alone``: neither id has another pair in the frame;
+    ``counts``: the first row of its prediction. Predictions without a pair have a row with NULL ``iou``.
+    Frames of up to ``wide`` boxes take one exchange; the boxes of wider ones meet in grid cells.
+    """
+    own = ["video_id", "frame_idx"]
+    sides = [F.col("box")[c].cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")]
+    keys = ["video_id", F.col("frame_idx").cast("int").alias("frame_idx"), F.col("id").cast("long").alias("id"), *sides]
+    rows = truth.select(F.lit(None).cast("string").alias("variant"), *keys)
+    rows = rows.unionByName(predictions.filter(F.col("variant").isNotNull()).select("variant", *keys)).dropna(subset=own)
+    in_order = rows.repartition(*own).sortWithinPartitions("frame_idx", "video_id", "variant", "id", "x1", "x2", "y1", "y2")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, crowded = None, False  # the open frame's rows; whether rows of it have gone already
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch]).combine_chunks()
+            starts = _starts(table, own)
+            sizes = np.diff(np.append(starts, table.num_rows))
+            big = sizes > wide
+            if crowded and held is not None:
+                big[0] = True
+            for k in np.flatnonzero(big).tolist():
+                # One row of the open frame stays, to know it by.
+                last = k == len(starts) - 1
+                size = int(sizes[k]) - last
+                if size:
+                    yield _unmet(table.slice(int(starts[k]), size))
+            crowded = bool(big[-1])
+            done = ~big
+            done[-1] = False
+            if done.any():
+                part = table.filter(pa.array(np.repeat(done, sizes))) if big[:-1].any() else table.slice(0, int(starts[-1]))
+                part = part.combine_chunks()
+                yield _met_in(part, _starts(part, own), min_iou)
+            held = table.slice(table.num_rows - 1) if crowded else table.slice(int(starts[-1]))
+        if held is not None:
+            yield _unmet(held) if crowded else _met_in(held.combine_chunks(), np.zeros(1, np.int64), min_iou)
+
+    met = cut_lineage(in_order.mapInArrow(run, MET + ", sides array<double>"), "pairs")
+    left = met.filter(F.col("sides").isNotNull()).withColumn("id", F.coalesce("gt_id", "pred_id"))
+    box = F.struct(*[F.get("sides", F.lit(k)).alias(c) for k, c in enumerate(("x1", "y1", "x2", "y2"))]).alias("box")
+    known, others = (left.filter(f"variant IS {no}NULL").select("variant", *own, "id", box) for no in ("", "NOT "))
+    met = met.filter(F.col("sides").isNull()).drop("sides")
+    of_gt, of_pred = Window.partitionBy(*FRAME, "gt_id"), Window.partitionBy(*FRAME, "pred_id")
+    pairs = box_pairs(known, others, min_iou=min_iou).withColumns(
+        {
+            "share": F.col("iou") / (F.sum("iou").over(of_gt) + F.sum("iou").over(of_pred) - F.col("iou")),
+            "alone": (F.count("*").over(of_gt) == 1) & (F.count("*").over(of_pred) == 1),
+            "counts": F.lit(False),
+        }
+    )
+    boxes = scored_predictions(known, others).select(*FRAME, F.col("id").alias("pred_id"), F.lit(True).alias("counts"))
+    crowds = cut_lineage(pairs.unionByName(boxes, allowMissingColumns=True).select(*met.columns), "crowds")
+    return met.unionByName(crowds)
+
+
+
 def _chain_matches(rows: DataFrame) -> DataFrame:
     """Frame by frame along each chain: kept partners first, then the best assignment of the rest."""
 
@@ -215,24 +352,25 @@ def identity_counts(truth: DataFrame, predictions: DataFrame, variants: DataFram
     return out.select(*SEQ, "idtp", (F.col("_o") - F.col("idtp")).alias("idfn"), (F.col("_p") - F.col("idtp")).alias("idfp"))
 
 
-def _chosen_rows(rows: pd.DataFrame) -> np.ndarray:
-    """Indices of the pairs that a frame's best assignment chooses; rows in order of frame and truth id.
+def _chosen_rows(rows: pa.Table, starts: np.ndarray) -> np.ndarray:
+    """Indices of the pairs that the best assignment of each frame (from ``starts``) chooses; rows by frame and truth id.
 
     A truth id takes its best prediction. Only frames where two of them take the same are assigned.
     """
-    same = rows[FRAME].eq(rows[FRAME].shift()).all(axis=1).to_numpy()
-    frame = np.cumsum(~same) - 1
-    gt, pred, s = (rows[c].to_numpy() for c in ("gt_id", "pred_id", "s"))
-    starts = np.flatnonzero(~same | (np.diff(gt, prepend=gt[0] - 1) != 0))
-    owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(gt))))
-    top = np.where(s == np.maximum.reduceat(s, starts)[owner], np.arange(len(s)), len(s))
-    best = np.minimum.reduceat(top, starts)
+    fresh = np.zeros(rows.num_rows, bool)
+    fresh[starts] = True
+    frame = np.cumsum(fresh) - 1
+    gt, pred, s = (rows.column(c).to_numpy() for c in ("gt_id", "pred_id", "s"))
+    heads = np.flatnonzero(fresh | (np.diff(gt, prepend=gt[0] - 1) != 0))
+    owner = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(gt))))
+    top = np.where(s == np.maximum.reduceat(s, heads)[owner], np.arange(len(s)), len(s))
+    best = np.minimum.reduceat(top, heads)
     order = np.lexsort((pred[best], frame[best]))
     f, q = frame[best][order], pred[best][order]
     twice = np.zeros(frame[-1] + 1, bool)
     twice[f[1:][(f[1:] == f[:-1]) & (q[1:] == q[:-1])]] = True
     out = [best[~twice[frame[best]]]]
-    edges = np.searchsorted(frame, np.arange(frame[-1] + 2))
+    edges = np.append(starts, rows.num_rows)
     for k in np.flatnonzero(twice).tolist():
         a, e = edges[k], edges[k + 1]
         pairs = list(zip(gt[a:e].tolist(), pred[a:e].tolist(), s[a:e].tolist()))
@@ -240,49 +378,54 @@ def _chosen_rows(rows: pd.DataFrame) -> np.ndarray:
     return np.sort(np.concatenate(out))
 
 
-def _choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For ``mapInPandas`` over rows in order of frame; a frame may go on in the next batch."""
-    columns = [*SEQ, "gt_id", "pred_id", "iou"]
-    held: pd.DataFrame | None = None
+def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For ``mapInArrow`` over rows in order of frame; a frame may go on in the next batch."""
+    held: list[pa.RecordBatch] = []
+
+    def chosen(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        out = rows.select([*SEQ, "gt_id", "pred_id", "iou"]).take(pa.array(_chosen_rows(rows, starts))).combine_chunks()
+        return pa.RecordBatch.from_arrays([c.combine_chunks() for c in out.columns], names=out.column_names)
+
     for batch in batches:
-        rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-        last = (rows[FRAME] == rows[FRAME].iloc[-1]).all(axis=1).to_numpy()
-        cut = len(rows) - int(np.argmin(last[::-1])) if not last.all() else 0
-        held = rows.iloc[cut:].reset_index(drop=True)
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([*held, batch]).combine_chunks()
+        starts = _starts(rows, FRAME)
+        cut = int(starts[-1])
+        held = rows.slice(cut).to_batches()
         if cut:
-            done = rows.iloc[:cut]
-            yield done.iloc[_chosen_rows(done)][columns]
-    if held is not None and len(held):
-        yield held.iloc[_chosen_rows(held)][columns]
+            yield chosen(rows.slice(0, cut), starts[:-1])
+    if held:
+        yield chosen(pa.Table.from_batches(held).combine_chunks(), np.zeros(1, np.int64))
 
 
 def hota_terms(truth: DataFrame, predictions: DataFrame, variants: DataFrame) -> DataFrame:
     """Per (variant, video, alpha): TP, FN, FP and the association and localisation terms."""
-    grid, pred = _truth_grid(truth, variants), scored_predictions(truth, predictions)
-    g_count = grid.groupBy(*SEQ, F.col("id").alias("gt_id")).agg(F.count(F.lit(1)).alias("gc"))
-    p_count = pred.groupBy(*SEQ, F.col("id").alias("pred_id")).agg(F.count(F.lit(1)).alias("pc"))
-    # Used twice below, and the join is the expensive part.
-    pairs = cut_lineage(box_pairs(truth, predictions), "pairs")
-    of_gt, of_pred = Window.partitionBy(*FRAME, "gt_id"), Window.partitionBy(*FRAME, "pred_id")
-    share = F.col("iou") / (F.sum("iou").over(of_gt) + F.sum("iou").over(of_pred) - F.col("iou"))
-    potential = pairs.withColumn("_s", share).groupBy(*SEQ, "gt_id", "pred_id").agg(F.sum("_s").alias("_pot"))
+    # Counted before the variants are spelled out.
+    g_count = truth.groupBy("video_id", F.col("id").alias("gt_id")).agg(F.count(F.lit(1)).alias("gc"))
+    g_count = cut_lineage(_truth_grid(g_count, variants).select(*SEQ, "gt_id", "gc"), "truth-counts")
+    pairs = frame_pairs(truth, predictions)
+    # How many alphas a match satisfies; counted before the alphas are spelled out.
+    alphas = F.array(*[F.lit(a) for a in ALPHAS])
+    level = F.size(F.filter(alphas, lambda a: F.col("iou") >= a - EPS))
+    # A pair whose boxes have no other is matched whatever its score.
+    ids = [*SEQ, "gt_id", "pred_id"]
+    counts = [F.count("iou").alias("n"), F.sum("iou").alias("loc")]
+    met = pairs.groupBy(*ids, F.when(F.col("alone"), level).alias("level"))
+    met = cut_lineage(met.agg(*counts, F.sum("share").alias("_pot"), F.count_if("counts").alias("pc")), "meets")
+    p_count = met.groupBy(*SEQ, "pred_id").agg(F.sum("pc").alias("pc"))
+    potential = met.groupBy(*ids).agg(F.sum("_pot").alias("_pot"))
     aligned = (
         potential.join(g_count, [*SEQ, "gt_id"])
         .join(p_count, [*SEQ, "pred_id"])
         .withColumn("_score", F.col("_pot") / (F.col("gc") + F.col("pc") - F.col("_pot")))
     )
-    scored = pairs.join(aligned.select(*SEQ, "gt_id", "pred_id", "_score"), [*SEQ, "gt_id", "pred_id"])
+    scored = pairs.filter(~F.col("alone")).join(aligned.select(*ids, "_score"), ids)
     scored = scored.select(*FRAME, "gt_id", "pred_id", "iou", (F.col("_score") * F.col("iou")).alias("s"))
-    in_order = scored.repartition(*FRAME).sortWithinPartitions(*FRAME, "gt_id", "pred_id")
-    matched = in_order.mapInPandas(_choose, "variant string, video_id string, gt_id long, pred_id long, iou double")
-    # How many alphas a match satisfies; counted before the alphas are spelled out.
-    alphas = F.array(*[F.lit(a) for a in ALPHAS])
-    level = F.size(F.filter(alphas, lambda a: F.col("iou") >= a - EPS))
-    counted = (
-        matched.withColumn("level", level)
-        .groupBy(*SEQ, "gt_id", "pred_id", "level")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("iou").alias("loc"))
-    )
+    in_order = scored.repartition(*FRAME).sortWithinPartitions("frame_idx", "video_id", "variant", "gt_id", "pred_id")
+    matched = in_order.mapInArrow(_choose, "variant string, video_id string, gt_id long, pred_id long, iou double")
+    counted = matched.groupBy(*ids, level.alias("level")).agg(*counts)
+    counted = counted.unionByName(met.filter(F.col("level").isNotNull()).select(*counted.columns))
     at = F.sequence(F.lit(1), F.lit(len(ALPHAS)))
     spread = counted.withColumn("a", F.explode(F.filter(at, lambda a: a <= F.col("level"))))
     per_pair = (

@@ -12,15 +12,19 @@ from trackspark.plans.scan_queries import rounded
 from trackspark.session import cut_lineage
 
 
-def truth(spark, sf):
-    d = views.detections(spark, sf)
-    out = d.select("video_id", "frame_idx", F.col("track_id").cast("long").alias("id"), bx.box().alias("box"))
-    return cut_lineage(out, "truth")  # truth and predictions are stored tables
+def recorded(spark, sf):
+    """Truth and predictions, read from one stored table of the detections."""
+    d = views.detections(spark, sf).select("video_id", "frame_idx", "track_id", "x1", "y1", "x2", "y2", "confidence")
+    d = cut_lineage(d, "detections")
+    return truth(d), predictions(d)
 
 
-def predictions(spark, sf):
+def truth(d):
+    return d.select("video_id", "frame_idx", F.col("track_id").cast("long").alias("id"), bx.box().alias("box"))
+
+
+def predictions(d):
     """Two variants of every detection: 'rotated' renames ids every 40 frames, 'shifted' moves boxes."""
-    d = views.detections(spark, sf)
     n = F.col("track_id").cast("long")
     turn = F.floor(F.col("frame_idx") / 40)
     dx = (F.col("confidence") - 0.9) * 400
@@ -34,7 +38,7 @@ def predictions(spark, sf):
         (n + 10).alias("id"),
         bx.box(F.col("x1") + dx, "y1", F.col("x2") + dx, "y2").alias("box"),
     )
-    return cut_lineage(rotated.unionByName(shifted), "predictions")
+    return rotated.unionByName(shifted)
 
 
 PRED = [
@@ -53,7 +57,7 @@ PRED = [
 
 
 def q_box_pairs(spark, sf):
-    out = moteval.box_pairs(truth(spark, sf), predictions(spark, sf), min_iou=0.3)
+    out = moteval.box_pairs(*recorded(spark, sf), min_iou=0.3)
     return out.groupBy("variant", "video_id", "gt_id", "pred_id").agg(
         F.count("*").alias("n"), F.round(F.sum("iou"), 6).alias("total")
     )
@@ -67,7 +71,7 @@ SQL_BOX_PAIRS = (
 
 
 def _counts(spark, sf):
-    t, p = truth(spark, sf), predictions(spark, sf)
+    t, p = recorded(spark, sf)
     events = cut_lineage(moteval.clear_events(t, p, p), "events")
     return moteval.clear_counts(events), moteval.identity_counts(t, p, p)
 
@@ -82,8 +86,8 @@ def _mot(level):
 
 def _hota(level):
     def run(spark, sf):
-        p = predictions(spark, sf)
-        out = moteval.hota_scores(moteval.hota_terms(truth(spark, sf), p, p), level=level)
+        t, p = recorded(spark, sf)
+        out = moteval.hota_scores(moteval.hota_terms(t, p, p), level=level)
         return rounded(out, *[c for c in out.columns if c not in ("variant", "video_id", "cage")])
 
     return run
@@ -104,15 +108,15 @@ SQL_MOT_ROWS = (
 
 
 def q_variant_spread(spark, sf):
-    p = predictions(spark, sf)
-    per_video = moteval.hota_scores(moteval.hota_terms(truth(spark, sf), p, p))
+    t, p = recorded(spark, sf)
+    per_video = moteval.hota_scores(moteval.hota_terms(t, p, p))
     out = moteval.variant_spread(per_video, reference="shifted", metrics=("HOTA", "LocA"))
     return rounded(out, *[c for c in out.columns if c != "variant"])
 
 
 def q_expected_outputs(spark, sf):
     """A variant without predictions still gets its rows, with zero counts."""
-    p = predictions(spark, sf)
+    _, p = recorded(spark, sf)
     v = p.select("variant").distinct().unionByName(spark.createDataFrame([("absent",)], "variant string"))
     return moteval.expected_outputs(p, v, views.videos(spark, sf))
 
@@ -129,7 +133,7 @@ SQL_EXPECTED = (
 
 
 def q_box_counts_by_variant(spark, sf):
-    pairs = moteval.box_pairs(truth(spark, sf), predictions(spark, sf), min_iou=0.5)
+    pairs = moteval.box_pairs(*recorded(spark, sf), min_iou=0.5)
     n = pairs.groupBy("variant", "video_id").agg(F.count("*").alias("n"))
     return moteval.video_by_variant(n, "n", ["rotated", "shifted"])
 
