@@ -306,3 +306,18 @@ def test_frame_pairs_tell_what_windows_tell(spark, wide):
     counted = got.filter("counts").groupBy(*M.FRAME, "pred_id").count().collect()
     expected = M.scored_predictions(t, p).groupBy(*M.FRAME, "id").count().select(*M.FRAME, "id", "count").collect()
     assert sorted(map(tuple, counted)) == sorted(map(tuple, expected))
+
+
+def test_pairs_of_the_scores_are_met_once(spark, monkeypatch):
+    """CLEAR and the identity counts share the pairs; every truth row has one event, every scored prediction too."""
+    from trackspark.plans import eval_queries
+
+    made, fold = [], M.frame_pairs
+    monkeypatch.setattr(M, "frame_pairs", lambda *a, **k: made.append(fold(*a, **k)) or made[-1])
+    counts, ids = eval_queries._counts(spark, "/root/testdata/sf0.001")
+    total = counts.join(ids, M.SEQ).selectExpr(
+        "sum(num_objects) - sum(num_detections + num_misses) AS truths",
+        "sum(num_predictions) - sum(num_detections + num_false_positives) AS guesses",
+        "sum(num_predictions) - sum(idtp + idfp) AS ids",
+    )
+    assert tuple(total.first()) == (0, 0, 0) and len(made) == 1

@@ -242,17 +242,16 @@ def _chain_matches(rows: DataFrame) -> DataFrame:
     return ordered_fold(rows, [*SEQ, "chain_id", "chain_start"], ["frame_idx"], step, schema)
 
 
-def clear_matches(truth: DataFrame, predictions: DataFrame, *, min_iou: float = 0.5, block: int = BLOCK) -> DataFrame:
-    """``variant, video_id, frame_idx, gt_id, pred_id, iou``: the matched boxes of the scored frames.
+def clear_matches(met: DataFrame, *, block: int = BLOCK) -> DataFrame:
+    """``variant, video_id, frame_idx, gt_id, pred_id, iou``: the matched boxes among the :func:`frame_pairs` ``met``.
 
     A truth box with one valid partner that has no other is matched whatever came before, and its
     partner is then known. Only the stretches between such frames, where a choice depends on the
     partner remembered, are ordered: a stretch of one id belongs to the same chain as those it shares a
     prediction with, and each chain is folded on its own.
     """
-    at_gt, at_pred = Window.partitionBy(*FRAME, "gt_id"), Window.partitionBy(*FRAME, "pred_id")
-    alone = (F.count("*").over(at_gt) == 1) & (F.count("*").over(at_pred) == 1)
-    pairs = cut_lineage(box_pairs(truth, predictions, min_iou=min_iou).withColumn("plain", alone), "pairs")
+    at_pred = Window.partitionBy(*FRAME, "pred_id")
+    pairs = met.filter(F.col("iou").isNotNull()).select(*FRAME, "gt_id", "pred_id", "iou", F.col("alone").alias("plain"))
     ids = [*SEQ, "gt_id"]
     seen = pairs.groupBy(*FRAME, "gt_id").agg(F.bool_and("plain").alias("plain"), F.max(F.when(F.col("plain"), F.col("pred_id"))).alias("known"))
     before = Neighbours(seen, ids, "frame_idx", back=1, block=block)
@@ -274,19 +273,27 @@ def clear_matches(truth: DataFrame, predictions: DataFrame, *, min_iou: float =
 
 
 def clear_events(
-    truth: DataFrame, predictions: DataFrame, variants: DataFrame, *, min_iou: float = 0.5, block: int = BLOCK
+    truth: DataFrame,
+    predictions: DataFrame,
+    variants: DataFrame,
+    *,
+    min_iou: float = 0.5,
+    block: int = BLOCK,
+    met: DataFrame | None = None,
 ) -> DataFrame:
     """MATCH / SWITCH / MISS / FP per scored frame.
 
-    A match is a switch if the truth id's last match was another prediction.
+    A match is a switch if the truth id's last match was another prediction. ``met``: the :func:`frame_pairs`, if
+    they are known.
     """
-    found = clear_matches(truth, predictions, min_iou=min_iou, block=block)
+    met = frame_pairs(truth, predictions, min_iou=min_iou) if met is None else met
+    found = clear_matches(met, block=block)
     last = Neighbours(found, [*SEQ, "gt_id"], "frame_idx", back=1, block=block)
     found = cut_lineage(last.with_columns({"_last": last.lag("pred_id")}), "matches")
     kind = F.when(F.col("pred_id").isNull(), "MISS").when(F.col("_last") != F.col("pred_id"), "SWITCH").otherwise("MATCH")
     objects = _truth_grid(truth, variants).select(*FRAME, F.col("id").alias("gt_id")).join(found, [*FRAME, "gt_id"], "left")
     columns = [*FRAME, "type", "gt_id", "pred_id", "iou"]
-    others = scored_predictions(truth, predictions).select(*FRAME, F.col("id").alias("pred_id")).join(found, [*FRAME, "pred_id"], "left_anti")
+    others = met.filter("counts").select(*FRAME, "pred_id").join(found, [*FRAME, "pred_id"], "left_anti")
     others = others.select(*FRAME, F.lit("FP").alias("type"), F.lit(None).cast("long").alias("gt_id"), "pred_id", F.lit(None).cast("double").alias("iou"))
     return objects.withColumn("type", kind).select(*columns).unionByName(others)
 
@@ -296,7 +303,6 @@ def clear_counts(events: DataFrame) -> DataFrame:
     hit = F.col("type").isin("MATCH", "SWITCH")
     base = events.groupBy(*SEQ).agg(
         F.count_distinct(F.when(F.col("gt_id").isNotNull(), F.col("frame_idx"))).alias("num_frames"),
-        F.count_distinct("gt_id").alias("num_unique_objects"),
         F.count("gt_id").alias("num_objects"),
         F.count("pred_id").alias("num_predictions"),
         F.count_if(hit).alias("num_detections"),
@@ -316,21 +322,25 @@ def clear_counts(events: DataFrame) -> DataFrame:
         .agg(F.avg(F.col("hit").cast("double")).alias("ratio"), F.count_if("frag").alias("frag"))
     )
     objects = per_object.groupBy(*SEQ).agg(
+        F.count(F.lit(1)).alias("num_unique_objects"),
         F.count_if(F.col("ratio") >= 0.8).alias("mostly_tracked"),
         F.count_if((F.col("ratio") >= 0.2) & (F.col("ratio") < 0.8)).alias("partially_tracked"),
         F.count_if(F.col("ratio") < 0.2).alias("mostly_lost"),
         F.sum("frag").alias("num_fragmentations"),
     )
-    return base.join(objects, SEQ, "left")
+    return base.join(objects, SEQ, "left").withColumn("num_unique_objects", F.coalesce("num_unique_objects", F.lit(0)).cast("long"))
 
 
-def identity_counts(truth: DataFrame, predictions: DataFrame, variants: DataFrame, *, min_iou: float = 0.5) -> DataFrame:
+def identity_counts(
+    truth: DataFrame, predictions: DataFrame, variants: DataFrame, *, min_iou: float = 0.5, met: DataFrame | None = None
+) -> DataFrame:
     """idtp / idfn / idfp per (variant, video): one assignment of ids over all frames.
 
     Ids that ever meet are edges of a graph; its components are assigned one by one over their edges
-    alone, so no table of all ids of a video is ever built.
+    alone, so no table of all ids of a video is ever built. ``met``: the :func:`frame_pairs`, if they are known.
     """
-    meets = box_pairs(truth, predictions, min_iou=min_iou).groupBy(*SEQ, "gt_id", "pred_id").agg(F.count(F.lit(1)).alias("n"))
+    met = frame_pairs(truth, predictions, min_iou=min_iou) if met is None else met
+    meets = met.filter(F.col("iou").isNotNull()).groupBy(*SEQ, "gt_id", "pred_id").agg(F.count(F.lit(1)).alias("n"))
     meets = meets.withColumn("a", F.struct(F.lit(0).alias("side"), F.col("gt_id").alias("id")))
     meets = cut_lineage(meets.withColumn("b", F.struct(F.lit(1).alias("side"), F.col("pred_id").alias("id"))), "meets")
     parts = components(meets, SEQ).select(*SEQ, F.col("node").alias("b"), F.col("component"))
@@ -344,8 +354,9 @@ def identity_counts(truth: DataFrame, predictions: DataFrame, variants: DataFram
 
     found = meets.drop("a", "b").groupBy(*SEQ, "component").applyInPandas(solve, "variant string, video_id string, n long")
     found = found.groupBy(*SEQ).agg(F.sum("n").alias("idtp"))
-    objects = _truth_grid(truth, variants).groupBy(*SEQ).agg(F.count("id").alias("_o"))
-    preds = scored_predictions(truth, predictions).groupBy(*SEQ).agg(F.count("id").alias("_p"))
+    # Counted before the variants are spelled out.
+    objects = _truth_grid(truth.groupBy("video_id").agg(F.count("id").alias("_o")), variants)
+    preds = met.filter("counts").groupBy(*SEQ).agg(F.count("pred_id").alias("_p"))
     out = objects.join(preds, SEQ, "left").join(found, SEQ, "left")
     zero = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("_p", "idtp")}
     out = out.withColumns(zero)

@@ -72,8 +72,9 @@ SQL_BOX_PAIRS = (
 
 def _counts(spark, sf):
     t, p = recorded(spark, sf)
-    events = cut_lineage(moteval.clear_events(t, p, p), "events")
-    return moteval.clear_counts(events), moteval.identity_counts(t, p, p)
+    met = moteval.frame_pairs(t, p, min_iou=0.5)
+    events = cut_lineage(moteval.clear_events(t, p, p, met=met), "events")
+    return moteval.clear_counts(events), moteval.identity_counts(t, p, p, met=met)
 
 
 def _mot(level):
