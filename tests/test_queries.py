@@ -91,3 +91,14 @@ def test_whole_dataset_and_features(spark):
     assert found["issues"].count() > 0 and found["template"].count() > 0
     res = pipelines.scan(views.detections(spark, SF), views.videos(spark, SF))
     assert res["chunks"].count() == 30 and res["frames"].count() > 0
+
+
+def test_frames_read_stored_detections(spark):
+    """Frame metrics read their detections several times: none of the reads computes them again."""
+    from trackspark.plans import scan_queries as S
+
+    plain, full = S.frame_metrics(spark, SF, changes=False), S.frame_metrics(spark, SF)
+    assert not [f for f in full.inputFiles() + plain.inputFiles() if "lineitem" in f]
+    keys = ["video_id", "frame_idx", "num_objects", "separation_score"]
+    assert sorted(map(tuple, plain.select(keys).collect())) == sorted(map(tuple, full.select(keys).collect()))
+    assert "is_object_count_change" not in plain.columns

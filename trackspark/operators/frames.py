@@ -124,13 +124,15 @@ def detection_frames(
     min_separation: float = 0.15,
     normalised: bool = True,
     frame_spine: DataFrame | None = None,
+    changes: bool = True,
     block: int = BLOCK,
 ) -> DataFrame:
     """Detector metrics, one row per (video, frame) with a detection.
 
     ``detections``: video_id, frame_idx, track_id, x1..y2, confidence and, for ``normalised``
     distances, cx_norm / cy_norm. With ``frame_spine`` (video_id, frame_idx) empty frames get
-    a row as well.
+    a row as well. Without ``changes`` no frame is compared with the one before it. ``detections`` are read several
+    times, so they should be a stored table.
     """
     b = bx.box()
     use_norm = normalised and "cx_norm" in detections.columns
@@ -178,7 +180,7 @@ def detection_frames(
             ),
         }
     )
-    return count_change(out, block=block)
+    return count_change(out, block=block) if changes else out
 
 
 def _fill_spine(frames: DataFrame, spine: DataFrame | None) -> DataFrame:

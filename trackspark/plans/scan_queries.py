@@ -49,10 +49,9 @@ def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: one(c) for c in cols})
 
 
-def frame_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return frames.detection_frames(
-        views.detections(spark, sf), iou_threshold=IOU, min_separation=SEP, block=views.BLOCK
-    )
+def frame_metrics(spark: SparkSession, sf: str, *, changes: bool = True) -> DataFrame:
+    stored = cut_lineage(views.detections(spark, sf), "detections")
+    return frames.detection_frames(stored, iou_threshold=IOU, min_separation=SEP, changes=changes, block=views.BLOCK)
 
 
 def q_frame_metrics(spark, sf):
@@ -219,7 +218,7 @@ SQL_LOW_SCORE = (
 
 
 def q_occlusion_switches(spark, sf):
-    return events.occlusion_aware_switches(frame_metrics(spark, sf), block=views.BLOCK)
+    return events.occlusion_aware_switches(frame_metrics(spark, sf, changes=False), block=views.BLOCK)
 
 
 SQL_OCC_SWITCH = (
