@@ -257,7 +257,7 @@ SQL_ADAPTIVE = (
 
 def q_keyframes(spark, sf):
     """Boundaries + longest low-separation stretches + uniform backbone, by priority."""
-    metrics = cut_lineage(S.frame_metrics(spark, sf), "frames")
+    metrics = cut_lineage(S.frame_metrics(spark, sf, changes=False), "frames")
     v = views.videos(spark, sf)
     cuts = chunks.fixed_chunks(v, chunk_seconds=3.9)
     wins = events.separation_windows(metrics, min_frames=3, block=views.BLOCK)
