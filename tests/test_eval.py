@@ -321,3 +321,31 @@ def test_pairs_of_the_scores_are_met_once(spark, monkeypatch):
         "sum(num_predictions) - sum(idtp + idfp) AS ids",
     )
     assert tuple(total.first()) == (0, 0, 0) and len(made) == 1
+
+
+def test_distances_of_a_frame_are_added_by_object(spark):
+    """Were added in one run over all pairs, which lost more bits than the SQL twin does."""
+    from trackspark.operators import frames
+
+    rng = np.random.default_rng(11)
+    at = rng.random((40, 6, 2))
+    rows = [("v", f, k, 0.0, 0.0, 1.0, 1.0, float(x), float(y), 1.0) for f in range(40) for k, (x, y) in enumerate(at[f])]
+    schema = "video_id string, frame_idx int, track_id int, x1 double, y1 double, x2 double, y2 double, cx_norm double, cy_norm double, confidence double"
+    got = {r["frame_idx"]: r["mean_centroid_distance"] for r in frames.detection_frames(spark.createDataFrame(rows, schema), changes=False).collect()}
+    plain = 0
+    for f in range(40):
+        d = [[float(np.sqrt((at[f, a, 0] - at[f, b, 0]) ** 2 + (at[f, a, 1] - at[f, b, 1]) ** 2)) for b in range(a + 1, 6)] for a in range(5)]
+        total = 0.0
+        for row in reversed(d):
+            total += _in_one_run([row])
+        assert got[f] == total / 15
+        plain += got[f] != _in_one_run(d) / 15
+    assert plain > 0
+
+
+def _in_one_run(rows):
+    total = 0.0
+    for row in rows:
+        for x in row:
+            total += x
+    return total
