@@ -264,3 +264,42 @@ def test_a_batch_is_coded_at_once():
     rle.thirds(codes, np.full(len(codes), 480))
     rle.pixels_at(codes, np.full(len(codes), 480), 3)
     assert time.process_time() - start < 5
+
+
+def test_ranges_and_rectangles_of_a_batch_like_single_masks():
+    rng = np.random.default_rng(8)
+    runs = [rng.integers(0, [2, 50, 5000][k % 3], rng.integers(0, 30)).tolist() for k in range(300)]
+    codes = pa.array([None if k % 11 == 0 else rle.encode_runs(r) for k, r in enumerate(runs)], pa.string())
+    want = rle.intervals(*rle.decode_batch(codes))
+    assert all(a.tolist() == b.tolist() for a, b in zip(rle.ranges(codes), want))
+    x, y, w, h = (rng.integers(lo, hi, 400) for lo, hi in ((0, 600), (0, 430), (1, 40), (1, 50)))
+    boxes = [[a * 480 + b, *[d, 480 - d] * (c - 1), d, 640 * 480 - (a + c - 1) * 480 - b - d] for a, b, c, d in zip(*(v.tolist() for v in (x, y, w, h)))]
+    assert rle.encode_rectangles(x, y, w, h, 480, 640).to_pylist() == [rle.encode_runs(b) for b in boxes]
+
+
+@pytest.fixture(scope="module")
+def crowd(spark):
+    """Frames of rectangles, a missing mask, an empty one, and rows without a frame or a video."""
+    rng = np.random.default_rng(12)
+    x, y, w, h = (rng.integers(lo, hi, 90) for lo, hi in ((0, 70), (0, 70), (5, 30), (5, 30)))
+    codes = rle.encode_rectangles(x, y, w, h, H, W).to_pylist()
+    rows = [("v", k // 6, k % 6, c) for k, c in enumerate(codes)] + [("v", 20, 1, None), ("v", 20, 2, rle.encode_runs([H * W])), ("v", 20, 3, codes[0])]
+    rows += [("v", None, 1, codes[1]), ("v", None, 2, codes[1]), (None, 3, 4, codes[2])]
+    df = spark.createDataFrame(rows, "video_id string, frame_idx int, tracking_id int, counts string").withColumn("size", F.array(F.lit(H), F.lit(W)))
+    return df, (x, y, w, h)
+
+
+def test_masks_of_a_frame_are_decoded_once(crowd):
+    """Geometry and overlaps decoded every mask anew, and pairs went back to Spark as arrays."""
+    plan = masks.mask_frames(crowd[0])._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "mask_pairs" not in plan and "mask_geometry" not in plan
+
+
+def test_mask_frames_with_missing_parts(crowd):
+    got = {(r["video_id"], r["frame_idx"]): r for r in masks.mask_frames(crowd[0]).collect()}
+    assert len(got) == 15 + 3
+    odd = got["v", 20]
+    assert odd["num_objects"] == 3 and odd["objects_present"] == [1, 2, 3] and odd["mean_centroid_distance"] == float("inf")
+    assert (odd["min_mask_area"], odd["num_overlapping_pairs"], odd["mean_pairwise_mask_iou"]) == (0, 0, 0)
+    assert got["v", None]["num_objects"] == 2 and got["v", None]["min_centroid_distance"] is None and got["v", None]["mask_area_variance"] == 0
+    assert got[None, 3]["objects_present"] == [4] and got[None, 3]["is_high_occlusion"] is None

@@ -1,7 +1,7 @@
 """Run-length masks: Arrow UDFs over the compressed string form.
 
 A mask is a column-major sequence of run lengths (background first), written as printable
-characters of five bits each. All functions work mask by mask inside Arrow batches: geometry
+characters of five bits each. All functions work on whole Arrow batches: geometry
 needs no shuffle and no pixel ever becomes a row.
 """
 
@@ -77,29 +77,69 @@ def _starts(owner: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.diff(owner, prepend=-1))
 
 
-def decode_batch(counts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """``(runs, mask of each run)`` of a column of compressed masks; nulls and empty strings have none."""
+def _stored(counts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``(numbers, how many of them each mask has)`` of a column of compressed masks, as they are written."""
     counts = counts.cast(pa.large_binary())
     ends = np.frombuffer(counts.buffers()[1], np.int64)[counts.offset : counts.offset + len(counts) + 1]
-    raw = np.frombuffer(counts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
-    c = raw.astype(np.int64) - 48
+    c = np.frombuffer(counts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]] - np.uint8(48)
     last = np.flatnonzero((c & 32) == 0)
-    if not len(last):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    first = np.concatenate(([0], last[:-1] + 1))
-    c = c[: last[-1] + 1]
-    place = np.arange(len(c)) - np.repeat(first, last - first + 1)
-    x = np.add.reduceat((c & 31) << (5 * place), first)
-    x -= np.where(c[last] & 16, np.int64(1) << (5 * (last - first + 1)), 0)
-    owner = np.searchsorted(ends - ends[0], last, "right") - 1
-    begins = _starts(owner)
-    k = np.arange(len(x)) - np.repeat(begins, np.diff(np.append(begins, len(x))))
-    # Stored from the fourth run on: the difference to two runs before.
-    for rows in (np.flatnonzero(k % 2 == 1), np.flatnonzero((k % 2 == 0) & (k > 0))):
-        x[rows] = _within(x[rows], _starts(owner[rows]))
+    sizes = np.diff(np.searchsorted(last, ends - ends[0]))
+    top = c[last].astype(np.int64)
+    x = (top & 15) - (top & 16)
+    # Most numbers have one character; the others take in one more each round.
+    length = np.diff(last, prepend=-1)
+    at, step = np.flatnonzero(length > 1), 1
+    while len(at):
+        x[at] = x[at] << 5 | (c[last[at] - step] & 31)
+        step += 1
+        at = at[length[at] > step]
+    return x, sizes
+
+
+def _paired(x: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All runs but a mask's first one: rows of a run inside and the one outside behind it (0 where none is), the
+    mask's first row and its number of rows. Each is stored as the difference to two runs before."""
+    some = sizes > 0
+    body = np.ones(len(x), bool)
+    body[(np.cumsum(sizes) - sizes)[some]] = False
+    n = np.maximum(sizes - 1, 0)
+    rows = (n + 1) // 2
+    first = np.cumsum(rows) - rows
+    cells = np.zeros(2 * int(rows.sum()), np.int64)
+    cells[np.arange(int(n.sum())) + np.repeat(2 * first - (np.cumsum(n) - n), n)] = x[body]
+    out = cells.reshape(-1, 2).cumsum(0)
+    has = rows > 0
+    before = out[first[has]] - cells.reshape(-1, 2)[first[has]]
+    out -= np.repeat(before, rows[has], 0)
+    out.ravel()[(2 * first + n)[n % 2 == 1]] = 0
+    return out, first, rows
+
+
+def decode_batch(counts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``(runs, mask of each run)`` of a column of compressed masks; nulls and empty strings have none."""
+    x, sizes = _stored(counts)
+    paired, first, _ = _paired(x, sizes)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    k = np.arange(len(x)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    late = np.flatnonzero(k > 0)
+    x[late] = paired.ravel()[2 * first[owner[late]] + k[late] - 1]
     return x, owner
 
 
+def ranges(counts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Foreground of a column of compressed masks as pixel ranges ``mask, start, end`` in order."""
+    x, sizes = _stored(counts)
+    paired, first, rows = _paired(x, sizes)
+    has = rows > 0
+    both = paired[:, 0] + paired[:, 1]
+    ends = np.cumsum(both)
+    lead = x[(np.cumsum(sizes) - sizes)[has]] - (ends - both)[first[has]]
+    starts = ends - both + np.repeat(lead, rows[has])
+    on = np.flatnonzero(paired[:, 0] > 0)
+    owner = np.repeat(np.arange(len(sizes)), rows)
+    return owner[on], starts[on], starts[on] + paired[on, 0]
+
+
 def encode_batch(runs: pa.Array) -> pa.Array:
     """A column of run lengths as compressed masks; nulls stay."""
     known = runs.is_valid().to_numpy(zero_copy_only=False)
@@ -126,6 +166,19 @@ def encode_batch(runs: pa.Array) -> pa.Array:
     return pa.Array.from_buffers(pa.large_string(), len(runs), [bitmap, pa.py_buffer(offsets), pa.py_buffer(text)]).cast(pa.string())
 
 
+def encode_rectangles(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, height: int, width: int) -> pa.Array:
+    """Compressed masks of rectangles of pixels: column after column only differences of 0 are written."""
+    wide = w > 1
+    start, tail = x * height + y, width * height - (x + w - 1) * height - y - h
+    # start, h, then height - h and the columns between, then the rest; a single column has start, h and the rest.
+    head = np.stack([start, h, np.where(wide, height - h, tail)], 1)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, 3 * len(x) + 1, 3, dtype=np.int32)), pa.array(head.ravel()))
+    ends = pa.array(np.append(0, np.cumsum(wide)).astype(np.int32))
+    last = pa.ListArray.from_arrays(ends, pa.array((tail - (height - h))[wide]))
+    zeros = pc.binary_repeat(pa.scalar("0"), pa.array(np.where(wide, 2 * w - 3, 0)))
+    return pc.binary_join_element_wise(encode_batch(lists), zeros, encode_batch(last), "")
+
+
 def intervals(runs: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Foreground of a batch as pixel ranges ``mask, start, end`` in order."""
     begins = _starts(owner)
@@ -140,6 +193,8 @@ def columns_of(owner: np.ndarray, starts: np.ndarray, ends: np.ndarray, height:
     h = height[owner]
     x0, x1 = starts // h, (ends - 1) // h
     k = x1 - x0 + 1
+    if len(k) and k.max() == 1:  # no range goes on in a second column
+        return owner, x0, starts - x0 * h, ends - x0 * h
     mask, h = np.repeat(owner, k), np.repeat(h, k)
     x = np.repeat(x0, k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
     return mask, x, np.maximum(np.repeat(starts, k) - x * h, 0), np.minimum(np.repeat(ends, k) - x * h, h)
@@ -180,7 +235,7 @@ def _extents(x: np.ndarray, y0: np.ndarray, y1: np.ndarray, first: np.ndarray) -
 
 def shapes(counts: pa.Array, height: np.ndarray) -> dict[str, np.ndarray]:
     """The measures of ``GEOMETRY`` and the box of each mask with pixels, by ``mask`` (its row)."""
-    owner, x, y0, y1 = columns_of(*intervals(*decode_batch(counts)), height)
+    owner, x, y0, y1 = columns_of(*ranges(counts), height)
     if not len(owner):
         return {"mask": owner}
     first = _starts(owner)
@@ -210,8 +265,28 @@ def shapes(counts: pa.Array, height: np.ndarray) -> dict[str, np.ndarray]:
         }
 
 
-def overlaps(owner: np.ndarray, starts: np.ndarray, ends: np.ndarray, frame: np.ndarray) -> dict[str, np.ndarray]:
-    """Common pixels of the masks of a frame: ``a < b`` (masks) and ``n``, for pairs that share any.
+def centres(owner: np.ndarray, starts: np.ndarray, ends: np.ndarray, height: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pixels and centroid of each mask from its pixel ranges; NaN without pixels."""
+    n = len(height)
+    area = np.bincount(owner, ends - starts, minlength=n)
+    cx, cy = np.full(n, np.nan), np.full(n, np.nan)
+    mask, x, y0, y1 = columns_of(owner, starts, ends, height)
+    if len(mask):
+        first = _starts(mask)
+        rows = mask[first]
+        own = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(mask))))
+        base = np.minimum.reduceat(y0, first)
+        size = y1 - y0
+        add = lambda v: np.add.reduceat(v, first)
+        # Twice the sums, which are whole, from the corner of the mask.
+        across, down = add(2 * (x - x[first][own]) * size), add((y0 + y1 - 1 - 2 * base[own]) * size)
+        cx[rows] = across / 2 / area[rows] + x[first]
+        cy[rows] = down / 2 / area[rows] + base
+    return area, cx, cy
+
+
+def _meetings(owner: np.ndarray, starts: np.ndarray, ends: np.ndarray, frame: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every two pixel ranges of a frame that share pixels: the masks ``a < b`` and how many.
 
     One sweep for all masks of all frames: pixel ranges are ordered by their starts, and each meets those
     that start before it ends. ``frame`` is the frame of each mask, ascending.
@@ -225,7 +300,24 @@ def overlaps(owner: np.ndarray, starts: np.ndarray, ends: np.ndarray, frame: np.
     i = np.repeat(np.arange(len(lo)), met)
     j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(met) - met, met)
     n = np.minimum(hi[i], hi[j]) - lo[j]
-    a, b = np.minimum(owner[i], owner[j]), np.maximum(owner[i], owner[j])
+    return np.minimum(owner[i], owner[j]), np.maximum(owner[i], owner[j]), n
+
+
+def shared_pixels(owner: np.ndarray, starts: np.ndarray, ends: np.ndarray, frame: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Common pixels of the given pairs of masks, which stand in order of (``first``, ``second``)."""
+    total = np.zeros(len(first), np.int64)
+    if not len(first):
+        return total
+    a, b, n = _meetings(owner, starts, ends, frame)
+    keys, asked = first * len(frame) + second, a * len(frame) + b
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    hit = keys[at] == asked
+    return np.bincount(at[hit], n[hit], minlength=len(keys)).astype(np.int64)
+
+
+def overlaps(owner: np.ndarray, starts: np.ndarray, ends: np.ndarray, frame: np.ndarray) -> dict[str, np.ndarray]:
+    """Common pixels of the masks of a frame: ``a < b`` (masks) and ``n``, for pairs that share any."""
+    a, b, n = _meetings(owner, starts, ends, frame)
     size = len(frame)
     keys, place = np.unique(a * size + b, return_inverse=True)
     total = np.zeros(len(keys), np.int64)
@@ -266,7 +358,7 @@ def _pick(runs: np.ndarray, height: int, ranks: np.ndarray) -> list[list[int]]:
 
 def pixels_at(counts: pa.Array, height: np.ndarray, num_points: int) -> np.ndarray:
     """Per mask ``num_points`` pixels ``x, y``, evenly spaced in the (x, y) order; zeros without pixels."""
-    owner, starts, ends = intervals(*decode_batch(counts))
+    owner, starts, ends = ranges(counts)
     n = np.zeros(len(counts), np.int64)
     np.add.at(n, owner, ends - starts)
     upto, some = np.cumsum(ends - starts), np.flatnonzero(n)
@@ -285,7 +377,7 @@ def thirds(counts: pa.Array, height: np.ndarray) -> tuple[np.ndarray, np.ndarray
     A column's pixels are in the order of the axis or against it, so those beyond a cut are counted from
     where the cut crosses the column; no pixel is listed.
     """
-    owner, x, y0, y1 = columns_of(*intervals(*decode_batch(counts)), height)
+    owner, x, y0, y1 = columns_of(*ranges(counts), height)
     area = np.bincount(owner, y1 - y0, len(counts))
     big = area[owner] >= 10
     owner, x, y0, y1 = owner[big], x[big], y0[big], y1[big]
@@ -335,6 +427,18 @@ def rle_encode(runs: pa.Array) -> pa.Array:
     return encode_batch(runs)
 
 
+def rectangle_codes(height: int, width: int):
+    """Compressed masks of rectangles ``x, y, w, h`` on a canvas; NULL where one of them is."""
+
+    @F.arrow_udf(T.StringType())
+    def codes(x: pa.Array, y: pa.Array, w: pa.Array, h: pa.Array) -> pa.Array:
+        known = np.logical_and.reduce([c.is_valid().to_numpy(zero_copy_only=False) for c in (x, y, w, h)])
+        sides = [c.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for c in (x, y, w, h)]
+        return pc.if_else(pa.array(known), encode_rectangles(*sides, height, width), pa.scalar(None, pa.string()))
+
+    return codes
+
+
 def _lists(values: np.ndarray | pa.Array, sizes: np.ndarray, known: np.ndarray) -> pa.Array:
     """Lists of the given sizes; NULL where not ``known``, which must have size 0."""
     ends = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
@@ -372,7 +476,7 @@ def _boxes(found: dict, known: np.ndarray) -> pa.Array:
 
 @F.arrow_udf(T.LongType())
 def mask_area(counts: pa.Array) -> pa.Array:
-    owner, starts, ends = intervals(*decode_batch(counts))
+    owner, starts, ends = ranges(counts)
     area = np.zeros(len(counts), np.int64)
     np.add.at(area, owner, ends - starts)
     return pa.array(area, mask=counts.is_null().to_numpy(zero_copy_only=False))
@@ -381,7 +485,7 @@ def mask_area(counts: pa.Array) -> pa.Array:
 @F.arrow_udf(INTS)
 def mask_box(counts: pa.Array, height: pa.Array) -> pa.Array:
     """[x1, y1, x2, y2] with inclusive maxima; zeros for an empty mask."""
-    owner, x, y0, y1 = columns_of(*intervals(*decode_batch(counts)), _heights(height))
+    owner, x, y0, y1 = columns_of(*ranges(counts), _heights(height))
     first = _starts(owner)
     found = {"mask": owner[first], "box": _extents(x, y0, y1, first)} if len(owner) else {}
     return _boxes(found, counts.is_valid().to_numpy(zero_copy_only=False))
@@ -393,7 +497,7 @@ def mask_pairs(ids: pa.Array, counts: pa.Array, parts: pa.Array, whole: pa.Array
     sizes = np.diff(ids.offsets.to_numpy()).astype(np.int64)
     frame = np.repeat(np.arange(len(ids)), sizes)
     masks = counts.flatten()
-    owner, starts, ends = intervals(*decode_batch(masks))
+    owner, starts, ends = ranges(masks)
     area = np.zeros(len(masks), np.int64)
     np.add.at(area, owner, ends - starts)
     common = overlaps(owner, starts, ends, frame)

@@ -16,39 +16,6 @@ from trackspark.operators.blocks import BLOCK, Neighbours
 FRAME = ("video_id", "frame_idx")
 
 
-def _pair_summary(pairs: Column, iou_threshold: float, near: float) -> Column:
-    """Foldable statistics of the pairs of one packed row (array of structs iou, dist)."""
-    zero = F.lit(0.0)
-    start = F.struct(
-        F.lit(0).cast("long").alias("n"),
-        F.lit(0).cast("long").alias("n_dist"),
-        F.lit(bx.INF).alias("min_dist"),
-        zero.alias("sum_dist"),
-        F.lit(0).cast("long").alias("n_near"),
-        zero.alias("max_iou"),
-        zero.alias("sum_iou"),
-        F.lit(0).cast("long").alias("n_over"),
-    )
-
-    def one(flag: Column) -> Column:
-        return F.when(flag, F.lit(1)).otherwise(F.lit(0)).cast("long")
-
-    def step(acc: Column, p: Column) -> Column:
-        known = p["dist"].isNotNull()
-        return F.struct(
-            (acc["n"] + 1).alias("n"),
-            (acc["n_dist"] + one(known)).alias("n_dist"),
-            F.least(acc["min_dist"], p["dist"]).alias("min_dist"),
-            (acc["sum_dist"] + F.coalesce(p["dist"], zero)).alias("sum_dist"),
-            (acc["n_near"] + one(F.coalesce(p["dist"] < near, F.lit(False)))).alias("n_near"),
-            F.greatest(acc["max_iou"], p["iou"]).alias("max_iou"),
-            (acc["sum_iou"] + p["iou"]).alias("sum_iou"),
-            (acc["n_over"] + one(p["iou"] > iou_threshold)).alias("n_over"),
-        )
-
-    return tiles.fold(pairs, start, step)
-
-
 #: The foldable statistics, one column each.
 STATS = "n long, n_dist long, min_dist double, sum_dist double, n_near long, max_iou double, sum_iou double, n_over long"
 
@@ -103,9 +70,9 @@ def _box_pairs_folded(iou_threshold: float, near: float):
     return fold
 
 
-def _merge_parts(packed: DataFrame, keys: Sequence[str], summary: Column) -> DataFrame:
-    """Bring the rows of a split group back together."""
-    rows = packed.select(*keys, summary.alias("_p"))
+def _merge_parts(packed: DataFrame, keys: Sequence[str], summary: Column, more: Sequence[Column] = ()) -> DataFrame:
+    """Bring the rows of a split group back together; ``more`` aggregates are named columns of the result."""
+    rows = packed.withColumn("_p", summary)
     p = F.col("_p")
     rows = rows.groupBy(*keys).agg(
         F.struct(
@@ -117,8 +84,10 @@ def _merge_parts(packed: DataFrame, keys: Sequence[str], summary: Column) -> Dat
             F.max(p["max_iou"]).alias("max_iou"),
             F.sum(p["sum_iou"]).alias("sum_iou"),
             F.sum(p["n_over"]).alias("n_over"),
-        ).alias("_p")
+        ).alias("_p"),
+        *more,
     )
+    extra = [c for c in rows.columns if c not in (*keys, "_p")]
     some, known = p["n"] > 0, p["n_dist"] > 0
     return rows.select(
         *keys,
@@ -130,6 +99,7 @@ def _merge_parts(packed: DataFrame, keys: Sequence[str], summary: Column) -> Dat
         p["max_iou"].alias("max_iou"),
         F.when(some, p["sum_iou"] / p["n"]).otherwise(F.lit(0.0)).alias("mean_iou"),
         p["n_over"].alias("num_overlapping_pairs"),
+        *extra,
     )
 
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from trackspark.functions import boxes as bx
 from trackspark.functions import rle
 from trackspark.operators import tiles
 from trackspark.operators.blocks import BLOCK
-from trackspark.operators.frames import FRAME, _fill_spine, _merge_parts, _pair_summary, count_change
+from trackspark.operators.frames import FRAME, STATS, _fill_spine, _merge_parts, count_change, pair_stats
 
 
 def height() -> Column:
@@ -80,6 +83,59 @@ def mask_overlaps(
     return _packed(masks, entity, []).select(*FRAME, F.inline(kept))
 
 
+#: Measures of the masks of a frame or of a part of it, one column each; ``sq_area`` is whole, so that parts add up exactly.
+OBJECTS = "objects long, ids array<bigint>, n_area long, sum_area long, sq_area long, min_area double, max_area double"
+
+
+def _masks_folded(iou_threshold: float, near: float):
+    """For :func:`tiles.fold_pairs`: the masks of many frames are decoded once for their sizes, centres and pairs."""
+
+    def fold(c: dict, group: np.ndarray, i: np.ndarray, j: np.ndarray, n: int) -> dict:
+        counts, of = c["counts"], c["_group"]
+        runs = rle.ranges(counts)
+        area, cx, cy = rle.centres(*runs, np.nan_to_num(c["height"], nan=1).astype(np.int64))
+        known = counts.is_valid().to_numpy(zero_copy_only=False)
+        both = known[i] & known[j]
+        i, j, group = i[both], j[both], group[both]
+        shared = rle.shared_pixels(*runs, of, i, j)
+        union = area[i] + area[j] - shared
+        iou = np.divide(shared, union, out=np.zeros(len(i)), where=union > 0)
+        dx, dy = cx[i] - cx[j], cy[i] - cy[j]
+        pairs = pair_stats(iou, np.sqrt(dx * dx + dy * dy), group, i, n, iou_threshold=iou_threshold, near=near)
+        # A frame's ids stand in order.
+        named = np.flatnonzero(c["_own"] & c["id"].is_valid().to_numpy(zero_copy_only=False))
+        ids = c["id"].take(pa.array(named))
+        new = np.append(True, (np.diff(of[named]) != 0) | (np.diff(ids.to_numpy()) != 0))[: len(named)]
+        ends = np.append(0, np.cumsum(np.bincount(of[named[new]], minlength=n)))
+        own = c["_own"] & known
+        at, size = of[own], area[own].astype(np.int64)
+        low, high = np.full(n, np.inf), np.full(n, -np.inf)
+        np.minimum.at(low, at, size)
+        np.maximum.at(high, at, size)
+        total, squares = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        np.add.at(total, at, size)
+        np.add.at(squares, at, size * size)
+        none = np.isinf(low)
+        return pairs | {
+            "objects": np.bincount(of[c["_own"]], minlength=n),
+            "ids": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), ids.filter(pa.array(new))),
+            "n_area": np.bincount(at, minlength=n),
+            "sum_area": total,
+            "sq_area": squares,
+            "min_area": np.where(none, np.nan, low),
+            "max_area": np.where(none, np.nan, high),
+        }
+
+    return fold
+
+
+def _area_spread() -> Column:
+    """Population variance from whole sums, which are multiplied without rounding."""
+    whole = lambda c: F.col(c).cast("decimal(19,0)")
+    squares = whole("_n") * whole("_sq") - whole("_sum") * whole("_sum")
+    return squares.cast("double") / (F.col("_n").cast("double") * F.col("_n"))
+
+
 def mask_frames(
     masks: DataFrame,
     *,
@@ -91,29 +147,33 @@ def mask_frames(
 ) -> DataFrame:
     """Crowding metrics per frame from masks, in pixels. Empty masks have no centroid and
     take no part in distances."""
-    shaped = masks.withColumn("g", rle.mask_geometry("counts", height())).withColumns(
-        {"cx": F.col("g.centroid_x"), "cy": F.col("g.centroid_y"), "area": F.col("g.mask_area")}
-    )
-    packed = _packed(shaped, entity, ["cx", "cy", "area"])
-
-    def scored(p: Column) -> Column:
-        a, b = _at(p["ia"]), _at(p["ib"])
-        return F.struct(
-            _iou(p).alias("iou"), bx.distance(a["cx"], a["cy"], b["cx"], b["cy"]).alias("dist")
-        )
-
-    packed = packed.withColumn("_scored", F.transform("_pairs", scored))
-    summary = _pair_summary(F.col("_scored"), iou_threshold, cluster_distance)
-    pairs = _merge_parts(packed, FRAME, summary)
-    objects = shaped.groupBy(*FRAME).agg(
+    kind = masks.schema[entity].dataType
+    rows = masks.select(*FRAME, F.col(entity).cast("long").alias("id"), "counts", height().alias("height"))
+    stats = StructType.fromDDL(f"{STATS}, {OBJECTS}")
+    fold = _masks_folded(iou_threshold, cluster_distance)
+    folded = tiles.fold_pairs(rows, FRAME, ["id", "counts", "height"], fold, stats, raw=("id", "counts"))
+    objects = [
+        F.sum("objects").alias("num_objects"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).cast(ArrayType(kind)).alias("objects_present"),
+        F.min("min_area").alias("min_mask_area"),
+        F.max("max_area").alias("max_mask_area"),
+        F.sum("n_area").alias("_n"),
+        F.sum("sum_area").alias("_sum"),
+        F.sum("sq_area").alias("_sq"),
+    ]
+    out = _merge_parts(folded, FRAME, F.struct(*StructType.fromDDL(STATS).names), objects)
+    out = out.withColumns({"mean_mask_area": F.when(F.col("_n") > 0, F.col("_sum") / F.col("_n")), "mask_area_variance": F.when(F.col("_n") > 0, _area_spread())})
+    # Rows without a video or a frame have no pairs.
+    area = rle.mask_area("counts").cast("double")
+    lost = rows.filter(F.greatest(*[F.col(k).isNull() for k in FRAME])).withColumn("area", area).groupBy(*FRAME).agg(
         F.count(F.lit(1)).alias("num_objects"),
-        F.sort_array(F.collect_set(entity)).alias("objects_present"),
+        F.sort_array(F.collect_set("id")).cast(ArrayType(kind)).alias("objects_present"),
         F.avg("area").alias("mean_mask_area"),
         F.min("area").alias("min_mask_area"),
         F.max("area").alias("max_mask_area"),
         F.var_pop("area").alias("mask_area_variance"),
     )
-    out = objects.join(pairs, list(FRAME), "left")
+    out = out.drop("_n", "_sum", "_sq").unionByName(lost, allowMissingColumns=True)
     out = out.withColumnRenamed("max_iou", "max_pairwise_mask_iou").withColumnRenamed(
         "mean_iou", "mean_pairwise_mask_iou"
     )

@@ -83,21 +83,25 @@ def fold_pairs(
     fold: Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray, int], dict[str, np.ndarray]],
     schema: StructType,
     *,
+    raw: Sequence[str] = (),
     tile: int = TILE,
 ) -> DataFrame:
     """One row per group or pair of a wide group's parts, with what ``fold`` makes of its pairs.
 
-    The numeric ``member`` columns come as arrays with NaN for NULL, rows in their order; ``fold(columns, group,
-    first, second, n_groups)`` gets all pairs of many groups at once and returns the columns of ``schema`` (long
-    or double).
+    The numeric ``member`` columns come as arrays with NaN for NULL, those named in ``raw`` as Arrow arrays, rows in
+    their order; ``fold(columns, group, first, second, n_groups)`` gets all pairs of many groups at once and returns the
+    columns of ``schema`` (long or double, where NaN is NULL, or Arrow arrays). Two more columns are ``_group``, the
+    group of each row, and ``_own``: a member stands in as many groups as its own has parts, but is ``_own`` in one.
     """
     names = [*keys, "_pa", "_pb"]
     rows = deal(df, keys, member, tile=tile).select(*names, "_part", *member)
-    rows = rows.repartition(*names).sortWithinPartitions(*names, *member)
+    # Groups only have to stand together: the last key, which differs most, is compared first.
+    rows = rows.repartition(*names).sortWithinPartitions(*reversed(keys), "_pa", "_pb", *member)
     made = StructType([*[rows.schema[k] for k in keys], *schema.fields])
     kinds = dict(rows.dtypes)
     wanted = [(f.name, f.dataType.simpleString()) for f in schema.fields]
-    columns = [c for c in member if kinds[c] in ("double", "float", "int", "bigint", "smallint", "tinyint")]
+    numbers = ("double", "float", "int", "bigint", "smallint", "tinyint")
+    columns = [c for c in member if kinds[c] in numbers and c not in raw]
 
     def folded(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
         group, first, second = _pairs_of(starts, table.num_rows)
@@ -106,11 +110,15 @@ def fold_pairs(
         if not mine.all():
             group, first, second = group[mine], first[mine], second[mine]
         cells = {c: table.column(c).cast(pa.float64()).to_numpy() for c in columns}
+        cells |= {c: table.column(c).combine_chunks() for c in raw}
+        sizes = np.diff(np.append(starts, table.num_rows))
+        cells |= {"_group": np.repeat(np.arange(len(starts)), sizes), "_own": (a == b) & (part == a)}
         out = fold(cells, group, first, second, len(starts))
         heads = table.select(list(keys)).take(pa.array(starts)).combine_chunks()
         arrays = [heads.column(k).combine_chunks() for k in keys]
         # Without any pair numpy would count in whole numbers.
-        arrays += [pa.array(np.asarray(out[c], float if kind == "double" else np.int64)) for c, kind in wanted]
+        as_array = lambda v, kind: v if isinstance(v, pa.Array) else pa.array(np.asarray(v, float if kind == "double" else np.int64), from_pandas=True)
+        arrays += [as_array(out[c], kind) for c, kind in wanted]
         return pa.RecordBatch.from_arrays(arrays, names=[*keys, *schema.names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
