@@ -303,3 +303,24 @@ def test_mask_frames_with_missing_parts(crowd):
     assert (odd["min_mask_area"], odd["num_overlapping_pairs"], odd["mean_pairwise_mask_iou"]) == (0, 0, 0)
     assert got["v", None]["num_objects"] == 2 and got["v", None]["min_centroid_distance"] is None and got["v", None]["mask_area_variance"] == 0
     assert got[None, 3]["objects_present"] == [4] and got[None, 3]["is_high_occlusion"] is None
+
+
+def test_distances_of_masks_are_added_by_object(crowd):
+    """Were added in one run over all pairs, which lost more bits than the SQL twin does."""
+    df, (x, y, w, h) = crowd
+    got = {r["frame_idx"]: r["mean_centroid_distance"] for r in masks.mask_frames(df.filter("frame_idx < 15 and video_id is not null")).collect()}
+    cx, cy = (x + (w - 1) / 2).tolist(), (y + (h - 1) / 2).tolist()
+    apart = 0
+    for f in range(15):
+        total = plain = 0.0
+        for a in range(4, -1, -1):
+            of_one = 0.0
+            for b in range(a + 1, 6):
+                of_one += np.sqrt((cx[6 * f + a] - cx[6 * f + b]) ** 2 + (cy[6 * f + a] - cy[6 * f + b]) ** 2)
+            total += of_one
+        for a in range(5):
+            for b in range(a + 1, 6):
+                plain += np.sqrt((cx[6 * f + a] - cx[6 * f + b]) ** 2 + (cy[6 * f + a] - cy[6 * f + b]) ** 2)
+        assert got[f] == total / 15
+        apart += got[f] != plain / 15
+    assert apart > 0
