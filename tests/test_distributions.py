@@ -108,3 +108,25 @@ def test_nearest_neighbours_shuffle_no_vectors_twice(spark):
     plan = nn._jdf.queryExecution().executedPlan().toString()
     # The exchange of the answers alone.
     assert nn.count() == 600 and plan.count("Exchange hashpartitioning") == 1 and "CartesianProduct" in plan
+
+
+@pytest.mark.parametrize("spread", [0.05, 5.0])
+def test_nearest_neighbours_across_bundles(spark, spread, monkeypatch):
+    """Every two slices were a row with both of their vectors: 32 times as many bytes as bundles of slices need."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(12, 8))[rng.integers(0, 12, 700)] + spread * rng.normal(size=(700, 8))
+    x[300] = x[301] = x[5]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, e array<double>").repartition(4)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sim = np.round(u @ u.T, 12)
+    np.fill_diagonal(sim, -np.inf)
+    for rows in (64, 4096):
+        monkeypatch.setattr(reports, "BUNDLE_ROWS", rows)
+        members, _, numbers = reports._dealt(df, "id", "e", 12, 16)
+        bundles = members.select("b").distinct().count()
+        assert bundles == (-(-numbers.sum() // 4) if rows == 64 else 1)
+        got = {r["id"]: (r["neighbour"], r["similarity"]) for r in reports.nearest_neighbour(df, key="id", vec="e", pivots=12, slice_rows=16).collect()}
+        assert len(got) == 700
+        for k in range(700):
+            assert np.isclose(got[k][1], sim[k].max(), atol=1e-11) and sim[k, got[k][0]] >= sim[k].max() - 1e-11
+        assert got[5][0] == 300 and got[300][0] == got[301][0] == 5

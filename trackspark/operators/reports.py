@@ -151,6 +151,8 @@ def unit(v: str | Column) -> Column:
 
 #: Pivots on the driver, members of a part that are compared at once, queries to them in one task.
 PIVOTS, SLICE_ROWS, QUERY_ROWS = 64, 2048, 16_384
+#: Members, of whole slices, that meet others in one matrix product.
+BUNDLE_ROWS = 4096
 #: Rounding of distances and similarities never hides a partner that is within this of the best.
 SLACK = 1e-6
 
@@ -187,18 +189,46 @@ def _open(v: np.ndarray, near: np.ndarray, centres: np.ndarray, low: np.ndarray,
     return np.maximum(d - high, low - d) <= near[:, None] + SLACK
 
 
+def _first_best(s: np.ndarray, axis: int) -> tuple[np.ndarray, np.ndarray]:
+    """Place and value of the best similarity along an axis; those equal in 12 digits go to the first.
+
+    Only what is next to the best is rounded.
+    """
+    top = np.round(s.max(axis), 12)
+    r, c = np.nonzero(s >= np.expand_dims(top - 1e-12, axis))
+    at, other = (r, c) if axis == 1 else (c, r)
+    hit = np.round(s[r, c], 12) == top[at]
+    place = np.zeros(len(top), np.int64)
+    place[at[hit][::-1]] = other[hit][::-1]  # the first one is written last
+    return place, top
+
+
 def _best(x: np.ndarray, keys: np.ndarray, y: np.ndarray, own: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """The nearest of ``y`` for each of ``x`` and its similarity; ``own``: the same rows, none with itself."""
     n, sim = np.zeros(len(x), np.int64), np.full(len(x), -np.inf)
-    for a in range(0, len(x), 1024):
-        s = np.round(x[a : a + 1024] @ y.T, 12)
+    for a in range(0, len(x), 512):
+        s = x[a : a + 512] @ y.T
         if own:
             s[np.arange(len(s)), np.arange(a, a + len(s))] = -np.inf
-        j = s.argmax(1)
-        n[a : a + 1024], sim[a : a + 1024] = keys[j], s[np.arange(len(s)), j]
+        j, sim[a : a + 512] = _first_best(s, 1)
+        n[a : a + 512] = keys[j]
     return n, sim
 
 
+def _best_both(x: np.ndarray, x_keys: np.ndarray, y: np.ndarray, y_keys: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The nearest of the other side for each of ``x`` and each of ``y``, from one product; keys ascend."""
+    n, sim = np.zeros(len(x), np.int64), np.full(len(x), -np.inf)
+    m, back = np.zeros(len(y), np.int64), np.full(len(y), -np.inf)
+    for a in range(0, len(x), 512):
+        s = x[a : a + 512] @ y.T
+        j, sim[a : a + 512] = _first_best(s, 1)
+        n[a : a + 512] = y_keys[j]
+        i, top = _first_best(s, 0)
+        more = top > back
+        m[more], back[more] = x_keys[a + i[more]], top[more]
+    return n, sim, m, back
+
+
 SLICES = "p int, s int, k array<bigint>, v binary, near array<double>, n array<bigint>, sim array<double>, asks array<int>"
 
 
@@ -217,28 +247,54 @@ def _slice(centres: np.ndarray, low: np.ndarray, high: np.ndarray):
     return run
 
 
+BUNDLES = "b int, k array<bigint>, v binary, p array<int>, near array<double>, n array<bigint>, sim array<double>, asks array<int>, parts array<int>"
+
+
+def _bundle(centres: np.ndarray, low: np.ndarray, high: np.ndarray):
+    """For ``applyInPandas``: some slices as one row, with each member's best inside and the parts any of them asks."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("k", kind="stable")
+        k, v, p = pdf["k"].to_numpy(), np.stack(pdf["v"].to_numpy()), pdf["p"].to_numpy()
+        n, sim = _best(v, k, v, own=True)
+        near = np.sqrt(np.maximum(2 - 2 * np.maximum(sim, -1), 0))
+        asks = np.flatnonzero(_open(v, near, centres, low, high).any(0))
+        row = [pdf["b"].iloc[0], k, v.astype(np.float64).tobytes(), p, near, n, sim, asks, np.unique(p)]
+        return pd.DataFrame({name.split()[0]: [value] for name, value in zip(BUNDLES.split(", "), row)})
+
+    return run
+
+
 def _across(centres: np.ndarray, low: np.ndarray, high: np.ndarray):
-    """For ``mapInArrow`` on pairs of slices: the best member of the second for those of the first that ask it."""
+    """For ``mapInArrow`` on pairs of bundles: the best of the other for the members of either that ask it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
             for i in range(b.num_rows):
-                k, near, keys = (b.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("k", "near", "keys"))
+                k, near, p, keys, far, q = (b.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("k", "near", "p", "keys", "far", "q"))
                 x = np.frombuffer(b.column("v")[i].as_buffer(), np.float64).reshape(len(k), -1)
                 y = np.frombuffer(b.column("w")[i].as_buffer(), np.float64).reshape(len(keys), -1)
-                q = b.column("p")[i].as_py()
-                rows = np.flatnonzero(_open(x, near, centres[q : q + 1], low[q : q + 1], high[q : q + 1])[:, 0])
-                if len(rows):
-                    out.append((k[rows], *_best(x[rows], keys, y)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["k", "n", "sim"])
+
+                def asked(v: np.ndarray, dist: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                    """Members that ask the other bundle, and the members of it that they ask for."""
+                    there, of = np.unique(parts, return_inverse=True)
+                    open_ = _open(v, dist, centres[there], low[there], high[there])
+                    return open_.any(1), open_.any(0)[of]
+
+                (x_asks, y_met), (y_asks, x_met) = asked(x, near, q), asked(y, far, p)
+                rows, others = np.flatnonzero(x_asks | x_met), np.flatnonzero(y_asks | y_met)
+                if not len(rows) or not len(others):
+                    continue
+                n, sim, m, back = _best_both(x[rows], k[rows], y[others], keys[others])
+                mine, yours = x_asks[rows], y_asks[others]
+                out = [(k[rows][mine], keys[others][yours]), (n[mine], m[yours]), (sim[mine], back[yours])]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["k", "n", "sim"])
 
     return run
 
 
-def _sliced(df: DataFrame, key: str, vec: str, pivots: int, slice_rows: int) -> tuple[DataFrame, tuple[np.ndarray, ...], np.ndarray]:
-    """One row a slice (see ``SLICES``), the pivots with the extremes of their parts, and the slices of each part."""
+def _dealt(df: DataFrame, key: str, vec: str, pivots: int, slice_rows: int) -> tuple[DataFrame, tuple[np.ndarray, ...], np.ndarray]:
+    """Vectors with part ``p``, slice ``s`` and bundle ``b``, the pivots with the extremes of their parts, and the slices of each part."""
     rows = cut_lineage(df.select(F.col(key).cast("long").alias("k"), unit(vec).alias("v")).filter("v is not null"), "units")
     spark = df.sparkSession
     centres = np.array([r["v"] for r in rows.orderBy(F.xxhash64("k"), "k").limit(pivots).collect()])
@@ -247,10 +303,12 @@ def _sliced(df: DataFrame, key: str, vec: str, pivots: int, slice_rows: int) ->
     found = {r["p"]: r for r in placed.groupBy("p").agg(F.min("r").alias("low"), F.max("r").alias("high"), F.count("*").alias("n")).collect()}
     low, high = (np.array([found[p][c] if p in found else np.inf * sign for p in range(len(centres))]) for c, sign in (("low", 1), ("high", -1)))
     numbers = np.array([-(-found[p]["n"] // slice_rows) if p in found else 0 for p in range(len(centres))], np.int64)
-    sizes = spark.createDataFrame([(p, int(n)) for p, n in enumerate(numbers)], "p int, n int")
-    members = placed.join(F.broadcast(sizes), "p").select("k", "v", "p", F.pmod(F.xxhash64("k"), F.col("n")).cast("int").alias("s"))
-    bounds = (centres, low, high)
-    return cut_lineage(members.groupBy("p", "s").applyInPandas(_slice(*bounds), SLICES), "slices"), bounds, numbers
+    before = np.cumsum(numbers) - numbers
+    sizes = spark.createDataFrame([(p, int(n), int(o)) for p, (n, o) in enumerate(zip(numbers, before))], "p int, n int, o int")
+    members = placed.join(F.broadcast(sizes), "p").withColumn("s", F.pmod(F.xxhash64("k"), F.col("n")).cast("int"))
+    # Slices of one part, then of the next.
+    bundle = F.floor((F.col("o") + F.col("s")) / max(1, BUNDLE_ROWS // slice_rows)).cast("int")
+    return members.select("k", "v", "p", "s", bundle.alias("b")), (centres, low, high), numbers
 
 
 def _inside(slices: DataFrame) -> DataFrame:
@@ -260,7 +318,8 @@ def _inside(slices: DataFrame) -> DataFrame:
 
 def neighbour_asks(df: DataFrame, *, key: str, vec: str, pivots: int = PIVOTS, slice_rows: int = SLICE_ROWS) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     """Slices, each member's best inside its slice, the asks of members to other slices, and the slice count."""
-    slices, bounds, numbers = _sliced(df, key, vec, pivots, slice_rows)
+    members, bounds, numbers = _dealt(df, key, vec, pivots, slice_rows)
+    slices = cut_lineage(members.select("k", "v", "p", "s").groupBy("p", "s").applyInPandas(_slice(*bounds), SLICES), "slices")
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -277,22 +336,27 @@ def neighbour_asks(df: DataFrame, *, key: str, vec: str, pivots: int = PIVOTS, s
 def nearest_neighbour(df: DataFrame, *, key: str, vec: str, pivots: int = PIVOTS, slice_rows: int = SLICE_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """Exact cosine nearest neighbour of every vector: (key, neighbour, similarity).
 
-    Vectors belong to the nearest of a few pivots, and a part's members to slices of bounded size, one row
-    each. The best partner inside the own slice bounds how far a nearer one can be; by the triangle
-    inequality only slices whose part can hold one are asked, by one matrix product for each pair of
-    slices. Pairs are formed by reading the stage table of slices again, so that no vector is shuffled a second
-    time: disk grows with the vectors, not with their pairs. ``query_rows`` no longer bounds anything.
+    Vectors belong to the nearest of a few pivots, a part's members to slices of bounded size, and slices to bundles,
+    one row each. The best partner inside the own bundle bounds how far a nearer one can be; by the triangle
+    inequality only bundles that hold a part with one are asked, by one matrix product for each two
+    bundles, which serves both. Pairs are formed by reading the stage table of bundles again, so that no vector is
+    shuffled for its pairs: disk grows with the vectors, not with their pairs. ``query_rows`` no longer bounds anything.
     Ties go to the lowest key.
     """
     if df.isEmpty():
         return df.select(F.col(key).cast("long").alias(key), F.lit(0).cast("long").alias("neighbour"), F.lit(0.0).alias("similarity")).limit(0)
-    slices, bounds, _ = _sliced(df, key, vec, pivots, slice_rows)
-    asking = slices.select(F.struct("p", "s").alias("at"), "k", "v", "near", "asks")
-    asked = slices.select(F.struct("p", "s").alias("to"), "p", F.col("k").alias("keys"), F.col("v").alias("w"))
+    members, bounds, _ = _dealt(df, key, vec, pivots, slice_rows)
+    bundles = cut_lineage(members.drop("s").groupBy("b").applyInPandas(_bundle(*bounds), BUNDLES), "bundles")
+    left = bundles.select("b", "k", "v", "p", "near", "asks", "parts")
+    right = bundles.select(
+        F.col("b").alias("c"), F.col("k").alias("keys"), F.col("v").alias("w"), F.col("p").alias("q"), F.col("near").alias("far"),
+        F.col("asks").alias("their_asks"), F.col("parts").alias("their_parts"),
+    )
     # The product of partitions, never a broadcast.
-    pairs = asking.join(asked.hint("shuffle_replicate_nl"), (F.col("at") != F.col("to")) & F.array_contains("asks", F.col("p")))
-    across = pairs.select("k", "near", "v", "p", "keys", "w").mapInArrow(_across(*bounds), "k long, n long, sim double")
-    top = _inside(slices).unionByName(across).groupBy("k").agg(F.min(F.struct((-F.col("sim")).alias("d"), "n")).alias("t"))
+    meet = F.arrays_overlap("asks", "their_parts") | F.arrays_overlap("their_asks", "parts")
+    pairs = left.join(right.hint("shuffle_replicate_nl"), (F.col("b") < F.col("c")) & meet)
+    across = pairs.select("k", "near", "v", "p", "keys", "far", "w", "q").mapInArrow(_across(*bounds), "k long, n long, sim double")
+    top = _inside(bundles).unionByName(across).groupBy("k").agg(F.min(F.struct((-F.col("sim")).alias("d"), "n")).alias("t"))
     return top.select(F.col("k").alias(key), F.col("t.n").alias("neighbour"), (-F.col("t.d")).alias("similarity"))
 
 
